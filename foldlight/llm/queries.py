@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlight.llm import lines, mixing, quality, secrets, simhash
+from foldlight.llm import decontaminate, langid, lines, mixing, quality, secrets, simhash, substrings, tokenids
 from foldlight.llm.common import table
 
 
@@ -17,11 +17,35 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each benchmark item found in a document; clean documents have none."""
+    return decontaminate.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (doc_id set) and raw pages (page_id set) by one model, fitted on labelled documents."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs)
+    none = F.lit(None).cast("long")
+    rows = langid.document_rows(docs).withColumnsRenamed({"id": "doc_id"}).withColumn("page_id", none)
+    pages = langid.page_rows(table(spark, sf_dir, "pages")).withColumnsRenamed({"id": "page_id"}).withColumn("doc_id", none)
+    return langid.identify(rows.unionByName(pages), model, ("doc_id", "page_id"))
+
+
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.encoded_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -34,7 +58,11 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
     "op3_mix_sources": op3_mix_sources,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_language_id": op7_language_id,
+    "op8_token_ids": op8_token_ids,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scans": op10_secret_scans,
 }
