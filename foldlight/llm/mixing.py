@@ -72,19 +72,37 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "full", F.when(take, F.col("prefix")).otherwise(F.col("prefix") - 1).alias("threshold"))
 
 
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    return staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), document_hash(F.col(id_col)).alias("hash")), "mix-sizes")
+
+
+def _times(doc_hash: Column) -> Column:
+    return F.col("t.full") + F.when(doc_hash <= F.col("t.threshold"), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = TOTAL_SHARE, most: int = MOST_REPEATS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): one row per input row; taken counts repeats, at most `most` times size.
+    """(doc_id, source, size, source_size, target, taken, times): one row per input row; taken = times * size, times <= `most`.
 
     Null texts have size 0.  Equal ids have equal hashes: their rows are taken together, as are all rows without an id.
     An empty table gives no rows.  Each source's taken words differ from its target by less than the documents at its
     threshold hold.  Reruns agree, since the hash depends on the id alone.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    sized = staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), document_hash(F.col(id_col)).alias("hash")), "mix-sizes")
+    sized = _sized(docs, id_col, text_col, source_col)
     found = thresholds(sized, source_targets(sized, weights, share, most))
-    taken = F.col("d.size") * (F.col("t.full") + F.when(F.col("d.hash") <= F.col("t.threshold"), 1).otherwise(0))
+    times = _times(F.col("d.hash"))
     joined = sized.alias("d").join(found.alias("t"), F.expr("d.source <=> t.source"))
-    return joined.select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", taken.cast("long").alias("taken"))
+    return joined.select("d.doc_id", "d.source", "d.size", "t.source_size", "t.target", (F.col("d.size") * times).cast("long").alias("taken"), times.cast("long").alias("times"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = TOTAL_SHARE, most: int = MOST_REPEATS) -> DataFrame:
+    """The rows of the mix, columns of `docs` kept: each row as often as `mix` takes it.  See there for nulls and ties."""
+    sized = _sized(docs, id_col, text_col, source_col)
+    found = thresholds(sized, source_targets(sized, weights, share, most))
+    rows = docs.withColumn("_hash", document_hash(F.col(id_col))).alias("d")
+    joined = rows.join(found.alias("t"), F.col(f"d.{source_col}").cast("string").eqNullSafe(F.col("t.source")))
+    taken = joined.withColumn("_times", _times(F.col("d._hash")).cast("int")).where("_times > 0")
+    return taken.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
 
 
 ORACLE = r"""
@@ -120,6 +138,7 @@ WITH sized AS (
   FROM running r JOIN edge e ON r.source IS NOT DISTINCT FROM e.source AND r.hash = e.hash
 )
 SELECT s.doc_id, s.source, s.size, n.source_size, n.target,
-       CAST(s.size * (n.full_times + CASE WHEN s.hash <= c.threshold THEN 1 ELSE 0 END) AS BIGINT) AS taken
+       CAST(s.size * (n.full_times + CASE WHEN s.hash <= c.threshold THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+       CAST(n.full_times + CASE WHEN s.hash <= c.threshold THEN 1 ELSE 0 END AS BIGINT) AS times
 FROM sized s JOIN needs n ON s.source IS NOT DISTINCT FROM n.source JOIN cut c ON s.source IS NOT DISTINCT FROM c.source
 """

@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlight.llm import decontaminate, langid, lines, mixing, quality, secrets, simhash, substrings, tokenids
+from foldlight.llm import chat, decontaminate, langid, lines, mixing, quality, secrets, simhash, substrings, tokenids
 from foldlight.llm.common import table
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of `conversations`, each row's role as its speaker's name, parsed and rendered turn by turn."""
+    rows = table(spark, sf_dir, "conversations")
+    found = chat.parse_transcripts(rows, chat.fit(rows), marker="role")
+    return found.withColumn("conv_id", F.col("conv").cast("long")).drop("conv")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -56,6 +63,7 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
     "op3_mix_sources": op3_mix_sources,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
