@@ -31,7 +31,7 @@ NAMES = {
 }
 MARKER = re.compile(r"^\s*(?:<\|(?P<tag>\w+)\|>|[\[(*#]*\s*(?P<name>\w+)\s*[\])*#]*\s*:)\s*", re.I)
 #: Chance that a turn starts with a marker; that a marker names another role; that a line inside a turn looks marked.
-MARKED, WRONG, STRAY = 0.85, 0.02, 0.002
+MARKED, WRONG, STRAY = 0.85, 0.0005, 0.002
 #: Chance that a turn starts a row, that a line inside a turn does, and that the next line goes on with the turn.
 ROW_START, ROW_INSIDE, GOES_ON = 0.97, 0.03, 0.6
 LENGTHS = 8

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldlight.llm import textkernel as tk
-from foldlight.llm.common import staged
+from foldlight.llm.common import staged, unused
 
 #: Hashed trigrams; rows (at most, about) that the model is fitted on; languages (the most frequent labels).
 BUCKETS = 1 << 16
@@ -26,6 +26,8 @@ TEXT_WEIGHT = 60.0
 DECLARED_TRUST, SUFFIX_TRUST = 0.9, 0.8
 #: Counts that a parent's distribution is worth in its child's prior.
 HOST_STRENGTH, DOMAIN_STRENGTH = 20.0, 50.0
+#: Share of a language's trigrams that the model leaves to unseen ones.
+UNSEEN = 0.02
 MIN_PROBABILITY = 0.5
 MIN_TRIGRAMS = 1
 
@@ -71,8 +73,9 @@ class Model:
 
     def __init__(self, counts: dict[str, np.ndarray]):
         self.languages = sorted(counts)
-        smooth = [counts[x] + 0.5 for x in self.languages]
-        self.tables = [np.round(np.log(c / c.sum()) * _SCALE).astype(np.int32) for c in smooth]
+        # A share of each distribution is uniform: unseen trigrams say nothing, however much text a language had.
+        shares = [(1 - UNSEEN) * counts[x] / counts[x].sum() + UNSEEN / BUCKETS for x in self.languages]
+        self.tables = [np.round(np.log(p) * _SCALE).astype(np.int32) for p in shares]
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Trigrams of each text, and its tempered log-likelihood by language (best: 0)."""
@@ -147,7 +150,8 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     """Adds text_lang, lang and probability to rows of text_evidence that keep host, domain, declared and suffix."""
     langs = F.array(*[F.lit(x) for x in languages])
     n_langs = len(languages)
-    said = evidence.withColumn("text_lang", F.when(F.col("trigrams") >= MIN_TRIGRAMS, _best(F.col("loglik"), langs)))
+    alone = F.size(F.filter("loglik", lambda x: x == F.array_max("loglik"))) == 1  # a tie says nothing
+    said = evidence.withColumn("text_lang", F.when((F.col("trigrams") >= MIN_TRIGRAMS) & alone, _best(F.col("loglik"), langs)))
     # Counts by (domain, host, language): few rows a task, whatever a host's share of the table.
     counts = staged(said.where("text_lang is not null").groupBy("domain", "host", "text_lang").agg(F.count("*").cast("double").alias("n")), "langid-counts")
 
@@ -161,13 +165,14 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     uniform = F.array(*[F.lit(1.0 / n_langs)] * n_langs)
     whole, shrunk = spread(counts.groupBy(), uniform, 1.0)
     whole = whole.select(shrunk.alias("table_prior"))  # one row
-    domains, shrunk = spread(counts.groupBy("domain"), F.col("table_prior"), DOMAIN_STRENGTH)
-    domains = domains.crossJoin(F.broadcast(whole)).select("domain", F.when(F.col("domain").isNull(), F.col("table_prior")).otherwise(shrunk).alias("domain_prior"))
-    hosts, shrunk = spread(counts.groupBy("domain", "host"), F.col("domain_prior"), HOST_STRENGTH)
-    hosts = hosts.alias("h").join(domains.alias("d"), F.expr("h.domain <=> d.domain")).select("h.domain", "h.host", F.when(F.col("h.host").isNull(), F.col("domain_prior")).otherwise(shrunk).alias("prior"))
-    hosts = staged(hosts, "langid-hosts")
-    joined = said.alias("e").join(hosts.alias("p"), F.expr("e.domain <=> p.domain and e.host <=> p.host"), "left").crossJoin(F.broadcast(whole))
-    prior = F.coalesce("p.prior", "table_prior")
+    domains, shrunk = spread(counts.where("domain is not null").groupBy("domain"), F.col("table_prior"), DOMAIN_STRENGTH)
+    domains = staged(domains.crossJoin(F.broadcast(whole)).select("domain", shrunk.alias("domain_prior")), "langid-domains")
+    parent = F.coalesce("domain_prior", "table_prior")
+    hosts, shrunk = spread(counts.where("host is not null").groupBy("domain", "host"), F.col("parent"), HOST_STRENGTH)
+    hosts = hosts.join(domains, "domain", "left").crossJoin(F.broadcast(whole)).withColumn("parent", parent)
+    hosts = staged(hosts.select("domain", "host", shrunk.alias("host_prior")), "langid-hosts")
+    joined = said.alias("e").join(hosts.alias("h"), F.expr("e.domain <=> h.domain and e.host = h.host"), "left").join(domains.alias("m"), F.expr("e.domain = m.domain"), "left").crossJoin(F.broadcast(whole))
+    prior = F.coalesce("h.host_prior", "m.domain_prior", "table_prior")
 
     def trust(column, share):
         """Log-chance of what `column` says, by language; nothing said, or no known language: no evidence."""
@@ -202,7 +207,8 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 
     A document is told by its id and its text; rows that share both share the verdict.
     """
-    key = lambda t: F.xxhash64(F.coalesce(F.col(t).cast("string"), F.lit("")))
-    rows = document_rows(docs).withColumn("row", key("text"))
-    rejected = identify(rows, model, ("id", "row")).where("not kept").select(F.col("id").alias("_id"), F.col("row").alias("_row")).distinct()
-    return docs.join(rejected, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (key("text") == F.col("_row")), "left_anti")
+    key = lambda t: F.xxhash64(F.coalesce(t.cast("string"), F.lit("")))
+    rows = document_rows(docs).withColumn("row", key(F.col("text")))
+    id_, row = unused(docs, "id"), unused(docs, "row")
+    rejected = identify(rows, model, ("id", "row")).where("not kept").select(F.col("id").alias(id_), F.col("row").alias(row)).distinct()
+    return docs.join(rejected, docs["doc_id"].cast("long").eqNullSafe(rejected[id_]) & (key(docs["text"]) == rejected[row]), "left_anti")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldlight.llm.common import staged
+from foldlight.llm.common import staged, unused
 
 #: Bits of the hash, and the bits by which each level divides a bucket.
 HASH_BITS = 60
@@ -99,10 +99,11 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of the mix, columns of `docs` kept: each row as often as `mix` takes it.  See there for nulls and ties."""
     sized = _sized(docs, id_col, text_col, source_col)
     found = thresholds(sized, source_targets(sized, weights, share, most))
-    rows = docs.withColumn("_hash", document_hash(F.col(id_col))).alias("d")
-    joined = rows.join(found.alias("t"), F.col(f"d.{source_col}").cast("string").eqNullSafe(F.col("t.source")))
-    taken = joined.withColumn("_times", _times(F.col("d._hash")).cast("int")).where("_times > 0")
-    return taken.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).drop("_copy")
+    hash_, times, copy = unused(docs, "hash"), unused(docs, "times"), unused(docs, "copy")
+    rows = docs.withColumn(hash_, document_hash(F.col(id_col))).alias("d")
+    joined = rows.join(found.alias("t"), F.col(f"d.`{source_col}`").cast("string").eqNullSafe(F.col("t.source")))
+    kept = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], _times(F.col(f"d.{hash_}")).cast("int").alias(times)).where(F.col(times) > 0)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)
 
 
 ORACLE = r"""
