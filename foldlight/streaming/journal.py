@@ -1,73 +1,90 @@
 """The call fold over a stream of decoded journal events, keyed by execution.
 
-State per execution: the last sequence and the state of its calls.  Events that do not follow the last sequence are
-answered with a rejection (late, or a gap) and change nothing, as an append to the journal would be.  Each accepted event
-of a call gives the call's state after it; a sink keyed by (execution_id, sequence) is thus exactly-once.
+State per execution: its last sequence, status and number of open calls, and a map with one entry per call, so that an
+event reads and writes its own call only, however many the execution has.  Events that do not follow the last sequence
+are answered with a rejection (late, or a gap) and change nothing, as an append to the journal would be.  Each accepted
+event of a call gives the call's state after it; a sink keyed by (execution_id, sequence) is thus exactly-once.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from foldlight import schemas as S
 
-STATE = "last_sequence long, status string, calls string"
 OUTPUT = "execution_id string, sequence long, kind string, reason string, call_id string, status string, attempt int, started_sequence long, completed_sequence long, pending_sequence long, execution_status string"
 INPUT = ("execution_id", "sequence", "event_type", "call_id", "attempt")
-_BLANK = {"status": "REQUESTED", "attempt": 0, "started": 0, "completed": 0, "pending": None}
+HEAD = "last_sequence long, status string, n_open long"
+#: Sequences start at 1: 0 stands for none.
+CALL = "status string, attempt int, started long, completed long, pending long"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def step(call: dict | None, event_type: str, sequence: int, attempt: int | None) -> dict | None:
-    """A call's state after one of its events; None for an event of a call that was never requested."""
+def step(call: tuple | None, event_type: str, sequence: int, attempt: int | None) -> tuple | None:
+    """A call's state (as in CALL) after one of its events; None for an event of a call that was never requested."""
     if event_type == "ToolRequested":
-        return call or dict(_BLANK)
+        return call or ("REQUESTED", 0, 0, 0, 0)
     if call is None:
         return None
-    call = call | {"status": S.CALL_STATUS[event_type]}
+    _, tried, started, completed, pending = call
+    status = S.CALL_STATUS[event_type]
     if event_type == "ToolRetryScheduled":
-        return call | {"pending": sequence}
-    call["attempt"] = max(int(attempt or 1), 1)
+        return status, tried, started, completed, sequence
+    tried = max(int(attempt or 1), 1)
     if event_type == "ToolStarted":
-        return call | {"started": sequence, "pending": None}
-    call["completed"] = sequence
-    return call | {"pending": None} if event_type == "ToolCancelled" else call
+        return status, tried, sequence, completed, 0
+    return status, tried, started, sequence, 0 if event_type == "ToolCancelled" else pending
 
 
-def _apply(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, status, text = state.get if state.exists else (0, "RUNNING", "{}")
-    calls, out = json.loads(text), []
-    for frame in frames:
-        for row in frame.sort_values("sequence").astype(object).where(lambda f: f.notna(), None).itertuples(index=False):
-            sequence, event_type, call_id = int(row.sequence), row.event_type, row.call_id
-            reason, call = None, None
+class CallFold(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.head = handle.getValueState("head", HEAD)
+        self.calls = handle.getMapState("calls", "call_id string", CALL)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        """The events of one execution in one trigger, in order of sequence."""
+        last, status, n_open = self.head.get() if self.head.exists() else (0, "RUNNING", 0)
+        out = []
+        events = pd.concat(list(rows)).sort_values("sequence").astype(object)
+        for e in events.where(events.notna(), None).itertuples(index=False):
+            sequence, reason, call = int(e.sequence), None, None
             if sequence <= last:
                 reason = "late or duplicate"
             elif sequence > last + 1:
                 reason = "gap"
-            elif event_type not in S.EVENT_TYPES:
+            elif e.event_type not in S.EVENT_TYPES:
                 reason = "unknown event type"
-            elif event_type in S.TOOL_EVENTS and (call := step(calls.get(call_id), event_type, sequence, row.attempt)) is None:
-                reason = "unknown call"
+            elif e.event_type in S.TOOL_EVENTS:
+                before = tuple(self.calls.getValue((e.call_id,))) if self.calls.containsKey((e.call_id,)) else None
+                call = step(before, e.event_type, sequence, e.attempt)
+                if call is None:
+                    reason = "unknown call"
+                else:
+                    self.calls.updateValue((e.call_id,), call)
+                    n_open += (call[0] in S.INCOMPLETE_STATUSES) - (before is not None and before[0] in S.INCOMPLETE_STATUSES)
             if reason is None:
-                last = sequence
-                status = S.EXECUTION_STATUS.get(event_type, status)
-                if call is not None:
-                    calls[call_id] = call
-            shown = call or dict.fromkeys(_BLANK)
-            open_ = any(c["status"] in S.INCOMPLETE_STATUSES for c in calls.values())
-            whole = "RECOVERY_REQUIRED" if status == "RUNNING" and open_ else status
-            kind = "rejected" if reason else "call" if call else "execution"
-            out.append((key[0], sequence, kind, reason, call_id, shown["status"], shown["attempt"], shown["started"], shown["completed"], shown["pending"], whole))
-    state.update((last, status, json.dumps(calls)))
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
-    yield frame.astype({c: "Int64" for c in ("attempt", "started_sequence", "completed_sequence", "pending_sequence")})
+                last, status = sequence, S.EXECUTION_STATUS.get(e.event_type, status)
+            shown = (*call[:4], call[4] or None) if call else (None,) * 5
+            whole = "RECOVERY_REQUIRED" if status == "RUNNING" and n_open else status
+            out.append((key[0], sequence, "rejected" if reason else "call" if call else "execution", reason, e.call_id, *shown, whole))
+        self.head.update((last, status, n_open))
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        yield frame.astype({c: "Int64" for c in ("attempt", "started_sequence", "completed_sequence", "pending_sequence")})
+
+    def close(self) -> None:
+        pass
 
 
 def call_updates(events: DataFrame) -> DataFrame:
-    """Call states and rejections for a streaming frame of decoded events."""
-    return events.select(*INPUT).groupBy("execution_id").applyInPandasWithState(_apply, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """Call states and rejections for a streaming frame of decoded events.
+
+    Keeps its state in RocksDB: sets the session's state store provider.
+    """
+    events.sparkSession.conf.set(_PROVIDER, _ROCKSDB)
+    return events.select(*INPUT).groupBy("execution_id").transformWithStateInPandas(statefulProcessor=CallFold(), outputStructType=StructType.fromDDL(OUTPUT), outputMode="Update", timeMode="None")

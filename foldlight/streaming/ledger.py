@@ -1,7 +1,8 @@
 """The idempotency ledger over a stream of operations: one record of state per key, one decision per operation.
 
-Built on applyInPandasWithState, so a key's log is never held: only its record is.  Operations of a key must arrive in
-order of op_seq; one that does not come after the last is answered `late` and changes nothing.
+Built on applyInPandasWithState, so a key's log is never held: only its record is.  A key's
+operations of one trigger are taken in order of op_seq; one that does not come after the last is answered `late` and
+changes nothing.
 """
 
 from __future__ import annotations
@@ -44,15 +45,15 @@ def step(record: tuple, op: str, result: str | None, error: str | None) -> tuple
 def _apply(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last, *record = state.get if state.exists else (-1, None, 0, 0, None, None)
     record, out = tuple(record), []
-    for frame in frames:
-        for op_seq, op, result, error in frame.sort_values("op_seq")[["op_seq", "op", "result", "error"]].astype(object).where(lambda f: f.notna(), None).itertuples(index=False):
-            served = None
-            if op_seq <= last:
-                decision = "late"
-            else:
-                last = int(op_seq)
-                record, decision, served = step(record, op, result, error)
-            out.append((key[0], int(op_seq), op, decision, served, record[0], record[1], record[2]))
+    ops = pd.concat(list(frames)).sort_values("op_seq")[["op_seq", "op", "result", "error"]].astype(object)
+    for op_seq, op, result, error in ops.where(ops.notna(), None).itertuples(index=False):
+        served = None
+        if op_seq <= last:
+            decision = "late"
+        else:
+            last = int(op_seq)
+            record, decision, served = step(record, op, result, error)
+        out.append((key[0], int(op_seq), op, decision, served, record[0], record[1], record[2]))
     state.update((last, *record))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
