@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldlight.llm import textkernel as tk
-from foldlight.llm.common import record, release, staged
+from foldlight.llm.common import discard, record, release, staged
 
 WINDOW = 20
 LEAST_LEVEL = 10
@@ -153,6 +153,7 @@ def _repeats(placed: DataFrame) -> DataFrame:
     found = placed.join(counted, "h").select("id", "at", (F.col("at") * 2 + flag).alias("mark"))
     row = F.expr(f"at & ~{(1 << _POSITION_BITS) - 1}L").alias("row")
     out = staged(found.groupBy("id", row).agg(F.collect_list("mark").alias("marks")), "marks")
+    discard(placed, counted)
     return out
 
 
@@ -208,14 +209,17 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     marks = _repeats(texts.mapInArrow(tk.over_chunks(_scan(lengths)), seeds_ddl))
     _free(spark)
     for level in lengths[1:-1]:
-        marks = _repeats(_with_marks(texts, marks).mapInArrow(tk.over_chunks(_rescan(lengths, level)), seeds_ddl))
+        before, marks = marks, _repeats(_with_marks(texts, marks).mapInArrow(tk.over_chunks(_rescan(lengths, level)), seeds_ddl))
+        discard(before)
         _free(spark)
     extended = staged(_with_marks(texts, marks).mapInArrow(tk.over_chunks(_extend(lengths)), seeds_ddl + ", first boolean, mask long, hashes array<long>"), "extended")
+    discard(marks)
     _free(spark)
     firsts = extended.where("first").select("h", F.col("mask").alias("first_mask"), F.col("hashes").alias("first_hashes"))
     later = extended.where("not first").select("h", "id", "at", "mask", "hashes")
     compared = later.join(firsts, "h").select("id", "at", "mask", "hashes", "first_mask", "first_hashes")
     compared = staged(compared.mapInArrow(_differing, "id long, at long, same long, other array<long>, other_offsets array<long>"), "compared")
+    discard(extended)
     _free(spark)
     others = compared.where("size(other) > 0").select("id", "at", F.explode(F.arrays_zip("other", "other_offsets")).alias("w")).select("id", "at", F.col("w.other").alias("h"), F.col("w.other_offsets").alias("o"))
     place = F.struct("id", (F.col("at") - F.col("o")).alias("start"))
@@ -224,6 +228,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     every = compared.where("same <> 0").select("id", "at", F.col("same").alias("bits")).unionByName(more)
     row = F.expr(f"at & ~{(1 << _POSITION_BITS) - 1}L").alias("row")
     out = staged(every.groupBy("id", row).agg(F.collect_list(F.struct("at", "bits")).alias("seeds")), "windows")
+    discard(compared, firsts)
     _free(spark)
     return out
 
