@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import atexit
-import shutil
+import contextlib
 import uuid
 
 import pyarrow as pa
@@ -11,6 +11,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_STAGING = "/tmp/checkpoints/foldlight"
 
+#: Staged tables of this application, with the file systems that hold them; results may read them until it ends.
+_staged: dict[str, tuple] = {}
+
+
+@atexit.register
+def _clean_up() -> None:
+    for path, (where, system) in list(_staged.items()):
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            system.delete(where, True)
+            del _staged[path]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -22,19 +33,25 @@ def shared_dir(spark: SparkSession) -> str:
         return given.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    atexit.register(shutil.rmtree, LOCAL_STAGING, ignore_errors=True)
     return LOCAL_STAGING
 
 
+def new_path(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder for a table of this application; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _staged[path] = where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return path
+
+
 def staged(df: DataFrame, what: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read back: cuts lineage and survives lost executors.
 
     Rows of the written table never change, so results that read it several times agree.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
 
@@ -42,8 +59,8 @@ def staged(df: DataFrame, what: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing will read again: what came of them is staged itself."""
     for df in tables:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.staged_path)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        where, system = _staged.pop(df.staged_path)
+        system.delete(where, True)
 
 
 def release(spark: SparkSession) -> None:

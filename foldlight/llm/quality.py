@@ -54,10 +54,10 @@ def measure_chunk(part: pa.RecordBatch, lengths=tuple(COVERAGE_LIMITS)) -> pa.Re
     columns = {"doc_id": part.column(0), "n_words": n_words, "word_chars": total, "n_symbols": tk.sums(SYMBOLS[data], offsets)}
     base = _repeated_ngram_words(hashes, word_offsets, doc_of_word, BASE_NGRAM)
     columns["n_repeat_words"] = tk.sums(base, word_offsets)
-    per_char = 1.0 / np.maximum(total, 1)
+    whole = np.maximum(total, 1)
     for n in lengths:
         inside = base if n == BASE_NGRAM else _repeated_ngram_words(hashes, word_offsets, doc_of_word, n)
-        columns[f"dup_{n}gram_share"] = tk.sums(word_chars * inside, word_offsets) * per_char
+        columns[f"dup_{n}gram_share"] = tk.sums(word_chars * inside, word_offsets) / whole
     # A line starts with its text or after a \n, and ends before the next \n or with its text.
     breaks = np.flatnonzero(data == 0x0A)
     line_starts = np.concatenate([offsets[:-1], breaks + 1])
@@ -74,7 +74,7 @@ def measure_chunk(part: pa.RecordBatch, lengths=tuple(COVERAGE_LIMITS)) -> pa.Re
     n = len(n_words)
     columns["n_dup_lines"] = np.bincount(line_doc[later], minlength=n)
     line_chars = chars_before[line_ends] - chars_before[line_starts]
-    columns["dup_line_share"] = np.bincount(line_doc[later], weights=line_chars[later], minlength=n) * per_char
+    columns["dup_line_share"] = np.bincount(line_doc[later], weights=line_chars[later], minlength=n) / whole
     return record(_schema(lengths), **columns)
 
 
@@ -98,3 +98,36 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for n, most in limits.items():
         clean = clean & (F.col(f"dup_{n}gram_share") <= most)
     return m.withColumn("base_failed", base_failed).withColumn("kept", ~F.col("base_failed") & clean)
+
+
+def _covered(n: int) -> str:
+    """SQL: word rows that lie in an n-gram which their text has twice or more."""
+    return f"""SELECT doc, pos, max(hit) OVER (PARTITION BY doc ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) IS NOT NULL AS inside
+      FROM words w LEFT JOIN (SELECT doc, pos, 1 AS hit FROM (SELECT doc, pos, count(*) OVER (PARTITION BY doc, gram) AS times
+        FROM (SELECT doc, unnest(range(1, n_words - {n - 2})) AS pos, list_slice(w, pos, pos + {n - 1}) AS gram FROM texts WHERE n_words >= {n})) WHERE times > 1) USING (doc, pos)"""
+
+
+#: The verdicts in DuckDB's SQL; ids are taken as unique.
+ORACLE = f"""
+WITH texts AS (
+  SELECT doc_id AS doc, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, len(w)::BIGINT AS n_words FROM documents
+), words AS (
+  SELECT doc, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM texts
+), lines AS (
+  SELECT doc, line, row_number() OVER (PARTITION BY doc, line ORDER BY pos) AS nth, length(regexp_replace(line, '[\\x20\\x09-\\x0D]+', '', 'g')) AS chars
+  FROM (SELECT doc, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM texts)
+), line_sums AS (
+  SELECT doc, count(*) FILTER (nth > 1 AND chars > 0)::BIGINT AS n_dup_lines, coalesce(sum(chars) FILTER (nth > 1), 0) AS chars FROM lines GROUP BY doc
+), {", ".join(f"inside{n} AS ({_covered(n)})" for n in COVERAGE_LIMITS)},
+sums AS (
+  SELECT doc, sum(length(word))::BIGINT AS word_chars, {", ".join(f"count(*) FILTER (i{n}.inside)::BIGINT AS n{n}, coalesce(sum(length(word)) FILTER (i{n}.inside), 0) AS c{n}" for n in COVERAGE_LIMITS)}
+  FROM words {" ".join(f"JOIN inside{n} i{n} USING (doc, pos)" for n in COVERAGE_LIMITS)} GROUP BY doc
+), measured AS (
+  SELECT t.doc AS doc_id, n_words, coalesce(word_chars, 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, n_dup_lines, coalesce(n{BASE_NGRAM}, 0) AS n_repeat_words,
+    {", ".join(f"coalesce(c{n}, 0)::DOUBLE / greatest(coalesce(word_chars, 0), 1) AS dup_{n}gram_share" for n in COVERAGE_LIMITS)}, l.chars::DOUBLE / greatest(coalesce(word_chars, 0), 1) AS dup_line_share
+  FROM texts t LEFT JOIN sums s ON s.doc = t.doc JOIN line_sums l ON l.doc = t.doc
+)
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_WORDS_PERCENT} * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_WORDS_PERCENT} * n_words) AND dup_line_share <= {LINE_LIMIT} AND {" AND ".join(f"dup_{n}gram_share <= {m}" for n, m in COVERAGE_LIMITS.items())} AS kept
+FROM measured
+"""

@@ -13,15 +13,17 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts of `conversations`, each row's role as its speaker's name, parsed and rendered turn by turn."""
     rows = table(spark, sf_dir, "conversations")
     found = chat.parse_transcripts(rows, chat.fit(rows), marker="role")
-    return found.withColumn("conv_id", F.col("conv").cast("long")).drop("conv")
+    return found.select(F.col("conv").cast("long").alias("conv_id"), *[c for c in found.columns if c != "conv"])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_verdicts(table(spark, sf_dir, "documents"))
+    found = quality.quality_verdicts(table(spark, sf_dir, "documents"))
+    first = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select(*first, *[c for c in found.columns if c not in first])
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "times")
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,6 +78,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_quality_rules": quality.ORACLE,
+    "op5_substring_dedup": substrings.ORACLE,
     "op3_mix_sources": mixing.ORACLE.replace("{docs}", "documents"),
     "op9_line_dedup": lines.ORACLE,
 }

@@ -28,8 +28,8 @@ from foldlight.llm.common import discard, record, release, staged
 
 WINDOW = 20
 LEAST_LEVEL = 10
-#: Stands for a missing id, after all others.
-LAST_ID = (1 << 63) - 1
+#: Rows without an id get one from here on, by a hash of their text; ids are taken to be below.
+HASHED_IDS = 1 << 62
 #: A place: 15 bits that tell texts of one id apart, then the word's position.
 _POSITION_BITS = 40
 
@@ -71,8 +71,9 @@ def _seeds(hashes: dict[int, np.ndarray], word_offsets: np.ndarray, lengths: lis
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.select("id", F.expr(f"shiftleft(xxhash64(text) & 32767L, {_POSITION_BITS})").alias("row"), "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    hashed = F.expr(f"coalesce(doc_id, {HASHED_IDS}L + (xxhash64(1, text) & {HASHED_IDS - 1}L))")
+    return rows.select(hashed.alias("id"), F.expr(f"shiftleft(xxhash64(text) & 32767L, {_POSITION_BITS})").alias("row"), "text", "doc_id")
 
 
 _PLACED = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("at", pa.int64())])
@@ -204,7 +205,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lengths = levels(window, least)
     if window // 2 + 1 > 60:
         raise ValueError("windows of more than 118 words are not supported")
-    texts = _texts(docs, id_col, text_col)
+    texts = _texts(docs, id_col, text_col).drop("doc_id")
     seeds_ddl = "h long, id long, at long"
     marks = _repeats(texts.mapInArrow(tk.over_chunks(_scan(lengths)), seeds_ddl))
     _free(spark)
@@ -269,11 +270,29 @@ def _keep(window: int):
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least: int = LEAST_LEVEL) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): one row per input row; kept: the remaining words joined by one space.
 
-    Null and empty texts have no words.  Rows without an id come after all others, as one document's texts; texts of one
-    id are ordered by a hash, and equal texts of one id are one text (none takes words from the other).
+    Null and empty texts have no words.  Rows without an id come after all others, each a document of its own, ordered by
+    a hash of the text; so are different texts of one id.  Equal texts of one id, or without one, are one text: none takes
+    words from the other.
     """
     windows = repeated_windows(docs, id_col, text_col, window, least)
-    texts = _texts(docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")), "k", "t")
-    joined = texts.join(windows.hint("shuffle_hash"), ["id", "row"], "left")
-    out = joined.select("text", F.expr(f"nullif(id, {LAST_ID}L)").alias("doc_id"), F.col("seeds.at").alias("at"), F.col("seeds.bits").alias("bits"))
+    joined = _texts(docs, id_col, text_col).join(windows.hint("shuffle_hash"), ["id", "row"], "left")
+    out = joined.select("text", "doc_id", F.col("seeds.at").alias("at"), F.col("seeds.bits").alias("bits"))
     return out.mapInArrow(tk.over_chunks(_keep(window)), "doc_id long, n_words long, n_removed long, kept string")
+
+
+#: The query's digest in DuckDB's SQL; ids are taken as unique and present.
+ORACLE = r"""
+WITH texts AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, len(w)::BIGINT AS n_words FROM documents
+), words AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM texts
+), later AS (
+  SELECT doc_id, pos, 1 AS hit FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY gram ORDER BY doc_id, pos) AS nth
+    FROM (SELECT doc_id, unnest(range(1, n_words - 18)) AS pos, md5(array_to_string(list_slice(w, pos, pos + 19), ' ')) AS gram FROM texts WHERE n_words >= 20)) WHERE nth > 1
+), marked AS (
+  SELECT doc_id, pos, word, max(hit) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM words LEFT JOIN later USING (doc_id, pos)
+), kept AS (
+  SELECT doc_id, count(*) FILTER (gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS text FROM marked GROUP BY doc_id
+)
+SELECT t.doc_id, n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id
+"""

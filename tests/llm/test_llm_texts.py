@@ -130,6 +130,13 @@ def test_substrings_of_messy_documents(spark):
     assert substrings.dedup_substrings(messy.empty(spark)).count() == 0
 
 
+def test_substrings_without_ids(spark):
+    shared = messy.passage(40, 25)
+    rows = [(1, f"{messy.passage(41)} {shared}"), (None, f"{shared} {messy.passage(42)}"), (None, f"{messy.passage(43)} {shared}"), (None, messy.passage(44)), (None, messy.passage(44))]
+    found = sorted((r["n_words"], r["n_removed"]) for r in substrings.dedup_substrings(messy.documents(spark, rows)).collect())
+    assert found == [(60, 0), (60, 0), (85, 0), (85, 25), (85, 25)]
+
+
 def test_substring_query(spark, corpus):
     found = {r["doc_id"]: tuple(r)[1:] for r in queries.op5_substring_dedup(spark, SF).collect()}
     assert found == {d: (n, m, brute.sha(kept)) for (d, _), (n, m, kept) in zip(corpus, brute.dedup_substrings(corpus, 20), strict=True)}
