@@ -210,5 +210,6 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     key = lambda t: F.xxhash64(F.coalesce(t.cast("string"), F.lit("")))
     rows = document_rows(docs).withColumn("row", key(F.col("text")))
     id_, row = unused(docs, "id"), unused(docs, "row")
-    rejected = identify(rows, model, ("id", "row")).where("not kept").select(F.col("id").alias(id_), F.col("row").alias(row)).distinct()
+    # Staged, so that its size is known where Spark chooses between a broadcast and a shuffle of the documents.
+    rejected = staged(identify(rows, model, ("id", "row")).where("not kept").select(F.col("id").alias(id_), F.col("row").alias(row)).distinct(), "langid-rejected")
     return docs.join(rejected, docs["doc_id"].cast("long").eqNullSafe(rejected[id_]) & (key(docs["text"]) == rejected[row]), "left_anti")
