@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldlight.llm.common import staged
+from foldlight.llm.common import in_arrow, staged
 
 ROLES = ("system", "user", "assistant")
 #: Names that mark a speaker, in lower case.
@@ -244,10 +244,10 @@ def parse_transcripts(rows: DataFrame, model: Hmm, conv: str = "conv_id", turn:
     cut = edge.join(shared, edge["conv"].eqNullSafe(shared["conv"]), "left_semi")
     cut = staged(cut, "cuts")
     lines = ordered.alias("o").join(F.broadcast(cut).alias("c"), F.expr("o.part = c.part and o.conv <=> c.conv"), "left_semi")
-    pieces = back(lines).mapInArrow(_summary_runs(model), "conv string, part int, best array<double>")
+    pieces = in_arrow(back(lines), _summary_runs(model), "conv string, part int, best array<double>")
     cuts = staged(pieces.groupBy("conv").applyInPandas(_walk, _CUTS), "cut-states")
     known = ordered.alias("o").join(F.broadcast(cuts).alias("c"), F.expr("o.part = c.part and o.conv <=> c.conv"), "left").select("o.part", "o.place", "o.conv", "o.turn", "o.text", "c.before", "c.last")
-    found = back(known).mapInArrow(_decode(model), "conv string, turn long, piece long, role string, continues boolean, n_lines long, text string")
+    found = in_arrow(back(known), _decode(model), "conv string, turn long, piece long, role string, continues boolean, n_lines long, text string")
     return found.withColumn("rendered", F.concat(F.when(F.col("continues"), "").otherwise(F.concat(F.lit("<|"), "role", F.lit("|>\n"))), "text", F.lit("\n")))
 
 

@@ -9,6 +9,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch: a task holds a few of them, in the JVM and in Python.
+BATCH_BYTES = 4 << 20
 LOCAL_STAGING = "/tmp/checkpoints/foldlight"
 
 #: Staged tables of this application, with the file systems that hold them; results may read them until it ends.
@@ -56,6 +58,15 @@ def staged(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches bounded in bytes, not only in rows: texts may be very long.
+
+    The bound is a setting of the session, which has no form for a single plan.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing will read again: what came of them is staged itself."""
     for df in tables:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldlight.llm import textkernel as tk
-from foldlight.llm.common import record
+from foldlight.llm.common import in_arrow, record
 
 Q = 8
 EDIT_SHARE = 0.10
@@ -193,7 +193,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     ddl = "doc_id long, item_id long, edits long, start long, `end` long"
     out = docs.sparkSession.createDataFrame([], ddl)
     for bc in indexes(benchmark, text_col="text", block_chars=block_chars):
-        out = out.unionByName(rows.mapInArrow(tk.over_chunks(kernel(bc)), ddl))
+        out = out.unionByName(in_arrow(rows, tk.over_chunks(kernel(bc)), ddl))
     return out
 
 
@@ -209,5 +209,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
         return run
 
     for bc in indexes(benchmark, block_chars=block_chars):
-        docs = docs.mapInArrow(tk.over_chunks(kernel(bc), text_col), docs.schema)
+        docs = in_arrow(docs, tk.over_chunks(kernel(bc), text_col), docs.schema)
     return docs

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldlight.llm import textkernel as tk
-from foldlight.llm.common import staged, unused
+from foldlight.llm.common import in_arrow, staged, unused
 
 #: Hashed trigrams; rows (at most, about) that the model is fitted on; languages (the most frequent labels).
 BUCKETS = 1 << 16
@@ -97,7 +97,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", ro
     total = sum(r["count"] for r in by_label)
     share = min(1.0, rows / max(total, 1))
     chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).where(F.col("label").isin([r["label"] for r in by_label]))
-    found = chosen.mapInArrow(_counts, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    found = in_arrow(chosen, _counts, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {r["label"]: np.zeros(BUCKETS, np.int64) for r in by_label}
     for part in found.toArrow().to_batches():  # at most `most` x BUCKETS rows
         for label, bucket, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
@@ -138,7 +138,7 @@ def text_evidence(rows: DataFrame, model: Model, keep: tuple[str, ...]) -> DataF
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * scores.shape[1]), pa.array(scores.ravel()))
         return pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n), lists], names=[*keep, "trigrams", "loglik"])
 
-    return kept.mapInArrow(tk.over_chunks(kernel), schema)
+    return in_arrow(kept, tk.over_chunks(kernel), schema)
 
 
 def _best(values: Column, languages: Column) -> Column:

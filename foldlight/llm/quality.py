@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldlight.llm import textkernel as tk
-from foldlight.llm.common import record
+from foldlight.llm.common import in_arrow, record
 
 #: Words in an n-gram, and the largest share of word characters that may lie inside repeated ones.
 COVERAGE_LIMITS = {5: 0.25, 7: 0.22, 10: 0.20}
@@ -87,7 +87,7 @@ def repetition_measures(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     schema = _schema(lengths)
     ddl = ", ".join(f"{f.name} {'double' if f.type == pa.float64() else 'long'}" for f in schema)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(tk.over_chunks(lambda part: measure_chunk(part, lengths)), ddl)
+    return in_arrow(rows, tk.over_chunks(lambda part: measure_chunk(part, lengths)), ddl)
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits=COVERAGE_LIMITS, line_limit: float = LINE_LIMIT) -> DataFrame:

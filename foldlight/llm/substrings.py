@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldlight.llm import textkernel as tk
-from foldlight.llm.common import discard, record, release, staged
+from foldlight.llm.common import discard, in_arrow, record, release, staged
 
 WINDOW = 20
 LEAST_LEVEL = 10
@@ -207,19 +207,19 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         raise ValueError("windows of more than 118 words are not supported")
     texts = _texts(docs, id_col, text_col).drop("doc_id")
     seeds_ddl = "h long, id long, at long"
-    marks = _repeats(texts.mapInArrow(tk.over_chunks(_scan(lengths)), seeds_ddl))
+    marks = _repeats(in_arrow(texts, tk.over_chunks(_scan(lengths)), seeds_ddl))
     _free(spark)
     for level in lengths[1:-1]:
-        before, marks = marks, _repeats(_with_marks(texts, marks).mapInArrow(tk.over_chunks(_rescan(lengths, level)), seeds_ddl))
+        before, marks = marks, _repeats(in_arrow(_with_marks(texts, marks), tk.over_chunks(_rescan(lengths, level)), seeds_ddl))
         discard(before)
         _free(spark)
-    extended = staged(_with_marks(texts, marks).mapInArrow(tk.over_chunks(_extend(lengths)), seeds_ddl + ", first boolean, mask long, hashes array<long>"), "extended")
+    extended = staged(in_arrow(_with_marks(texts, marks), tk.over_chunks(_extend(lengths)), seeds_ddl + ", first boolean, mask long, hashes array<long>"), "extended")
     discard(marks)
     _free(spark)
     firsts = extended.where("first").select("h", F.col("mask").alias("first_mask"), F.col("hashes").alias("first_hashes"))
     later = extended.where("not first").select("h", "id", "at", "mask", "hashes")
     compared = later.join(firsts, "h").select("id", "at", "mask", "hashes", "first_mask", "first_hashes")
-    compared = staged(compared.mapInArrow(_differing, "id long, at long, same long, other array<long>, other_offsets array<long>"), "compared")
+    compared = staged(in_arrow(compared, _differing, "id long, at long, same long, other array<long>, other_offsets array<long>"), "compared")
     discard(extended)
     _free(spark)
     others = compared.where("size(other) > 0").select("id", "at", F.explode(F.arrays_zip("other", "other_offsets")).alias("w")).select("id", "at", F.col("w.other").alias("h"), F.col("w.other_offsets").alias("o"))
@@ -277,7 +277,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     windows = repeated_windows(docs, id_col, text_col, window, least)
     joined = _texts(docs, id_col, text_col).join(windows.hint("shuffle_hash"), ["id", "row"], "left")
     out = joined.select("text", "doc_id", F.col("seeds.at").alias("at"), F.col("seeds.bits").alias("bits"))
-    return out.mapInArrow(tk.over_chunks(_keep(window)), "doc_id long, n_words long, n_removed long, kept string")
+    return in_arrow(out, tk.over_chunks(_keep(window)), "doc_id long, n_words long, n_removed long, kept string")
 
 
 #: The query's digest in DuckDB's SQL; ids are taken as unique and present.
