@@ -88,7 +88,7 @@ class Model:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS, most: int = MOST_LANGUAGES) -> Model:
-    """A model from about `rows` labelled rows at most, chosen by a hash of the text; their whole texts count.
+    """A model from about `rows` labelled texts at most, chosen by a hash of the text; whole texts count, equal ones once.
 
     Without labelled rows it knows no language, and every row is rejected.
     """
@@ -97,6 +97,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", ro
     total = sum(r["count"] for r in by_label)
     share = min(1.0, rows / max(total, 1))
     chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).where(F.col("label").isin([r["label"] for r in by_label]))
+    chosen = chosen.distinct()  # copies of a text count once, so that one of them cannot be the sample
     found = in_arrow(chosen, _counts, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {r["label"]: np.zeros(BUCKETS, np.int64) for r in by_label}
     for part in found.toArrow().to_batches():  # at most `most` x BUCKETS rows
@@ -162,17 +163,15 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
         total = F.aggregate("own", F.lit(0.0), lambda a, x: a + x)
         return out, F.zip_with("own", parent, lambda x, p: (x + strength * p) / (total + strength))
 
-    uniform = F.array(*[F.lit(1.0 / n_langs)] * n_langs)
-    whole, shrunk = spread(counts.groupBy(), uniform, 1.0)
-    whole = whole.select(shrunk.alias("table_prior"))  # one row
-    domains, shrunk = spread(counts.where("domain is not null").groupBy("domain"), F.col("table_prior"), DOMAIN_STRENGTH)
-    domains = staged(domains.crossJoin(F.broadcast(whole)).select("domain", shrunk.alias("domain_prior")), "langid-domains")
-    parent = F.coalesce("domain_prior", "table_prior")
-    hosts, shrunk = spread(counts.where("host is not null").groupBy("domain", "host"), F.col("parent"), HOST_STRENGTH)
-    hosts = hosts.join(domains, "domain", "left").crossJoin(F.broadcast(whole)).withColumn("parent", parent)
-    hosts = staged(hosts.select("domain", "host", shrunk.alias("host_prior")), "langid-hosts")
-    joined = said.alias("e").join(hosts.alias("h"), F.expr("e.domain <=> h.domain and e.host = h.host"), "left").join(domains.alias("m"), F.expr("e.domain = m.domain"), "left").crossJoin(F.broadcast(whole))
-    prior = F.coalesce("h.host_prior", "m.domain_prior", "table_prior")
+    # The whole table's shares: one number per language.
+    whole = {r["text_lang"]: r["n"] for r in counts.groupBy("text_lang").agg(F.sum("n").alias("n")).collect()}
+    everyone = F.array(*[F.lit((whole.get(x, 0.0) + 1 / n_langs) / (sum(whole.values()) + 1)) for x in languages])
+    domains, shrunk = spread(counts.where("domain is not null").groupBy("domain"), everyone, DOMAIN_STRENGTH)
+    domains = staged(domains.select("domain", shrunk.alias("domain_prior")), "langid-domains")
+    hosts, shrunk = spread(counts.where("host is not null").groupBy("domain", "host"), F.coalesce("domain_prior", everyone), HOST_STRENGTH)
+    hosts = staged(hosts.join(domains, "domain", "left").select("domain", "host", shrunk.alias("host_prior")), "langid-hosts")
+    joined = said.alias("e").join(hosts.alias("h"), F.expr("e.domain <=> h.domain and e.host = h.host"), "left").join(domains.alias("m"), F.expr("e.domain = m.domain"), "left")
+    prior = F.coalesce("h.host_prior", "m.domain_prior", everyone)
 
     def trust(column, share):
         """Log-chance of what `column` says, by language; nothing said, or no known language: no evidence."""

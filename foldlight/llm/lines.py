@@ -42,9 +42,8 @@ def dropped_lines(lines: DataFrame) -> DataFrame:
     """(id, row, pos) of the lines whose key a smaller id holds too."""
     lines = lines.withColumn("bucket", F.shiftrightunsigned("h1", 44))
     counts = staged(lines.groupBy("bucket").count(), "line-buckets")
-    most = F.greatest(F.lit(HOT_LEAST), F.sum("count") / HOT_SHARE)
-    hot = counts.crossJoin(F.broadcast(counts.agg(most.alias("most")))).where("count > most").select("bucket")
-    hot = F.broadcast(hot)
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = F.broadcast(counts.where(F.col("count") > max(HOT_LEAST, total / HOT_SHARE)).select("bucket"))
     cold = lines.join(hot, "bucket", "left_anti").select("id", "row", "pos", "h1", "h2").repartitionByRange("h1", "h2")
     stream = Window.partitionBy("h1", "h2").orderBy("id", "row", "pos")
     cold = cold.withColumn("first_id", F.first("id").over(stream))
