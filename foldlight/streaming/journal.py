@@ -16,6 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import StructType
 
 from foldlight import schemas as S
+from foldlight.shipping import ship
 
 OUTPUT = "execution_id string, sequence long, kind string, reason string, call_id string, status string, attempt int, started_sequence long, completed_sequence long, pending_sequence long, execution_status string"
 INPUT = ("execution_id", "sequence", "event_type", "call_id", "attempt")
@@ -86,5 +87,6 @@ def call_updates(events: DataFrame) -> DataFrame:
 
     Keeps its state in RocksDB: sets the session's state store provider.
     """
+    ship(events.sparkSession)
     events.sparkSession.conf.set(_PROVIDER, _ROCKSDB)
     return events.select(*INPUT).groupBy("execution_id").transformWithStateInPandas(statefulProcessor=CallFold(), outputStructType=StructType.fromDDL(OUTPUT), outputMode="Update", timeMode="None")

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from foldlight.shipping import ship
+
 STATE = "op_seq long, status string, attempts int, retry_authorized int, result string, error string"
 OUTPUT = "idempotency_key string, op_seq long, op string, decision string, result string, status string, attempts int, retry_authorized int"
 
@@ -60,5 +62,6 @@ def _apply(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
 
 def decisions(ops: DataFrame) -> DataFrame:
     """ops: idempotency_key, op_seq, op, result, error (a streaming frame); blank and missing keys are left out."""
+    ship(ops.sparkSession)
     named = ops.where(F.trim("idempotency_key") != "").select("idempotency_key", "op_seq", "op", "result", "error")
     return named.groupBy("idempotency_key").applyInPandasWithState(_apply, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
