@@ -9,6 +9,8 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from foldlight.shipping import ship
+
 #: Bytes of an Arrow batch: a task holds a few of them, in the JVM and in Python.
 BATCH_BYTES = 4 << 20
 LOCAL_STAGING = "/tmp/checkpoints/foldlight"
@@ -63,6 +65,7 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
 
     The bound is a setting of the session, which has no form for a single plan.
     """
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(run, schema)
 
