@@ -1,78 +1,92 @@
 """Re-Pair grammar compression of id sequences, in rounds.
 
-A round counts the pairs of neighbouring symbols (never across documents), gives the most frequent ones a nonterminal
-each, and replaces their occurrences; where two overlap, the more frequent pair, then the earlier place wins.  Rounds end
-when no pair is frequent enough.  A shard stores the rules, each rule's expansion length, and each document's number of
-symbols; lengths lead to any document or position without expanding what stands before.
+A round counts all pairs of neighbouring symbols exactly (never across documents; in a run of one symbol every second
+place), gives the most frequent ones a nonterminal each, and replaces their occurrences; where two overlap, the more
+frequent pair wins.  Rounds end when no pair is frequent enough: the most frequent pair of a round is always replaced at
+all its places.  A shard stores the rules, each rule's expansion length, and each document's number of symbols; lengths
+lead to any document or position without expanding what stands before.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 
-#: Rounds at most, pairs replaced in a round at most, and the least count of a pair.
-ROUNDS, BATCH, MIN_COUNT = 8, 2048, 24
-_BUCKET_BITS, SAMPLE = 16, 8
+#: Pairs replaced in a round at most, and the least count of a pair.
+BATCH, MIN_COUNT = 2048, 24
+_BUCKET_BITS = 18
+
+
+def _buckets(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left * np.uint32(0x9E3779B1) + right) * np.uint32(0x85EBCA6B) >> np.uint32(32 - _BUCKET_BITS)
 
 
-def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int = ROUNDS, batch: int = BATCH, least: int = MIN_COUNT):
+def compress(ids: np.ndarray, counts: np.ndarray, base: int, rounds: int | None = None, batch: int = BATCH, least: int = MIN_COUNT):
     """(rules, lengths, symbols, symbol counts) of documents with `counts` ids each; symbols from `base` on are rules."""
     symbols = ids.astype(np.uint32)
     last = np.zeros(len(symbols), bool)
     ends = np.cumsum(counts)
     last[ends[counts > 0] - 1] = True
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
-    for _ in range(rounds):
-        if len(symbols) < 2:
-            break
-        left, right = symbols[:-1], symbols[1:]
-        bucket = (left * np.uint32(0x9E3779B1) + right) * np.uint32(0x85EBCA6B) >> np.uint32(32 - _BUCKET_BITS)
-        bucket = bucket.astype(np.intp)
-        bucket[np.flatnonzero(last[:-1])] = 1 << _BUCKET_BITS  # pairs across documents
-        tally = np.bincount(bucket, minlength=(1 << _BUCKET_BITS) + 1)
-        tally[-1] = 0
-        limit = max(least, int(np.partition(tally, -batch)[-batch]))
-        at = np.flatnonzero((tally >= limit)[bucket])
-        if not len(at):
-            break
-        # Each frequent bucket stands for its most frequent pair, as every SAMPLE-th place shows; that pair is then counted at all places.
-        slot_of = np.cumsum(tally >= limit) - 1
-        slot, a, b = slot_of[bucket[at]], left[at], right[at]
-        sample, shown, times = np.unique(a[::SAMPLE].astype(np.uint64) << np.uint64(32) | b[::SAMPLE], return_index=True, return_counts=True)
-        order = np.argsort(times, kind="stable")
-        pairs = np.full(int(slot_of[-1]) + 1, np.uint64(0xFFFFFFFFFFFFFFFF))
-        pairs[slot[shown[order] * SAMPLE]] = sample[order]  # the last one written is the most frequent
-        same = ((pairs >> np.uint64(32)).astype(np.uint32)[slot] == a) & (pairs.astype(np.uint32)[slot] == b)
-        at, slot = at[same], slot[same]
-        if not len(at):
+    # Places whose pair can be frequent.  A pair of old symbols never becomes more frequent, so that later rounds look at
+    # pairs with a new symbol and at those that were frequent before; a pair is no more frequent than its bucket.
+    live = ~last
+    if len(symbols) > 1:
+        bucket = _buckets(symbols[:-1], symbols[1:])
+        live[:-1] &= (np.bincount(bucket[live[:-1]], minlength=1 << _BUCKET_BITS) >= least)[bucket]
+    for _ in itertools.count() if rounds is None else range(rounds):
+        at = np.flatnonzero(live)
+        left, right = symbols[at], symbols[np.minimum(at + 1, len(symbols) - 1)]
+        pair = left.astype(np.uint64) << np.uint64(32) | right
+        apart = np.ones(len(at), bool)
+        run = np.flatnonzero(left == right)
+        if len(run):  # occurrences of a pair of equal symbols must not overlap
+            first = np.flatnonzero(np.concatenate([[True], at[run[1:]] != at[run[:-1]] + 1]))
+            apart[run] = (np.arange(len(run)) - np.repeat(first, np.diff(np.append(first, len(run))))) % 2 == 0
+        ordered = np.sort(pair[apart])
+        edge = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(ordered) else np.zeros(1, np.intp)
+        found = np.diff(edge)
+        frequent = found >= least
+        pairs, found = ordered[edge[:-1][frequent]], found[frequent]
+        if not len(pairs):
             break
+        # The places of frequent pairs: by bucket (the others in it do no harm), then those of the chosen pairs themselves.
+        hot = np.zeros(1 << _BUCKET_BITS, np.uint8)
+        hot[_buckets((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))] = 1
+        pairs = pairs[np.argsort(-found, kind="stable")[:batch]]
+        hot[_buckets((pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32))] = 2
+        heat = hot[_buckets(left, right)]
+        live[at[heat == 0]] = False
+        near = apart & (heat == 2)
+        at, pair = at[near], pair[near]
         far = len(pairs)
-        found = np.bincount(slot, minlength=far)
-        order = np.argsort(-found, kind="stable")
-        rank_of = np.empty(far, np.int64)
-        rank_of[order] = np.arange(far)
-        rank = np.where(found >= least, rank_of, far)[slot]
+        by_value = np.argsort(pairs)
+        slot = by_value[np.minimum(np.searchsorted(pairs[by_value], pair), far - 1)]
+        same = pairs[slot] == pair
+        at, rank = at[same], slot[same]
         # Only pairs at neighbouring places overlap.
         beside = at[1:] == at[:-1] + 1
         before, behind = np.full(len(at), far), np.full(len(at), far)
         before[1:][beside], behind[:-1][beside] = rank[:-1][beside], rank[1:][beside]
-        picked = (rank < far) & (rank < before) & (rank <= behind)
+        picked = (rank < before) & (rank < behind)
         used = np.bincount(rank[picked], minlength=far)
         good = used >= least // 2
-        picked &= good[np.minimum(rank, far - 1)]
+        picked &= good[rank]
         chosen, chosen_rank = at[picked], rank[picked]
-        if not len(chosen):
-            break
         number = np.cumsum(good) - 1 + len(rules)
-        new = pairs[order[good]]
+        new = pairs[good]
         new = np.stack([(new >> np.uint64(32)).astype(np.uint32), new.astype(np.uint32)], axis=1)
         length = np.append(lengths, np.uint32(1))[np.where(new < base, len(lengths), new.astype(np.int64) - base)].sum(axis=1)
         rules, lengths = np.concatenate([rules, new]), np.concatenate([lengths, length.astype(np.uint32)])
         symbols[chosen] = base + number[chosen_rank]
         last[chosen] = last[chosen + 1]
+        live[chosen] = ~last[chosen]
+        behind_one = chosen[chosen > 0] - 1
+        live[behind_one] = ~last[behind_one]
         stay = np.ones(len(symbols), bool)
         stay[chosen + 1] = False
-        symbols, last = symbols[stay], last[stay]
+        symbols, last, live = symbols[stay], last[stay], live[stay]
     # Each document with ids ends at one `last` symbol.
     n = np.diff(np.concatenate([[0], np.flatnonzero(last) + 1]))
     symbol_counts = np.zeros(len(counts), np.int64)

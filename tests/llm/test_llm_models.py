@@ -210,6 +210,36 @@ def test_grammar_round_trip(seed):
         assert np.array_equal(repair.expand_document(k, symbols, symbol_counts, rules, lengths, 1 << 17, 5, 17), mine[5:17])
 
 
+def pair_counts(symbols, symbol_counts):
+    """Occurrences of each pair that do not overlap, inside documents."""
+    found, at = {}, 0
+    for n in symbol_counts.tolist():
+        mine, skip, last = symbols[at : at + n].tolist(), False, None
+        for a, b in zip(mine, mine[1:], strict=False):
+            skip = a == b and last == (a, b) and not skip
+            found[a, b] = found.get((a, b), 0) + (not skip)
+            last = a, b
+        at += n
+    return found
+
+
+def test_no_frequent_pair_is_left():
+    """Equal copies with a multiple of eight pairs each: every pair counts at every place, and rounds go on to the end."""
+    copies = np.tile(np.arange(1, 66, dtype=np.uint32), 60)
+    pick = np.random.default_rng(3)
+    mixed = (pick.zipf(1.2, 60_000) % 3000).astype(np.uint32)
+    for ids, counts in ((copies, np.full(60, 65)), (mixed, np.full(60, 1000)), (np.ones(5000, np.uint32), np.array([4000, 1000]))):
+        rules, lengths, symbols, symbol_counts = repair.compress(ids, counts, 1 << 17)
+        assert np.array_equal(repair.expand(symbols, rules, lengths, 1 << 17), ids)
+        assert max(pair_counts(symbols, symbol_counts).values(), default=0) < repair.MIN_COUNT
+    rules, lengths, symbols, _ = repair.compress(copies, np.full(60, 65), 1 << 17)
+    assert len(symbols) == 60 and lengths.max() == 65
+    # The first rule is the most frequent pair of all places.
+    ids = np.concatenate([mixed, np.tile(np.array([4000, 4001], np.uint32), 5000)])
+    rules = repair.compress(ids, np.array([60_000, *[2] * 5000]), 1 << 17)[0]
+    assert rules[0].tolist() == [4000, 4001]
+
+
 def encoded(rows, tokenizer):
     """rows in order; (doc_id, start, n_tokens, crc)."""
     out, start = [], 0
