@@ -1,14 +1,18 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
 Texts are compared in lower case (code point by code point) with each run of blanks made one space.  A benchmark item is cut into
-segments of at most SEGMENT characters.  A place in a document within k edits of a segment of m characters shares at
-least m + 1 - q - k q of its q-grams, all on at most k + 1 neighbouring diagonals; so shared q-grams are counted in bands
-of 2 (k + 1) diagonals that overlap by half, bands that reach the bound are kept, and each is verified by a banded
-alignment.  Documents are read once per block of the benchmark and never shuffled; a block's index has a stated size.
+overlapping windows of WINDOW characters, so that a passage quoted from it is found wherever it begins and ends; an item
+of up to SEGMENT characters is a segment as a whole as well.  A place in a document within k edits of a segment of m
+characters shares at least m + 1 - q - k q of its q-grams, all on at most k + 1 neighbouring diagonals; so shared q-grams
+are counted in bands of 2 (k + 1) diagonals that overlap by half, bands that reach the bound are kept, and each is
+verified by a banded alignment.  Verified segments of an item that continue each other in a document are joined into one
+span.  Documents are read once per block of the benchmark and never shuffled; a block's index has a stated size.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,11 +25,13 @@ Q = 8
 EDIT_SHARE = 0.10
 #: Shared q-grams that a band must have at least: segments too short for the edit share get fewer edits.
 MIN_SHARED = 4
-SEGMENT, SEGMENT_STEP = 400, 200
+#: Items of up to SEGMENT characters are searched as a whole; longer than WINDOW, in windows as well.  Any quoted passage of
+#: WINDOW + WINDOW_STEP - 1 characters holds a whole window.
+SEGMENT, WINDOW, WINDOW_STEP = 400, 80, 40
 #: Items with fewer characters are no evidence (any text may hold them) and are not searched.
 MIN_ITEM_CHARS = 24
-#: Characters of benchmark text in one broadcast index (about 40 bytes of index each); a larger benchmark takes more passes.
-BLOCK_CHARS = 1 << 20
+#: Characters of benchmark text in one broadcast index (about 80 to 120 bytes of index each); a larger benchmark takes more passes.
+BLOCK_CHARS = 1 << 19
 
 _BLANK = 0x20
 #: Lower case of each code point below 0x10000, where that is one code point.
@@ -62,7 +68,7 @@ class Index:
     """Q-grams of the segments of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        segments, owners = [], []
+        segments, owners, starts, wholes = [], [], [], {}
         for k, (_, text) in enumerate(items):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             points = normalised(raw, np.array([0, len(raw)]))[0]
@@ -72,11 +78,18 @@ class Index:
                 points = points[1:]
             if len(points) < MIN_ITEM_CHARS:
                 continue
-            last = max(len(points) - SEGMENT, 0)
-            for at in [*range(0, last, SEGMENT_STEP), last]:
-                segments.append(points[at : at + SEGMENT]), owners.append(k)
+            cuts = [(0, len(points))] if len(points) <= SEGMENT else []
+            if len(points) > WINDOW:
+                last = len(points) - WINDOW
+                # The last windows are counted from the end, so that the last SEGMENT characters are tiled without a rest.
+                ats = {*range(0, last, WINDOW_STEP), *range(last, max(last - SEGMENT, -1), -WINDOW_STEP)}
+                cuts += [(at, at + WINDOW) for at in sorted(ats)]
+            for at, end in cuts:
+                segments.append(points[at:end]), owners.append(k), starts.append(at)
+            wholes[k] = points
         self.ids = [i for i, _ in items]
-        self.segments, self.owners = segments, np.array(owners, np.int64)
+        self.wholes = wholes
+        self.segments, self.owners, self.starts = segments, np.array(owners, np.int64), starts
         m = np.array([len(s) for s in segments], np.int64)
         self.edits = np.minimum((m * EDIT_SHARE).astype(np.int64), np.maximum((m + 1 - Q - MIN_SHARED) // Q, 0))
         self.bound = np.maximum(m + 1 - Q - self.edits * Q, 1)
@@ -115,8 +128,8 @@ def align(segment: np.ndarray, text: np.ndarray, low: int, high: int, k: int) ->
     return int(cost[best] >> 32), low + int(cost[best] & 0xFFFFFFFF), low + best + m
 
 
-def find(data: np.ndarray, offsets: np.ndarray, index: Index) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, edits, start, end) of the best place of each item in each text; positions in the original text."""
+def find(data: np.ndarray, offsets: np.ndarray, index: Index, any_place: bool = False) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, edits, start, end) of the best place (or any) of each item in each text; positions in the original text."""
     points, ends, origin = normalised(data, offsets)
     hashes = gram_hashes(points)
     at = np.flatnonzero(index.table[hashes >> index.shift])
@@ -144,22 +157,59 @@ def find(data: np.ndarray, offsets: np.ndarray, index: Index) -> list[tuple[int,
     pair = key // bands
     segment = (pair // 2) % len(index.owners)
     enough = count >= index.bound[segment]
-    found: dict[tuple[int, int], tuple[int, int, int]] = {}
+    # By text and item, the hits of segments: (start in the item, end in the item, edits, start, end).  An item's whole segment
+    # comes before its windows, which add nothing to it.
+    found: dict[tuple[int, int], set[tuple[int, int, int, int, int]]] = {}
+    whole: dict[tuple[int, int], int] = {}
     for pair, band, s in zip(pair[enough].tolist(), (key % bands)[enough].tolist(), segment[enough].tolist(), strict=True):
         t, item, k = pair // 2 // len(index.owners), int(index.owners[s]), int(index.edits[s])
-        if found.get((t, item), (1,))[0] == 0:
+        first, last = index.starts[s], index.starts[s] + len(index.segments[s])
+        entire = last - first == len(index.wholes[item])
+        if whole.get((t, item), k + 1) == 0 or (not entire and (t, item) in whole) or (any_place and found.get((t, item))):
             continue
         low = band * 2 * (k + 1) - (pair % 2) * (k + 1) - SEGMENT - int(ends[t])
-        edits, start, end = align(index.segments[s], points[ends[t] : ends[t + 1]], low, low + 2 * k + 1, k)
-        if edits <= k and (edits, start, end) < found.get((t, item), (k + 1, 0, 0)):
-            found[t, item] = edits, start, end
+        edits, start, end = place_of(index.segments[s], points[ends[t] : ends[t + 1]], low, low + 2 * k + 1, k)
+        if edits <= k:
+            found.setdefault((t, item), set()).add((first, last, edits, start, end))
+            if entire:
+                whole[t, item] = min(edits, whole.get((t, item), edits))
     out = []
-    for (t, item), (edits, start, end) in sorted(found.items()):
+    for (t, item), hits in sorted(found.items()):
+        edits, start, end = best_span(hits, index.wholes[item], points[ends[t] : ends[t + 1]])
         place = origin[ends[t] : ends[t + 1]]
         out.append((t, index.ids[item], edits, int(place[max(start, 0)]), int(place[min(end, len(place)) - 1]) + 1))
     return out
 
 
+def place_of(segment: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> tuple[int, int, int]:
+    """As align(); an exact place is seen at once."""
+    for start in range(max(low, 0), min(high, len(text) - len(segment)) + 1):
+        if text[start] == segment[0] and np.array_equal(text[start : start + len(segment)], segment):
+            return 0, start, start + len(segment)
+    return align(segment, text, low, high, k)
+
+
+def best_span(hits: set[tuple[int, int, int, int, int]], item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
+    """(edits, start, end) of one item in one text: the whole item at its best place if it is a hit, else the longest span of hits
+    on neighbouring diagonals that continue each other.  Hits: (start in the item, end in the item, edits, start, end)."""
+    if wholes := [h[2:] for h in hits if h[1] - h[0] == len(item)]:
+        return min(wholes)
+    near = 2 * int(WINDOW * EDIT_SHARE)  # two hits that overlap may lie so many diagonals apart
+    ordered = sorted(hits, key=lambda h: h[3] - h[0])
+    group = np.cumsum([0, *(b[3] - b[0] - a[3] + a[0] > near for a, b in itertools.pairwise(ordered))]).tolist()
+    spans: list[list[int]] = []  # first and last place in the item, edits, first and last place in the text, group
+    for g, (a, b, e, start, end) in sorted(zip(group, ordered, strict=True)):
+        if spans and spans[-1][5] == g and a <= spans[-1][1] and start <= spans[-1][4]:
+            c = spans[-1]
+            c[1], c[2], c[3], c[4] = max(c[1], b), c[2] + e, min(c[3], start), max(c[4], end)
+        else:
+            spans.append([a, b, e, start, end, g])
+    first, last, edits, start, end, _ = min(spans, key=lambda c: (c[0] - c[1], c[2], c[3]))
+    if edits:  # edits where hits overlap count once
+        edits, start, end = align(item[first:last], text, start - near, start + near, edits + near)
+    return edits, start, end
+
+
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS):
     """Broadcast indexes of blocks of the benchmark of about `block_chars` characters each; one block is held at a time."""
     items = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
@@ -173,7 +223,8 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, edits, start, end): each item found in each row of `docs`, at its best place.
+    """(doc_id, item_id, edits, start, end): each item found in each row of `docs`, at its best place: the whole item, or the
+    longest quoted part of it that holds a window.
 
     Null and empty texts hold nothing; null or short items (MIN_ITEM_CHARS) are not searched; an item without an id has
     item_id -1.  Rows are judged one by one, so repeated rows give repeated results, and a null doc_id stays null.
@@ -203,7 +254,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
     def kernel(bc):
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
             clean = np.ones(part.num_rows, bool)
-            clean[[t for t, *_ in find(*tk.text_bytes(part.column(part.schema.get_field_index(text_col))), bc.value)]] = False
+            clean[[t for t, *_ in find(*tk.text_bytes(part.column(part.schema.get_field_index(text_col))), bc.value, any_place=True)]] = False
             return part.filter(pa.array(clean))
 
         return run

@@ -199,6 +199,28 @@ def test_decontamination(spark):
     assert decontaminate.contaminations(messy.empty(spark), bench).count() == 0 and decontaminate.contaminations(docs, bench.limit(0)).count() == 0 and decontaminate.without_contaminated(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_partial_leaks_are_found(spark):
+    """Any verbatim passage of WINDOW + WINDOW_STEP - 1 characters of an item, and longer ones with edits, as one span."""
+    item, book = messy.passage(210, 60)[:233], messy.passage(211, 500)[:2000]
+    bench = spark.createDataFrame([(1, item), (2, book)], "item_id long, text string")
+    least = decontaminate.WINDOW + decontaminate.WINDOW_STEP - 1
+    parts = [(1, item[:155]), (1, item[78:]), (2, book[100:500]), (2, book[-400:]), (2, book[1017:1700])]
+    parts += [(2, book[at : at + least]) for at in (1, 39, 40, 41, 777, 1234, 2000 - least)]
+    rows = [(k, f"{messy.passage(800 + k, 30)} | {part} | {messy.passage(900 + k, 30)}") for k, (_, part) in enumerate(parts)]
+    edited = "".join("#" if k % 20 == 7 else c for k, c in enumerate(book[300:900]))
+    rows += [(100, f"{messy.passage(850)} {edited}"), (101, messy.passage(851, 60) + book[500:530])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in decontaminate.contaminations(docs, bench).collect()}
+    assert {d: r["item_id"] for d, r in found.items()} == {k: i for k, (i, _) in enumerate(parts)} | {100: 2}
+    for k, (_, part) in enumerate(parts):
+        at, (start, end) = rows[k][1].index(part), (found[k]["start"], found[k]["end"])
+        # A window at an edge may be a hit with edits, or may be missing.
+        assert found[k]["edits"] <= 16 and at - 16 <= start <= at + decontaminate.WINDOW and at + len(part) - decontaminate.WINDOW <= end <= at + len(part) + 16
+    assert 25 <= found[100]["edits"] <= 38 and found[100]["end"] - found[100]["start"] > 500
+    kept = {r["doc_id"] for r in decontaminate.without_contaminated(docs, bench).collect()}
+    assert kept == {101}
+
+
 def test_alignment_is_the_least_edit_count():
     pick = random.Random(6)
     for _ in range(60):
