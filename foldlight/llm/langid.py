@@ -16,10 +16,12 @@ from pyspark.sql import types as T
 from foldlight.llm import textkernel as tk
 from foldlight.llm.common import in_arrow, staged, unused
 
-#: Hashed trigrams; rows (at most, about) that the model is fitted on; languages (the most frequent labels).
+#: Hashed trigrams; distinct texts (at most, about) of each language that the model is fitted on.  Every label is a language,
+#: of 256 KB in the model.
 BUCKETS = 1 << 16
-TRAIN_ROWS = 20_000
-MOST_LANGUAGES = 64
+LANGUAGE_ROWS = 5_000
+#: Languages whose counts a task holds at once when fitting.
+HELD = 64
 #: A text's log-likelihood ratio counts as that of at most so many trigrams: neighbouring trigrams are not independent.
 TEXT_WEIGHT = 60.0
 #: Chance that a declaration (a suffix) names the language of the text.
@@ -52,20 +54,32 @@ def trigrams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _counts(batches):
-    """Trigram counts of a task's texts by label."""
+    """Trigram counts of a task's texts by label, in parts: a label may come several times."""
     total: dict[str, np.ndarray] = {}
+
+    def flush():
+        for label, found in total.items():
+            at = np.flatnonzero(found)
+            yield pa.RecordBatch.from_pydict({"label": pa.array([label] * len(at), pa.string()), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(found[at])})
+        total.clear()
+
     for batch in batches:
         for part in tk.chunks(batch, "text"):
             data, offsets = tk.text_bytes(part.column(1))
             bucket, counts = trigrams(data, offsets)
             labels = part.column(0).to_pylist()
+            names = sorted(set(labels))
+            number = np.array(list(map({x: k for k, x in enumerate(names)}.get, labels)))
             row = np.minimum(np.searchsorted(offsets, np.arange(len(bucket)), "right") - 1, len(labels) - 1)
-            for label in set(labels):
-                mine = np.array([x == label for x in labels])[row] & counts
-                total[label] = total.get(label, np.zeros(BUCKETS, np.int64)) + np.bincount(bucket[mine], minlength=BUCKETS)
-    for label, found in total.items():
-        at = np.flatnonzero(found)
-        yield pa.RecordBatch.from_pydict({"label": pa.array([label] * len(at), pa.string()), "bucket": pa.array(at.astype(np.int32)), "n": pa.array(found[at])})
+            owner, bucket = number[row[counts]], bucket[counts]
+            order = np.argsort(owner, kind="stable")
+            cuts = np.searchsorted(owner[order], np.arange(len(names) + 1))
+            for k, label in enumerate(names):
+                if label not in total and len(total) >= HELD:
+                    yield from flush()
+                mine = bucket[order[cuts[k] : cuts[k + 1]]]
+                total[label] = total.get(label, 0) + np.bincount(mine, minlength=BUCKETS)
+    yield from flush()
 
 
 class Model:
@@ -87,23 +101,29 @@ class Model:
         return n, (total - total.max(axis=1, keepdims=True)) * weight[:, None]
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", rows: int = TRAIN_ROWS, most: int = MOST_LANGUAGES) -> Model:
-    """A model from about `rows` labelled texts at most, chosen by a hash of the text; whole texts count, equal ones once.
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", rows: int = LANGUAGE_ROWS) -> Model:
+    """A model from about `rows` distinct texts at most of each label, chosen by a hash of the text; whole texts count, equal ones once.
 
-    Without labelled rows it knows no language, and every row is rejected.
+    A label with fewer texts has them all, whatever the table's size.  Without labelled rows the model knows no language,
+    and every row is rejected.
     """
     known = labelled.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text")).where("label is not null and text is not null")
-    by_label = known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most).collect()
-    total = sum(r["count"] for r in by_label)
-    share = min(1.0, rows / max(total, 1))
-    chosen = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).where(F.col("label").isin([r["label"] for r in by_label]))
+    known = known.withColumn("hash", F.xxhash64("text"))
+    by_label = known.groupBy("label").agg(F.approx_count_distinct("hash").alias("n")).collect()  # one row a language
+    if not by_label:
+        return Model({})
+    limits = [(r["label"], min(1 << 40, int((1 << 40) * rows / max(r["n"], 1)) + 1)) for r in by_label]
+    limits = labelled.sparkSession.createDataFrame(limits, "label string, most long")
+    chosen = known.join(F.broadcast(limits), "label").where(F.pmod("hash", F.lit(1 << 40)) < F.col("most")).select("label", "text")
     chosen = chosen.distinct()  # copies of a text count once, so that one of them cannot be the sample
     found = in_arrow(chosen, _counts, "label string, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    counts: dict[str, np.ndarray] = {r["label"]: np.zeros(BUCKETS, np.int64) for r in by_label}
-    for part in found.toArrow().to_batches():  # at most `most` x BUCKETS rows
-        for label, bucket, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
-            counts[label][bucket] = n
-    return Model({k: v for k, v in counts.items() if v.any()})
+    found = found.groupBy("label").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n"))
+    counts: dict[str, np.ndarray] = {}
+    for part in found.toArrow().to_batches():  # a row a language, of at most BUCKETS entries
+        for label, bucket, n in zip(*part.columns, strict=True):
+            counts[label.as_py()] = full = np.zeros(BUCKETS, np.int64)
+            full[bucket.values.to_numpy()] = n.values.to_numpy()
+    return Model(counts)
 
 
 def page_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

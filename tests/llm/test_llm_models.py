@@ -119,6 +119,20 @@ def test_languages_of_held_out_documents(docs):
     assert sum(truth[r["id"]] == r["lang"] for r in found) >= 0.98 * len(found)
 
 
+def test_rare_languages_stay_in_a_large_table(spark, docs):
+    """A label's texts are in the model however many others there are, and no label goes by its rank."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rare = [(f"x{k:02}", " ".join(letters[(k + j) % 26] + letters[(7 * k + j * j) % 26] + letters[k // 26 + 3] for j in range(40)) + f" {n}") for k in range(70) for n in range(2)]
+    common = docs.where("lang is not null and text is not null").select("lang", "text")
+    names = {r["lang"] for r in common.select("lang").distinct().collect()} | {x for x, _ in rare}
+    table = common.unionByName(spark.createDataFrame(rare, "lang string, text string"))
+    model = langid.fit(table, rows=10)
+    assert set(model.languages) == names
+    rows = spark.createDataFrame([(k, text, None, None, None, None) for k, (_, text) in enumerate(rare)], "id long, text string, declared string, host string, domain string, suffix string")
+    found = {r["id"]: r["text_lang"] for r in langid.identify(rows, model).collect()}
+    assert [found[k] for k in range(len(rare))] == [x for x, _ in rare]
+
+
 def test_scores_are_sums_of_table_entries(docs):
     import pyarrow as pa
 
