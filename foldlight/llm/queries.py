@@ -82,4 +82,5 @@ ORACLES = {
     "op5_substring_dedup": substrings.ORACLE,
     "op3_mix_sources": mixing.ORACLE.replace("{docs}", "documents"),
     "op9_line_dedup": lines.ORACLE,
+    "op10_secret_scans": secrets.ORACLE,
 }

@@ -4,11 +4,14 @@ Spans come from regexp_extract_all with an anchored (gap)(match) pattern: the le
 positions in code points.  A candidate is a long run of token characters; its class (hexadecimal, alphanumeric, base64)
 sets the entropy that a window must reach.  A window's entropy is log2(w) - sum(n log2 n) / w; one fold over the
 characters adds the entering and takes out the leaving one.  Allow-listed candidates are passed over.  Only DataFrame
-functions; one scan, no shuffle.  Texts without any candidate cost only the tests for it.
+functions; one scan, no shuffle.  Texts without any candidate cost only the tests for it.  All patterns are linear: none
+repeats a group that may match in several ways, so long candidates neither stall nor overflow the stack.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +27,19 @@ WINDOW = 20
 CANDIDATE = rf"(?<!{TOKEN}){TOKEN}{{{WINDOW},}}"
 #: Bits per character that a window must reach, by class.
 HEX_BITS, ALNUM_BITS, BASE64_BITS = 2.9, 3.6, 3.7
-#: Candidates that are no secrets: words joined by signs, UUIDs, numbers and dates, and stated placeholders.
-ALLOW = r"^[A-Za-z]*([-_/+=]+[A-Za-z]*)*$|^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[0-9+/_=-]+$|(?i)example|placeholder|dummy|xxxxx"
-
+#: Candidates that are no secrets: UUIDs, numbers and dates; those made up of placeholders; and words joined by signs.
+SHAPES = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|^[0-9+/_=-]+$"
+PLACEHOLDER = r"(?i)example|placeholder|dummy|sample|changeme|replace|insert|password|secret|token|your|here|test|api|key|x{5,}|[0-9+/_=-]+"
+#: A word is in one case or capitalised, of this many letters at most, with a vowel if longer than SHORT letters and without a run
+#: of NO_WORD consonants; the words of a candidate have SHORT letters or more on average.
+WORD_LETTERS, SHORT = 24, 3
+WORD = rf"^([A-Z]?[a-z]{{0,{WORD_LETTERS - 1}}}|[A-Z]{{1,{WORD_LETTERS}}})$"
+NO_WORD = "[b-df-hj-np-tv-xzB-DF-HJ-NP-TV-XZ]{6}"
+#: Characters of a candidate that one fold walks; a longer candidate is several, overlapping by a window.
+PIECE = 1 << 16
+
+#: SQL: n log2 n for each count in a window.
+_N_LOG_N = "array(" + ", ".join(f"{n * math.log2(n) if n else 0.0!r}d" for n in range(WINDOW + 2)) + ")"
 _SPANS = "array<struct<start:int,`end`:int,kind:int>>"
 
 
@@ -49,34 +62,51 @@ def _spans(text: str, pattern: str, kind: str, group: int | None = None) -> str:
     return f"aggregate({_matches(text, pattern, group)}, {start}, (s, x) -> named_struct('at', s.at + length(x.`0`) + length(x.`1`), 'found', {step}), s -> s.found)"
 
 
-def _entropy_window(value: str) -> str:
-    """SQL: (first, last): start of the first and end of the last window of `value` that reaches its class's bits; first < 0: none."""
-    n = len(ALPHABET)
-    f = lambda x: f"(case when {x} > 1 then {x} * log2({x}) else 0d end)"
-    limit = f"(case when {value} rlike '^([0-9a-f]+|[0-9A-F]+)$' then {HEX_BITS}d when {value} rlike '^[A-Za-z0-9]+$' then {ALNUM_BITS}d else {BASE64_BITS}d end)"
-    codes = f"transform(split({value}, ''), c -> instr({_lit(ALPHABET)}, c) - 1)"
-    # State: counts by character, sum of n log2 n, characters seen, the span so far.
-    start = f"named_struct('counts', array_repeat(0, {n}), 'total', 0d, 'at', 0, 'first', -1, 'last', -1, 'limit', {limit}, 'codes', {codes})"
-    leave = f"(case when s.at >= {WINDOW} then s.codes[s.at - {WINDOW}] else -1 end)"
-    inner = f"named_struct('s', s, 'c', c, 'o', {leave})"
+def _entropy_window(value: str, limit: str) -> str:
+    """SQL: (first, last): start of the first and end of the last window of `value` that reaches `limit` bits; first < 0: none."""
+    codes = f"transform(split({value}, ''), c -> instr({_lit(ALPHABET)}, c))"
+    # State: counts by character (a string of one character each, 'A' for 0), sum of n log2 n, characters seen, the span so far.
+    start = f"named_struct('counts', repeat('A', {len(ALPHABET)}), 'total', 0d, 'at', 0, 'first', -1, 'last', -1)"
+    count = lambda at: f"(ascii(substring(s.counts, {at}, 1)) - 65)"
+    log = lambda n: f"{_N_LOG_N}[{n}]"
+    put = lambda counts, at, n: f"overlay({counts} placing char(65 + {n}) from {at} for 1)"
+    leave = f"if(s.at >= {WINDOW}, codes[s.at - {WINDOW}], 0)"
+    inner = f"transform(array(named_struct('s', s, 'c', c, 'o', {leave})), q -> named_struct('s', q.s, 'c', q.c, 'o', q.o, 'n', {count('q.c').replace('s.counts', 'q.s.counts')}, 'm', if(q.o > 0, {count('q.o').replace('s.counts', 'q.s.counts')}, 0)))"
+    entered, left = f"{log('q.n + 1')} - {log('q.n')}", f"if(q.o > 0, {log('q.m - 1')} - {log('q.m')}, 0d)"
+    more = put("q.s.counts", "q.c", "q.n + 1")
     # Entering and leaving the same character changes nothing.
-    same = "(q.c = q.o)"
-    n_in, n_out = "q.s.counts[q.c]", "q.s.counts[q.o]"
-    total = f"q.s.total + (case when {same} then 0d else {f(f'({n_in} + 1)')} - {f(n_in)} + (case when q.o >= 0 then {f(f'({n_out} - 1)')} - {f(n_out)} else 0d end) end)"
-    counts = f"(case when {same} then q.s.counts else transform(q.s.counts, (m, i) -> m + int(i = q.c) - int(i = q.o)) end)"
-    moved = f"named_struct('counts', {counts}, 'total', {total}, 'at', q.s.at + 1, 'first', q.s.first, 'last', q.s.last, 'limit', q.s.limit, 'codes', q.s.codes)"
-    good = f"(r.at >= {WINDOW} and log2({WINDOW}) - r.total / {WINDOW} >= r.limit - 1e-9d)"
-    marked = f"named_struct('counts', r.counts, 'total', r.total, 'at', r.at, 'first', case when {good} and r.first < 0 then r.at - {WINDOW} else r.first end, 'last', case when {good} then r.at else r.last end, 'limit', r.limit, 'codes', r.codes)"
-    step = f"element_at(transform(transform(array({inner}), q -> {moved}), r -> {marked}), 1)"
-    return f"aggregate({codes}, {start}, (s, c) -> {step}, s -> named_struct('first', s.first, 'last', s.last))"
+    total = f"q.s.total + if(q.c = q.o, 0d, {entered} + {left})"
+    counts = f"case when q.c = q.o then q.s.counts when q.o > 0 then {put(more, 'q.o', 'q.m - 1')} else {more} end"
+    moved = f"named_struct('counts', {counts}, 'total', {total}, 'at', q.s.at + 1, 'first', q.s.first, 'last', q.s.last)"
+    good = f"(r.at >= {WINDOW} and log2({WINDOW}) - r.total / {WINDOW} >= {limit} - 1e-9d)"
+    marked = f"named_struct('counts', r.counts, 'total', r.total, 'at', r.at, 'first', case when {good} and r.first < 0 then r.at - {WINDOW} else r.first end, 'last', case when {good} then r.at else r.last end)"
+    step = f"element_at(transform(transform({inner}, q -> {moved}), r -> {marked}), 1)"
+    return f"element_at(transform(array({codes}), codes -> aggregate(codes, {start}, (s, c) -> {step}, s -> named_struct('first', s.first, 'last', s.last))), 1)"
+
+
+def _span_of(value: str) -> str:
+    """SQL: array of at most one (first, last): from the first to the last window of the candidate that reaches its class's bits."""
+    limit = f"(case when {value} rlike '^([0-9a-f]+|[0-9A-F]+)$' then {HEX_BITS}d when {value} rlike '^[A-Za-z0-9]+$' then {ALNUM_BITS}d else {BASE64_BITS}d end)"
+    piece = f"substring({value}, k * {PIECE} + 1, {PIECE + WINDOW - 1})"
+    shifted = f"element_at(transform(array({_entropy_window(piece, 'bits')}), w -> if(w.first < 0, null, named_struct('first', w.first + k * {PIECE}, 'last', w.last + k * {PIECE}))), 1)"
+    found = f"flatten(transform(array({limit}), bits -> filter(transform(sequence(0, int((length({value}) - 1) div {PIECE})), k -> {shifted}), w -> w is not null)))"
+    return f"transform(filter(array({found}), f -> size(f) > 0), f -> named_struct('first', array_min(f).first, 'last', element_at(f, -1).last))"
+
+
+def _allowed(value: str) -> str:
+    """SQL: whether the candidate is on the allow-list."""
+    words = f"filter(split(regexp_replace({value}, '([a-z])([A-Z])', '$1-$2'), '[-_/+=]+'), p -> p <> '')"
+    word = f"p rlike {_lit(WORD)} and (length(p) <= {SHORT} or p rlike '[aeiouyAEIOUY]') and not p rlike {_lit(NO_WORD)}"
+    long_enough = f"aggregate(ws, 0, (n, p) -> n + length(p)) >= {SHORT} * size(ws)"
+    joined = f"{value} rlike '^[-A-Za-z_/+=]*$' and exists(array({words}), ws -> forall(ws, p -> {word}) and {long_enough})"
+    return f"({value} rlike {_lit(SHAPES)} or regexp_replace({value}, {_lit(PLACEHOLDER)}, '') = '' or ({joined}))"
 
 
 def _entropy_spans(text: str, base: str) -> str:
     """SQL: spans of candidates whose windows reach the bits, not allow-listed and not inside a base span."""
     start = f"named_struct('at', 0, 'found', cast(array() as {_SPANS}))"
-    worth = f"length(x.`1`) >= {WINDOW} and not x.`1` rlike {_lit(ALLOW)}"
-    window = f"if({worth}, {_entropy_window('x.`1`')}, named_struct('first', -1, 'last', -1))"
-    span = f"transform(filter(array({window}), w -> w.first >= 0), w -> named_struct('start', s.at + length(x.`0`) + w.first, 'end', s.at + length(x.`0`) + w.last, 'kind', {KINDS.index('entropy')}))"
+    window = f"if(length(x.`1`) >= {WINDOW} and not {_allowed('x.`1`')}, {_span_of('x.`1`')}, cast(array() as array<struct<first:int,last:int>>))"
+    span = f"transform({window}, w -> named_struct('start', s.at + length(x.`0`) + w.first, 'end', s.at + length(x.`0`) + w.last, 'kind', {KINDS.index('entropy')}))"
     found = f"aggregate({_matches(text, CANDIDATE)}, {start}, (s, x) -> named_struct('at', s.at + length(x.`0`) + length(x.`1`), 'found', concat(s.found, {span})), s -> s.found)"
     return f"filter({found}, e -> not exists({base}, b -> b.start <= e.start and b.`end` >= e.`end`))"
 
@@ -116,3 +146,46 @@ def secret_digests(found: DataFrame) -> DataFrame:
     every = F.array_sort(F.concat("base", "entropy"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(every).alias("spans"))
+
+
+def _oracle() -> str:
+    def pieces(name: str, pattern: str, value: int) -> str:
+        whole = _quoted(rf"(?s)(.*?)({pattern}|\z)")
+        parts = ", ".join(f"unnest(regexp_extract_all(text, {whole}, {k})) AS {c}" for k, c in ((1, "gap"), (2, "hit"), (value, "v")))
+        return f"""{name} AS (SELECT r, hit, v, sum(length(gap) + length(hit)) OVER (PARTITION BY r ORDER BY i) AS upto
+          FROM (SELECT r, {parts}, generate_subscripts(regexp_extract_all(text, {whole}, 2), 1) AS i FROM docs))"""
+
+    words = "list_filter(regexp_split_to_array(regexp_replace(v, '([a-z])([A-Z])', '\\1-\\2', 'g'), '[-_/+=]+'), lambda p: p <> '')"
+    word = f"regexp_matches(p, '{WORD}') AND (length(p) <= {SHORT} OR regexp_matches(p, '[aeiouyAEIOUY]')) AND NOT regexp_matches(p, '{NO_WORD}')"
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+{pieces("assigns", ASSIGN, 3)}, {pieces("accesses", ACCESS, 2)}, {pieces("hexes", HEX, 2)}, {pieces("tokens", TOKEN + f"{{{WINDOW},}}", 2)},
+base AS (
+  SELECT r, 0 AS k, 'assign' AS kind, upto - length(hit) AS a, upto AS b FROM assigns WHERE length(v) >= {LEAST["assign"]}
+  UNION ALL SELECT r, 1, 'access', upto - length(hit), upto FROM accesses WHERE length(v) >= {LEAST["access"]}
+  UNION ALL SELECT r, 2, 'hex', upto - length(hit), upto FROM hexes WHERE length(v) >= {LEAST["hex"]}
+), candidates AS (
+  SELECT r, v, upto - length(v) AS a, CASE WHEN regexp_full_match(v, '[0-9a-f]+|[0-9A-F]+') THEN {HEX_BITS} WHEN regexp_full_match(v, '[A-Za-z0-9]+') THEN {ALNUM_BITS} ELSE {BASE64_BITS} END AS bits, {words} AS words
+  FROM tokens WHERE v <> '' AND NOT regexp_matches(v, '{SHAPES}') AND regexp_replace(v, '{PLACEHOLDER}', '', 'g') <> ''
+), windows AS (
+  SELECT r, v, a, bits, unnest(range(0, length(v) - {WINDOW - 1})) AS i FROM candidates
+  WHERE NOT (regexp_full_match(v, '[-A-Za-z_/+=]*') AND len(list_filter(words, lambda p: NOT ({word}))) = 0 AND list_sum(list_transform(words, lambda p: length(p))) >= {SHORT} * len(words))
+), found AS (
+  SELECT r, a + min(i) AS a, a + max(i) + {WINDOW} AS b FROM windows WHERE list_entropy(string_split(substr(v, i + 1, {WINDOW}), '')) >= bits - 1e-9 GROUP BY r, v, windows.a
+), spans AS (
+  SELECT * FROM base UNION ALL SELECT r, 3, 'entropy', a, b FROM found f WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.r = f.r AND base.a <= f.a AND base.b >= f.b)
+), listed AS (
+  SELECT r, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
+    string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans FROM spans GROUP BY r
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN listed USING (r)
+"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: The digests in DuckDB's SQL: every window's entropy is counted afresh.
+ORACLE = _oracle()

@@ -75,6 +75,39 @@ def test_secrets(spark):
     assert spans[20] == "entropy:0:23" and "entropy" not in spans[21] and "entropy" not in spans[14]
 
 
+def allowed(value):
+    import re
+
+    if re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9+/_=-]+", value) or not re.sub(secrets.PLACEHOLDER, "", value):
+        return True
+    pieces = [p for p in re.split("[-_/+=]+", re.sub("([a-z])([A-Z])", r"\1-\2", value)) if p]
+    like = lambda p: len(p) <= 24 and (p.isupper() or p[1:].islower() or len(p) == 1) and (len(p) <= 3 or set(p.lower()) & set("aeiouy")) and not re.search("[bcdfghjklmnpqrstvwxz]{6}", p.lower())
+    return not re.search("[0-9]", value) and all(map(like, pieces)) and sum(map(len, pieces)) >= 3 * len(pieces)
+
+
+def test_allow_list(spark):
+    words = ["getUserNameFromTokenStore", "some_long_snake_case_name", "src/main/java/com/example", "your-api-key-here-xxxxxxxx", "internationalisation", "2024-01-02/2024-02-03", "3f2504e0-4f89-11d3-9a0c-0305e82c3301"]
+    keys = ["aGhTkLpQwErTyUiOpZxC", "qwrtpsdfghjklzxcvbnmq", "examplewJalrXUtnFEMIbPxRfiCY", "zQ_xV_kJ_wP_yB_mT_nD_rF_gH"]
+    found = {r["doc_id"]: r["spans"] for r in secrets.secret_digests(secrets.scan_secrets(messy.documents(spark, list(enumerate(words + keys))))).collect()}
+    assert [bool(found[k]) for k in range(len(words + keys))] == [False] * len(words) + [True] * len(keys)
+    assert [allowed(x) for x in words + keys] == [True] * len(words) + [False] * len(keys)
+
+
+def test_long_candidates(spark):
+    """Neither a stack that overflows nor a window lost where a candidate is walked in pieces."""
+    import random
+
+    pick = random.Random(5)
+    key = "".join(pick.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(24))
+    flat = "ab1" * (secrets.PIECE // 3 - 3)
+    rows = [(1, "a-" * 300_000), (2, "example-" * 100_000), (3, flat + key + flat), (4, "x" * 500_000), (5, flat), (6, "aB" * 100_000)]
+    found = {r["doc_id"]: r["spans"] for r in secrets.secret_digests(secrets.scan_secrets(messy.documents(spark, rows))).collect()}
+    wanted = entropy_spans(rows[2][1][len(flat) - 60 : len(flat) + 90])
+    shift = lambda s: ":".join([s.split(":")[0], *(str(int(x) + len(flat) - 60) for x in s.split(":")[1:])])
+    assert found[3] == shift(wanted[0]) and len(flat) < secrets.PIECE < len(flat) + 24
+    assert [found[k] for k in (1, 2, 4, 5, 6)] == [""] * 5
+
+
 def entropy_spans(text):
     """All windows counted afresh."""
     import math
@@ -83,7 +116,7 @@ def entropy_spans(text):
 
     out = []
     for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", text):
-        if re.search(secrets.ALLOW.replace("|(?i)example|placeholder|dummy|xxxxx", ""), m[0]) or re.search("example|placeholder|dummy|xxxxx", m[0], re.I):
+        if allowed(m[0]):
             continue
         limit = secrets.HEX_BITS if re.fullmatch("[0-9a-f]+|[0-9A-F]+", m[0]) else secrets.ALNUM_BITS if re.fullmatch("[A-Za-z0-9]+", m[0]) else secrets.BASE64_BITS
         good = [i for i in range(len(m[0]) - 19) if -sum(n / 20 * math.log2(n / 20) for n in Counter(m[0][i : i + 20]).values()) >= limit - 1e-9]
