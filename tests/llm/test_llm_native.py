@@ -87,7 +87,7 @@ def allowed(value):
 
 def test_allow_list(spark):
     words = ["getUserNameFromTokenStore", "some_long_snake_case_name", "src/main/java/com/example", "your-api-key-here-xxxxxxxx", "internationalisation", "2024-01-02/2024-02-03", "3f2504e0-4f89-11d3-9a0c-0305e82c3301"]
-    keys = ["aGhTkLpQwErTyUiOpZxC", "qwrtpsdfghjklzxcvbnmq", "examplewJalrXUtnFEMIbPxRfiCY", "zQ_xV_kJ_wP_yB_mT_nD_rF_gH"]
+    keys = ["aGhTkLpQwErTyUiOpZxC", "qwrtpsdfghjklzxcvbnmq", "examplewJalrXUtnFEMIbPxRfiCY", "zQxVkJwPyB-mTnDrFgHcLs"]
     found = {r["doc_id"]: r["spans"] for r in secrets.secret_digests(secrets.scan_secrets(messy.documents(spark, list(enumerate(words + keys))))).collect()}
     assert [bool(found[k]) for k in range(len(words + keys))] == [False] * len(words) + [True] * len(keys)
     assert [allowed(x) for x in words + keys] == [True] * len(words) + [False] * len(keys)
