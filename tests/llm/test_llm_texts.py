@@ -179,6 +179,8 @@ def test_decontamination(spark):
             found[r["doc_id"], r["item_id"]] = r
         wanted = set()
         for d, t in rows:
+            if t == "short one":
+                wanted.add((d, 21))  # under 24 characters: exactly, on word bounds
             for i, text in items[:12] + [(-1, items[15][1])]:
                 low, text = (t or "").lower(), text or ""
                 low = " ".join(low.split())
@@ -221,11 +223,49 @@ def test_partial_leaks_are_found(spark):
     assert kept == {101}
 
 
+def test_short_items_are_found_exactly(spark):
+    items = [(1, "Twelve chars"), (2, "Tiny"), (3, "exactly 23 characters x"), (4, "  ")]
+    rows = [(1, "so twelve  CHARS, then"), (2, "twelve charsets"), (3, "atwelve chars"), (4, " tiny\n"), (5, "tiny bits"), (6, "(exactly 23 characters x)"), (7, "exactly 23 charactets x"), (8, "twelve charsy twelve chars"), (9, "é" * 5 + "twelve chars")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["start"], r["end"]) for r in decontaminate.contaminations(docs, bench).collect()}
+    assert found == {(1, 1, 3, 16), (4, 2, 1, 5), (6, 3, 1, 24), (8, 1, 14, 26)}
+    assert {r["doc_id"] for r in decontaminate.without_contaminated(docs, bench).collect()} == {2, 3, 5, 7, 9}
+
+
+def quoted(item, text):
+    """Whether the item or one of its windows stands in the text within its edits."""
+    if len(item) <= decontaminate.SEGMENT and edits(item, text) <= len(item) // 10:
+        return True
+    last = len(item) - 80
+    return any(edits(item[at : at + 80], text) <= 8 for at in {*range(0, last, 40), *range(last, -1, -40)})
+
+
+def test_a_template_shared_by_all_items():
+    """Texts with a phrase of every item: what is found is what the least edit counts say, and long texts end."""
+    template = messy.passage(1000, 14)[:71].strip()
+    items = [(k, f"{template} {messy.passage(2000 + k, 40)}"[:191].strip()) for k in range(2000)]
+    index = decontaminate.Index(items)
+    texts = [template, f"{template} " * 4, f"{messy.passage(1001)} {template} {messy.passage(1002)}", items[7][1][30:], f"{template} {items[8][1][90:]} {template}"]
+    for text in texts:
+        data = np.frombuffer(text.encode(), np.uint8)
+        found = {i for _, i, *_ in decontaminate.find(data, np.array([0, len(data)]), index)}
+        some = range(0, 8)
+        assert {k for k in some if quoted(items[k][1], text)} == found & set(some)
+    short = np.frombuffer((f"{template} " * 40).encode(), np.uint8)
+    long = np.frombuffer((f"{template} " * 14_600).encode(), np.uint8)
+    mixed = "".join(f"{template} {messy.passage(3000 + k, 20)} " for k in range(12))
+    strip = lambda found: {(i, e) for _, i, e, *_ in found}
+    assert strip(decontaminate.find(long, np.array([0, len(long)]), index)) == strip(decontaminate.find(short, np.array([0, len(short)]), index))
+    data = np.frombuffer(mixed.encode(), np.uint8)
+    whole = decontaminate.find(data, np.array([0, len(data)]), index)
+    assert all(not quoted(items[k][1], mixed[:3000]) or any(i == k for _, i, *_ in whole) for k in range(6))
+
+
 def test_alignment_is_the_least_edit_count():
     pick = random.Random(6)
     for _ in range(60):
         a = "".join(pick.choice("abc") for _ in range(pick.randint(1, 30)))
         b = "".join(pick.choice("abc") for _ in range(pick.randint(0, 40)))
         points = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (a, b)]
-        found, start, end = decontaminate.align(*points, -len(a), len(b), len(a) + len(b))
+        found, start, end = decontaminate.align_one(*points, -len(a), len(b), len(a) + len(b))
         assert found == edits(a, b)
