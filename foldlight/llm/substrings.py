@@ -28,10 +28,8 @@ from foldlight.llm.common import discard, in_arrow, record, release, staged
 
 WINDOW = 20
 LEAST_LEVEL = 10
-#: Rows without an id get one from here on, by a hash of their text; ids are taken to be below.
-HASHED_IDS = 1 << 62
-#: A place: 15 bits that tell texts of one id apart, then the word's position.
-_POSITION_BITS = 40
+#: Stands for a missing id, after all others.
+LAST_ID = (1 << 63) - 1
 
 
 def levels(window: int, least: int = LEAST_LEVEL) -> list[int]:
@@ -70,14 +68,25 @@ def _seeds(hashes: dict[int, np.ndarray], word_offsets: np.ndarray, lengths: lis
     return starts, seed
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    hashed = F.expr(f"coalesce(doc_id, {HASHED_IDS}L + (xxhash64(1, text) & {HASHED_IDS - 1}L))")
-    return rows.select(hashed.alias("id"), F.expr(f"shiftleft(xxhash64(text) & 32767L, {_POSITION_BITS})").alias("row"), "text", "doc_id")
+def repeated_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id): ids that more than one row has; a missing id is LAST_ID.  Staged: how many there are decides how Spark joins them."""
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"))
+    return staged(ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated-ids")
 
 
-_PLACED = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("at", pa.int64())])
-_EXTENDED = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("at", pa.int64()), ("first", pa.bool_()), ("mask", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+def _texts(docs: DataFrame, repeated: DataFrame | None, id_col: str, text_col: str) -> DataFrame:
+    """(id, row, text, doc_id); row tells the texts of one id apart: their hash where an id is repeated, else 0 (which costs nothing
+    in a shuffle)."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).cast("long").alias("doc_id"))
+    if repeated is None:
+        return rows.select("id", F.lit(0).cast("long").alias("row"), "text", "doc_id")
+    marked = rows.join(repeated.withColumn("again", F.lit(True)), "id", "left")
+    return marked.select("id", F.when(F.col("again"), F.xxhash64("text")).otherwise(0).cast("long").alias("row"), "text", "doc_id")
+
+
+_PLACED = pa.schema([("h", pa.int64()), ("id", pa.int64()), ("row", pa.int64()), ("at", pa.int64())])
+_EXTENDED = pa.schema([*_PLACED, ("first", pa.bool_()), ("mask", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+_PLACED_DDL = "h long, id long, row long, at long"
 
 
 def _prepare(part: pa.RecordBatch, lengths: list[int]):
@@ -87,18 +96,18 @@ def _prepare(part: pa.RecordBatch, lengths: list[int]):
     return hashes, word_offsets, *_seeds(hashes, word_offsets, lengths)
 
 
-def _places(part: pa.RecordBatch, word_offsets: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids and places of words of a chunk."""
+def _places(part: pa.RecordBatch, word_offsets: np.ndarray, words: np.ndarray) -> dict[str, np.ndarray]:
+    """The ids, rows and positions of words of a chunk."""
     text = np.searchsorted(word_offsets, words, "right") - 1
-    return part.column(0).to_numpy()[text], part.column(1).to_numpy()[text] + words - word_offsets[text]
+    return {"id": part.column(0).to_numpy()[text], "row": part.column(1).to_numpy()[text], "at": words - word_offsets[text]}
 
 
 def _marked(part: pa.RecordBatch, word_offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The words that `marks` (place * 2 + flag) names, and their flags, ordered by word."""
+    """The words that `marks` (position * 2 + flag) names, and their flags, ordered by word."""
     marks = pc.fill_null(part.column(3), [])
     flat = pc.list_flatten(marks).to_numpy(zero_copy_only=False)
     text = np.repeat(np.arange(part.num_rows), pc.list_value_length(marks).to_numpy(zero_copy_only=False))
-    word = word_offsets[text] + ((flat >> 1) & ((1 << _POSITION_BITS) - 1))
+    word = word_offsets[text] + (flat >> 1)
     order = np.argsort(word, kind="stable")
     return word[order], (flat[order] & 1).astype(bool)
 
@@ -107,8 +116,7 @@ def _scan(lengths: list[int]):
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         hashes, word_offsets, _, seed = _prepare(part, lengths)
         words = np.unique(seed)
-        ids, at = _places(part, word_offsets, words)
-        return record(_PLACED, h=hashes[lengths[0]][words].view(np.int64), id=ids, at=at)
+        return record(_PLACED, h=hashes[lengths[0]][words].view(np.int64), **_places(part, word_offsets, words))
 
     return kernel
 
@@ -117,8 +125,7 @@ def _rescan(lengths: list[int], level: int):
     def kernel(part: pa.RecordBatch) -> pa.RecordBatch:
         hashes, word_offsets, _, _ = _prepare(part, lengths)
         words, _ = _marked(part, word_offsets)
-        ids, at = _places(part, word_offsets, words)
-        return record(_PLACED, h=hashes[level][words].view(np.int64), id=ids, at=at)
+        return record(_PLACED, h=hashes[level][words].view(np.int64), **_places(part, word_offsets, words))
 
     return kernel
 
@@ -139,8 +146,8 @@ def _extend(lengths: list[int]):
         mask = np.bincount(slot, weights=np.ldexp(1.0, (seed - windows).astype(np.int32)), minlength=len(words)).astype(np.int64)
         counts = np.bincount(slot, minlength=len(words))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(hashes[lengths[-1]][windows].view(np.int64)))
-        ids, at = _places(part, word_offsets, words)
-        return record(_EXTENDED, h=hashes[lengths[-2] if len(lengths) > 1 else lengths[-1]][words].view(np.int64), id=ids, at=at, first=first, mask=mask, hashes=lists)
+        last = hashes[lengths[-2] if len(lengths) > 1 else lengths[-1]][words].view(np.int64)
+        return record(_EXTENDED, h=last, first=first, mask=mask, hashes=lists, **_places(part, word_offsets, words))
 
     return kernel
 
@@ -148,12 +155,11 @@ def _extend(lengths: list[int]):
 def _repeats(placed: DataFrame) -> DataFrame:
     """(id, row, marks): the places of hashes found twice or more; a mark's flag tells the first place of its hash."""
     placed = staged(placed, "seeds")
-    counted = placed.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "at")).alias("first"))
-    counted = staged(counted.where("n > 1").select("h", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at")), "repeated")
-    flag = F.expr("cast(id = first_id and at = first_at as long)")
-    found = placed.join(counted, "h").select("id", "at", (F.col("at") * 2 + flag).alias("mark"))
-    row = F.expr(f"at & ~{(1 << _POSITION_BITS) - 1}L").alias("row")
-    out = staged(found.groupBy("id", row).agg(F.collect_list("mark").alias("marks")), "marks")
+    counted = placed.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("id", "row", "at")).alias("first"))
+    counted = staged(counted.where("n > 1").select("h", F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at")), "repeated")
+    flag = F.expr("cast(id = first_id and row = first_row and at = first_at as long)")
+    found = placed.join(counted, "h").select("id", "row", (F.col("at") * 2 + flag).alias("mark"))
+    out = staged(found.groupBy("id", "row").agg(F.collect_list("mark").alias("marks")), "marks")
     discard(placed, counted)
     return out
 
@@ -170,7 +176,7 @@ def _free(spark) -> None:
 
 def _differing(batches):
     """Bits of `mask` whose window equals the first seed's at that offset, and the hashes of the other windows."""
-    schema = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("same", pa.int64()), ("other", pa.list_(pa.int64())), ("other_offsets", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("at", pa.int64()), ("same", pa.int64()), ("other", pa.list_(pa.int64())), ("other_offsets", pa.list_(pa.int64()))])
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -196,39 +202,36 @@ def _differing(batches):
         bits = np.bincount(rows[same], weights=np.ldexp(1.0, offsets[same].astype(np.int32)), minlength=n).astype(np.int64)
         ends = np.concatenate([[0], np.cumsum(np.bincount(rows[~same], minlength=n))]).astype(np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x[~same].astype(np.int64))) for x in (values, offsets)]
-        yield record(schema, id=get("id"), at=get("at"), same=bits, other=lists[0], other_offsets=lists[1])
+        yield record(schema, id=get("id"), row=get("row"), at=get("at"), same=bits, other=lists[0], other_offsets=lists[1])
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least: int = LEAST_LEVEL) -> DataFrame:
-    """(id, row, seeds): per document, (place of a seed, bits): bit o is set if the window o words before the seed starts earlier too."""
-    spark = docs.sparkSession
+def repeated_windows(texts: DataFrame, window: int = WINDOW, least: int = LEAST_LEVEL) -> DataFrame:
+    """(id, row, seeds): per text of (id, row, text), (place of a seed, bits): bit o is set if the window o words before the seed starts earlier too."""
+    spark = texts.sparkSession
     lengths = levels(window, least)
     if window // 2 + 1 > 60:
         raise ValueError("windows of more than 118 words are not supported")
-    texts = _texts(docs, id_col, text_col).drop("doc_id")
-    seeds_ddl = "h long, id long, at long"
-    marks = _repeats(in_arrow(texts, tk.over_chunks(_scan(lengths)), seeds_ddl))
+    marks = _repeats(in_arrow(texts, tk.over_chunks(_scan(lengths)), _PLACED_DDL))
     _free(spark)
     for level in lengths[1:-1]:
-        before, marks = marks, _repeats(in_arrow(_with_marks(texts, marks), tk.over_chunks(_rescan(lengths, level)), seeds_ddl))
+        before, marks = marks, _repeats(in_arrow(_with_marks(texts, marks), tk.over_chunks(_rescan(lengths, level)), _PLACED_DDL))
         discard(before)
         _free(spark)
-    extended = staged(in_arrow(_with_marks(texts, marks), tk.over_chunks(_extend(lengths)), seeds_ddl + ", first boolean, mask long, hashes array<long>"), "extended")
+    extended = staged(in_arrow(_with_marks(texts, marks), tk.over_chunks(_extend(lengths)), _PLACED_DDL + ", first boolean, mask long, hashes array<long>"), "extended")
     discard(marks)
     _free(spark)
     firsts = extended.where("first").select("h", F.col("mask").alias("first_mask"), F.col("hashes").alias("first_hashes"))
-    later = extended.where("not first").select("h", "id", "at", "mask", "hashes")
-    compared = later.join(firsts, "h").select("id", "at", "mask", "hashes", "first_mask", "first_hashes")
-    compared = staged(in_arrow(compared, _differing, "id long, at long, same long, other array<long>, other_offsets array<long>"), "compared")
+    later = extended.where("not first").select("h", "id", "row", "at", "mask", "hashes")
+    compared = later.join(firsts, "h").select("id", "row", "at", "mask", "hashes", "first_mask", "first_hashes")
+    compared = staged(in_arrow(compared, _differing, "id long, row long, at long, same long, other array<long>, other_offsets array<long>"), "compared")
     discard(extended)
     _free(spark)
-    others = compared.where("size(other) > 0").select("id", "at", F.explode(F.arrays_zip("other", "other_offsets")).alias("w")).select("id", "at", F.col("w.other").alias("h"), F.col("w.other_offsets").alias("o"))
-    place = F.struct("id", (F.col("at") - F.col("o")).alias("start"))
-    firsts = staged(others.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", F.col("first.id").alias("first_id"), F.col("first.start").alias("first_start")), "others")
-    more = others.join(firsts, "h").where("id <> first_id or at - o <> first_start").select("id", "at", F.expr("shiftleft(1L, cast(o as int))").alias("bits"))
-    every = compared.where("same <> 0").select("id", "at", F.col("same").alias("bits")).unionByName(more)
-    row = F.expr(f"at & ~{(1 << _POSITION_BITS) - 1}L").alias("row")
-    out = staged(every.groupBy("id", row).agg(F.collect_list(F.struct("at", "bits")).alias("seeds")), "windows")
+    others = compared.where("size(other) > 0").select("id", "row", "at", F.explode(F.arrays_zip("other", "other_offsets")).alias("w")).select("id", "row", "at", F.col("w.other").alias("h"), F.col("w.other_offsets").alias("o"))
+    place = F.struct("id", "row", (F.col("at") - F.col("o")).alias("start"))
+    firsts = staged(others.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select("h", F.col("first.id").alias("first_id"), F.col("first.row").alias("first_row"), F.col("first.start").alias("first_start")), "others")
+    more = others.join(firsts, "h").where("id <> first_id or row <> first_row or at - o <> first_start").select("id", "row", "at", F.expr("shiftleft(1L, cast(o as int))").alias("bits"))
+    every = compared.where("same <> 0").select("id", "row", "at", F.col("same").alias("bits")).unionByName(more)
+    out = staged(every.groupBy("id", "row").agg(F.collect_list(F.struct("at", "bits")).alias("seeds")), "windows")
     discard(compared, firsts)
     _free(spark)
     return out
@@ -244,7 +247,7 @@ def _keep(window: int):
         at = pc.list_flatten(pc.fill_null(part.column(2), [])).to_numpy(zero_copy_only=False)
         bits = pc.list_flatten(pc.fill_null(part.column(3), [])).to_numpy(zero_copy_only=False)
         text = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(part.column(2)), 0).to_numpy(zero_copy_only=False))
-        seed = word_offsets[text] + (at & ((1 << _POSITION_BITS) - 1))
+        seed = word_offsets[text] + at
         begins = [seed[((bits >> o) & 1).astype(bool)] - o for o in range(window // 2 + 1)]
         gone = tk.covered(np.concatenate(begins), window, len(starts))
         # Kept words' bytes, each but a text's last with a blank behind it.
@@ -270,12 +273,14 @@ def _keep(window: int):
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least: int = LEAST_LEVEL) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): one row per input row; kept: the remaining words joined by one space.
 
-    Null and empty texts have no words.  Rows without an id come after all others, each a document of its own, ordered by
-    a hash of the text; so are different texts of one id.  Equal texts of one id, or without one, are one text: none takes
-    words from the other.
+    Null and empty texts have no words.  Rows without an id come after all others; different texts of one id (or without one)
+    are documents of their own, ordered by a 64-bit hash of the text.  Equal texts of one id, or without one, are one text:
+    none takes words from the other.
     """
-    windows = repeated_windows(docs, id_col, text_col, window, least)
-    joined = _texts(docs, id_col, text_col).join(windows.hint("shuffle_hash"), ["id", "row"], "left")
+    repeated = repeated_ids(docs, id_col)
+    texts = _texts(docs, None if repeated.isEmpty() else repeated, id_col, text_col)
+    windows = repeated_windows(texts.drop("doc_id"), window, least)
+    joined = texts.join(windows.hint("shuffle_hash"), ["id", "row"], "left")
     out = joined.select("text", "doc_id", F.col("seeds.at").alias("at"), F.col("seeds.bits").alias("bits"))
     return in_arrow(out, tk.over_chunks(_keep(window)), "doc_id long, n_words long, n_removed long, kept string")
 

@@ -137,6 +137,20 @@ def test_substrings_without_ids(spark):
     assert found == [(60, 0), (60, 0), (85, 0), (85, 25), (85, 25)]
 
 
+def test_substrings_of_many_texts_of_one_id(spark):
+    """Different texts of one id are documents of their own, however many; ids may be any number."""
+    pick = random.Random(9)
+    shared = messy.passage(45, 30)
+    texts = [messy.passage(10_000 + k, 25) for k in range(1500)] + [f"{messy.passage(20_000 + k, 5)} a{k}z {shared} b{k}z {messy.passage(30_000 + k, 3)}" for k in range(1500)]
+    pick.shuffle(texts)
+    rows = [((1 << 62) + 5, t) for t in texts] + [((1 << 62) + 4, f"{shared} first"), (None, shared), ((1 << 63) - 2, shared)]
+    found = {}
+    for r in substrings.dedup_substrings(messy.documents(spark, rows)).collect():
+        found.setdefault(r["doc_id"], []).append((r["n_words"], r["n_removed"]))
+    assert sorted(found[(1 << 62) + 5]) == sorted([(25, 0)] * 1500 + [(40, 30)] * 1500)
+    assert found[(1 << 62) + 4] == [(31, 0)] and found[None] == found[(1 << 63) - 2] == [(30, 30)]
+
+
 def test_substring_query(spark, corpus):
     found = {r["doc_id"]: tuple(r)[1:] for r in queries.op5_substring_dedup(spark, SF).collect()}
     assert found == {d: (n, m, brute.sha(kept)) for (d, _), (n, m, kept) in zip(corpus, brute.dedup_substrings(corpus, 20), strict=True)}
