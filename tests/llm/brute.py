@@ -72,6 +72,21 @@ def component_ids(values, radius=3):
     return [least.get(root(f)) for _, f in values]
 
 
+def near_component_ids(rows, n=5, least=0.8):
+    """Of (id, text): the smallest id reachable over pairs of similar n-word shingle sets; texts of fewer words must be equal."""
+    sets = []
+    for _, t in rows:
+        w = words((t or "").translate(LOWER))
+        sets.append({tuple(w[j : j + n]) for j in range(len(w) - n + 1)} or {tuple(w)})
+    label = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if label[i] != label[j] and len(a & sets[j]) >= least * len(a | sets[j]):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return [min(rows[j][0] for j in range(len(rows)) if label[j] == label[i]) for i in range(len(rows))]
+
+
 def dedup_substrings(docs, n):
     """docs: (order key, text), in order; kept text of each."""
     seen, out = set(), []

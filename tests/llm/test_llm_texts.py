@@ -74,7 +74,7 @@ def test_components_of_random_balls(spark, monkeypatch):
     centres = [pick.getrandbits(64) for _ in range(6)]
     prints = {c ^ sum(1 << b for b in pick.sample(range(64), pick.randrange(6))) for c in centres for _ in range(60)} | {pick.getrandbits(64) for _ in range(100)}
     signed = [(f - (1 << 64) if f >> 63 else f,) for f in prints]
-    edges = simhash.near_links(spark.createDataFrame(signed, "fp long"))
+    edges = simhash.near_links(spark.createDataFrame(signed, "fp long").select(F.col("fp").alias("node"), "fp"))
     assert edges.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) > 3).count() == 0
     found = {r["node"] & (1 << 64) - 1: r["root"] & (1 << 64) - 1 for r in simhash.components(edges).collect()}
     values = [(k, f) for k, f in enumerate(sorted(prints))]
@@ -106,6 +106,72 @@ def test_simhash_documents(spark, corpus):
     assert simhash.simhash_components(messy.empty(spark)).count() == 0 and simhash.one_per_group(messy.empty(spark)).count() == 0
 
 
+def shingle_sets(rows):
+    out = {}
+    for d, t in rows:
+        w = brute.words((t or "").translate(brute.LOWER))
+        out[d] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)}
+    return out
+
+
+def test_near_copies(spark, corpus):
+    """Linked are exact copies and verified pairs only; nearly all pairs at 0.8 are."""
+    pick = random.Random(12)
+    rows = [(k, t) for k, t in corpus]
+    for k in range(60):  # edited copies, from slightly to beyond 0.8
+        w = messy.passage(50_000 + k, 120).split()
+        for j in range(3):
+            copy = list(w)
+            for at in pick.sample(range(120), pick.randrange(0, 5) if j else 0):
+                copy[at] = f"x{pick.randrange(10**6)}"
+            rows.append((100_000 + 10 * k + j, " ".join(copy)))
+    rows += [(200_000, "UPPER case  Text"), (200_001, "upper CASE\ntext"), (200_002, None), (200_003, "")]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(messy.documents(spark, [*rows, (None, rows[0][1])])).collect()}
+    sets = shingle_sets(rows)
+    near, parent = [], {d: d for d in sets}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    holders = {}
+    for d, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(d)
+    for a, b in {(a, b) for ds in holders.values() for i, a in enumerate(ds) for b in ds[i + 1 :]}:
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            near.append((a, b))
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    together = sum(found[a] == found[b] for a, b in near)
+    assert len(near) > 100 and together >= 0.95 * len(near)
+    assert all(root(d) == root(c) for d, c in found.items()), "no link without a chain of similar pairs"
+    assert all(found[a] == found[b] for a, b in near if sets[a] == sets[b] and brute.words(dict(rows)[a]) == brute.words(dict(rows)[b]))
+    assert found[200_001] == 200_000 and found[200_003] == found[200_002] and None not in found
+    kept = simhash.one_of_near_copies(messy.documents(spark))
+    assert kept.columns == messy.COLUMNS and {r["doc_id"] for r in kept.collect()} == {d for d, _ in messy.texts()} - {2, 6, 7, 9}
+    assert simhash.near_copies(messy.empty(spark)).count() == 0 and simhash.one_of_near_copies(messy.empty(spark)).count() == 0
+
+
+def test_large_buckets_are_divided(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_BITS", 2)
+    pick = random.Random(3)
+    centre = pick.getrandbits(62)
+    prints = {centre ^ sum(1 << b for b in pick.sample(range(20), pick.randrange(5))) for _ in range(300)}
+    edges = simhash.near_links(spark.createDataFrame([(f, f) for f in prints], "node long, fp long"), 2).collect()
+    parent = {f: f for f in prints}
+
+    def root(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for r in edges:
+        assert (r["u"] ^ r["v"]).bit_count() <= 2
+        parent[root(r["u"])] = root(r["v"])
+    assert all(root(a) == root(b) for a in prints for b in prints if (a ^ b).bit_count() <= 2)
+
+
 @pytest.mark.parametrize(("window", "least"), [(20, 10), (20, 5), (20, 20), (7, 3), (12, 3), (1, 1)])
 def test_substrings(spark, window, least):
     pick = random.Random(window)
