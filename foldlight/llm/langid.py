@@ -7,6 +7,8 @@ are shrunk towards their domain's, and these towards the whole table's, from gro
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldlight.llm import textkernel as tk
-from foldlight.llm.common import in_arrow, staged, unused
+from foldlight.llm.common import in_arrow, record, staged, unused
 
 #: Hashed trigrams; distinct texts (at most, about) of each language that the model is fitted on.  Every label is a language,
 #: of 256 KB in the model.
@@ -126,22 +128,76 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", ro
     return Model(counts)
 
 
+#: Elements whose contents are no text.
+_HIDDEN = ("script", "style")
+_TAG = re.compile(r"/?[a-z][a-z0-9]*", re.I)
+_LANG = re.compile(r"""\blang\s*=\s*["']?([a-z]{2,3})\b""", re.I)
+
+
+def visible_text(html: str | None) -> tuple[str | None, str | None]:
+    """(text outside of tags, comments, scripts and styles; language that the html tag declares) of a page, in linear time.
+
+    Read from `<` to `<`: what does not begin like a tag is text; an element or comment without an end hides the rest.
+    """
+    if html is None:
+        return None, None
+    first, *rest = html.split("<")
+    out, declared, hidden = [first], None, None
+    for piece in rest:
+        if hidden == "-->":
+            if (at := piece.find("-->")) >= 0:
+                hidden = None
+                out.append(piece[at + 3 :])
+            continue
+        tag = _TAG.match(piece)
+        name = tag[0].lower() if tag else ""
+        if hidden:
+            if name != f"/{hidden}":
+                continue
+            hidden = None
+        elif piece.startswith("!--"):
+            hidden = "-->" if (at := piece.find("-->", 3)) < 0 else None
+            out.append("" if hidden else piece[at + 3 :])
+            continue
+        elif not tag and piece[:1] not in ("!", "?", "/"):
+            out.append("<" + piece)
+            continue
+        at = piece.find(">")
+        if name == "html" and declared is None and (found := _LANG.search(piece, 0, at if at >= 0 else len(piece))):
+            declared = found[1].lower()
+        if name in _HIDDEN:
+            hidden = name
+        elif at >= 0:
+            out.append(piece[at + 1 :])
+    return " ".join(out), declared
+
+
+_VISIBLE = pa.schema([("id", pa.int64()), ("url", pa.string()), ("text", pa.large_string()), ("declared", pa.string())])
+
+
+def _visible(part: pa.RecordBatch) -> pa.RecordBatch:
+    seen = [visible_text(x) for x in part.column(2).to_pylist()]
+    return record(_VISIBLE, id=part.column(0), url=part.column(1), text=pa.array([t for t, _ in seen], pa.large_string()), declared=pa.array([d for _, d in seen], pa.string()))
+
+
 def page_rows(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, text, declared, host, domain, suffix) of raw pages; a null page has an empty text and no evidence."""
-    html, url = F.col(html_col).cast("string"), F.col(url_col).cast("string")
-    visible = F.regexp_replace(html, r"(?is)<(script|style|head)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
-    declared = F.lower(F.regexp_extract(html, r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    """(id, text, declared, host, domain, suffix) of raw pages; a null page has a null text and no evidence."""
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    read = in_arrow(rows, tk.over_chunks(_visible, "html"), "id long, url string, text string, declared string")
+    url = F.col("url")
     host = F.lower(F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1))
-    domain = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    domain = F.when(F.contains(host, F.lit(".")), F.substring_index(host, ".", -2))
     path = F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://[^/?#]+/([a-z]{2})(?:[/?#]|$)", 1)
     suffix = F.coalesce(_named(F.lower(path)), _named(F.regexp_extract(host, r"\.([a-z]{2})$", 1)))
-    return pages.select(F.col(id_col).cast("long").alias("id"), visible.alias("text"), _named(declared).alias("declared"), _named(host).alias("host"), _named(domain).alias("domain"), suffix.alias("suffix"))
+    return read.select("id", "text", "declared", _named(host).alias("host"), _named(domain).alias("domain"), suffix.alias("suffix"))
 
 
-def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The same of documents: the language column is the declaration, and the source stands for the host."""
+def document_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", declared_col: str | None = None) -> DataFrame:
+    """The same of documents: the source stands for the host.  A column with declared languages counts only if it is named: a label
+    that the model is fitted on must not come back as evidence."""
     none = F.lit(None).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.lower(F.col(lang_col).cast("string")).alias("declared"), F.col(source_col).cast("string").alias("host"), none.alias("domain"), none.alias("suffix"))
+    declared = F.lower(F.col(declared_col).cast("string")) if declared_col else none
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), declared.alias("declared"), F.col(source_col).cast("string").alias("host"), none.alias("domain"), none.alias("suffix"))
 
 
 def _named(c: Column) -> Column:
@@ -170,6 +226,7 @@ def _best(values: Column, languages: Column) -> Column:
 def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     """Adds text_lang, lang and probability to rows of text_evidence that keep host, domain, declared and suffix."""
     langs = F.array(*[F.lit(x) for x in languages])
+    lowered = F.array(*[F.lit(x.lower()) for x in languages])
     n_langs = len(languages)
     alone = F.size(F.filter("loglik", lambda x: x == F.array_max("loglik"))) == 1  # a tie says nothing
     said = evidence.withColumn("text_lang", F.when((F.col("trigrams") >= MIN_TRIGRAMS) & alone, _best(F.col("loglik"), langs)))
@@ -194,9 +251,9 @@ def fuse(evidence: DataFrame, languages: list[str]) -> DataFrame:
     prior = F.coalesce("h.host_prior", "m.domain_prior", everyone)
 
     def trust(column, share):
-        """Log-chance of what `column` says, by language; nothing said, or no known language: no evidence."""
+        """Log-chance of what `column` (lower case) says, by language; nothing said, or no known language: no evidence."""
         other = float(np.log((1 - share) / max(n_langs - 1, 1))) if n_langs > 1 else 0.0
-        return F.when(F.array_contains(langs, column), F.transform(langs, lambda x: F.when(x == column, float(np.log(share))).otherwise(other))).otherwise(F.array(*[F.lit(0.0)] * n_langs))
+        return F.when(F.array_contains(lowered, column), F.transform(lowered, lambda x: F.when(x == column, float(np.log(share))).otherwise(other))).otherwise(F.array(*[F.lit(0.0)] * n_langs))
 
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     total = add(add(F.col("loglik"), F.transform(prior, lambda p: F.log(p))), add(trust(F.col("declared"), DECLARED_TRUST), trust(F.col("suffix"), SUFFIX_TRUST)))

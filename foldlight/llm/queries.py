@@ -42,7 +42,7 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents (doc_id set) and raw pages (page_id set) by one model, fitted on labelled documents."""
+    """Documents (doc_id set) and raw pages (page_id set) by one model, fitted on labelled documents; their label is no evidence."""
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs)
     none = F.lit(None).cast("long")

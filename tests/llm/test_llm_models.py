@@ -113,7 +113,7 @@ def docs(spark):
 
 def test_languages_of_held_out_documents(docs):
     model = langid.fit(docs.where("doc_id % 2 = 0"))
-    held = langid.document_rows(docs.where("doc_id % 2 = 1 and n_chars >= 40").withColumn("none", F.lit(None).cast("string")), lang_col="none")
+    held = langid.document_rows(docs.where("doc_id % 2 = 1 and n_chars >= 40"))
     truth = {r["doc_id"]: r["lang"] for r in docs.collect()}
     found = langid.identify(held, model).collect()
     assert sum(truth[r["id"]] == r["lang"] for r in found) >= 0.98 * len(found)
@@ -171,7 +171,7 @@ def test_evidence_decides_where_the_text_cannot(spark, docs):
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "https://Shop.example.de/x?y=1", '<html lang="de-AT"><head><title>t</title></head><p>Das <b>ist</b></p><script>var x = "<p>";</script><!-- no -->', "x"), (2, None, None, "x"), (3, "http://a.b.example.com/fr/1", "plain", "x")], "page_id long, url string, html string, id string")
     found = {r["id"]: r for r in langid.page_rows(pages).collect()}
-    assert (found[1]["declared"], found[1]["host"], found[1]["domain"], found[1]["suffix"]) == ("de", "shop.example.de", "example.de", "de") and found[1]["text"].split() == ["Das", "ist"]
+    assert (found[1]["declared"], found[1]["host"], found[1]["domain"], found[1]["suffix"]) == ("de", "shop.example.de", "example.de", "de") and found[1]["text"].split() == ["t", "Das", "ist"]
     assert found[2]["text"] is None and found[2]["host"] is None and found[3]["suffix"] == "fr" and found[3]["domain"] == "example.com"
     query = queries.op7_language_id(spark, SF)
     assert query.count() == 1250 and query.where("doc_id is not null").count() == 1000
@@ -179,6 +179,53 @@ def test_pages(spark):
     assert all(truth[r["page_id"]] == r["lang"] for r in query.where("page_id is not null").collect())
 
 
+def test_visible_text():
+    import time
+
+    see = lambda html: (" ".join((langid.visible_text(html)[0] or "").split()), langid.visible_text(html)[1])
+    assert see('<!DOCTYPE html><HTML class="x" LANG=\'fr-CA\'><style>p{}</style>a < b &amp; 3<4 <b>c</b><!-- <p>x</p> --> d') == ("a < b &amp; 3 <4 c d", "fr")
+    assert see('<script>if (a<b) {"<p>"}</script>x<SCRIPT src="y">z') == ("x", None) and see("<!-- open <p>x") == ("", None) and see("<html><body lang=de>x") == ("x", None)
+    assert langid.visible_text(None) == (None, None) and see("") == ("", None)
+    for page in ("<" * 1_000_000, "<!--" * 250_000, "<script" * 150_000, "<html lang" * 100_000, "<a " * 300_000 + ">"):
+        began = time.perf_counter()
+        langid.visible_text(page)
+        assert time.perf_counter() - began < 2
+
+
+def test_fusion_is_the_product_of_its_evidence(spark):
+    """fuse() against the posterior written out for each row."""
+    import math
+
+    languages, pick = ["EN", "de", "fr"], random.Random(8)
+    rows = []
+    for k in range(120):
+        n = pick.choice([0, 1, 30])
+        scores = [round(pick.uniform(-4, 0), 3) for _ in languages] if n else [0.0] * 3
+        scores[pick.randrange(3)] = 0.0
+        host = pick.choice([None, "a.x.de", "b.x.de", "c.y.fr"])
+        rows.append((k, n, scores, host, host and host[2:], pick.choice([None, "en", "fr", "xx"]), pick.choice([None, "de", "zz"])))
+    frame = spark.createDataFrame(rows, "id long, trigrams long, loglik array<double>, host string, domain string, declared string, suffix string")
+    found = {r["id"]: r for r in langid.fuse(frame, languages).collect()}
+    text = {r[0]: languages[r[2].index(max(r[2]))] if r[1] and r[2].count(max(r[2])) == 1 else None for r in rows}
+    assert all(found[k]["text_lang"] == text[k] for k in text)
+    count = lambda keep: [sum(text[r[0]] == x and keep(r) for r in rows) for x in languages]
+    shrink = lambda own, parent, strength: [(n + strength * p) / (sum(own) + strength) for n, p in zip(own, parent, strict=True)]
+    whole = shrink(count(lambda r: True), [1 / 3] * 3, 1)
+    for k, n, scores, host, domain, declared, suffix in rows:
+        prior = whole
+        if host:
+            prior = shrink(count(lambda r, d=domain: r[4] == d), prior, langid.DOMAIN_STRENGTH)
+            prior = shrink(count(lambda r, h=host: r[3] == h), prior, langid.HOST_STRENGTH)
+        total = [s + math.log(p) for s, p in zip(scores, prior, strict=True)]
+        for said, share in ((declared, langid.DECLARED_TRUST), (suffix, langid.SUFFIX_TRUST)):
+            if said in ("en", "de", "fr"):
+                total = [t + math.log(share if x.lower() == said else (1 - share) / 2) for t, x in zip(total, languages, strict=True)]
+        best = languages[total.index(max(total))] if n else None
+        assert found[k]["lang"] == best
+        if best:
+            assert found[k]["probability"] == pytest.approx(1 / sum(math.exp(t - max(total)) for t in total), abs=2e-6)
+
+
 def test_accepted_keeps_columns_and_clean_rows(spark, docs):
     messy_docs = messy.documents(spark)
     kept = langid.accepted(messy_docs, langid.fit(docs))
