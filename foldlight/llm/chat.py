@@ -2,7 +2,8 @@
 
 A transcript is rows of text in order; a row may start with a speaker's name, hold several turns, or go on with the last
 one.  States are (role, starts a turn / goes on); a line shows its speaker marker, whether it starts a row, its length
-and whether it asks.  Viterbi finds the best states of each transcript.
+and whether it asks.  Viterbi finds the best states of each transcript.  A speaker whose name means no known role is the
+role "other", and keeps the name.
 
 A transcript may be longer than a task can hold.  Rows are range partitioned by transcript and order; every partition
 sums up the transcripts that it may share with its neighbours (its first and last) by a best-score matrix from entry to
@@ -23,13 +24,14 @@ from pyspark.sql import functions as F
 
 from foldlight.llm.common import in_arrow, staged
 
-ROLES = ("system", "user", "assistant")
-#: Names that mark a speaker, in lower case.
+OTHER = "other"
+ROLES = ("system", "user", "assistant", "tool", OTHER)
+#: Names that mark a speaker, in lower case.  An unknown name counts in the explicit form <|name|> only: "Note:" is text.
 NAMES = {
-    "system": "system", "instructions": "system", "user": "user", "human": "user", "question": "user", "q": "user", "customer": "user",
+    "system": "system", "developer": "system", "instructions": "system", "tool": "tool", "function": "tool", "observation": "tool", "user": "user", "human": "user", "question": "user", "q": "user", "customer": "user",
     "assistant": "assistant", "ai": "assistant", "bot": "assistant", "model": "assistant", "answer": "assistant", "a": "assistant", "agent": "assistant",
 }
-MARKER = re.compile(r"^\s*(?:<\|(?P<tag>\w+)\|>|[\[(*#]*\s*(?P<name>\w+)\s*[\])*#]*\s*:)\s*", re.I)
+MARKER = re.compile(r"^\s*(?:<\|(?P<tag>[^|\n]+)\|>|[\[(*#]*\s*(?P<name>\w+)\s*[\])*#]*\s*:)\s*", re.I)
 #: Chance that a turn starts with a marker; that a marker names another role; that a line inside a turn looks marked.
 MARKED, WRONG, STRAY = 0.85, 0.0005, 0.002
 #: Chance that a turn starts a row, that a line inside a turn does, and that the next line goes on with the turn.
@@ -39,8 +41,9 @@ _STATES = 2 * len(ROLES)  # 2 r: starts a turn of role r; 2 r + 1: goes on with
 
 
 def canonical_role(role: Column) -> Column:
+    """The role that a name means; null for null and blank names."""
     name = F.lower(F.trim(role))
-    out = F.lit(None).cast("string")
+    out = F.when(name != "", F.lit(OTHER))
     for known, means in NAMES.items():
         out = F.when(name == known, means).otherwise(out)
     return out
@@ -88,7 +91,7 @@ def model_from_counts(first: dict[str, float], after: dict[tuple[str, str], floa
 
 
 def fit(labelled: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> Hmm:
-    """Counts over all rows whose role has a known name; only counts by role and feature come to the driver."""
+    """Counts over all rows with a role; only counts by role and feature come to the driver."""
     rows = labelled.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), canonical_role(F.col(role).cast("string")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).where("role is not null")
     first = rows.groupBy("conv").agg(F.min_by("role", "turn").alias("role")).groupBy("role").count().collect()
     turns = rows.select("conv", "turn", "role").distinct()
@@ -102,25 +105,28 @@ def fit(labelled: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     return model_from_counts({r["role"]: r["count"] for r in first}, {(r["role"], r["next"]): r["count"] for r in after}, {(r["role"], r["f"]): r["count"] for r in shown})
 
 
-def parse_line(line: str) -> tuple[int, str]:
-    """(role's number or -1, the line without its marker)."""
-    if (m := MARKER.match(line)) and (known := NAMES.get((m["tag"] or m["name"]).lower())):
-        return ROLES.index(known), line[m.end() :]
-    return -1, line
+def parse_line(line: str) -> tuple[int, str, str]:
+    """(role's number or -1, the speaker's name in lower case, the line without its marker)."""
+    if m := MARKER.match(line):
+        name = (m["tag"] or m["name"]).strip().lower()
+        known = NAMES.get(name, OTHER if m["tag"] and name else None)
+        if known:
+            return ROLES.index(known), name, line[m.end() :]
+    return -1, "", line
 
 
-def observations(texts: list[str], model: Hmm) -> tuple[list[int], list[str], np.ndarray]:
-    """Of a run of rows: each line's row, text without marker, and emissions."""
-    rows, lines, seen = [], [], []
+def observations(texts: list[str], model: Hmm) -> tuple[list[int], list[str], list[str], np.ndarray]:
+    """Of a run of rows: each line's row, speaker's name, text without marker, and emissions."""
+    rows, names, lines, seen = [], [], [], []
     known: dict[tuple, np.ndarray] = {}
     for k, text in enumerate(texts):
         for j, raw in enumerate(text.split("\n")):
-            marker, line = parse_line(raw)
+            marker, name, line = parse_line(raw)
             key = marker, j == 0, line_feature(line)
             if key not in known:
                 known[key] = model.emission(*key)
-            rows.append(k), lines.append(line), seen.append(known[key])
-    return rows, lines, np.array(seen)
+            rows.append(k), names.append(name), lines.append(line), seen.append(known[key])
+    return rows, names, lines, np.array(seen)
 
 
 def transfer(emissions: np.ndarray, step: np.ndarray) -> np.ndarray:
@@ -151,7 +157,7 @@ _CUTS = "conv string, part int, before int, last int"
 
 def viterbi_start(texts: list[str], model: Hmm) -> np.ndarray:
     """Best score by the last line's state if the transcript starts with these rows."""
-    emissions = observations(texts, model)[2]
+    emissions = observations(texts, model)[3]
     score = model.start + emissions[0]
     for e in emissions[1:]:
         score = (score[:, None] + model.step).max(axis=0) + e
@@ -182,14 +188,15 @@ def _decode(model: Hmm, size: int = 4096):
     def run(batches):
         out: list[tuple] = []
         for _, (convs, turns, texts, before, last) in _parts(batches):
-            rows, lines, emissions = observations(texts, model)
+            rows, names, lines, emissions = observations(texts, model)
             first = model.start if before[0] is None or before[0] < 0 else model.step[before[0]]
             states = viterbi(emissions, first, model.step, -1 if last[0] is None else last[0])
             begins = np.flatnonzero((states % 2 == 0) | (np.arange(len(states)) == 0))
             row, piece = -1, 0
             for a, b in zip(begins, [*begins[1:], len(states)], strict=True):
                 row, piece = rows[a], piece + 1 if rows[a] == row else 0
-                out.append((convs[0], turns[row], piece, ROLES[states[a] // 2], bool(states[a] % 2), int(b - a), "\n".join(lines[a:b])))
+                role = ROLES[states[a] // 2]
+                out.append((convs[0], turns[row], piece, names[a] or OTHER if role == OTHER else role, bool(states[a] % 2), int(b - a), "\n".join(lines[a:b])))
             if len(out) >= size:
                 yield _table(out)
                 out = []
@@ -226,13 +233,13 @@ def parse_transcripts(rows: DataFrame, model: Hmm, conv: str = "conv_id", turn:
     `turn` and `piece` say where it starts: the row, and the number of turns that start in that row before.  A turn cut
     at a partition's edge is several rows, all but the first with `continues`.  `rendered` is the turn in the canonical
     form, `<|role|>` on a line of its own before the text; the texts in order of (turn, piece) are the transcript.
-    `marker`: a column with the speaker's name, put before its row's text.  A null text is one empty line; a null marker
-    is none; rows without a conversation are one conversation, as are those of equal ids; rows of one turn number are
+    `marker`: a column with the speaker's name, put before its row's text as <|name|>.  A name that means no known role is the role
+    of its turn.  A null text is one empty line; a null or blank marker is none; rows without a conversation are one conversation, as are those of equal ids; rows of one turn number are
     ordered by their text; a null turn comes first.
     """
-    name = F.col(marker).cast("string") if marker else F.lit(None).cast("string")
+    name = F.trim(F.translate(F.col(marker).cast("string"), "|\n", "  ")) if marker else F.lit(None).cast("string")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    shown = rows.select(F.col(conv).cast("string").alias("conv"), F.col(turn).cast("long").alias("turn"), F.when(name.isNull(), body).otherwise(F.concat(name, F.lit(": "), body)).alias("text"))
+    shown = rows.select(F.col(conv).cast("string").alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.concat(F.lit("<|"), F.when(name != "", name), F.lit("|> "), body), body).alias("text"))
     keys = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
     dealt = shown.repartitionByRange(*keys).sortWithinPartitions(*keys)
     ordered = staged(dealt.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "transcripts")
@@ -268,6 +275,6 @@ def _summary_runs(model: Hmm):
 
 
 def _summary(key: tuple, texts: list[str], model: Hmm) -> pa.RecordBatch:
-    best = transfer(observations(texts, model)[2], model.step)
+    best = transfer(observations(texts, model)[3], model.step)
     values = np.concatenate([best.ravel(), viterbi_start(texts, model)])
     return pa.RecordBatch.from_arrays([pa.array([key[1]], pa.string()), pa.array([key[0]], pa.int32()), pa.array([values.tolist()], pa.list_(pa.float64()))], schema=_SUMMARY)

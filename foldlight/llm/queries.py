@@ -10,9 +10,18 @@ from foldlight.llm.common import table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transcripts of `conversations`, each row's role as its speaker's name, parsed and rendered turn by turn."""
+    """Transcripts of `conversations`, parsed and rendered turn by turn.
+
+    Two rows of three show their role as a speaker's marker; the other third (by hash) shows none, so that its role has to be
+    inferred.  Conversations are decoded by a model fitted on the other half of them.
+    """
     rows = table(spark, sf_dir, "conversations")
-    found = chat.parse_transcripts(rows, chat.fit(rows), marker="role")
+    half = F.pmod(F.xxhash64(F.lit("half"), "conv_id"), F.lit(2))
+    shown = rows.withColumn("shown", F.when(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)) != 0, F.col("role")))
+    found = None
+    for k in (0, 1):
+        part = chat.parse_transcripts(shown.where(half == k), chat.fit(rows.where(half != k)), marker="shown")
+        found = part if found is None else found.unionByName(part)
     return found.select(F.col("conv").cast("long").alias("conv_id"), *[c for c in found.columns if c != "conv"])
 
 

@@ -28,7 +28,7 @@ def hmm(turns):
 
 def sequential(rows, model):
     """Turns of one transcript, decoded at once; rows: texts with their turn numbers."""
-    at, lines, emissions = chat.observations([t for _, t in rows], model)
+    at, names, lines, emissions = chat.observations([t for _, t in rows], model)
     states, out = chat.viterbi(emissions, model.start, model.step), []
     for k, s in enumerate(states):
         if s % 2 == 0 or not out:
@@ -50,23 +50,69 @@ def joined(found):
 
 
 def test_parse_line():
-    assert chat.parse_line("User: hi") == (1, "hi") and chat.parse_line("<|assistant|> x") == (2, "x") and chat.parse_line("**System**: y") == (0, "y")
-    assert chat.parse_line("Note: hi") == (-1, "Note: hi") and chat.parse_line("") == (-1, "")
+    assert chat.parse_line("User: hi") == (1, "user", "hi") and chat.parse_line("<|assistant|> x") == (2, "assistant", "x") and chat.parse_line("**System**: y") == (0, "system", "y")
+    assert chat.parse_line("Note: hi") == (-1, "", "Note: hi") and chat.parse_line("") == (-1, "", "")
+    assert chat.parse_line("<|function|>z") == (3, "function", "z") and chat.parse_line("Developer: z") == (0, "developer", "z") and chat.parse_line("<|The Narrator|> z") == (4, "the narrator", "z")
 
 
-def test_viterbi_is_the_best_path(hmm):
+def line_chances(text, model):
+    """Of each line by state, written out from the model's numbers; markers as in the test's own transcripts."""
+    names = {"system": 0, "user": 1, "assistant": 2, "tool": 3}
+    out = []
+    for j, line in enumerate(text.split("\n")):
+        said = next((r for name, r in names.items() if line.startswith(f"<|{name}|> ")), None)
+        bare = line.split("|> ", 1)[1] if said is not None else line
+        feature = 2 * min(len(bare).bit_length(), 7) + bare.rstrip().endswith("?")
+        row = []
+        for r in range(5):
+            begins = 0.15 if said is None else 0.85 * (0.9995 if said == r else 0.0005 / 4)
+            inside = 0.998 if said is None else 0.002 / 5
+            row.append(np.log(begins * (0.97 if j == 0 else 0.03)) + model.feature[r, feature])
+            row.append(np.log(inside * (0.03 if j == 0 else 0.97)) + model.feature[r, feature])
+        out.append(row)
+    return out
+
+
+def test_viterbi_is_the_best_path(spark, hmm):
+    """All state sequences of short transcripts, scored one by one."""
     import itertools
 
-    pick = np.random.default_rng(1)
-    emissions = np.log(pick.random((5, 6)))
-    states = chat.viterbi(emissions, hmm.start, hmm.step)
-    score = lambda s: hmm.start[s[0]] + emissions[0, s[0]] + sum(hmm.step[a, b] + emissions[i, b] for i, (a, b) in enumerate(itertools.pairwise(s), 1))
-    assert score(states) == pytest.approx(max(map(score, itertools.product(range(6), repeat=5))))
+    pick = random.Random(1)
+    for k in range(6):
+        lines = [pick.choice(["<|user|> ", "<|assistant|> ", "<|tool|> ", "", ""]) + pick.choice(["why?", "it is so", "x" * 40, ""]) for _ in range(4)]
+        texts, cut = ["\n".join(lines[:2]), "\n".join(lines[2:])], 0
+        chances = [c for t in texts for c in line_chances(t, hmm)]
+        score = lambda s: hmm.start[s[0]] + chances[0][s[0]] + sum(hmm.step[a, b] + chances[i][b] for i, (a, b) in enumerate(itertools.pairwise(s), 1))  # noqa: B023, E731
+        best = max(itertools.product(range(10), repeat=4), key=score)
+        _, _, _, emissions = chat.observations(texts, hmm)
+        assert np.allclose(emissions, chances)
+        assert score(chat.viterbi(emissions, hmm.start, hmm.step)) == pytest.approx(score(best))
+        talk = spark.createDataFrame([(k, i, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string")
+        found = chat.parse_transcripts(talk, hmm).orderBy("turn", "piece").collect()
+        wanted = [chat.ROLES[s // 2] for i, s in enumerate(best) if s % 2 == 0 or i == 0]
+        assert joined(found) and [r["role"] for r in found if not r["continues"]] == wanted
     whole = chat.transfer(emissions, hmm.step)
     halves = (chat.transfer(emissions[:2], hmm.step)[:, :, None] + chat.transfer(emissions[2:], hmm.step)[None]).max(axis=1)
     assert np.allclose(whole, halves)
 
 
+def test_roles_of_the_query(spark, turns):
+    """Roles of rows without a marker, by a model of other conversations."""
+    truth = {(r["conv_id"], r["turn"]): r["role"] for r in turns.collect()}
+    hidden = {(r["conv_id"], r["turn"]) for r in turns.where(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)) == 0).collect()}
+    found = {(r["conv_id"], r["turn"]): r["role"] for r in queries.op1_chat_format(spark, SF).collect() if not r["continues"] and r["piece"] == 0}
+    right = sum(found.get(k) == truth[k] for k in hidden)
+    print(f"roles of hidden rows: {right} of {len(hidden)} right")
+    assert right >= 0.95 * len(hidden) and all(found.get(k) == r for k, r in truth.items() if k not in hidden)
+
+
+def test_unknown_speakers_keep_their_names(spark, hmm):
+    rows = [(1, 0, "Narrator", "It was night."), (1, 1, "user", "hello"), (1, 2, "function", "{}"), (1, 3, "the |odd\none", "x"), (1, 4, "", "more")]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = chat.parse_transcripts(talks, chat.fit(talks), marker="role").orderBy("turn").collect()
+    assert [r["role"] for r in found][:4] == ["narrator", "user", "tool", "the  odd one"] and found[0]["rendered"] == "<|narrator|>\nIt was night.\n"
+
+
 def test_roles_with_all_and_with_some_markers(turns, hmm):
     truth = {(str(r["conv_id"]), r["turn"]): r["role"] for r in turns.collect()}
     found = chat.parse_transcripts(turns, hmm, marker="role").collect()
@@ -81,7 +127,7 @@ def test_roles_with_all_and_with_some_markers(turns, hmm):
 @pytest.mark.parametrize("partitions", [1, 7])
 def test_a_cut_transcript_is_decoded_as_a_whole(spark, turns, hmm, partitions):
     one = turns.select(F.lit(1).alias("conv_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("turn"), F.when(F.xxhash64("turn", "conv_id") % 4 != 0, F.col("role")).alias("name"), "text")
-    rows = [(r["turn"], f"{r['name']}: {r['text']}" if r["name"] else r["text"]) for r in one.orderBy("turn").collect()]
+    rows = [(r["turn"], f"<|{r['name']}|> {r['text']}" if r["name"] else r["text"]) for r in one.orderBy("turn").collect()]
     before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
@@ -103,7 +149,7 @@ def test_odd_transcripts(spark, hmm):
         by.setdefault(r["conv"], []).append(r)
     assert [r["role"] for r in by[None]] == ["assistant", "user", "assistant"] and by[None][1]["rendered"] == "<|user|>\nyo\n"
     assert [r["role"] for r in by["3"]] == ["assistant"] and sum(r["n_lines"] for r in by["1"]) == 3 and sum(r["n_lines"] for r in by["2"]) == 3
-    assert chat.parse_transcripts(talks.limit(0), hmm, marker="role").count() == 0 and chat.fit(talks.limit(0)).step.shape == (6, 6)
+    assert chat.parse_transcripts(talks.limit(0), hmm, marker="role").count() == 0 and chat.fit(talks.limit(0)).step.shape == (10, 10)
 
 
 @pytest.fixture(scope="module")
