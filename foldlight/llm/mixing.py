@@ -23,9 +23,10 @@ MOST_REPEATS = 2
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def document_hash(doc_id: Column) -> Column:
-    """The leading 60 bits of md5 over the id's decimal text (null: the empty text)."""
-    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, HASH_BITS // 4), 16, 10).cast("long")
+def document_hash(doc_id: Column, text: Column) -> Column:
+    """The leading 60 bits of md5 over the id's decimal text; without an id, over `text:` and the text."""
+    named = F.coalesce(doc_id.cast("string"), F.concat(F.lit("text:"), F.coalesce(text.cast("string"), F.lit(""))))
+    return F.conv(F.substring(F.md5(named), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = TOTAL_SHARE, most: int = MOST_REPEATS) -> DataFrame:
@@ -74,7 +75,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), document_hash(F.col(id_col)).alias("hash")), "mix-sizes")
+    return staged(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), document_hash(F.col(id_col), F.col(text_col)).alias("hash")), "mix-sizes")
 
 
 def _times(doc_hash: Column) -> Column:
@@ -84,9 +85,9 @@ def _times(doc_hash: Column) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = TOTAL_SHARE, most: int = MOST_REPEATS) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken, times): one row per input row; taken = times * size, times <= `most`.
 
-    Null texts have size 0.  Equal ids have equal hashes: their rows are taken together, as are all rows without an id.
+    Null texts have size 0.  Equal ids have equal hashes: their rows are taken together, as are equal texts without an id.
     An empty table gives no rows.  Each source's taken words differ from its target by less than the documents at its
-    threshold hold.  Reruns agree, since the hash depends on the id alone.
+    threshold hold.  Reruns agree, since the hash depends on the row alone.
     """
     sized = _sized(docs, id_col, text_col, source_col)
     found = thresholds(sized, source_targets(sized, weights, share, most))
@@ -100,7 +101,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sized = _sized(docs, id_col, text_col, source_col)
     found = thresholds(sized, source_targets(sized, weights, share, most))
     hash_, times, copy = unused(docs, "hash"), unused(docs, "times"), unused(docs, "copy")
-    rows = docs.withColumn(hash_, document_hash(F.col(id_col))).alias("d")
+    rows = docs.withColumn(hash_, document_hash(F.col(id_col), F.col(text_col))).alias("d")
     joined = rows.join(found.alias("t"), F.col(f"d.`{source_col}`").cast("string").eqNullSafe(F.col("t.source")))
     kept = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], _times(F.col(f"d.{hash_}")).cast("int").alias(times)).where(F.col(times) > 0)
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)
@@ -109,7 +110,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || coalesce(text, ''))), 1, 15) AS BIGINT) AS hash
   FROM {docs}
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source

@@ -86,7 +86,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str | None = None, id_col:
     """
     order = [F.col("doc_id").asc_nulls_last(), F.col("text").asc()]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(*order)
+    # The first characters split the rows of one id, or without one, over partitions in the order of their texts.
+    ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_last(), F.substring("text", 1, 64).asc()).sortWithinPartitions(*order)
     in_arrow(ordered, _write_shards(vocabulary or default_vocabulary(), base), _SHARD_DDL).write.option("compression", "zstd").parquet(path)
 
 

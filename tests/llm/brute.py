@@ -104,7 +104,7 @@ def dedup_substrings(docs, n):
 
 def mix(rows, weights=(3, 1, 2), share=1.5, most=2):
     """rows: (doc_id, text, source); (doc_id, source, size, source_size, target, taken) by the stated procedure."""
-    sized = [(d, s, len(words(t)), int(hashlib.md5(str("" if d is None else d).encode()).hexdigest()[:15], 16)) for d, t, s in rows]
+    sized = [(d, s, len(words(t)), int(hashlib.md5((f"text:{t or ''}" if d is None else str(d)).encode()).hexdigest()[:15], 16)) for d, t, s in rows]
     sources = sorted({s for _, s, _, _ in sized}, key=lambda s: (s is None, (s or "").encode()))
     size = {s: sum(z for _, x, z, _ in sized if x == s) for s in sources}
     weight = {s: weights[k % len(weights)] for k, s in enumerate(sources)}

@@ -36,9 +36,7 @@ def test_mix(spark):
     count = {}
     for r in mixed.collect():
         count[r["row"]] = count.get(r["row"], 0) + 1
-    times = {}
-    for r in mixing.mix(docs.withColumn("doc_id", F.col("doc_id"))).collect():
-        times[r["doc_id"], r["size"], r["source"]] = r["times"]
+    times = {(r["doc_id"], r["size"], r["source"]): r["times"] for r in mixing.mix(docs).collect()}
     for k, ((d, t), s) in enumerate(zip(rows, sources, strict=True)):
         assert count.get(k, 0) == times[d, len(brute.words(t)), s]
 
@@ -51,6 +49,12 @@ def test_mix_refines_one_bucket_after_the_other(spark):
     assert sum(r["t"] for r in found) == pytest.approx(1.5 * sum(r["s"] for r in found))
 
 
+def test_mix_of_rows_without_ids(spark):
+    docs = messy.documents(spark, [(None, f"{k} " + "w " * (k % 7)) for k in range(3000)])
+    found = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t")).collect()
+    assert all(abs(r["n"] - r["t"]) <= 7 for r in found)
+
+
 def test_lines(spark):
     rows = messy.texts()
     found = sorted(((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["kept"]) for r in lines.dedup_lines(messy.documents(spark, rows)).collect()))
