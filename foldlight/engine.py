@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlight.operators import checkpoints, fold, ledger, recovery, replay, scans, validation
+from foldlight.operators import checkpoints, fold, ledger, recovery, replay, reports, scans, validation
 from foldlight.sources import journal
 
 
@@ -20,14 +20,28 @@ class JournalEngine:
         self.spark, self.events, self.ops, self.snapshot = spark, events, ops, snapshot
 
     @classmethod
-    def open(cls, spark: SparkSession, events_path: str, ops_path: str | None = None, snapshot_path: str | None = None) -> "JournalEngine":
-        """From Parquet folders; refuses events that cannot be read."""
+    def open(cls, spark: SparkSession, events_path: str, ops_path: str | None = None, snapshot_path: str | None = None, checkpoints_path: str | None = None) -> "JournalEngine":
+        """From Parquet folders, with a snapshot or checkpoint rows (the latest of each execution counts).
+
+        Refuses events and ledger operations that cannot be read, and checkpoints that the journal does not support: states
+        are never silently folded without them.
+        """
         stored = journal.read_events(spark, events_path)
         if bad := journal.unreadable(stored).limit(1).collect():
             raise JournalError(f"event {bad[0]['event_id']}: {bad[0]['reason']}")
         ops = journal.read_ledger_ops(spark, ops_path) if ops_path else None
+        if ops is not None and (bad := validation.unreadable_ops(ops).limit(1).collect()):
+            raise JournalError(f"ledger operation that cannot be read: {bad[0].asDict()}")
+        events = journal.decode(stored)
         snapshot = checkpoints.Snapshot.read(spark, snapshot_path) if snapshot_path else None
-        return cls(spark, journal.decode(stored), ops, snapshot)
+        if checkpoints_path:
+            saved = journal.read_checkpoints(spark, checkpoints_path)
+            if bad := checkpoints.corrupt(saved, events).limit(1).collect():
+                raise JournalError(f"corrupt checkpoint: {bad[0].asDict()}")
+            snapshot = checkpoints.from_rows(scans.latest_checkpoints(saved))
+        if snapshot and (bad := checkpoints.ahead_of_journal(snapshot, events).limit(1).collect()):
+            raise JournalError(f"snapshot ahead of journal: {bad[0].asDict()}")
+        return cls(spark, events, ops, snapshot)
 
     def check(self) -> None:
         """Raises on the first violation of a journal's rules."""
@@ -71,6 +85,11 @@ class JournalEngine:
         keys = self._unresolved()
         return recovery.listing(self.states().executions, saved, none if keys is None else keys)
 
+    def report(self) -> DataFrame:
+        """(execution_id, report): what a restart finds, as text."""
+        states = self.states()
+        return reports.recovery_report(states.executions, states.calls, self._unresolved())
+
     def incomplete(self) -> DataFrame:
         return recovery.incomplete_tools(self.states().calls)
 

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldlight.operators import fold
+from foldlight import schemas as S
+from foldlight.operators import fold, validation
 from foldlight.operators.scans import prefix, tail
 
 
@@ -92,3 +93,103 @@ def rows(events: DataFrame) -> DataFrame:
     joined = states.executions.join(listed, "execution_id", "left")
     state = F.to_json(F.struct("execution_id", F.col("stored_status").alias("status"), "goal", "tool_calls", "last_sequence", "result", "error"))
     return joined.select("execution_id", F.col("last_sequence").alias("sequence"), state.alias("state"))
+
+
+def _state_type(result: str, error: str) -> str:
+    outcome = f"result: {result}, error: {error}"
+    retry = f"struct<attempt: int, failed_attempt: int, delay: double, reason: string, error: {error}, sequence: bigint>"
+    attempts = f"array<struct<first_sequence: bigint, attempt: int, status: string, started_sequence: bigint, started_at: string, completed_sequence: bigint, {outcome}, retry_sequence: bigint, retry_attempt: int, retry_delay: double>>"
+    call = (
+        "requested_sequence: bigint, call_id: string, tool: string, arguments: string, idempotency_key: string, timeout: double, timeout_mode: string, deduplicated: boolean, retry_policy: string, "
+        f"status: string, attempt: int, {outcome}, enforced: boolean, started_sequence: bigint, started_at: string, completed_sequence: bigint, pending_retry: {retry}, attempts: {attempts}"
+    )
+    return f"struct<execution_id: string, status: string, goal: string, tool_calls: array<struct<{call}>>, last_sequence: bigint, {outcome}>"
+
+
+def decode(stored: DataFrame, result: str = "string", error: str = "string") -> DataFrame:
+    """Checkpoint rows with their state (JSON) as a struct; result and error: types of the journal's columns.  For rows that
+    validation.checkpoint_violations lets pass."""
+    return stored.withColumn("state", F.from_json("state", _state_type(result, error)))
+
+
+def from_rows(stored: DataFrame, result: str = "string", error: str = "string") -> Snapshot:
+    """A snapshot from stored checkpoint rows, one an execution: what `recover` continues with the events after it.
+
+    A call's state names the last event of each kind, which is all that the fold of later events needs; sequences are
+    gapless, so an execution has as many events as its last sequence says.
+    """
+    rows_ = decode(stored, result, error).select("execution_id", "sequence", "state")
+    event = lambda status, table: F.element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair[::-1]]), status)
+    when = lambda at, *fields: F.when(at > 0, F.struct(at.alias("sequence"), *fields))
+    c = lambda name: F.col(f"c.{name}")
+    each = rows_.select("execution_id", F.explode("state.tool_calls").alias("c"))
+    retry = c("pending_retry")
+    first = each.select(
+        "execution_id",
+        c("call_id").alias("call_id"),
+        c("requested_sequence").alias("requested_sequence"),
+        F.struct(F.greatest(c("requested_sequence"), c("started_sequence"), c("completed_sequence"), retry["sequence"]).alias("sequence"), event(c("status"), S.CALL_STATUS).alias("event_type")).alias("last"),
+        F.when(c("attempt") > 0, F.struct(F.greatest(c("started_sequence"), c("completed_sequence")).alias("sequence"), c("attempt").alias("attempt"))).alias("tried"),
+        when(c("completed_sequence"), c("result").alias("result"), c("error").alias("error"), F.when(c("enforced").isNotNull(), c("timeout")).alias("timeout"), c("enforced").alias("enforced")).alias("settled"),
+        when(c("started_sequence"), c("started_at").alias("timestamp")).alias("started"),
+        F.when(retry.isNotNull(), F.struct(retry["sequence"].alias("sequence"), F.lit(True).alias("pending"), retry["attempt"].alias("attempt"), retry["failed_attempt"].alias("failed_attempt"), retry["delay"].alias("delay"), retry["reason"].alias("reason"), retry["error"].alias("error"))).alias("retry"),
+        F.struct(c("requested_sequence").alias("sequence"), *[c(x).alias(x) for x in fold._REQUEST]).alias("request"),
+    )
+    # Later requests of a known call_id add their request only.
+    names = ("last", "tried", "settled", "started", "retry")
+    calls = first.groupBy(*fold.CALL).agg(F.min_by(F.struct(*names), "requested_sequence").alias("f"), F.array_sort(F.collect_list("request")).alias("requests")).select(*fold.CALL, *[F.col(f"f.{x}").alias(x) for x in names], "requests")
+    a = lambda name: F.col(f"a.{name}")
+    tried = each.select("execution_id", c("call_id").alias("call_id"), c("enforced").alias("enforced"), F.explode(c("attempts")).alias("a"))
+    attempts = tried.select(
+        *fold.CALL,
+        a("attempt").alias("number"),
+        F.struct(F.greatest(a("started_sequence"), a("completed_sequence")).alias("sequence"), event(a("status"), S.CALL_STATUS).alias("event_type")).alias("last"),
+        a("first_sequence").alias("first_sequence"),
+        when(a("started_sequence"), a("started_at").alias("timestamp")).alias("started"),
+        when(a("completed_sequence"), a("result").alias("result"), a("error").alias("error"), F.when(a("status") == "TIMED_OUT", F.col("enforced")).alias("enforced")).alias("settled"),
+        when(a("retry_sequence"), a("retry_delay").alias("delay"), F.lit(None).cast("string").alias("reason"), a("retry_attempt").alias("attempt")).alias("scheduled"),
+    ).dropDuplicates([*fold.CALL, "number"])
+    s = lambda name: F.col(f"state.{name}")
+    last = s("last_sequence")
+    executions = rows_.select(
+        "execution_id",
+        last.alias("last_sequence"),
+        last.alias("n_events"),
+        F.struct(last.alias("sequence"), event(s("status"), S.EXECUTION_STATUS).alias("event_type")).alias("lifecycle"),
+        F.struct(F.lit(1).cast("long").alias("sequence"), s("goal").alias("goal")).alias("begun"),
+        F.when(s("status").isin("COMPLETED", "CANCELLED"), F.struct(last.alias("sequence"), s("result").alias("result"))).alias("ended"),
+        F.when(s("status") == "FAILED", F.struct(last.alias("sequence"), s("error").alias("error"))).alias("failed"),
+    )
+    return Snapshot(rows_.select("execution_id", "sequence"), calls, attempts, executions)
+
+
+def guarded(candidates: DataFrame, stored: DataFrame, events: DataFrame) -> DataFrame:
+    """Candidate rows (execution_id, sequence, state) with a verdict: `store`, `already stored`, or why they must not be stored.
+
+    A checkpoint stands at its journal's last event, its state says so, and no other state is stored for that sequence.
+    """
+    last = events.groupBy("execution_id").agg(F.max("sequence").alias("_last"))
+    there = stored.select("execution_id", "sequence", F.to_json(F.try_parse_json("state")).alias("_stored"))
+    stated = F.expr("try_cast(get_json_object(state, '$.last_sequence') as bigint)")
+    verdict = (
+        F.when(F.try_parse_json("state").isNull() | stated.isNull(), "unreadable state")
+        .when(stated != F.col("sequence"), "state is at another sequence")
+        .when(F.coalesce("_last", F.lit(0)) < F.col("sequence"), "ahead of journal")
+        .when(F.col("_last") > F.col("sequence"), "behind journal")
+        .when(F.col("_stored") == F.to_json(F.try_parse_json("state")), "already stored")
+        .when(F.col("_stored").isNotNull(), "another state is stored")
+        .otherwise("store")
+    )
+    joined = candidates.join(last, "execution_id", "left").join(there, ["execution_id", "sequence"], "left")
+    return joined.withColumn("verdict", verdict).drop("_last", "_stored")
+
+
+def boundaries(events: DataFrame) -> DataFrame:
+    """(execution_id, sequence): where an automatic checkpoint is due: ends of executions, and outcomes recorded by a resolution."""
+    resolved = F.col("resolution").isNotNull() if "resolution" in events.columns else F.lit(False)
+    return events.where(F.col("event_type").isin(*S.TERMINAL_EVENTS) | resolved).select("execution_id", "sequence")
+
+
+def corrupt(stored: DataFrame, events: DataFrame) -> DataFrame:
+    """Stored rows that must stop a recovery, with the reason: none is left out and folded over."""
+    return validation.checkpoint_violations(stored, events)

@@ -1,23 +1,26 @@
 """Idempotency ledger: an append-only operation log per key, folded in order.
 
 Whether a claim is accepted depends on what came before, so a key's operations are walked in sequence by a higher-order
-function inside the JVM.  A key's log is held in one row; streaming.ledger keeps only a key's state instead.
+function inside the JVM: records carry the state alone; decisions walk chunks of CHUNK operations, so that a log of any length is
+built in time proportional to it.  A key's operations are held in one row; streaming.ledger keeps only a key's state instead.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldlight.functions.predicates import all_of, is_unresolved_key
 
-_FIELDS = ("op_seq", "op", "execution_id", "call_id", "tool_name", "arguments", "result", "error", "note", "ts")
+#: Operations between which a key's decision log is set down.
+CHUNK = 256
+_FIELDS = ("op_seq", "op", "execution_id", "call_id", "tool_name", "arguments", "result", "error", "note", "ts", "by_execution")
 _RECORD = "status string, execution_id string, call_id string, tool_name string, arguments string, result string, error string, created_at string, updated_at string, attempts int, retry_authorized int, resolution string, resolution_note string, resolved_at string"
 _NAMES = [f.split()[0] for f in _RECORD.split(", ")]
 
 
-def _walk() -> str:
-    """SQL: the last record of a key and the decision on each of its operations."""
+def _walk(with_log: bool) -> str:
+    """SQL: the last record of a key and, if asked for, the decision on each of its operations in `logs`, by chunk."""
     decision = """case
       when x.op = 'claim' then case
         when s.status is null then 'execute'
@@ -26,6 +29,7 @@ def _walk() -> str:
         when s.status = 'FAILED' then 'refused_failed'
         else 'refused_pending' end
       when s.status is null then 'unknown_key'
+      when x.by_execution is not null and x.by_execution <> s.execution_id then 'foreign_execution'
       when x.op not in ('complete', 'fail', 'authorize_retry') or x.op is null then 'unknown_op'
       when s.status = 'COMPLETED' then 'refused_completed'
       else 'ok' end"""
@@ -44,21 +48,29 @@ def _walk() -> str:
         "resolved_at": f"if({settled}, x.ts, s.resolved_at)",
     }
     fields = ", ".join(f"'{k}', {v}" for k, v in new.items())
+    kinds = dict(f.split() for f in _RECORD.split(", "))
+    empty = ", ".join(f"'{k}', cast(null as {t})" for k, t in kinds.items())
+    entry = "array<struct<op_seq:bigint,op:string,decision:string,result:string>>"
+    if not with_log:
+        step = f"element_at(transform(array({decision}), d -> named_struct({fields})), 1)"
+        return f"aggregate(ops, named_struct({empty}), (s, x) -> {step})"
     log = "concat(s.log, array(named_struct('op_seq', x.op_seq, 'op', x.op, 'decision', d, 'result', if(d = 'deduplicated', s.result, null))))"
     step = f"element_at(transform(array({decision}), d -> named_struct({fields}, 'log', {log})), 1)"
-    kinds = dict(f.split() for f in _RECORD.split(", "))
-    start = ", ".join(f"'{k}', cast(null as {t})" for k, t in kinds.items())
-    return f"aggregate(ops, named_struct({start}, 'log', cast(array() as array<struct<op_seq:bigint,op:string,decision:string,result:string>>)), (s, x) -> {step})"
+    carried = ", ".join(f"'{k}', c.{k}" for k in kinds)
+    inner = f"aggregate(slice(ops, k * {CHUNK} + 1, {CHUNK}), named_struct({carried}, 'log', cast(array() as {entry})), (s, x) -> {step})"
+    after = ", ".join(f"'{k}', i.{k}" for k in kinds)
+    outer = f"element_at(transform(array({inner}), i -> named_struct({after}, 'logs', concat(c.logs, array(i.log)))), 1)"
+    return f"aggregate(sequence(0, int((size(ops) - 1) div {CHUNK})), named_struct({empty}, 'logs', cast(array() as array<{entry}>)), (c, k) -> {outer})"
 
 
-def _folded(ops: DataFrame) -> DataFrame:
+def _folded(ops: DataFrame, with_log: bool = False) -> DataFrame:
     """Operations without a key are left out: see validation.blank_keys.  A key is kept as it was given, blanks included."""
     named = ops.where(F.trim("idempotency_key") != "")
     for c in _FIELDS:
         if c not in ops.columns:
             named = named.withColumn(c, F.lit(None).cast("string"))
     typed = named.select("idempotency_key", F.struct(F.col("op_seq").cast("long").alias("op_seq"), *[F.col(c).cast("string").alias(c) for c in _FIELDS[1:]]).alias("x"))
-    return typed.groupBy("idempotency_key").agg(F.array_sort(F.collect_list("x")).alias("ops")).select("idempotency_key", F.expr(_walk()).alias("s"))
+    return typed.groupBy("idempotency_key").agg(F.array_sort(F.collect_list("x")).alias("ops")).select("idempotency_key", F.expr(_walk(with_log)).alias("s"))
 
 
 def records(ops: DataFrame) -> DataFrame:
@@ -67,8 +79,11 @@ def records(ops: DataFrame) -> DataFrame:
 
 
 def decisions(ops: DataFrame) -> DataFrame:
-    """(idempotency_key, op_seq, op, decision, result): what became of each operation; result: of a deduplicated claim."""
-    return _folded(ops).select("idempotency_key", F.explode("s.log").alias("d")).select("idempotency_key", "d.*")
+    """(idempotency_key, op_seq, op, decision, result): what became of each operation; result: of a deduplicated claim.
+
+    An operation with `by_execution` is asked for by that execution, which settles its own keys only.
+    """
+    return _folded(ops, with_log=True).select("idempotency_key", F.explode(F.flatten("s.logs")).alias("d")).select("idempotency_key", "d.*")
 
 
 def listed(ledger: DataFrame, execution_id: str | None = None, status: str | None = None) -> DataFrame:
@@ -84,3 +99,18 @@ def pending(ledger: DataFrame) -> DataFrame:
 def unresolved(ledger: DataFrame) -> DataFrame:
     """Claimed, without outcome, and with no retry authorized."""
     return ledger.where(is_unresolved_key(F.col("status"), F.col("retry_authorized")))
+
+
+def record_of(ledger: DataFrame, key: str) -> DataFrame:
+    return ledger.where(F.col("idempotency_key") == key)
+
+
+def counts(ledger: DataFrame) -> DataFrame:
+    """(execution_id, status, n): records by execution and status."""
+    return ledger.groupBy("execution_id", "status").agg(F.count("*").alias("n"))
+
+
+def error_payload(error: Column) -> Column:
+    """The stored form of an error (JSON text): an object as it is, a bare text as a message, none as an unspecified failure."""
+    wrap = lambda message: F.to_json(F.struct(F.lit("ExecutionError").alias("type"), message.alias("message")))
+    return F.when(error.isNull(), wrap(F.lit("unspecified failure"))).when(F.startswith(F.ltrim(error), F.lit("{")), error).otherwise(wrap(error))

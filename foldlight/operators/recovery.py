@@ -57,6 +57,17 @@ def classify(states: DataFrame, unresolved: DataFrame | None = None) -> DataFram
     return keyed.select("execution_id", status_with_keys(F.col("status"), F.col("n_unresolved_keys")).alias("status"), recovery_class(F.col("status"), F.col("n_unresolved_keys"), F.col("n_pending")).alias("recovery_class"), "n_incomplete", "n_pending", "n_unresolved_keys")
 
 
+def flags(classified: DataFrame, replayed: DataFrame | None = None) -> DataFrame:
+    """(execution_id, needs_resolution, needs_key_resolution, has_pending_retries, events_replayed) of classify's rows.
+
+    replayed: checkpoints.replayed_counts; without it nothing was replayed after a snapshot.
+    """
+    rows = classified.select("execution_id", (F.col("n_incomplete") > 0).alias("needs_resolution"), (F.col("n_unresolved_keys") > 0).alias("needs_key_resolution"), (F.col("n_pending") > 0).alias("has_pending_retries"))
+    if replayed is None:
+        return rows.withColumn("events_replayed", F.lit(0).cast("long"))
+    return rows.join(replayed.select("execution_id", F.col("n_replayed").alias("events_replayed")), "execution_id", "left").withColumn("events_replayed", F.coalesce("events_replayed", F.lit(0)))
+
+
 def listing(states: DataFrame, checkpoints: DataFrame, unresolved: DataFrame) -> DataFrame:
     """(execution_id, status, n_events, n_checkpoints, n_unresolved_keys)."""
     saved = checkpoints.groupBy("execution_id").agg(F.count("*").alias("n_checkpoints"))

@@ -7,34 +7,72 @@ from pyspark.sql import functions as F
 
 from foldlight import schemas as S
 from foldlight.functions.predicates import is_incomplete_status, is_settled
-from foldlight.operators import fold
+from foldlight.operators import blocks, fold
 from foldlight.operators.scans import prefix
 
 
 def recorded_calls(calls: DataFrame) -> DataFrame:
     """Calls with their index (from 0) in request order of their execution."""
-    w = Window.partitionBy("execution_id").orderBy("requested_sequence")
-    return calls.withColumn("index", (F.row_number().over(w) - 1).cast("long"))
+    return blocks.running_sum(calls, F.lit(1), "index", order="requested_sequence")
+
+
+def recorded_with_requests(calls: DataFrame, attempts: DataFrame, after: DataFrame | None = None) -> DataFrame:
+    """What a replay serves: recorded calls with index, policy, deadline and flags of their request, and their attempts in order.
+
+    after: (execution_id, start): only calls requested after it, indexed from there.
+    """
+    if after is not None:
+        calls = calls.join(after, "execution_id").where("requested_sequence > start").drop("start")
+    return fold.with_attempts(recorded_calls(calls), attempts)
+
+
+def can_attempt(attempts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(execution_id, call_id, attempt, can_attempt): whether the history holds an outcome of each wanted attempt; where it ends at a
+    scheduled retry, or at a start, a replay ends too."""
+    known = attempts.where(~is_incomplete_status(F.col("status"))).select("execution_id", "call_id", "attempt").distinct().withColumn("_known", F.lit(True))
+    return wanted.join(known, ["execution_id", "call_id", "attempt"], "left").select("execution_id", "call_id", "attempt", F.coalesce("_known", F.lit(False)).alias("can_attempt"))
+
+
+def retry_decisions(attempts: DataFrame) -> DataFrame:
+    """(execution_id, call_id, failed_attempt, attempt, delay): the retries that the journal recorded; a replay serves these, whatever
+    policy it holds itself."""
+    return attempts.where("retry_sequence is not null").select("execution_id", "call_id", F.col("attempt").alias("failed_attempt"), F.col("retry_attempt").alias("attempt"), F.col("retry_delay").alias("delay"))
+
+
+def guard_decisions(calls: DataFrame) -> DataFrame:
+    """(execution_id, call_id, decision, result): how a replay answers keyed calls: from the history, without a ledger."""
+    served = F.coalesce(F.col("deduplicated"), F.lit(False))
+    return calls.where("idempotency_key is not null").select("execution_id", "call_id", F.when(served, "deduplicated").otherwise("execute").alias("decision"), F.when(served, F.col("result")).alias("result"))
 
 
 def first_mismatches(recorded: DataFrame, candidate: DataFrame) -> DataFrame:
-    """(execution_id, index, kind): where a candidate's calls first leave the recorded ones; no row if they never do.
+    """(execution_id, index, kind, expected, received): where a candidate's calls first leave the recorded ones; no row if they never do.
 
-    recorded: execution_id, index, tool, arguments, status, idempotency_key; candidate: the same without status.
-    Arguments are compared as canonical JSON, in which true and 1 differ.
+    recorded: execution_id, index, call_id, tool, arguments, status, attempt, idempotency_key; candidate: the same without status, and call_id and
+    attempt (attempts made) only if they are to be compared.  Arguments are compared as canonical JSON, in which true and 1 differ.
     """
     r, c = recorded.alias("r"), candidate.alias("c")
     joined = r.join(c, F.expr("r.execution_id = c.execution_id and r.index = c.index"), "full")
     settled = is_settled(F.col("r.status")) & (F.col("r.status") != "RETRYING")
-    kind = (
-        F.when(F.col("r.index").isNull(), "unexpected_tool_call")
-        .when(F.col("c.index").isNull(), "missing_recorded_call")
-        .when(F.col("r.tool") != F.col("c.tool"), "tool_name")
-        .when(~F.col("r.arguments").eqNullSafe(F.col("c.arguments")) | ~F.col("r.idempotency_key").eqNullSafe(F.col("c.idempotency_key")), "arguments")
-        .when(~settled, "missing_recorded_outcome")
-    )
-    found = joined.select(F.coalesce("r.execution_id", "c.execution_id").alias("execution_id"), F.coalesce("r.index", "c.index").alias("index"), kind.alias("kind")).where("kind is not null")
-    return found.groupBy("execution_id").agg(F.min(F.struct("index", "kind")).alias("m")).select("execution_id", "m.index", "m.kind")
+    differ = lambda name: ~F.col(f"r.{name}").eqNullSafe(F.col(f"c.{name}"))
+    given = lambda name: differ(name) if name in candidate.columns else F.lit(False)
+    text = lambda side, name: F.col(f"{side}.{name}").cast("string")
+    cases = [
+        (F.col("r.index").isNull(), "unexpected_tool_call", None, text("c", "tool")),
+        (F.col("c.index").isNull(), "missing_recorded_call", text("r", "tool"), None),
+        (differ("tool"), "tool_name", text("r", "tool"), text("c", "tool")),
+        (differ("arguments"), "arguments", text("r", "arguments"), text("c", "arguments")),
+        (differ("idempotency_key"), "arguments", text("r", "idempotency_key"), text("c", "idempotency_key")),
+        (given("call_id"), "call_id", text("r", "call_id"), text("c", "call_id") if "call_id" in candidate.columns else None),
+        (~settled, "missing_recorded_outcome", text("r", "status"), None),
+        (given("attempt"), "attempt", text("r", "attempt"), text("c", "attempt") if "attempt" in candidate.columns else None),
+    ]
+    none = F.lit(None).cast("string")
+    kind, expected, received = none, none, none
+    for condition, name, one, other in reversed(cases):
+        kind, expected, received = F.when(condition, name).otherwise(kind), F.when(condition, none if one is None else one).otherwise(expected), F.when(condition, none if other is None else other).otherwise(received)
+    found = joined.select(F.coalesce("r.execution_id", "c.execution_id").alias("execution_id"), F.coalesce("r.index", "c.index").alias("index"), kind.alias("kind"), expected.alias("expected"), received.alias("received")).where("kind is not null")
+    return found.groupBy("execution_id").agg(F.min(F.struct("index", "kind", "expected", "received")).alias("m")).select("execution_id", "m.*")
 
 
 def regenerate(events: DataFrame, calls: DataFrame, attempts: DataFrame) -> DataFrame:
@@ -71,25 +109,53 @@ def regenerate(events: DataFrame, calls: DataFrame, attempts: DataFrame) -> Data
     made = of.select("execution_id", "call_id", "c.tool", F.col("c.requested_sequence").alias("place"), a.alias("nth"), F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("s"))
     made = made.select("execution_id", "call_id", "tool", "place", (F.col("nth") * 4 + F.col("s.n")).alias("step"), "s.event_type", "s.attempt", "s.result", "s.error", "s.failed_attempt", "s.delay", "s.timeout", "s.enforced")
     every = request.unionByName(made, allowMissingColumns=True).unionByName(lifecycle, allowMissingColumns=True)
-    w = Window.partitionBy("execution_id").orderBy("place", "step")
-    return every.withColumn("sequence", F.row_number().over(w).cast("long")).drop("place", "step")
+    # A place's rows follow each other: their number before the place, and their rank at it.
+    counted = blocks.running_sum(every.groupBy("execution_id", "place").agg(F.count("*").alias("n")), F.col("n"), "before", order="place")
+    rank = F.row_number().over(Window.partitionBy("execution_id", "place").orderBy("step"))
+    numbered = every.join(counted.select("execution_id", "place", "before"), ["execution_id", "place"])
+    return numbered.withColumn("sequence", (F.col("before") + rank).cast("long")).drop("place", "step", "before")
+
+
+def regenerate_from(events: DataFrame, allowed: DataFrame) -> DataFrame:
+    """The events after each execution's start made again, numbered on from it; event_id and timestamp are those recorded at the position.
+
+    allowed: (execution_id, start) of `starts` with verdict ok: no call is open or waiting there.
+    """
+    start = F.col("start")
+    wanted = events.join(allowed.select("execution_id", "start"), "execution_id")
+    later = wanted.where(F.col("sequence") > start).drop("start")
+    again = regenerate(later, fold.fold_calls(later), fold.fold_attempts(later))
+    again = again.join(allowed.select("execution_id", "start"), "execution_id").withColumn("sequence", F.col("sequence") + start).drop("start")
+    mirrored = [c for c in ("event_id", "timestamp") if c in events.columns]
+    return again.drop(*mirrored).join(later.select("execution_id", "sequence", *mirrored), ["execution_id", "sequence"], "left") if mirrored else again
 
 
 _COMPARED = ("execution_id", "call_id", "tool", "arguments", "status", "attempt", "result", "error", "requested_sequence", "started_sequence", "completed_sequence")
 
 
+_TRIED = ("execution_id", "call_id", "attempt", "status", "started_sequence", "completed_sequence", "result", "retry_sequence", "retry_attempt", "retry_delay")
+
+
+def _digest(*parts: tuple[DataFrame, tuple[str, ...]]) -> DataFrame:
+    """(execution_id, digest, n): sums of the rows' hashes, which do not depend on an order."""
+    hashes = None
+    for k, (rows, columns) in enumerate(parts):
+        one = rows.select("execution_id", F.xxhash64(F.lit(k), *columns).alias("h"))
+        hashes = one if hashes is None else hashes.unionByName(one)
+    return hashes.groupBy("execution_id").agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("digest"), F.count("*").alias("n"))
+
+
 def matched(events: DataFrame) -> DataFrame:
-    """(execution_id, matched, events_replayed): whether the fold of the regenerated journal is that of the recorded one."""
+    """(execution_id, matched, events_replayed): whether calls, attempts and end of the regenerated journal are those of the recorded one."""
     calls, attempts = fold.fold_calls(events), fold.fold_attempts(events)
     again = regenerate(events, calls, attempts)
-    one, other = calls.select(*_COMPARED), fold.fold_calls(again).select(*_COMPARED)
-    a = one.groupBy("execution_id").agg(F.sum(F.xxhash64(*_COMPARED).cast("decimal(38,0)")).alias("a"), F.count("*").alias("n"))
-    b = other.groupBy("execution_id").agg(F.sum(F.xxhash64(*_COMPARED).cast("decimal(38,0)")).alias("b"), F.count("*").alias("m"))
-    state = fold.partial_executions(events).select("execution_id", "last_sequence", F.col("lifecycle.event_type").alias("end"), "n_events")
-    state_again = fold.partial_executions(again).select("execution_id", F.col("last_sequence").alias("last_again"), F.col("lifecycle.event_type").alias("end_again"))
-    joined = state.join(state_again, "execution_id", "left").join(a, "execution_id", "left").join(b, "execution_id", "left")
-    same = F.col("last_sequence").eqNullSafe(F.col("last_again")) & F.col("end").eqNullSafe(F.col("end_again")) & F.col("a").eqNullSafe(F.col("b")) & F.col("n").eqNullSafe(F.col("m"))
-    return joined.select("execution_id", same.alias("matched"), F.col("n_events").alias("events_replayed"))
+    end = lambda e: fold.partial_executions(e).select("execution_id", "last_sequence", F.col("lifecycle.event_type").alias("end"), "n_events")
+    ends = ("execution_id", "last_sequence", "end")
+    one = _digest((calls, _COMPARED), (attempts, _TRIED), (end(events), ends))
+    other = _digest((fold.fold_calls(again), _COMPARED), (fold.fold_attempts(again), _TRIED), (end(again), ends))
+    joined = events.groupBy("execution_id").agg(F.count("*").alias("events_replayed")).join(one, "execution_id", "left").join(other.withColumnsRenamed({"digest": "digest_again", "n": "n_again"}), "execution_id", "left")
+    same = F.col("digest").eqNullSafe(F.col("digest_again")) & F.col("n").eqNullSafe(F.col("n_again"))
+    return joined.select("execution_id", same.alias("matched"), "events_replayed")
 
 
 def steps(calls: DataFrame, attempts: DataFrame) -> DataFrame:

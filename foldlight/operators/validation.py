@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldlight import schemas as S
+from foldlight.operators import blocks
 
 
 def sequence_gaps(events: DataFrame) -> DataFrame:
     """(execution_id, sequence, expected): events that do not follow the one before by 1, or start below 1."""
-    w = Window.partitionBy("execution_id").orderBy("sequence")
-    checked = events.select("execution_id", "sequence", (F.coalesce(F.lag("sequence").over(w), F.lit(0)) + 1).cast("long").alias("expected"))
-    return checked.where("sequence <> expected")
+    checked = blocks.previous(events.select("execution_id", "sequence"), "before")
+    return checked.select("execution_id", "sequence", (F.coalesce("before", F.lit(0)) + 1).cast("long").alias("expected")).where("sequence <> expected")
 
 
 def duplicate_sequences(events: DataFrame) -> DataFrame:
@@ -72,27 +72,56 @@ GRAMMAR = {
     "ToolRetryScheduled": ("ToolStarted", "ToolCancelled"),
 }
 
+#: Outcomes that an operator may record for an open call.
+RESOLVED = ("ToolCompleted", "ToolFailed", "ToolCancelled")
+
 
 def grammar_violations(events: DataFrame) -> DataFrame:
     """(execution_id, call_id, sequence, before, event_type): an event that may not follow the call's one before.
 
     An outcome that an operator recorded for an open call (a resolution) is no violation.
     """
-    calls = events.where(F.col("event_type").isin(*S.TOOL_EVENTS))
+    resolution = F.col("resolution") if "resolution" in events.columns else F.lit(None).cast("string")
+    calls = events.where(F.col("event_type").isin(*S.TOOL_EVENTS)).withColumn("resolution", resolution)
     w = Window.partitionBy("execution_id", "call_id").orderBy("sequence")
-    paired = calls.select("execution_id", "call_id", "sequence", "event_type", F.lag("event_type").over(w).alias("before"))
+    paired = calls.select("execution_id", "call_id", "sequence", "event_type", F.lag("event_type").over(w).alias("before"), "resolution")
     allowed = F.col("before").isNull() & (F.col("event_type") == "ToolRequested")
+    allowed = allowed | (F.col("resolution").isNotNull() & F.col("before").isin(*S.INCOMPLETE_EVENTS) & F.col("event_type").isin(*RESOLVED))
     for before, after in GRAMMAR.items():
         allowed = allowed | ((F.col("before") == before) & F.col("event_type").isin(*after))
-    return paired.where(~F.coalesce(allowed, F.lit(False)))
+    return paired.where(~F.coalesce(allowed, F.lit(False))).drop("resolution")
+
+
+def after_the_end(events: DataFrame) -> DataFrame:
+    """Events of an execution after its terminal event, other than a new start; `ended`: the terminal event's sequence."""
+    marked = blocks.last_marked(events, F.col("event_type").isin(*S.TERMINAL_EVENTS), "ended")
+    return marked.where(F.col("ended").isNotNull() & (F.col("event_type") != "ExecutionStarted"))
+
+
+def while_a_call_is_open(events: DataFrame) -> DataFrame:
+    """(execution_id, sequence, event_type, n_open): requests and completions recorded while calls of the execution were open.
+
+    A call is open from its request, or a further attempt's start, to its outcome; one that waits for a retry is not.
+    """
+    w = Window.partitionBy("execution_id", "call_id").orderBy("sequence")
+    was_open = F.coalesce(F.lag("event_type").over(w).isin(*S.INCOMPLETE_EVENTS), F.lit(False)).cast("int")
+    calls = events.where(F.col("event_type").isin(*S.TOOL_EVENTS)).select("execution_id", "sequence", "event_type", (F.col("event_type").isin(*S.INCOMPLETE_EVENTS).cast("int") - was_open).alias("change"))
+    ends = events.where(F.col("event_type") == "ExecutionCompleted").select("execution_id", "sequence", "event_type", F.lit(0).alias("change"))
+    counted = blocks.running_sum(calls.unionByName(ends), F.col("change"), "n_open")
+    return counted.where("n_open > 0").where(F.col("event_type").isin("ToolRequested", "ExecutionCompleted")).select("execution_id", "sequence", "event_type", "n_open")
 
 
 def illegal_transitions(events: DataFrame) -> DataFrame:
-    """Events of an execution after its terminal event, other than a new start."""
-    w = Window.partitionBy("execution_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
-    ended = F.max(F.when(F.col("event_type").isin(*S.TERMINAL_EVENTS), F.col("sequence"))).over(w)
-    return events.withColumn("ended", ended).where(F.col("ended").isNotNull() & (F.col("event_type") != "ExecutionStarted"))
+    """(execution_id, sequence, event_type, reason): what an execution's status did not allow."""
+    late = after_the_end(events).select("execution_id", "sequence", "event_type", F.lit("after the end").alias("reason"))
+    return late.unionByName(while_a_call_is_open(events).select("execution_id", "sequence", "event_type", F.lit("a call is open").alias("reason")))
 
 
 def repeated_cancellations(events: DataFrame) -> DataFrame:
     return events.where(F.col("event_type") == "ToolCancelled").groupBy("execution_id", "call_id").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def unreadable_ops(ops: DataFrame) -> DataFrame:
+    """(idempotency_key, op_seq, column): ledger operations whose JSON cannot be read; the ledger must not be folded from them."""
+    bad = F.array(*[F.when(F.col(c).isNotNull() & F.try_parse_json(F.col(c).cast("string")).isNull(), F.lit(c)) for c in ("arguments", "result", "error") if c in ops.columns])
+    return ops.select("idempotency_key", "op_seq", F.explode(F.array_compact(bad)).alias("column"))

@@ -34,13 +34,11 @@ def decode(events: DataFrame) -> DataFrame:
 
     Absent and null keys are both null.  Rows whose payload is no JSON are left to `unreadable`.
     """
-    text = {k: payload_field(F.col("payload"), k) for k in S.PAYLOAD}
     json_keys = ("arguments", "result", "error", "retry_policy")
-    # get_json_object gives a string's bare text; the variant keeps the value's own form.
-    variant = F.try_parse_json(F.col("payload"))
-    columns = {k: F.to_json(F.try_variant_get(variant, f"$.{k}", "variant")) if k in json_keys else F.expr(f"try_cast(get_json_object(payload, '$.{k}') as {t})") for k, t in S.PAYLOAD.items()}
-    columns = {k: F.when(text[k].isNotNull(), v) for k, v in columns.items()}
-    return events.select("event_id", "execution_id", "sequence", "event_type", "timestamp", *[v.alias(k) for k, v in columns.items()])
+    parsed = events.withColumn("_payload", F.try_parse_json("payload"))  # once for all keys
+    field = lambda k, t: F.to_json(F.try_variant_get("_payload", f"$.{k}", "variant")) if k in json_keys else F.try_variant_get("_payload", f"$.{k}", t)
+    columns = [F.nullif(field(k, t), F.lit("null")).alias(k) if k in json_keys else field(k, t).alias(k) for k, t in S.PAYLOAD.items()]
+    return parsed.select("event_id", "execution_id", "sequence", "event_type", "timestamp", *columns)
 
 
 def unreadable(events: DataFrame) -> DataFrame:
