@@ -9,6 +9,7 @@ from foldlight import schemas as S
 from foldlight.functions.predicates import is_incomplete_status, is_settled
 from foldlight.operators import blocks, fold
 from foldlight.operators.scans import prefix
+from foldlight.staging import staged
 
 
 def recorded_calls(calls: DataFrame) -> DataFrame:
@@ -124,7 +125,7 @@ def regenerate_from(events: DataFrame, allowed: DataFrame) -> DataFrame:
     start = F.col("start")
     wanted = events.join(allowed.select("execution_id", "start"), "execution_id")
     later = wanted.where(F.col("sequence") > start).drop("start")
-    again = regenerate(later, fold.fold_calls(later), fold.fold_attempts(later))
+    again = regenerate(later, staged(fold.fold_calls(later), "calls"), staged(fold.fold_attempts(later), "attempts"))
     again = again.join(allowed.select("execution_id", "start"), "execution_id").withColumn("sequence", F.col("sequence") + start).drop("start")
     mirrored = [c for c in ("event_id", "timestamp") if c in events.columns]
     return again.drop(*mirrored).join(later.select("execution_id", "sequence", *mirrored), ["execution_id", "sequence"], "left") if mirrored else again
@@ -147,8 +148,9 @@ def _digest(*parts: tuple[DataFrame, tuple[str, ...]]) -> DataFrame:
 
 def matched(events: DataFrame) -> DataFrame:
     """(execution_id, matched, events_replayed): whether calls, attempts and end of the regenerated journal are those of the recorded one."""
-    calls, attempts = fold.fold_calls(events), fold.fold_attempts(events)
-    again = regenerate(events, calls, attempts)
+    # Each is read by several branches.
+    calls, attempts = staged(fold.fold_calls(events), "calls"), staged(fold.fold_attempts(events), "attempts")
+    again = staged(regenerate(events, calls, attempts), "regenerated")
     end = lambda e: fold.partial_executions(e).select("execution_id", "last_sequence", F.col("lifecycle.event_type").alias("end"), "n_events")
     ends = ("execution_id", "last_sequence", "end")
     one = _digest((calls, _COMPARED), (attempts, _TRIED), (end(events), ends))

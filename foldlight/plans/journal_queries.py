@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldlight.functions import policy, predicates
 from foldlight.functions.policy import backoff_delay, is_exhausted, should_retry
 from foldlight.functions.tools import arithmetic
-from foldlight.operators import checkpoints, fold, ledger, recovery, replay, scans, validation
+from foldlight.operators import checkpoints, fold, ledger, recovery, replay, reports, scans, validation
+from foldlight.sources import journal as store
 from foldlight.sources import projection
 from foldlight.sources.projection import journal
+from foldlight.staging import staged
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -48,6 +51,11 @@ def journal_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.execution_events(journal(spark, sf_dir), "exec_7").select(*_SCAN)
 
 
+def _stored_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal written once, for queries that read it in several branches."""
+    return staged(journal(spark, sf_dir), "journal")
+
+
 def _halves(events: DataFrame) -> DataFrame:
     """(execution_id, upto): half of each execution's last sequence."""
     return scans.last_sequences(events).select("execution_id", F.expr("last_sequence div 2").alias("upto"))
@@ -246,8 +254,8 @@ def checkpoint_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_STATES_OF + f"SELECT {_STATE_SQL}, last_sequence // 2 AS snapshot_sequence, last_sequence - last_sequence // 2 AS n_replayed FROM states")
 def recover_from_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = journal(spark, sf_dir)
-    snapshot = checkpoints.take(events, _halves(events))
+    events = _stored_journal(spark, sf_dir)
+    snapshot = checkpoints.take(events, staged(_halves(events), "halves"))
     states = checkpoints.recover(events, snapshot).executions.select(*_STATE_COLUMNS)
     return states.join(checkpoints.replayed_counts(events, snapshot), "execution_id")
 
@@ -255,7 +263,7 @@ def recover_from_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_CALLS_OF + f"SELECT {_CALL_SQL} FROM calls")
 def checkpoint_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Call state from a snapshot and a tail: the SQL folds the whole journal."""
-    events = journal(spark, sf_dir)
+    events = _stored_journal(spark, sf_dir)
     return _flat(checkpoints.recover(events, checkpoints.take(events, _halves(events))).calls)
 
 
@@ -264,7 +272,7 @@ _HALF = ", half AS (SELECT * FROM (SELECT *, max(sequence) OVER (PARTITION BY ex
 
 @query(_HALF + _CALLS.replace("{journal}", "half") + _STATES.replace("{journal}", "half") + f"SELECT {_STATE_SQL} FROM states")
 def state_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = journal(spark, sf_dir)
+    events = _stored_journal(spark, sf_dir)
     return checkpoints.state_as_of(events, _halves(events)).executions.select(*_STATE_COLUMNS)
 
 
@@ -341,7 +349,7 @@ def ledger_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
   last_sequence // 10 AS n_checkpoints, coalesce(k.n, 0)::BIGINT AS n_unresolved_keys
   FROM states s LEFT JOIN (SELECT execution_id, count(*) AS n FROM records WHERE status = 'PENDING' AND auth <= 0 GROUP BY ALL) k USING (execution_id)""")
 def execution_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = journal(spark, sf_dir)
+    events = _stored_journal(spark, sf_dir)
     return recovery.listing(fold.fold_executions(events), _tens(events), ledger.unresolved(ledger.records(ledger_ops(spark, sf_dir))))
 
 
@@ -396,17 +404,21 @@ compared AS (SELECT coalesce(r.execution_id, c.execution_id) AS execution_id, co
 
 @query(_CALLS_OF + _CANDIDATE + "SELECT execution_id, index, kind FROM (SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY index) AS n FROM compared WHERE kind IS NOT NULL) WHERE n = 1")
 def replay_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recorded = replay.recorded_calls(fold.fold_calls(journal(spark, sf_dir)))
+    return _mismatches(spark, sf_dir).select("execution_id", "index", "kind")
+
+
+def _mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recorded = staged(replay.recorded_calls(fold.fold_calls(journal(spark, sf_dir))), "recorded")
     e = F.substring("call_id", 6, 20).cast("long")
     kept = recorded.where(e % 397 != 7).select("execution_id", "requested_sequence", F.when(e % 389 == 3, "other").otherwise(F.col("tool")).alias("tool"), F.when(e % 401 == 5, "{}").otherwise(F.col("arguments")).alias("arguments"), "idempotency_key")
     user = F.substring("execution_id", 6, 20).cast("long")
     extra = recorded.where(user % 11 == 0).select("execution_id").distinct().select("execution_id", F.lit(9_000_000_000).alias("requested_sequence"), F.lit("extra").alias("tool"), F.lit("{}").alias("arguments"), F.lit(None).cast("string").alias("idempotency_key"))
-    return replay.first_mismatches(recorded, replay.recorded_calls(kept.unionByName(extra)))
+    return replay.first_mismatches(recorded, replay.recorded_calls(kept.unionByName(extra)).drop("requested_sequence"))
 
 
 @query("SELECT execution_id, true AS matched, count(*)::BIGINT AS events_replayed FROM journal GROUP BY ALL")
 def replay_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.matched(journal(spark, sf_dir))
+    return replay.matched(_stored_journal(spark, sf_dir))
 
 
 _STEPS = ", counted AS (SELECT execution_id, call_id, count(*)::BIGINT AS n_attempts, coalesce(sum(retry_delay), 0) AS delay FROM attempts GROUP BY ALL)\n"
@@ -415,7 +427,7 @@ _STEPS = ", counted AS (SELECT execution_id, call_id, count(*)::BIGINT AS n_atte
 @query(_CALLS_OF + _ATTEMPTS + _STEPS + """SELECT c.execution_id, row_number() OVER (PARTITION BY c.execution_id ORDER BY requested_sequence) - 1 AS index, c.call_id, tool, status,
   coalesce(n_attempts, 0) AS n_attempts, coalesce(delay, 0)::DOUBLE AS delay, status = 'COMPLETED' AS succeeded, coalesce(n_attempts, 0) > 1 AS retried FROM calls c LEFT JOIN counted USING (execution_id, call_id)""")
 def replay_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = journal(spark, sf_dir)
+    events = _stored_journal(spark, sf_dir)
     return replay.steps(fold.fold_calls(events), fold.fold_attempts(events))
 
 
@@ -423,7 +435,7 @@ def replay_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
   (count(*) FILTER (event_type IN ('ToolFailed', 'ToolTimedOut')) - count(*) FILTER (event_type = 'ToolRetryScheduled') + count(*) FILTER (event_type = 'ToolCancelled'))::BIGINT AS errors,
   round(coalesce(sum(delay), 0), 6)::DOUBLE AS delay FROM journal GROUP BY ALL""")
 def replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = journal(spark, sf_dir)
+    events = _stored_journal(spark, sf_dir)
     return replay.summary(events, fold.fold_calls(events), fold.fold_attempts(events)).withColumn("delay", F.round("delay", 6))
 
 
@@ -432,5 +444,349 @@ verdicts AS (SELECT execution_id, last, last // 2 AS start, CASE WHEN EXISTS (SE
   WHEN EXISTS (SELECT 1 FROM calls c WHERE c.execution_id = t.execution_id AND pending_sequence IS NOT NULL) THEN 'pending_retry' ELSE 'ok' END AS verdict FROM tops t)
 SELECT execution_id, start, verdict, CASE WHEN verdict = 'ok' THEN last - start ELSE 0 END AS events_replayed FROM verdicts""")
 def replay_from_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = journal(spark, sf_dir)
+    events = _stored_journal(spark, sf_dir)
     return replay.starts(events, _halves(events).withColumnRenamed("upto", "start"))
+
+
+# -- more predicates, rules and codecs -----------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT event_type, event_type IN ('ToolRequested', 'ToolStarted') AS incomplete, event_type IN ('ExecutionCompleted', 'ExecutionFailed', 'ExecutionCancelled') AS terminal, event_type LIKE 'Tool%' AS tool_event FROM journal")
+def event_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_type")
+    return journal(spark, sf_dir).select(e, predicates.is_incomplete_event(e).alias("incomplete"), predicates.is_terminal_event(e).alias("terminal"), predicates.is_tool_event(e).alias("tool_event")).distinct()
+
+
+@query(_CALLS_OF + """SELECT execution_id, call_id, status IN ('COMPLETED', 'FAILED', 'CANCELLED') AS terminal, status = 'COMPLETED' AS succeeded, status = 'FAILED' AS failed, status = 'TIMED_OUT' AS timed_out,
+  status = 'CANCELLED' AS cancelled, coalesce(status = 'TIMED_OUT' AND NOT coalesce(enforced, true), false) AS ambiguous FROM calls""")
+def outcome_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, status = fold.fold_calls(journal(spark, sf_dir)), F.col("status")
+    is_ = lambda x: status == x
+    return calls.select("execution_id", "call_id", predicates.is_terminal_status(status).alias("terminal"), is_("COMPLETED").alias("succeeded"), is_("FAILED").alias("failed"), is_("TIMED_OUT").alias("timed_out"), is_("CANCELLED").alias("cancelled"), predicates.is_ambiguous(status, F.col("enforced")).alias("ambiguous"))
+
+
+@query(_CALLS_OF + _ATTEMPTS + """SELECT c.execution_id, c.call_id, count(a.attempt)::BIGINT AS attempt_count, max(a.status) FILTER (a.attempt = 2) AS second_status, coalesce(bool_or(a.status <> 'STARTED' AND a.attempt = 2), false) AS can_attempt_second
+  FROM calls c LEFT JOIN attempts a USING (execution_id, call_id) GROUP BY ALL""")
+def attempt_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _stored_journal(spark, sf_dir)
+    calls, attempts = fold.fold_calls(events), fold.fold_attempts(events)
+    listed = fold.with_attempts(calls, attempts).select("execution_id", "call_id", F.size("attempts").cast("long").alias("attempt_count"), predicates.attempt_record(F.col("attempts"), 2)["status"].alias("second_status"))
+    second = replay.can_attempt(attempts, calls.select("execution_id", "call_id", F.lit(2).alias("attempt"))).select("execution_id", "call_id", F.col("can_attempt").alias("can_attempt_second"))
+    return listed.join(second, ["execution_id", "call_id"])
+
+
+@query(_ATTEMPTS + "SELECT execution_id, call_id, attempt AS failed_attempt, attempt + 1 AS attempt, retry_delay AS delay FROM attempts WHERE retry_sequence IS NOT NULL")
+def recorded_retry_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return replay.retry_decisions(fold.fold_attempts(journal(spark, sf_dir)))
+
+
+#: Event ids and types made wrong by rule.
+_WRONG = ", wrong AS (SELECT *, 'evt_' || execution_id || '_' || (sequence - CASE WHEN sequence % 13 = 0 THEN 1 ELSE 0 END) AS event_id, CASE WHEN sequence % 17 = 0 THEN 'Tool' ELSE event_type END AS kind FROM journal)\n"
+
+
+def _wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("sequence")
+    return journal(spark, sf_dir).withColumns({"event_id": F.concat(F.lit("evt_"), "execution_id", F.lit("_"), (s - F.when(s % 13 == 0, 1).otherwise(0)).cast("string")), "event_type": F.when(s % 17 == 0, "Tool").otherwise(F.col("event_type"))})
+
+
+@query(_WRONG + "SELECT event_id, count(*)::BIGINT AS n FROM wrong GROUP BY event_id HAVING count(*) > 1")
+def event_id_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.duplicate_event_ids(_wrong(spark, sf_dir))
+
+
+@query(_WRONG + "SELECT execution_id, sequence, kind AS event_type FROM wrong WHERE kind NOT LIKE 'Execution%' AND kind NOT IN ('ToolRequested', 'ToolStarted', 'ToolCompleted', 'ToolFailed', 'ToolRetryScheduled', 'ToolTimedOut', 'ToolCancelled')")
+def event_type_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.unknown_event_types(_wrong(spark, sf_dir)).select("execution_id", "sequence", "event_type")
+
+
+#: The journal with two events more behind the end of every ended execution.
+_LATE = """, late AS (SELECT execution_id, sequence, event_type, call_id FROM journal UNION ALL
+  SELECT execution_id, max(sequence) + 1, 'ToolRequested', 'late' FROM journal GROUP BY execution_id HAVING bool_or(event_type IN ('ExecutionFailed', 'ExecutionCancelled'))
+  UNION ALL SELECT execution_id, max(sequence) + 2, 'ToolCancelled', 'late' FROM journal GROUP BY execution_id HAVING bool_or(event_type IN ('ExecutionFailed', 'ExecutionCancelled'))),
+spans AS (SELECT q.execution_id, e.sequence AS opened, coalesce((SELECT min(x.sequence) FROM late x WHERE x.execution_id = q.execution_id AND x.call_id = q.call_id AND x.sequence > e.sequence AND x.event_type NOT IN ('ToolRequested', 'ToolStarted')), 9000000000) AS closed
+  FROM late q JOIN late e ON e.execution_id = q.execution_id AND e.call_id = q.call_id AND e.event_type IN ('ToolRequested', 'ToolStarted') WHERE q.event_type = 'ToolRequested'),
+merged AS (SELECT execution_id, closed, min(opened) AS opened FROM spans GROUP BY ALL)
+"""
+
+
+@query(_LATE + """SELECT l.execution_id, l.sequence, l.event_type, 'after the end' AS reason FROM late l WHERE EXISTS (SELECT 1 FROM late t WHERE t.execution_id = l.execution_id AND t.event_type IN ('ExecutionCompleted', 'ExecutionFailed', 'ExecutionCancelled') AND t.sequence < l.sequence)
+UNION ALL SELECT l.execution_id, l.sequence, l.event_type, 'a call is open' FROM late l WHERE l.event_type IN ('ToolRequested', 'ExecutionCompleted') AND EXISTS (SELECT 1 FROM merged m WHERE m.execution_id = l.execution_id AND m.opened < l.sequence AND m.closed > l.sequence)""")
+def illegal_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _stored_journal(spark, sf_dir).select("execution_id", "sequence", "event_type", "call_id")
+    ended = events.groupBy("execution_id").agg(F.max("sequence").alias("last"), F.max(F.col("event_type").isin("ExecutionFailed", "ExecutionCancelled")).alias("stopped")).where("stopped")
+    more = ended.select("execution_id", F.explode(F.expr("array(struct(last + 1 as sequence, 'ToolRequested' as event_type), struct(last + 2 as sequence, 'ToolCancelled' as event_type))")).alias("m"))
+    return validation.illegal_transitions(events.unionByName(more.select("execution_id", "m.*", F.lit("late").alias("call_id"))))
+
+
+@query("SELECT execution_id, call_id, 2::BIGINT AS n FROM journal WHERE event_type = 'ToolCancelled' AND sequence % 2 = 0")
+def repeated_cancellations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = journal(spark, sf_dir)
+    return validation.repeated_cancellations(events.unionByName(events.where("event_type = 'ToolCancelled' and sequence % 2 = 0")))
+
+
+#: A batch to append behind each execution: the second row of some leaves a gap, of others it repeats.
+_BATCH = ", tops AS (SELECT execution_id, max(sequence) AS last, CAST(substr(execution_id, 6) AS BIGINT) AS u FROM journal GROUP BY ALL)\n"
+
+
+@query(_BATCH + "SELECT execution_id, last + CASE u % 3 WHEN 0 THEN 3 ELSE 0 END AS sequence, CASE u % 3 WHEN 0 THEN 'gap' ELSE 'duplicate sequence' END AS reason FROM tops WHERE u % 3 < 2")
+def append_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = scans.last_sequences(journal(spark, sf_dir))
+    u = F.substring("execution_id", 6, 20).cast("long")
+    second = F.when(u % 3 == 0, 3).when(u % 3 == 1, 0).otherwise(2)
+    batch = last.select("execution_id", F.explode(F.array((F.col("last_sequence") + 1), (F.col("last_sequence") + second))).alias("sequence"))
+    found = store.rejected_appends(batch.where(F.lit(True)), last)
+    return found.where((u % 3 != 1) | (F.col("reason") == "duplicate sequence")).select("execution_id", "sequence", "reason")
+
+
+@query(_BATCH + "SELECT execution_id, last + n AS sequence, 'evt_' || n AS event_id FROM tops, range(1, 4) r(n)")
+def append_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = scans.last_sequences(journal(spark, sf_dir))
+    new = last.select("execution_id", F.explode(F.array(*[F.struct(F.lit(f"evt_{n}").alias("event_id"), F.lit(str(n)).alias("timestamp")) for n in (3, 1, 2)])).alias("e")).select("execution_id", "e.*")
+    return store.numbered(new, last).select("execution_id", "sequence", "event_id")
+
+
+@query("SELECT execution_id, sequence, event_type, call_id, tool, arguments, attempt, result, error, failed_attempt, delay, enforced FROM journal")
+def event_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events encoded to JSON payloads and decoded again."""
+    events = journal(spark, sf_dir)
+    stored = store.encode(events.withColumns({"error": F.get_json_object(F.to_json(F.struct(F.struct(F.col("error").alias("message")).alias("e"))), "$.e"), "result": F.col("result").cast("string")}))
+    read = store.decode(stored.withColumn("timestamp", F.lit(None).cast("string")))
+    return read.select("execution_id", "sequence", "event_type", "call_id", "tool", "arguments", "attempt", F.col("result").cast("double").alias("result"), F.get_json_object("error", "$.message").alias("error"), "failed_attempt", "delay", "enforced")
+
+
+@query("SELECT execution_id FROM (SELECT DISTINCT execution_id FROM journal) WHERE CAST(substr(execution_id, 6) AS BIGINT) % 2 = 0")
+def executions_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = journal(spark, sf_dir)
+    wanted = events.select((F.substring("execution_id", 6, 20).cast("long") * 2).alias("u")).distinct().select(F.concat(F.lit("exec_"), F.col("u").cast("string")).alias("execution_id"))
+    return scans.existing(wanted, events)
+
+
+# -- checkpoint rows -----------------------------------------------------------------------------------------------------
+
+
+def _checkpoint_rows(events: DataFrame, limits: DataFrame | None = None) -> DataFrame:
+    part = events if limits is None else scans.prefix(events, limits)
+    return staged(checkpoints.rows(part), "checkpoints")
+
+
+@query(_STATES_OF + f"SELECT {_STATE_SQL} FROM states")
+def checkpoint_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Execution state from stored JSON checkpoints at half of each journal and the events after them."""
+    events = _stored_journal(spark, sf_dir)
+    snapshot = checkpoints.from_rows(_checkpoint_rows(events, _halves(events)), result="double")
+    return checkpoints.recover(events, snapshot).executions.select(*_STATE_COLUMNS)
+
+
+@query(_CALLS_OF + f"SELECT {_CALL_SQL} FROM calls")
+def checkpoint_decode_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _stored_journal(spark, sf_dir)
+    snapshot = checkpoints.from_rows(_checkpoint_rows(events, _halves(events)), result="double")
+    return _flat(checkpoints.recover(events, snapshot).calls)
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Checkpoint rows made wrong by rule: at another sequence than stated, ahead, behind, or unreadable."""
+    u, sequence = F.substring("execution_id", 6, 20).cast("long") % 7, F.col("sequence")
+    moved = F.when(u == 1, sequence + 5).when(u == 2, sequence - 1).otherwise(sequence)
+    state = F.when(u == 4, "{").when(u.isin(1, 2), F.concat(F.lit('{"last_sequence":'), moved.cast("string"), F.lit("}"))).when(u == 3, F.concat(F.lit('{"last_sequence":'), (sequence + 1).cast("string"), F.lit("}"))).otherwise(F.col("state"))
+    return rows.select("execution_id", moved.alias("sequence"), state.alias("state"))
+
+
+@query(_BATCH + """SELECT execution_id, last + CASE u % 7 WHEN 1 THEN 5 WHEN 2 THEN -1 ELSE 0 END AS sequence,
+  ['store', 'ahead of journal', 'behind journal', 'state is at another sequence', 'unreadable state', 'already stored', 'another state is stored'][1 + u % 7] AS verdict FROM tops""")
+def checkpoint_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _stored_journal(spark, sf_dir)
+    rows = _checkpoint_rows(events)
+    u = F.substring("execution_id", 6, 20).cast("long") % 7
+    stored = rows.where(u.isin(5, 6)).withColumn("state", F.when(u == 6, F.concat(F.lit('{"last_sequence":'), F.col("sequence").cast("string"), F.lit("}"))).otherwise(F.col("state")))
+    return checkpoints.guarded(_candidates(rows), stored, events).select("execution_id", "sequence", "verdict")
+
+
+@query(_BATCH + """SELECT execution_id, last + CASE u % 7 WHEN 1 THEN 5 WHEN 2 THEN -1 ELSE 0 END AS sequence, [NULL, 'ahead of journal', NULL, 'state is at another sequence', 'unreadable state'][1 + u % 7] AS reason FROM tops WHERE u % 7 IN (1, 3, 4)""")
+def checkpoint_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _stored_journal(spark, sf_dir)
+    return checkpoints.corrupt(_candidates(_checkpoint_rows(events)), events)
+
+
+@query("SELECT execution_id, sequence FROM journal WHERE event_type IN ('ExecutionCompleted', 'ExecutionFailed', 'ExecutionCancelled')")
+def checkpoint_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpoints.boundaries(journal(spark, sf_dir))
+
+
+@query("SELECT execution_id, (max(sequence) // 10)::BIGINT AS n_checkpoints FROM journal GROUP BY execution_id HAVING max(sequence) >= 10")
+def checkpoint_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.checkpoint_counts(_tens(journal(spark, sf_dir)))
+
+
+@query("SELECT execution_id, 20::BIGINT AS sequence, 'ckpt_' || execution_id || '_20' AS checkpoint_id FROM journal WHERE execution_id = 'exec_3' AND sequence = 20")
+def checkpoint_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.checkpoint_at(_tens(journal(spark, sf_dir)), "exec_3", 20)
+
+
+# -- recovery ------------------------------------------------------------------------------------------------------------
+
+
+@query(_STATES_OF + "SELECT execution_id, n_incomplete > 0 AS needs_resolution, false AS needs_key_resolution, n_pending > 0 AS has_pending_retries, last_sequence - last_sequence // 2 AS events_replayed FROM states")
+def recovery_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _stored_journal(spark, sf_dir)
+    snapshot = checkpoints.take(events, staged(_halves(events), "halves"))
+    return recovery.flags(recovery.classify(checkpoints.recover(events, snapshot).executions), checkpoints.replayed_counts(events, snapshot))
+
+
+@query(_STATES_OF + """, opens AS (SELECT execution_id, string_agg(chr(10) || '  ' || call_id || ' ' || tool || ' ' || CASE WHEN status = 'STARTED' THEN 'started at ' || started_sequence ELSE 'requested at ' || requested_sequence END, '' ORDER BY CASE WHEN status = 'STARTED' THEN started_sequence ELSE requested_sequence END) AS t FROM calls WHERE status IN ('REQUESTED', 'STARTED') GROUP BY ALL),
+waits_text AS (SELECT execution_id, string_agg(chr(10) || '  ' || call_id || ' ' || tool || ' attempt ' || pending_attempt || ' after ' || pending_delay || 's', '' ORDER BY pending_sequence) AS t FROM calls WHERE pending_sequence IS NOT NULL GROUP BY ALL)
+SELECT s.execution_id, 'Execution: ' || s.execution_id || chr(10) || 'Status: ' || s.status || chr(10) || 'Last event: ' || last_sequence || coalesce(chr(10) || 'Open calls:' || o.t, '') || coalesce(chr(10) || 'Scheduled retries:' || w.t, '') AS report
+FROM states s LEFT JOIN opens o ON o.execution_id = s.execution_id LEFT JOIN waits_text w ON w.execution_id = s.execution_id""")
+def recovery_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _stored_journal(spark, sf_dir)
+    calls = fold.fold_calls(events)
+    return reports.recovery_report(fold.finish_executions(fold.partial_executions(events), calls), calls)
+
+
+@query(_CALLS_OF + """SELECT c.execution_id, t.last + row_number() OVER (PARTITION BY c.execution_id ORDER BY c.call_id) AS sequence, CASE e % 3 WHEN 0 THEN 'ToolCompleted' WHEN 1 THEN 'ToolFailed' ELSE 'ToolCancelled' END AS event_type, c.call_id, greatest(attempt, 1) AS attempt,
+  CASE e % 3 WHEN 0 THEN 'mark_completed' WHEN 1 THEN 'mark_failed' ELSE 'cancel' END AS resolution FROM (SELECT *, CAST(substr(call_id, 6) AS BIGINT) AS e FROM calls WHERE status IN ('REQUESTED', 'STARTED')) c JOIN (SELECT execution_id, max(sequence) AS last FROM journal GROUP BY ALL) t USING (execution_id)""")
+def call_resolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that settle every open call; calls that are not open get none."""
+    events = _stored_journal(spark, sf_dir)
+    calls = fold.fold_calls(events)
+    e = F.substring("call_id", 6, 20).cast("long") % 3
+    decisions = calls.select("execution_id", "call_id", F.when(e == 0, "mark_completed").when(e == 1, "mark_failed").otherwise("cancel").alias("action"), F.lit(1.0).alias("result"), F.lit("gone").alias("error"))
+    return recovery.resolutions(decisions, calls, fold.finish_executions(fold.partial_executions(events), calls)).select("execution_id", "sequence", "event_type", "call_id", "attempt", "resolution")
+
+
+@query(_CALLS_OF + "SELECT execution_id, call_id, tool, started_sequence FROM (SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY requested_sequence) AS n FROM calls WHERE status = 'STARTED') WHERE n = 1")
+def open_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recovery.open_calls(fold.fold_calls(journal(spark, sf_dir)))
+
+
+@query(_CALLS_OF + "SELECT c.execution_id, c.call_id, pending_attempt AS attempt, q.timeout FROM calls c JOIN journal q ON q.execution_id = c.execution_id AND q.call_id = c.call_id AND q.event_type = 'ToolRequested' WHERE pending_sequence IS NOT NULL")
+def retry_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scheduled retries with the deadline that their call was requested with."""
+    calls = fold.fold_calls(journal(spark, sf_dir))
+    return recovery.pending_retries(calls).join(calls.select("execution_id", "call_id", "timeout"), ["execution_id", "call_id"]).select("execution_id", "call_id", "attempt", "timeout")
+
+
+# -- ledger: scope, lookups, unreadable records ----------------------------------------------------------------------------
+
+
+def _scoped(sql: str) -> str:
+    """The walk over operations of which each fifth is asked for by another execution."""
+    out = sql.replace("'exec_' || user_id AS execution_id,", "'exec_' || user_id AS execution_id, CASE WHEN event_id % 5 = 0 THEN 'exec_' || (user_id + event_id % 2) END AS asked,")
+    out = out.replace("o.execution_id AS new_execution,", "o.execution_id AS new_execution, o.asked,")
+    return out.replace("WHEN w.status IS NULL THEN 'unknown_key' WHEN", "WHEN w.status IS NULL THEN 'unknown_key' WHEN o.asked <> w.execution_id THEN 'foreign_execution' WHEN")
+
+
+def _scoped_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("op_seq")
+    user = F.substring("execution_id", 6, 20).cast("long")
+    return ledger_ops(spark, sf_dir).withColumn("by_execution", F.when(e % 5 == 0, F.concat(F.lit("exec_"), (user + e % 2).cast("string"))))
+
+
+@raw_query(_scoped(_LEDGER) + "SELECT w.idempotency_key, w.op_seq, w.op, w.decision FROM walk w WHERE w.n > 0")
+def ledger_scoped_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.decisions(_scoped_ops(spark, sf_dir)).drop("result")
+
+
+@raw_query(_LEDGER + "SELECT execution_id, status, count(*)::BIGINT AS n FROM records GROUP BY ALL")
+def ledger_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.counts(ledger.records(ledger_ops(spark, sf_dir)))
+
+
+@raw_query(_LEDGER + f"SELECT {_RECORD_SQL} FROM records WHERE idempotency_key = 'key_7_1'")
+def ledger_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.record_of(ledger.records(ledger_ops(spark, sf_dir)), "key_7_1").select(*_RECORD_COLUMNS)
+
+
+@raw_query(_LEDGER + f"SELECT {_RECORD_SQL} FROM records WHERE status = 'PENDING'")
+def ledger_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.pending(ledger.records(ledger_ops(spark, sf_dir))).select(*_RECORD_COLUMNS)
+
+
+@raw_query("SELECT 'key_' || user_id || '_' || (event_id % 3) AS idempotency_key, event_id AS op_seq, unnest(CASE WHEN event_id % 3 = 0 THEN ['result', 'error'] ELSE ['error'] END) AS \"column\" FROM events WHERE event_id % 10 = 0")
+def ledger_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("op_seq")
+    broken = lambda wrong: F.when(wrong, "{").otherwise(F.lit('{"a": 1}'))
+    return validation.unreadable_ops(ledger_ops(spark, sf_dir).withColumns({"result": broken(e % 30 == 0), "error": broken(e % 10 == 0)}))
+
+
+@raw_query("SELECT 'key_' || user_id || '_' || (event_id % 3) AS idempotency_key, event_id AS op_seq FROM events WHERE event_id % 9 = 0")
+def ledger_blank_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = ledger_ops(spark, sf_dir).withColumn("kept", F.col("idempotency_key"))
+    return validation.blank_keys(ops.withColumn("idempotency_key", F.when(F.col("op_seq") % 9 != 0, F.col("kept")).when(F.col("op_seq") % 2 == 0, "  "))).select(F.col("kept").alias("idempotency_key"), "op_seq")
+
+
+@raw_query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"type":"ExecutionError","message":"unspecified failure"}' WHEN 1 THEN '{"type":"ExecutionError","message":"boom ' || event_id || '"}' ELSE '{"message":"x"}' END AS error FROM events""")
+def error_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    given = F.when(e % 3 == 1, F.concat(F.lit("boom "), e.cast("string"))).when(e % 3 == 2, '{"message":"x"}')
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", ledger.error_payload(given).alias("error"))
+
+
+# -- policies: precedence, bounds, kinds -----------------------------------------------------------------------------------
+
+
+@raw_query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'CANCELLED' WHEN 1 THEN 'TIMEOUT' WHEN 2 THEN 'RETRYABLE' WHEN 3 THEN 'PERMANENT' ELSE 'UNEXPECTED' END AS kind,
+  coalesce(CASE WHEN event_id % 2 = 0 THEN value END, CASE WHEN event_id % 3 = 0 THEN 7.5 END)::DOUBLE AS timeout, event_id % 2 = 0 OR event_id % 3 = 0 AS active, event_id % 4 <> 3 AS enforced_by_mode FROM events""")
+def timeout_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    names = F.array(*[F.lit(x) for x in (*policy.ERROR_TYPES, "ValueError")])
+    call, tool = F.when(e % 2 == 0, F.col("value")), F.when(e % 3 == 0, F.lit(7.5))
+    mode = F.when(e % 4 == 3, "UNSUPPORTED").otherwise("ASYNC")
+    timeout = policy.effective_timeout(call, tool)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", policy.error_kind(F.get(names, (e % 6).cast("int"))).alias("kind"), timeout.alias("timeout"), policy.is_timeout_active(timeout).alias("active"), policy.can_enforce(mode).alias("enforced_by_mode"))
+
+
+@raw_query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_id % 4 WHEN event_id % 3 = 0 THEN 9 ELSE 1 END::INT AS max_attempts, CASE WHEN event_id % 2 = 0 THEN 0.5 WHEN event_id % 3 = 0 THEN 1.5 ELSE 0.1 END::DOUBLE AS initial_delay,
+  NOT (event_id % 4 = 0) AS valid, event_id % 5 <> 0 AND event_id % 5 <> 1 AS valid_timeout FROM events""")
+def policy_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    call = F.when(e % 2 == 0, F.concat(F.lit('{"max_attempts":'), (e % 4).cast("string"), F.lit(',"initial_delay":0.5,"multiplier":2.0,"max_delay":10.0}')))
+    tool = F.when(e % 3 == 0, '{"max_attempts":9,"initial_delay":1.5,"multiplier":1.0,"max_delay":3.0,"retry_on_timeout":true}')
+    found = policy.parse_policy(policy.effective_policy(call, tool))
+    timeout = F.when(e % 5 == 0, -1.0).when(e % 5 == 1, float("nan")).when(e % 5 == 2, 3.5)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", found["max_attempts"].alias("max_attempts"), found["initial_delay"].alias("initial_delay"), policy.is_valid_policy(found).alias("valid"), policy.is_valid_timeout(timeout).alias("valid_timeout"))
+
+
+# -- replay: damaged journals, call ids and attempts, replay from a sequence --------------------------------------------------
+
+
+@query("SELECT execution_id, NOT (CAST(substr(execution_id, 6) AS BIGINT) % 3 = 0 AND max(sequence) > 5) AS matched, (count(*) - count(*) FILTER (sequence = 5 AND CAST(substr(execution_id, 6) AS BIGINT) % 3 = 0))::BIGINT AS events_replayed FROM journal GROUP BY execution_id")
+def replay_matched_damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifth event is lost in every third execution."""
+    events = _stored_journal(spark, sf_dir)
+    return replay.matched(events.where((F.substring("execution_id", 6, 20).cast("long") % 3 != 0) | (F.col("sequence") != 5)))
+
+
+@query(_CALLS_OF + _CANDIDATE.split("kept AS")[0].rstrip().rstrip(",") + """, compared AS (SELECT *, CASE WHEN e % 97 = 1 THEN 'call_id' WHEN status IN ('REQUESTED', 'STARTED', 'RETRYING') THEN 'missing_recorded_outcome' WHEN e % 89 = 2 THEN 'attempt' END AS kind FROM recorded)
+SELECT execution_id, index, kind, CASE kind WHEN 'call_id' THEN call_id WHEN 'attempt' THEN attempt::VARCHAR ELSE status END AS expected, CASE kind WHEN 'call_id' THEN 'other' WHEN 'attempt' THEN (attempt + 1)::VARCHAR END AS received
+FROM (SELECT *, row_number() OVER (PARTITION BY execution_id ORDER BY index) AS n FROM compared WHERE kind IS NOT NULL) WHERE n = 1""")
+def replay_binding_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that bind other call ids, or make another number of attempts."""
+    recorded = staged(replay.recorded_calls(fold.fold_calls(journal(spark, sf_dir))), "recorded")
+    e = F.substring("call_id", 6, 20).cast("long")
+    candidate = recorded.select("execution_id", "index", "tool", "arguments", "idempotency_key", F.when(e % 97 == 1, "other").otherwise(F.col("call_id")).alias("call_id"), (F.col("attempt") + F.when(e % 89 == 2, 1).otherwise(0)).alias("attempt"))
+    return replay.first_mismatches(recorded, candidate)
+
+
+@query(_CALLS_OF + _CANDIDATE + """SELECT execution_id, 'Execution: ' || execution_id || chr(10) || 'Call: ' || index || chr(10) || 'Mismatch: ' || kind || coalesce(chr(10) || 'Expected: ' || expected, '') || coalesce(chr(10) || 'Received: ' || received, '') AS report
+FROM (SELECT c.*, CASE kind WHEN 'missing_recorded_outcome' THEN r.status WHEN 'arguments' THEN r.arguments WHEN 'unexpected_tool_call' THEN NULL ELSE r.tool END AS expected, CASE kind WHEN 'arguments' THEN d.arguments WHEN 'tool_name' THEN d.tool WHEN 'unexpected_tool_call' THEN d.tool END AS received,
+  row_number() OVER (PARTITION BY c.execution_id ORDER BY c.index) AS n FROM compared c LEFT JOIN recorded r ON r.execution_id = c.execution_id AND r.index = c.index LEFT JOIN candidate d ON d.execution_id = c.execution_id AND d.index = c.index WHERE kind IS NOT NULL) WHERE n = 1""")
+def replay_mismatch_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.mismatch_report(_mismatches(spark, sf_dir))
+
+
+@query(_HALF + _CALLS.replace("{journal}", "half") + """, ok AS (SELECT execution_id, CASE WHEN CAST(substr(execution_id, 6) AS BIGINT) % 2 = 0 THEN 1 ELSE max(sequence) // 2 END AS start FROM journal WHERE CAST(substr(execution_id, 6) AS BIGINT) % 2 = 0 OR execution_id NOT IN (SELECT execution_id FROM calls WHERE status IN ('REQUESTED', 'STARTED') OR pending_sequence IS NOT NULL) GROUP BY execution_id)
+SELECT execution_id, sequence, event_type, call_id, attempt, failed_attempt FROM journal JOIN ok USING (execution_id) WHERE sequence > start""")
+def replay_regenerated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journals made again from their first event on, or from their middle where they can be replayed from there."""
+    events = _stored_journal(spark, sf_dir)
+    even = F.substring("execution_id", 6, 20).cast("long") % 2 == 0
+    allowed = replay.starts(events, _halves(events).select("execution_id", F.when(even, 1).otherwise(F.col("upto")).alias("start"))).where("verdict = 'ok'")
+    return replay.regenerate_from(events, staged(allowed, "starts")).select("execution_id", "sequence", "event_type", "call_id", "attempt", "failed_attempt")
+
+
+@query(_CALLS_OF + "SELECT execution_id, call_id, CASE WHEN deduplicated THEN 'deduplicated' ELSE 'execute' END AS decision, CASE WHEN deduplicated THEN result END AS result FROM calls WHERE CAST(substr(call_id, 6) AS BIGINT) % 2 = 1")
+def replay_guard_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed calls are those of odd events."""
+    keyed = F.when(F.substring("call_id", 6, 20).cast("long") % 2 == 1, F.col("call_id"))
+    return replay.guard_decisions(fold.fold_calls(journal(spark, sf_dir).withColumn("idempotency_key", keyed)))
