@@ -1,65 +1,23 @@
-"""Shared plumbing: tables, staging in the cluster's shared folder, and empty-safe Arrow output."""
+"""Shared plumbing: tables, Arrow batches bounded in bytes, and empty-safe Arrow output; staging is foldlight.staging's."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from foldlight.shipping import ship
+from foldlight.staging import discard, new_path, release, staged
+
+__all__ = ["discard", "in_arrow", "new_path", "record", "release", "staged", "table", "unused"]
 
 #: Bytes of an Arrow batch: a task holds a few of them, in the JVM and in Python.
 BATCH_BYTES = 4 << 20
-LOCAL_STAGING = "/tmp/checkpoints/foldlight"
-
-#: Staged tables of this application, with the file systems that hold them; results may read them until it ends.
-_staged: dict[str, tuple] = {}
-
-
-@atexit.register
-def _clean_up() -> None:
-    for path, (where, system) in list(_staged.items()):
-        with contextlib.suppress(Exception):  # the JVM may be gone already
-            system.delete(where, True)
-            del _staged[path]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own in local mode, where it is unset."""
-    if given := spark.conf.get("spark.checkpoint.dir", None):
-        return given.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return LOCAL_STAGING
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    """A path in the shared folder for a table of this application; it goes when the application ends."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    _staged[path] = where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return path
-
-
-def staged(df: DataFrame, what: str) -> DataFrame:
-    """`df` written as Parquet in the shared folder and read back: cuts lineage and survives lost executors.
-
-    Rows of the written table never change, so results that read it several times agree.
-    """
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    return out
-
-
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     """df.mapInArrow(run, schema) over batches bounded in bytes, not only in rows: texts may be very long.
 
@@ -70,18 +28,6 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing will read again: what came of them is staged itself."""
-    for df in tables:
-        where, system = _staged.pop(df.staged_path)
-        system.delete(where, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are no longer referenced."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def unused(df: DataFrame, stem: str) -> str:
     """A column name that `df` does not have."""
     taken = {c.lower() for c in df.columns}
