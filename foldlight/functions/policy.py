@@ -45,6 +45,11 @@ def parse_policy(text: Column) -> Column:
     return F.when(text.isNull(), none).otherwise(given)
 
 
+def policy_json(policy: Column) -> Column:
+    """The stored text of a policy struct; parse_policy reads it back."""
+    return F.to_json(policy)
+
+
 def is_valid_policy(policy: Column) -> Column:
     return F.coalesce((policy["max_attempts"] >= 1) & (policy["initial_delay"] >= 0) & (policy["multiplier"] >= 1) & (policy["max_delay"] >= 0), F.lit(False))
 
@@ -67,5 +72,15 @@ def is_timeout_active(timeout: Column) -> Column:
     return timeout.isNotNull()
 
 
+def timeout_mode(is_async: Column, takes_token: Column) -> Column:
+    """What can stop a tool: its coroutine, a token that it asks, or nothing."""
+    return F.when(is_async, "ASYNC").when(takes_token, "COOPERATIVE").otherwise("UNSUPPORTED")
+
+
+def is_refused_timeout(timeout: Column, mode: Column) -> Column:
+    """A deadline that nothing can enforce is refused before a call is requested."""
+    return timeout.isNotNull() & ~can_enforce(mode)
+
+
 def can_enforce(mode: Column) -> Column:
     return mode != "UNSUPPORTED"

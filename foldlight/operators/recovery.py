@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldlight.functions.predicates import is_ambiguous, is_incomplete_status, is_stop_status, timeout_enforced
+from foldlight.operators import fold
 
 
 def incomplete_tools(calls: DataFrame) -> DataFrame:
@@ -68,6 +69,22 @@ def flags(classified: DataFrame, replayed: DataFrame | None = None) -> DataFrame
     return rows.join(replayed.select("execution_id", F.col("n_replayed").alias("events_replayed")), "execution_id", "left").withColumn("events_replayed", F.coalesce("events_replayed", F.lit(0)))
 
 
+def snapshots(states: DataFrame, calls: DataFrame, attempts: DataFrame, checkpoints: DataFrame | None = None) -> DataFrame:
+    """(execution_id, snapshot): the state of each execution as one JSON text, with its calls, open calls and scheduled retries.
+
+    checkpoints: (execution_id, sequence), for the latest one's place.  For executions of ordinary size, as checkpoint rows are.
+    """
+    by = lambda rows, order, name: rows.groupBy("execution_id").agg(F.array_sort(F.collect_list(F.struct(order, *[c for c in rows.columns if c not in ("execution_id", order)]))).alias(name))
+    joined = states.join(by(fold.with_attempts(calls, attempts), "requested_sequence", "tool_calls"), "execution_id", "left")
+    joined = joined.join(by(incomplete_tools(calls), "sequence", "incomplete_tools"), "execution_id", "left").join(by(pending_retries(calls), "sequence", "pending_retries"), "execution_id", "left")
+    if checkpoints is None:
+        joined = joined.withColumn("latest_checkpoint", F.lit(None).cast("long"))
+    else:
+        joined = joined.join(checkpoints.groupBy("execution_id").agg(F.max("sequence").alias("latest_checkpoint")), "execution_id", "left")
+    lists = [F.coalesce(c, F.array()).alias(c) for c in ("tool_calls", "incomplete_tools", "pending_retries")]
+    return joined.select("execution_id", F.to_json(F.struct("execution_id", "status", "goal", "last_sequence", "result", "error", "latest_checkpoint", *lists)).alias("snapshot"))
+
+
 def listing(states: DataFrame, checkpoints: DataFrame, unresolved: DataFrame) -> DataFrame:
     """(execution_id, status, n_events, n_checkpoints, n_unresolved_keys)."""
     saved = checkpoints.groupBy("execution_id").agg(F.count("*").alias("n_checkpoints"))

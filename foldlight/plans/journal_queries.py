@@ -790,3 +790,74 @@ def replay_guard_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed calls are those of odd events."""
     keyed = F.when(F.substring("call_id", 6, 20).cast("long") % 2 == 1, F.col("call_id"))
     return replay.guard_decisions(fold.fold_calls(journal(spark, sf_dir).withColumn("idempotency_key", keyed)))
+
+
+# -- goals, results and errors of executions; keyed calls; snapshots ----------------------------------------------------------
+
+#: The journal with what lifecycle events carry, and with keys on a third of the calls.
+_TOLD = """, told AS (SELECT * EXCLUDE (result, error), CASE WHEN event_type = 'ExecutionStarted' THEN 'goal of ' || execution_id END AS goal, CASE WHEN event_type IN ('ExecutionCompleted', 'ExecutionCancelled') THEN sequence::DOUBLE ELSE result END AS result,
+  CASE WHEN event_type = 'ExecutionFailed' THEN 'failed at ' || sequence ELSE error END AS error, CASE WHEN event_type = 'ToolRequested' AND CAST(substr(call_id, 6) AS BIGINT) % 3 = 0 THEN 'key ' || call_id END AS idempotency_key FROM journal)
+"""
+
+
+def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, at = F.col("event_type"), F.col("sequence")
+    keyed = (kind == "ToolRequested") & (F.substring("call_id", 6, 20).cast("long") % 3 == 0)
+    return journal(spark, sf_dir).withColumns({
+        "goal": F.when(kind == "ExecutionStarted", F.concat(F.lit("goal of "), "execution_id")), "idempotency_key": F.when(keyed, F.concat(F.lit("key "), "call_id")),
+        "result": F.when(kind.isin("ExecutionCompleted", "ExecutionCancelled"), at.cast("double")).otherwise(F.col("result")), "error": F.when(kind == "ExecutionFailed", F.concat(F.lit("failed at "), at.cast("string"))).otherwise(F.col("error")),
+    })
+
+
+@query(_TOLD + """SELECT execution_id, max(goal) AS goal, arg_max(result, sequence) FILTER (event_type IN ('ExecutionCompleted', 'ExecutionCancelled')) AS result, max(error) FILTER (event_type = 'ExecutionFailed') AS error FROM told GROUP BY execution_id""")
+def execution_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fold.fold_executions(_told(spark, sf_dir)).select("execution_id", "goal", "result", "error")
+
+
+@query(_TOLD + _CALLS_OF + """SELECT c.execution_id, c.call_id, c.tool, completed_sequence AS sequence, t.idempotency_key IS NOT NULL AS ambiguous_effect FROM calls c JOIN told t ON t.execution_id = c.execution_id AND t.call_id = c.call_id AND t.event_type = 'ToolRequested' WHERE status = 'TIMED_OUT' AND NOT c.enforced""")
+def ambiguous_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recovery.ambiguous_timeouts(fold.fold_calls(_told(spark, sf_dir)))
+
+
+@query(_TOLD + _CALLS_OF + _ATTEMPTS + """SELECT c.execution_id, row_number() OVER (PARTITION BY c.execution_id ORDER BY c.requested_sequence) - 1 AS index, c.call_id, t.idempotency_key, t.timeout, c.deduplicated, (SELECT count(*) FROM attempts a WHERE a.execution_id = c.execution_id AND a.call_id = c.call_id)::BIGINT AS n_attempts
+  FROM calls c JOIN told t ON t.execution_id = c.execution_id AND t.call_id = c.call_id AND t.event_type = 'ToolRequested' WHERE c.requested_sequence > 10""")
+def replay_recorded_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a replay after the tenth event serves."""
+    events = staged(_told(spark, sf_dir), "journal")
+    after = scans.last_sequences(events).select("execution_id", F.lit(10).alias("start"))
+    found = replay.recorded_with_requests(fold.fold_calls(events), fold.fold_attempts(events), after)
+    return found.select("execution_id", "index", "call_id", "idempotency_key", "timeout", "deduplicated", F.size("attempts").cast("long").alias("n_attempts"))
+
+
+@query(_TOLD + _STATES_OF + """SELECT s.execution_id, s.status, 'goal of ' || s.execution_id AS goal, s.last_sequence, s.last_sequence // 10 * 10 AS latest_checkpoint, s.n_calls, s.n_incomplete, s.n_pending, (SELECT c.call_id FROM calls c WHERE c.execution_id = s.execution_id ORDER BY requested_sequence LIMIT 1) AS first_call FROM states s""")
+def execution_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = staged(_told(spark, sf_dir), "journal")
+    states = checkpoints.recover(events)
+    found = recovery.snapshots(states.executions, states.calls, states.attempts, _tens(events))
+    get = lambda path: F.get_json_object("snapshot", f"$.{path}")
+    size = lambda path: F.json_array_length(get(path)).cast("long")
+    return found.select("execution_id", get("status").alias("status"), get("goal").alias("goal"), get("last_sequence").cast("long").alias("last_sequence"), get("latest_checkpoint").cast("long").alias("latest_checkpoint"), size("tool_calls").alias("n_calls"), size("incomplete_tools").alias("n_incomplete"), size("pending_retries").alias("n_pending"), get("tool_calls[0].call_id").alias("first_call"))
+
+
+@query(_TOLD + "SELECT execution_id, sequence, CASE WHEN sequence % 3 = 0 THEN 1 WHEN sequence % 3 = 1 THEN greatest(sequence % 4, 1) ELSE 1 END::INT AS attempt FROM told")
+def attempt_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.col("sequence")
+    return journal(spark, sf_dir).select("execution_id", "sequence", predicates.attempt_number(F.when(s % 3 == 0, 0).when(s % 3 == 1, (s % 4).cast("int"))).alias("attempt"))
+
+
+@raw_query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"a":1,"b":[true,null,"é"],"c":' || event_id || '}' WHEN 1 THEN NULL WHEN 2 THEN '[' || event_id || ',{"x":"y"}]' END AS canonical FROM events""")
+def canonical_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foldlight.functions.canonical import canonical_json
+
+    e = F.col("event_id")
+    given = F.when(e % 4 == 0, F.concat(F.lit('{ "c": '), e.cast("string"), F.lit(', "b": [true, null, "\\u00e9"],  "a": 1.0}'))).when(e % 4 == 1, "{NaN").when(e % 4 == 2, F.concat(F.lit(" [ "), e.cast("string"), F.lit(' , {"x" : "y"} ]')))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", canonical_json(given).alias("canonical"))
+
+
+@raw_query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'ASYNC' WHEN event_id % 2 = 0 THEN 'COOPERATIVE' ELSE 'UNSUPPORTED' END AS mode, event_id % 5 = 0 AND event_id % 3 <> 0 AND event_id % 2 <> 0 AS refused,
+  '{"max_attempts":' || (1 + event_id % 3) || ',"initial_delay":0.5,"multiplier":2.0,"max_delay":8.0,"retry_on_unknown":' || (event_id % 2 = 0) || ',"retry_on_timeout":false}' AS policy FROM events""")
+def policy_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    mode = policy.timeout_mode(e % 3 == 0, e % 2 == 0)
+    text = F.concat(F.lit('{"retry_on_unknown":'), (e % 2 == 0).cast("string"), F.lit(', "max_delay":8, "max_attempts":'), (1 + e % 3).cast("string"), F.lit(',"initial_delay":0.5,"multiplier":2}'))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", mode.alias("mode"), policy.is_refused_timeout(F.when(e % 5 == 0, F.lit(1.0)), mode).alias("refused"), policy.policy_json(policy.parse_policy(text)).alias("policy"))
