@@ -82,39 +82,50 @@ def regenerate(events: DataFrame, calls: DataFrame, attempts: DataFrame) -> Data
     Each call's events stand together, at its request's place; a cancellation during a backoff is written after the
     retry that it called off.
     """
-    e = fold.conform(events)
-    lifecycle = e.where(F.col("event_type").isin(*S.LIFECYCLE_EVENTS)).select("execution_id", F.col("sequence").alias("place"), F.lit(0).alias("step"), "event_type", F.col("result"), F.col("error"), "goal")
-    request = calls.select("execution_id", F.col("requested_sequence").alias("place"), F.lit(0).alias("step"), F.lit("ToolRequested").alias("event_type"), "call_id", "tool", "arguments", "idempotency_key", "timeout", "timeout_mode", "deduplicated", "retry_policy")
-    of = attempts.alias("a").join(calls.select("execution_id", "call_id", "tool", "requested_sequence", "timeout", "enforced").alias("c"), ["execution_id", "call_id"])
-    outcome = F.expr("element_at(map('COMPLETED', 'ToolCompleted', 'FAILED', 'ToolFailed', 'TIMED_OUT', 'ToolTimedOut', 'CANCELLED', 'ToolCancelled'), a.status)")
-    null = lambda t: F.lit(None).cast(t)
     result, error = calls.schema["result"].dataType, calls.schema["error"].dataType
+    null = lambda t: F.lit(None).cast(t)
 
-    def step(n, event, attempt, result_, error_, failed=None, delay=None, timeout=None, enforced=None):
-        return F.struct(F.lit(n).alias("n"), event.alias("event_type"), attempt.cast("int").alias("attempt"), result_.cast(result).alias("result"), error_.cast(error).alias("error"), (failed if failed is not None else null("int")).cast("int").alias("failed_attempt"), (delay if delay is not None else null("double")).alias("delay"), (timeout if timeout is not None else null("double")).alias("timeout"), (enforced if enforced is not None else null("boolean")).alias("enforced"))
+    def step(event, attempt, result_=None, error_=None, failed=None, delay=None, timeout=None, enforced=None):
+        fields = {"event_type": (event, "string"), "attempt": (attempt, "int"), "result": (result_, result), "error": (error_, error), "failed_attempt": (failed, "int"), "delay": (delay, "double"), "timeout": (timeout, "double"), "enforced": (enforced, "boolean")}
+        return F.struct(*[(null(t) if v is None else v.cast(t)).alias(k) for k, (v, t) in fields.items()])
 
-    none = F.lit(None)
+    of = attempts.alias("a").join(calls.where("attempt > 0").select("execution_id", "call_id", "timeout", "enforced").alias("c"), ["execution_id", "call_id"])
+    outcome = F.expr("element_at(map('COMPLETED', 'ToolCompleted', 'FAILED', 'ToolFailed', 'TIMED_OUT', 'ToolTimedOut', 'CANCELLED', 'ToolCancelled'), a.status)")
     timed = F.col("a.status") == "TIMED_OUT"
     off = (F.col("a.status") == "CANCELLED") & F.col("a.retry_sequence").isNotNull()  # cancelled while it waited for a retry
     a = F.col("a.attempt")
-    settle = step(1, outcome, a, F.col("a.result"), F.col("a.error"), timeout=F.when(timed, F.col("c.timeout")), enforced=F.when(timed, F.col("c.enforced")))
-    retry = step(2, F.lit("ToolRetryScheduled"), F.col("a.retry_attempt"), none, F.when(~off, F.col("a.error")), a, F.col("a.retry_delay"))
     steps = F.array(
-        F.when(F.col("a.started_sequence") > 0, step(0, F.lit("ToolStarted"), a, none, none)),
-        F.when(~is_incomplete_status(F.col("a.status")) & ~off, settle),
+        F.when(F.col("a.started_sequence") > 0, step(F.lit("ToolStarted"), a)),
+        F.when(~is_incomplete_status(F.col("a.status")) & ~off, step(outcome, a, F.col("a.result"), F.col("a.error"), timeout=F.when(timed, F.col("c.timeout")), enforced=F.when(timed, F.col("c.enforced")))),
         # What the attempt failed with was overwritten by the cancellation; that it failed is known.
-        F.when(off, step(1, F.lit("ToolFailed"), a, none, none)),
-        F.when(F.col("a.retry_sequence").isNotNull(), retry),
-        F.when(off, step(3, outcome, a, none, F.col("a.error"))),
+        F.when(off, step(F.lit("ToolFailed"), a)),
+        F.when(F.col("a.retry_sequence").isNotNull(), step(F.lit("ToolRetryScheduled"), F.col("a.retry_attempt"), None, F.when(~off, F.col("a.error")), a, F.col("a.retry_delay"))),
+        F.when(off, step(outcome, a, None, F.col("a.error"))),
     )
-    made = of.select("execution_id", "call_id", "c.tool", F.col("c.requested_sequence").alias("place"), a.alias("nth"), F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("s"))
-    made = made.select("execution_id", "call_id", "tool", "place", (F.col("nth") * 4 + F.col("s.n")).alias("step"), "s.event_type", "s.attempt", "s.result", "s.error", "s.failed_attempt", "s.delay", "s.timeout", "s.enforced")
-    every = request.unionByName(made, allowMissingColumns=True).unionByName(lifecycle, allowMissingColumns=True)
-    # A place's rows follow each other: their number before the place, and their rank at it.
-    counted = blocks.running_sum(every.groupBy("execution_id", "place").agg(F.count("*").alias("n")), F.col("n"), "before", order="place")
-    rank = F.row_number().over(Window.partitionBy("execution_id", "place").orderBy("step"))
-    numbered = every.join(counted.select("execution_id", "place", "before"), ["execution_id", "place"])
-    return numbered.withColumn("sequence", (F.col("before") + rank).cast("long")).drop("place", "step", "before")
+    made = of.select("execution_id", "call_id", F.struct(a.alias("nth"), F.array_compact(steps).alias("steps")).alias("s"))
+    made = made.groupBy("execution_id", "call_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["steps"])).alias("steps"))
+    # One row per call or lifecycle event with the steps that follow it, so that a row's place in the whole is a sum over rows.
+    requests = ("tool", "arguments", "idempotency_key", "timeout", "timeout_mode", "deduplicated", "retry_policy")
+    asked = calls.join(made, ["execution_id", "call_id"], "left")
+    asked = asked.select("execution_id", F.col("requested_sequence").alias("place"), F.lit("ToolRequested").alias("first"), "call_id", *requests, F.when(F.col("attempt") > 0, F.col("steps")).alias("steps"))
+    e = fold.conform(events)
+    lifecycle = e.where(F.col("event_type").isin(*S.LIFECYCLE_EVENTS)).select("execution_id", F.col("sequence").alias("place"), F.col("event_type").alias("first"), F.col("result").cast(result).alias("ended"), F.col("error").cast(error).alias("failed"), "goal")
+    every = asked.unionByName(lifecycle, allowMissingColumns=True).withColumn("steps", F.concat(F.array(step(None, None)), F.coalesce("steps", F.array())))
+    placed = blocks.running_sum(every, F.size("steps"), "before", order="place")
+    each = placed.select("*", F.posexplode("steps").alias("pos", "s"))
+    is_first = F.col("pos") == 0
+    own = {c: F.when(is_first, F.col(c)) for c in requests if c not in ("tool", "timeout")}
+    return each.select(
+        "execution_id",
+        (F.col("before") + F.col("pos") + 1).cast("long").alias("sequence"),
+        F.when(is_first, F.col("first")).otherwise(F.col("s.event_type")).alias("event_type"),
+        "call_id", "tool",
+        *[v.alias(c) for c, v in own.items()],
+        F.when(is_first, F.col("timeout")).otherwise(F.col("s.timeout")).alias("timeout"),
+        F.when(is_first, F.col("ended")).otherwise(F.col("s.result")).alias("result"),
+        F.when(is_first, F.col("failed")).otherwise(F.col("s.error")).alias("error"),
+        "goal", "s.attempt", "s.failed_attempt", "s.delay", "s.enforced",
+    )
 
 
 def regenerate_from(events: DataFrame, allowed: DataFrame) -> DataFrame:
