@@ -191,12 +191,14 @@ def summary(events: DataFrame, calls: DataFrame, attempts: DataFrame) -> DataFra
 def starts(events: DataFrame, wanted: DataFrame) -> DataFrame:
     """(execution_id, start, verdict, events_replayed): whether a replay can start after each execution's sequence.
 
-    wanted: (execution_id, start).  Verdicts: ok, out_of_range, open_call, pending_retry (the start lies inside a call
-    that waits for its next attempt, whose events a replay could not place).
+    wanted: (execution_id, start).  Verdicts: ok, out_of_range, open_call, pending_retry (a call waits for its next attempt
+    there), inside_call (a call that had settled there was retried later): a replay could not place the events that such a call still has.
     """
     last = events.groupBy("execution_id").agg(F.max("sequence").alias("last"))
     calls = fold.fold_calls(prefix(events, wanted.select("execution_id", F.col("start").alias("upto"))))
     there = calls.groupBy("execution_id").agg(F.count_if(is_incomplete_status(F.col("status"))).alias("open"), F.count_if(F.col("pending_retry").isNotNull()).alias("waiting"))
-    joined = wanted.join(last, "execution_id").join(there, "execution_id", "left")
-    verdict = F.when((F.col("start") < 0) | (F.col("start") > F.col("last")), "out_of_range").when(F.coalesce("open", F.lit(0)) > 0, "open_call").when(F.coalesce("waiting", F.lit(0)) > 0, "pending_retry").otherwise("ok")
+    spans = events.where("call_id is not null").groupBy("execution_id", "call_id").agg(F.min("sequence").alias("a"), F.max("sequence").alias("b"))
+    inside = spans.join(wanted.select("execution_id", "start"), "execution_id").where("a <= start and b > start").groupBy("execution_id").agg(F.count("*").alias("inside"))
+    joined = wanted.join(last, "execution_id").join(there, "execution_id", "left").join(inside, "execution_id", "left")
+    verdict = F.when((F.col("start") < 0) | (F.col("start") > F.col("last")), "out_of_range").when(F.coalesce("open", F.lit(0)) > 0, "open_call").when(F.coalesce("waiting", F.lit(0)) > 0, "pending_retry").when(F.coalesce("inside", F.lit(0)) > 0, "inside_call").otherwise("ok")
     return joined.select("execution_id", "start", verdict.alias("verdict"), F.when(verdict == "ok", F.col("last") - F.col("start")).otherwise(0).cast("long").alias("events_replayed"))

@@ -441,7 +441,8 @@ def replay_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_HALF + _CALLS.replace("{journal}", "half") + """, tops AS (SELECT execution_id, max(sequence) AS last FROM journal GROUP BY ALL),
 verdicts AS (SELECT execution_id, last, last // 2 AS start, CASE WHEN EXISTS (SELECT 1 FROM calls c WHERE c.execution_id = t.execution_id AND status IN ('REQUESTED', 'STARTED')) THEN 'open_call'
-  WHEN EXISTS (SELECT 1 FROM calls c WHERE c.execution_id = t.execution_id AND pending_sequence IS NOT NULL) THEN 'pending_retry' ELSE 'ok' END AS verdict FROM tops t)
+  WHEN EXISTS (SELECT 1 FROM calls c WHERE c.execution_id = t.execution_id AND pending_sequence IS NOT NULL) THEN 'pending_retry'
+  WHEN EXISTS (SELECT 1 FROM (SELECT execution_id, call_id, min(sequence) AS a, max(sequence) AS b FROM journal WHERE call_id IS NOT NULL GROUP BY ALL) s WHERE s.execution_id = t.execution_id AND s.a <= t.last // 2 AND s.b > t.last // 2) THEN 'inside_call' ELSE 'ok' END AS verdict FROM tops t)
 SELECT execution_id, start, verdict, CASE WHEN verdict = 'ok' THEN last - start ELSE 0 END AS events_replayed FROM verdicts""")
 def replay_from_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stored_journal(spark, sf_dir)
@@ -775,7 +776,8 @@ def replay_mismatch_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.mismatch_report(_mismatches(spark, sf_dir))
 
 
-@query(_HALF + _CALLS.replace("{journal}", "half") + """, ok AS (SELECT execution_id, CASE WHEN CAST(substr(execution_id, 6) AS BIGINT) % 2 = 0 THEN 1 ELSE max(sequence) // 2 END AS start FROM journal WHERE CAST(substr(execution_id, 6) AS BIGINT) % 2 = 0 OR execution_id NOT IN (SELECT execution_id FROM calls WHERE status IN ('REQUESTED', 'STARTED') OR pending_sequence IS NOT NULL) GROUP BY execution_id)
+@query(_HALF + _CALLS.replace("{journal}", "half") + """, ok AS (SELECT execution_id, CASE WHEN CAST(substr(execution_id, 6) AS BIGINT) % 2 = 0 THEN 1 ELSE max(sequence) // 2 END AS start FROM journal WHERE CAST(substr(execution_id, 6) AS BIGINT) % 2 = 0 OR execution_id NOT IN (SELECT execution_id FROM calls WHERE status IN ('REQUESTED', 'STARTED') OR pending_sequence IS NOT NULL
+  UNION SELECT s.execution_id FROM (SELECT execution_id, call_id, min(sequence) AS a, max(sequence) AS b FROM journal WHERE call_id IS NOT NULL GROUP BY ALL) s JOIN (SELECT execution_id, max(sequence) // 2 AS half FROM journal GROUP BY ALL) h ON h.execution_id = s.execution_id AND s.a <= half AND s.b > half) GROUP BY execution_id)
 SELECT execution_id, sequence, event_type, call_id, attempt, failed_attempt FROM journal JOIN ok USING (execution_id) WHERE sequence > start""")
 def replay_regenerated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Journals made again from their first event on, or from their middle where they can be replayed from there."""
