@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from foldlight.shipping import ship
 from foldlight.staging import discard, new_path, release, staged
 
-__all__ = ["discard", "in_arrow", "new_path", "record", "release", "staged", "table", "unused"]
+__all__ = ["bounded_batches", "discard", "in_arrow", "new_path", "record", "release", "staged", "table", "unused"]
 
 #: Bytes of an Arrow batch: a task holds a few of them, in the JVM and in Python.
 BATCH_BYTES = 4 << 20
@@ -18,13 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def in_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(run, schema) over batches bounded in bytes, not only in rows: texts may be very long.
+def bounded_batches(spark: SparkSession) -> None:
+    """Lets workers import the operators, and bounds Arrow batches in bytes, not only in rows: texts may be very long.
 
     The bound is a setting of the session, which has no form for a single plan.
     """
-    ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) over bounded batches."""
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlight.llm import chat, decontaminate, langid, lines, mixing, quality, secrets, simhash, substrings, tokenids
+from foldlight.llm import chat, decontaminate, filter_audit, fim, fingerprints, langid, lines, mixing, quality, secrets, simhash, substrings, tokenids
 from foldlight.llm.common import table
 
 
@@ -73,6 +73,20 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digests(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut, put out and restored; the digests of both stand for the texts."""
+    found = fim.restore_texts(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.next_likeness(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_quality_rules": op2_quality_rules,
@@ -84,6 +98,9 @@ QUERIES = {
     "op8_token_ids": op8_token_ids,
     "op9_line_dedup": op9_line_dedup,
     "op10_secret_scans": op10_secret_scans,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_document_fingerprints": op13_document_fingerprints,
 }
 
 ORACLES = {
@@ -92,4 +109,6 @@ ORACLES = {
     "op3_mix_sources": mixing.ORACLE.replace("{docs}", "documents"),
     "op9_line_dedup": lines.ORACLE,
     "op10_secret_scans": secrets.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
 }
