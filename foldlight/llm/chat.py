@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldlight.llm.common import in_arrow, staged
@@ -31,7 +31,8 @@ NAMES = {
     "system": "system", "developer": "system", "instructions": "system", "tool": "tool", "function": "tool", "observation": "tool", "user": "user", "human": "user", "question": "user", "q": "user", "customer": "user",
     "assistant": "assistant", "ai": "assistant", "bot": "assistant", "model": "assistant", "answer": "assistant", "a": "assistant", "agent": "assistant",
 }
-MARKER = re.compile(r"^\s*(?:<\|(?P<tag>[^|\n]+)\|>|[\[(*#]*\s*(?P<name>\w+)\s*[\])*#]*\s*:)\s*", re.I)
+#: Its parts share no characters, so that none has to give back what it took: linear in the line.
+MARKER = re.compile(r"^\s*+(?:<\|(?P<tag>[^|\n]++)\|>|[\[(*#]*+\s*+(?P<name>\w++)\s*+[\])*#]*+\s*+:)\s*+", re.I)
 #: Chance that a turn starts with a marker; that a marker names another role; that a line inside a turn looks marked.
 MARKED, WRONG, STRAY = 0.85, 0.0005, 0.002
 #: Chance that a turn starts a row, that a line inside a turn does, and that the next line goes on with the turn.
@@ -181,22 +182,28 @@ def _walk(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"conv": group["conv"], "part": group["part"].astype("int32"), "before": np.array([-1, *last[:-1]], "int32"), "last": np.array(last, "int32")})
 
 
-_TURNS = pa.schema([("conv", pa.string()), ("turn", pa.int64()), ("piece", pa.int64()), ("role", pa.string()), ("continues", pa.bool_()), ("n_lines", pa.int64()), ("text", pa.large_string())])
+_TURNS = pa.schema([("conv", pa.string()), ("turn", pa.int64()), ("piece", pa.int64()), ("role", pa.string()), ("n_lines", pa.int64()), ("text", pa.large_string()), ("part", pa.int32()), ("continues", pa.bool_()), ("cut", pa.bool_())])
+_TURNS_DDL = "conv string, turn long, piece long, role string, n_lines long, text string, part int, continues boolean, cut boolean"
 
 
 def _decode(model: Hmm, size: int = 4096):
+    """Turns; `continues`: it goes on with the last one of the partition before; `cut`: it may be one piece of several."""
+
     def run(batches):
         out: list[tuple] = []
-        for _, (convs, turns, texts, before, last) in _parts(batches):
+        for (part, _), (convs, turns, texts, before, last) in _parts(batches):
             rows, names, lines, emissions = observations(texts, model)
             first = model.start if before[0] is None or before[0] < 0 else model.step[before[0]]
             states = viterbi(emissions, first, model.step, -1 if last[0] is None else last[0])
             begins = np.flatnonzero((states % 2 == 0) | (np.arange(len(states)) == 0))
             row, piece = -1, 0
             for a, b in zip(begins, [*begins[1:], len(states)], strict=True):
-                row, piece = rows[a], piece + 1 if rows[a] == row else 0
+                continues = bool(states[a] % 2)
+                if not continues:
+                    row, piece = rows[a], piece + 1 if rows[a] == row else 0
                 role = ROLES[states[a] // 2]
-                out.append((convs[0], turns[row], piece, names[a] or OTHER if role == OTHER else role, bool(states[a] % 2), int(b - a), "\n".join(lines[a:b])))
+                cut = continues or (b == len(states) and last[0] is not None)
+                out.append((convs[0], turns[rows[a]], piece, names[a] or OTHER if role == OTHER else role, int(b - a), "\n".join(lines[a:b]), part, continues, cut))
             if len(out) >= size:
                 yield _table(out)
                 out = []
@@ -228,11 +235,11 @@ def _parts(batches):
 
 
 def parse_transcripts(rows: DataFrame, model: Hmm, conv: str = "conv_id", turn: str = "turn", text: str = "text", marker: str | None = None) -> DataFrame:
-    """(conv, turn, piece, role, continues, n_lines, text, rendered): one row per recovered turn.
+    """(conv, turn, piece, role, n_lines, text, rendered): one row per recovered turn.
 
-    `turn` and `piece` say where it starts: the row, and the number of turns that start in that row before.  A turn cut
-    at a partition's edge is several rows, all but the first with `continues`.  `rendered` is the turn in the canonical
-    form, `<|role|>` on a line of its own before the text; the texts in order of (turn, piece) are the transcript.
+    `turn` and `piece` say where it starts: the row, and the number of turns that start in that row before.  `rendered` is the
+    turn in the canonical form, `<|role|>` on a line of its own before the text; the texts in order of (turn, piece) are the
+    transcript.
     `marker`: a column with the speaker's name, put before its row's text as <|name|>.  A name that means no known role is the role
     of its turn.  A null text is one empty line; a null or blank marker is none; rows without a conversation are one conversation, as are those of equal ids; rows of one turn number are
     ordered by their text; a null turn comes first.
@@ -254,8 +261,21 @@ def parse_transcripts(rows: DataFrame, model: Hmm, conv: str = "conv_id", turn:
     pieces = in_arrow(back(lines), _summary_runs(model), "conv string, part int, best array<double>")
     cuts = staged(pieces.groupBy("conv").applyInPandas(_walk, _CUTS), "cut-states")
     known = ordered.alias("o").join(F.broadcast(cuts).alias("c"), F.expr("o.part = c.part and o.conv <=> c.conv"), "left").select("o.part", "o.place", "o.conv", "o.turn", "o.text", "c.before", "c.last")
-    found = in_arrow(back(known), _decode(model), "conv string, turn long, piece long, role string, continues boolean, n_lines long, text string")
-    return found.withColumn("rendered", F.concat(F.when(F.col("continues"), "").otherwise(F.concat(F.lit("<|"), "role", F.lit("|>\n"))), "text", F.lit("\n")))
+    found = staged(in_arrow(back(known), _decode(model), _TURNS_DDL), "turns")
+    turns = found.where("not cut").select(*_TURN).unionByName(_pieces_joined(found.where("cut")))
+    return turns.withColumn("rendered", F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("\n")))
+
+
+_TURN = ("conv", "turn", "piece", "role", "n_lines", "text")
+
+
+def _pieces_joined(pieces: DataFrame) -> DataFrame:
+    """Turns of the pieces at the partitions' edges, of which there are two a partition at most: each starts with one that does not continue."""
+    place = F.struct("part", F.when(F.col("continues"), 0).otherwise(1).alias("place"))
+    nth = F.count_if(~F.col("continues")).over(Window.partitionBy("conv").orderBy(place))
+    listed = F.array_sort(F.collect_list(F.struct(place.alias("place"), "text")))
+    one = pieces.withColumn("nth", nth).groupBy("conv", "nth").agg(F.min(F.struct(place.alias("place"), "turn", "piece", "role")).alias("first"), F.sum("n_lines").alias("n_lines"), listed.alias("listed"))
+    return one.select("conv", "first.turn", "first.piece", "first.role", "n_lines", F.array_join(F.transform("listed", lambda x: x["text"]), "\n").alias("text"))
 
 
 def _summary_runs(model: Hmm):

@@ -33,7 +33,8 @@ def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, row, pos, h1, h2) for each line whose key has at least `least` code points; row: the hash of the text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("id"), text.alias("text"))
-    each = rows.select("id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    # The text is hashed before its lines are told apart: beside them it would be hashed for each line.
+    each = rows.withColumn("row", F.xxhash64("text")).select("id", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     keyed = each.select("id", "row", "pos", line_key(F.col("line")).alias("key")).where(F.char_length("key") >= least)
     return keyed.select("id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
 
@@ -54,13 +55,18 @@ def dropped_lines(lines: DataFrame) -> DataFrame:
 
 
 def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_KEY_CHARS) -> DataFrame:
-    """(id, row, n_dropped, drops): per document and text, a map from pos div 64 to the bits of the lines to drop.
+    """(id, row, n_dropped, drops): per document and text, the words of its bitmap in order: (word, bits), bit i of a word is line 64 word + i.
 
     Words without a drop are left out (the compression), as are documents without one.
     """
     lines = staged(line_hashes(docs, id_col, text_col, least), "line-hashes")
     words = dropped_lines(lines).groupBy("id", "row", F.expr("pos div 64").cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits"))
-    return words.groupBy("id", "row").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("drops"), F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"))
+    return words.groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("drops"), F.sum(F.bit_count("bits")).cast("long").alias("n_dropped"))
+
+
+#: SQL: the words of `drops` up to the last one, those left out as zeros, so that a line's bit is looked up by position.
+_WORDS = "flatten(transform(drops, (d, k) -> concat(array_repeat(0L, d.word - if(k = 0, 0, drops[k - 1].word + 1)), array(d.bits))))"
+_KEPT = f"""array_join(element_at(transform(array({_WORDS}), words -> filter(split(text, '\\n', -1), (l, i) -> (shiftright(coalesce(get(words, cast(i div 64 as int)), 0L), i % 64) & 1L) = 0L)), 1), '\\n')"""
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_KEY_CHARS) -> DataFrame:
@@ -74,9 +80,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.withColumn("row", F.xxhash64("text"))
     bitmaps = drop_bitmaps(docs, id_col, text_col, least)
     joined = rows.join(bitmaps.hint("shuffle_hash"), ["id", "row"], "left")
-    kept = F.expr("array_join(filter(split(text, '\\n', -1), (l, i) -> (shiftright(coalesce(drops[cast(i div 64 as int)], 0L), i % 64) & 1L) = 0L), '\\n')")
     n_lines = F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return joined.select("doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept).alias("kept"))
+    return joined.select("doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.expr(_KEPT)).alias("kept"))
 
 
 ORACLE = r"""

@@ -40,7 +40,11 @@ PIECE = 1 << 16
 
 #: SQL: n log2 n for each count in a window.
 _N_LOG_N = "array(" + ", ".join(f"{n * math.log2(n) if n else 0.0!r}d" for n in range(WINDOW + 2)) + ")"
-_SPANS = "array<struct<start:int,`end`:int,kind:int>>"
+#: Spans as structs whose natural order is the order of the result: by start, then kind.
+_SPANS = "array<struct<start:int,kind:int,`end`:int>>"
+#: Matches between which the spans found so far are set down: appending costs the spans since then, so that a text takes time in
+#: proportion to its matches.
+CHUNK = 256
 
 
 def _lit(text: str) -> str:
@@ -54,12 +58,32 @@ def _matches(text: str, pattern: str, group: int | None = None) -> str:
     return f"arrays_zip(regexp_extract_all({text}, {whole}, 1) as g, regexp_extract_all({text}, {whole}, 2) as h, {value} as v)".replace(" as g", "").replace(" as h", "").replace(" as v", "")
 
 
+def _gathered(items: str, carried: dict[str, str], after: dict[str, str], found: str) -> str:
+    """SQL: the spans that a walk over `items` (x) finds; s: what is carried from item to item (names with their first values).
+
+    after: the carried values after an item; found: an array of the spans that it adds.
+    """
+    none = f"cast(array() as {_SPANS})"
+    fields = lambda values: "".join(f"'{k}', {v}, " for k, v in values.items())
+    step = f"named_struct({fields(after)}'found', concat(s.found, {found}))"
+    inner = f"aggregate(slice(items, chunk * {CHUNK} + 1, {CHUNK}), named_struct({fields({k: f'w.{k}' for k in carried})}'found', {none}), (s, x) -> {step})"
+    walked = f"element_at(transform(array({inner}), i -> named_struct({fields({k: f'i.{k}' for k in carried})}'parts', concat(w.parts, array(i.found)))), 1)"
+    walk = f"aggregate(sequence(0, int((size(items) - 1) div {CHUNK})), named_struct({fields(carried)}'parts', cast(array() as array<{_SPANS}>)), (w, chunk) -> {walked}, w -> flatten(w.parts))"
+    return f"element_at(transform(array({items}), items -> {walk}), 1)"
+
+
+def _span(start: str, end: str, kind: int) -> str:
+    return f"named_struct('start', {start}, 'kind', {kind}, 'end', {end})"
+
+
+_AT = {"at": "0"}
+_MOVED = {"at": "s.at + length(x.`0`) + length(x.`1`)"}
+
+
 def _spans(text: str, pattern: str, kind: str, group: int | None = None) -> str:
     """SQL: the spans of the pattern's leftmost non-overlapping matches whose value is long enough."""
-    k = KINDS.index(kind)
-    step = f"if(length(x.`2`) >= {LEAST[kind]}, concat(s.found, array(named_struct('start', s.at + length(x.`0`), 'end', s.at + length(x.`0`) + length(x.`1`), 'kind', {k}))), s.found)"
-    start = f"named_struct('at', 0, 'found', cast(array() as {_SPANS}))"
-    return f"aggregate({_matches(text, pattern, group)}, {start}, (s, x) -> named_struct('at', s.at + length(x.`0`) + length(x.`1`), 'found', {step}), s -> s.found)"
+    span = _span("s.at + length(x.`0`)", _MOVED["at"], KINDS.index(kind))
+    return _gathered(_matches(text, pattern, group), _AT, _MOVED, f"if(length(x.`2`) >= {LEAST[kind]}, array({span}), cast(array() as {_SPANS}))")
 
 
 def _entropy_window(value: str, limit: str) -> str:
@@ -102,17 +126,22 @@ def _allowed(value: str) -> str:
     return f"({value} rlike {_lit(SHAPES)} or regexp_replace({value}, {_lit(PLACEHOLDER)}, '') = '' or ({joined}))"
 
 
-def _entropy_spans(text: str, base: str) -> str:
-    """SQL: spans of candidates whose windows reach the bits, not allow-listed and not inside a base span."""
-    start = f"named_struct('at', 0, 'found', cast(array() as {_SPANS}))"
+def _entropy_spans(text: str) -> str:
+    """SQL: spans of candidates whose windows reach the bits, not allow-listed."""
     window = f"if(length(x.`1`) >= {WINDOW} and not {_allowed('x.`1`')}, {_span_of('x.`1`')}, cast(array() as array<struct<first:int,last:int>>))"
-    span = f"transform({window}, w -> named_struct('start', s.at + length(x.`0`) + w.first, 'end', s.at + length(x.`0`) + w.last, 'kind', {KINDS.index('entropy')}))"
-    found = f"aggregate({_matches(text, CANDIDATE)}, {start}, (s, x) -> named_struct('at', s.at + length(x.`0`) + length(x.`1`), 'found', concat(s.found, {span})), s -> s.found)"
-    return f"filter({found}, e -> not exists({base}, b -> b.start <= e.start and b.`end` >= e.`end`))"
+    span = _span("s.at + length(x.`0`) + w.first", "s.at + length(x.`0`) + w.last", KINDS.index("entropy"))
+    return _gathered(_matches(text, CANDIDATE), _AT, _MOVED, f"transform({window}, w -> {span})")
+
+
+def _outside(spans: str, base: str) -> str:
+    """SQL: the spans that lie in no base span: one walk over both in order, with the furthest end of a base span so far."""
+    entropy = KINDS.index("entropy")
+    reach = {"reach": f"if(x.kind < {entropy}, greatest(s.reach, x.`end`), s.reach)"}
+    return _gathered(f"array_sort(concat({base}, {spans}))", {"reach": "-1"}, reach, f"if(x.kind = {entropy} and x.`end` > s.reach, array(x), cast(array() as {_SPANS}))")
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, base, entropy): one row per input row, with arrays of (start, end, kind) in code points, end exclusive.
+    """(doc_id, base, entropy): one row per input row, with arrays of (start, kind, end) in code points, end exclusive.
 
     base is ordered by start, then kind as in KINDS (kind is the index there).  Null and empty texts have no spans; rows
     are judged one by one, so repeated ids and null ids are rows like any others.
@@ -132,8 +161,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "hex": _spans("text", HEX.replace("+", "{32,}"), "hex"),  # runs are maximal: the same spans as of shorter runs, filtered
     }
     spans = hits.withColumns({k: F.expr(f"if(has_{k}, {v}, {none})") for k, v in found.items()})
-    base = spans.withColumn("base", F.array_sort(F.concat("assign", "access", "hex"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])))
-    return base.withColumn("entropy", F.expr(f"if(has_entropy, {_entropy_spans('text', 'base')}, {none})")).select("doc_id", "base", "entropy")
+    base = spans.select("doc_id", F.array_sort(F.concat("assign", "access", "hex")).alias("base"), F.expr(f"if(has_entropy, {_entropy_spans('text')}, {none})").alias("entropy"))
+    return base.select("doc_id", "base", F.expr(f"if(size(entropy) > 0 and size(base) > 0, {_outside('entropy', 'base')}, entropy)").alias("entropy"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -143,7 +172,7 @@ def spans_text(spans: Column) -> Column:
 
 def secret_digests(found: DataFrame) -> DataFrame:
     """The counts, digest and span list of scan_secrets' rows."""
-    every = F.array_sort(F.concat("base", "entropy"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
+    every = F.array_sort(F.concat("base", "entropy"))
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(every).alias("spans"))
 

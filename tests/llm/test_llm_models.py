@@ -39,14 +39,7 @@ def sequential(rows, model):
 
 
 def joined(found):
-    """Turns of a result's rows in order; pieces cut at a partition's edge are put together."""
-    out = []
-    for r in found:
-        if r["continues"] and out:
-            out[-1] = (*out[-1][:2], out[-1][2] + "\n" + r["text"])
-        else:
-            out.append((r["turn"], r["role"], r["text"]))
-    return out
+    return [(r["turn"], r["role"], r["text"]) for r in found]
 
 
 def test_parse_line():
@@ -90,7 +83,7 @@ def test_viterbi_is_the_best_path(spark, hmm):
         talk = spark.createDataFrame([(k, i, t) for i, t in enumerate(texts)], "conv_id long, turn long, text string")
         found = chat.parse_transcripts(talk, hmm).orderBy("turn", "piece").collect()
         wanted = [chat.ROLES[s // 2] for i, s in enumerate(best) if s % 2 == 0 or i == 0]
-        assert joined(found) and [r["role"] for r in found if not r["continues"]] == wanted
+        assert joined(found) and [r["role"] for r in found] == wanted
     whole = chat.transfer(emissions, hmm.step)
     halves = (chat.transfer(emissions[:2], hmm.step)[:, :, None] + chat.transfer(emissions[2:], hmm.step)[None]).max(axis=1)
     assert np.allclose(whole, halves)
@@ -100,7 +93,7 @@ def test_roles_of_the_query(spark, turns):
     """Roles of rows without a marker, by a model of other conversations."""
     truth = {(r["conv_id"], r["turn"]): r["role"] for r in turns.collect()}
     hidden = {(r["conv_id"], r["turn"]) for r in turns.where(F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3)) == 0).collect()}
-    found = {(r["conv_id"], r["turn"]): r["role"] for r in queries.op1_chat_format(spark, SF).collect() if not r["continues"] and r["piece"] == 0}
+    found = {(r["conv_id"], r["turn"]): r["role"] for r in queries.op1_chat_format(spark, SF).collect() if r["piece"] == 0}
     right = sum(found.get(k) == truth[k] for k in hidden)
     print(f"roles of hidden rows: {right} of {len(hidden)} right")
     assert right >= 0.95 * len(hidden) and all(found.get(k) == r for k, r in truth.items() if k not in hidden)
@@ -116,11 +109,11 @@ def test_unknown_speakers_keep_their_names(spark, hmm):
 def test_roles_with_all_and_with_some_markers(turns, hmm):
     truth = {(str(r["conv_id"]), r["turn"]): r["role"] for r in turns.collect()}
     found = chat.parse_transcripts(turns, hmm, marker="role").collect()
-    assert {(r["conv"], r["turn"]): r["role"] for r in found if not r["continues"]} == truth
+    assert {(r["conv"], r["turn"]): r["role"] for r in found} == truth
     some = turns.withColumn("name", F.when(F.xxhash64("conv_id", "turn") % 3 != 0, F.col("role")))
     held = turns.where("conv_id % 2 = 0")  # fitted on one half, tried on the other
     found = chat.parse_transcripts(some.where("conv_id % 2 = 1"), chat.fit(held), marker="name").collect()
-    right = sum(truth.get((r["conv"], r["turn"])) == r["role"] for r in found if not r["continues"])
+    right = sum(truth.get((r["conv"], r["turn"])) == r["role"] for r in found)
     assert right >= 0.97 * sum(int(c) % 2 == 1 for c, _ in truth)
 
 
@@ -393,3 +386,31 @@ def test_every_stage_takes_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_marker_of_long_blanks_is_linear():
+    import time
+
+    began = time.perf_counter()
+    for line in (" " * 1_000_000 + "!", "a" + " " * 1_000_000, "[(" + " " * 1_000_000 + "a" + " " * 1_000_000 + "]", "<|" + "x" * 1_000_000, "\t" * 1_000_000 + "user :  hi", "a" * 1_000_000):
+        chat.parse_line(line)
+    assert time.perf_counter() - began < 1
+    assert chat.parse_line(" " * 1000 + "[user] :  hi") == (1, "user", "hi") and chat.parse_line("** User ** : x") == (1, "user", "x")
+
+
+def test_rows_do_not_depend_on_the_partitions(spark, hmm):
+    """Turns that go on over many rows: one row each, wherever partitions end."""
+    talk = [(1 + k // 40, k, ("<|user|> why?" if k % 2 else "<|assistant|> it is so") if k % 5 == 0 else f"and so on {k}\nmore") for k in range(120)]
+    rows = spark.createDataFrame(talk, "conv_id long, turn long, text string")
+    sticky = chat.Hmm(hmm.start, hmm.step + np.where(np.arange(10) % 2 == 0, np.log(0.002), 0.0), hmm.feature)  # turns seldom end
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    found = []
+    try:
+        for n in (1, 16, 97):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted(map(tuple, chat.parse_transcripts(rows, sticky).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    assert found[0] == found[1] == found[2] and sum(r[4] for r in found[0]) == sum(t.count("\n") + 1 for *_, t in talk) and any(r[4] > 6 for r in found[0])

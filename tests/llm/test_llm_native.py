@@ -145,3 +145,32 @@ def test_entropy_windows(spark):
 def test_empty_tables(spark):
     docs = messy.empty(spark)
     assert mixing.mix(docs).count() == 0 and mixing.mixed_rows(docs).count() == 0 and lines.dedup_lines(docs).count() == 0 and secrets.scan_secrets(docs).count() == 0
+
+
+def test_many_secrets_in_a_text(spark):
+    """Spans of tens of thousands of matches, and entropy spans inside and outside of base spans."""
+    import random
+
+    pick = random.Random(4)
+    key = lambda n: "".join(pick.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(n))
+    dense = "token=abcdefgh1 " * 20_000
+    mixed = [(f"secret={key(40)}", key(40), f"api_key: {key(30)}", "0123456789abcdef" * 3, f"AKIA{key(20).upper()}")[k % 5] for k in range(3000)]
+    found = {r["doc_id"]: r["spans"].split(",") for r in secrets.secret_digests(secrets.scan_secrets(spark.createDataFrame([(1, dense), (2, "é ".join(mixed))], "doc_id long, text string"))).collect()}
+    for doc, text in ((1, dense), (2, "é ".join(mixed))):
+        assert ",".join(s for s in found[doc] if not s.startswith("entropy")) == brute.secrets(text)
+    spans = [(s.split(":")[0], int(s.split(":")[1]), int(s.split(":")[2])) for s in found[2]]
+    base = [(a, b) for k, a, b in spans if k != "entropy"]
+    free = [(a, b) for k, a, b in spans if k == "entropy"]
+    assert [a for _, a, _ in spans] == sorted(a for _, a, _ in spans) and len(free) > 500
+    ends = dict(base)
+    assert not any(a in ends and ends[a] >= b for a, b in free) and all(not (c <= a and b <= d) for a, b in free[:50] for c, d in base)
+
+
+def test_lines_of_long_documents(spark):
+    """Bits of the dropped lines by position, with stretches of lines that stay between them."""
+    one = [f"line number {k} of the first text" for k in range(30_000)]
+    two = [x if k % 777 < 2 else f"another line {k} of its own" for k, x in enumerate(one)]
+    rows = [(1, "\n".join(one)), (2, "\n".join(two)), (3, "\n".join(one))]
+    found = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    wanted = dict(zip((1, 2, 3), brute.dedup_lines(rows), strict=True))
+    assert found == wanted and found[3][1] == 30_000
