@@ -349,3 +349,45 @@ def test_alignment_is_the_least_edit_count():
         points = [np.frombuffer(x.encode("utf-32-le"), np.uint32) for x in (a, b)]
         found, start, end = decontaminate.align_one(*points, -len(a), len(b), len(a) + len(b))
         assert found == edits(a, b)
+
+
+def orders_of_the_same_words(pairs, n_words=200, seed=9):
+    """Texts (id, text) in pairs of similarity 0.94 or so; all have the same words, so all have one wide fingerprint."""
+    pick = random.Random(seed)
+    names = messy.passage(77, n_words).split()
+    rows = []
+    for k in range(pairs):
+        one = pick.sample(names, n_words)
+        two = list(one)
+        at = pick.randrange(n_words - 1)
+        two[at], two[at + 1] = two[at + 1], two[at]
+        rows += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    return rows
+
+
+@pytest.mark.parametrize("pairs", [100, 2500])
+def test_near_copies_of_one_fingerprint(spark, pairs):
+    """Texts of one wide fingerprint that are alike in pairs only: every pair is linked, and nothing else."""
+    rows = orders_of_the_same_words(pairs)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert found == {k: k - k % 2 for k in range(2 * pairs)}
+
+
+def test_near_copies_that_a_failing_link_separates(spark):
+    """Families whose members all have equal words, some families beside large groups of copies: as the plain version says."""
+    rows = orders_of_the_same_words(15, 60, 3)
+    base = rows[0][1].split()
+    for k in range(40):  # a family of copies with one swap each
+        at = k % 30
+        rows.append((1000 + k, " ".join([*base[:at], base[at + 1], base[at], *base[at + 2 :]])))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[d] for d, _ in rows] == brute.near_component_ids(rows)
+
+
+def test_shared_counts():
+    pick = np.random.default_rng(5)
+    for common in (0, 3, 60):  # rare values only, and values that nearly all sets hold
+        sets = [[np.unique(np.concatenate([pick.integers(0, 5000, pick.integers(0, 90)), np.arange(10_000, 10_000 + common)])) for _ in range(n)] for n in (37, 50)]
+        (rows_a, a), (rows_b, b) = [(np.repeat(np.arange(len(x)), [len(v) for v in x]), np.concatenate(x)) for x in sets]
+        found = simhash.shared_counts(rows_a, a, 37, rows_b, b, 50)
+        assert found.tolist() == [[len(np.intersect1d(x, y)) for y in sets[1]] for x in sets[0]]
