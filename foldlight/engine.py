@@ -38,6 +38,8 @@ class JournalEngine:
             saved = journal.read_checkpoints(spark, checkpoints_path)
             if bad := checkpoints.corrupt(saved, events).limit(1).collect():
                 raise JournalError(f"corrupt checkpoint: {bad[0].asDict()}")
+            if bad := validation.conflicting_checkpoints(saved).limit(1).collect():
+                raise JournalError(f"two states of one sequence: {bad[0].asDict()}")
             snapshot = checkpoints.from_rows(scans.latest_checkpoints(saved))
         if snapshot and (bad := checkpoints.ahead_of_journal(snapshot, events).limit(1).collect()):
             raise JournalError(f"snapshot ahead of journal: {bad[0].asDict()}")
@@ -115,3 +117,11 @@ class JournalEngine:
 
     def snapshot_now(self) -> checkpoints.Snapshot:
         return checkpoints.take(self.events)
+
+    def checkpoint(self, path: str, executions: DataFrame | None = None) -> DataFrame:
+        """Takes, guards and stores a checkpoint of each execution, or of those given, at its journal's end.
+
+        Returns (execution_id, sequence, state, verdict): `store` for those stored now, `already stored`, or why one was refused.
+        """
+        events = self.events if executions is None else self.events.join(executions.select("execution_id"), "execution_id", "left_semi")
+        return checkpoints.store(checkpoints.rows(events), path, scans.last_sequences(events))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from foldlight import schemas as S
 from foldlight.operators import fold, validation
 from foldlight.operators.scans import prefix, tail
+from foldlight.sources import journal
+from foldlight.staging import staged
 
 
 @dataclass(frozen=True)
@@ -87,7 +89,11 @@ def rows(events: DataFrame) -> DataFrame:
     The stored status is RUNNING where open calls make it RECOVERY_REQUIRED: that is derived again on reading.  The state
     of an execution is one JSON text, so this suits executions of ordinary size; `take` has no such bound.
     """
-    states = recover(events)
+    return state_rows(recover(events))
+
+
+def state_rows(states: States) -> DataFrame:
+    """The checkpoint rows of states; see rows."""
     calls = fold.with_attempts(states.calls, states.attempts)
     listed = calls.groupBy("execution_id").agg(F.array_sort(F.collect_list(F.struct("requested_sequence", *[c for c in calls.columns if c not in ("execution_id", "requested_sequence")]))).alias("tool_calls"))
     joined = states.executions.join(listed, "execution_id", "left")
@@ -157,8 +163,9 @@ def from_rows(stored: DataFrame, result: str = "string", error: str = "string")
         last.alias("n_events"),
         F.struct(last.alias("sequence"), event(s("status"), S.EXECUTION_STATUS).alias("event_type")).alias("lifecycle"),
         F.struct(F.lit(1).cast("long").alias("sequence"), s("goal").alias("goal")).alias("begun"),
-        F.when(s("status").isin("COMPLETED", "CANCELLED"), F.struct(last.alias("sequence"), s("result").alias("result"))).alias("ended"),
-        F.when(s("status") == "FAILED", F.struct(last.alias("sequence"), s("error").alias("error"))).alias("failed"),
+        # Kept whatever the status: an execution that was started again still has the outcome of its first run.
+        F.struct(last.alias("sequence"), s("result").alias("result")).alias("ended"),
+        F.struct(last.alias("sequence"), s("error").alias("error")).alias("failed"),
     )
     return Snapshot(rows_.select("execution_id", "sequence"), calls, attempts, executions)
 
@@ -166,24 +173,46 @@ def from_rows(stored: DataFrame, result: str = "string", error: str = "string")
 def guarded(candidates: DataFrame, stored: DataFrame, events: DataFrame) -> DataFrame:
     """Candidate rows (execution_id, sequence, state) with a verdict: `store`, `already stored`, or why they must not be stored.
 
-    A checkpoint stands at its journal's last event, its state says so, and no other state is stored for that sequence.
+    A checkpoint holds a whole state (validation.state_fault), stands at its journal's last event, its state says so, and no other
+    state is stored for that sequence.
     """
-    last = events.groupBy("execution_id").agg(F.max("sequence").alias("_last"))
-    there = stored.select("execution_id", "sequence", F.to_json(F.try_parse_json("state")).alias("_stored"))
+    return guarded_at(candidates, stored, events.groupBy("execution_id").agg(F.max("sequence").alias("last_sequence")))
+
+
+def guarded_at(candidates: DataFrame, stored: DataFrame, last: DataFrame) -> DataFrame:
+    """`guarded` where the journals' last sequences are known: (execution_id, last_sequence)."""
+    known = last.select("execution_id", F.col("last_sequence").alias("_last"))
+    there = stored.groupBy("execution_id", "sequence").agg(F.collect_set(F.coalesce(F.to_json(F.try_parse_json("state")), "state", F.lit(""))).alias("_stored"))
     stated = F.expr("try_cast(get_json_object(state, '$.last_sequence') as bigint)")
+    fault = validation.state_fault("state", "execution_id")
     verdict = (
-        F.when(F.try_parse_json("state").isNull() | stated.isNull(), "unreadable state")
+        F.when(F.col("sequence") < 1, "no event")
+        .when(fault.isNotNull(), fault)
         .when(stated != F.col("sequence"), "state is at another sequence")
         .when(F.coalesce("_last", F.lit(0)) < F.col("sequence"), "ahead of journal")
         .when(F.col("_last") > F.col("sequence"), "behind journal")
-        .when(F.col("_stored") == F.to_json(F.try_parse_json("state")), "already stored")
-        .when(F.col("_stored").isNotNull(), "another state is stored")
+        .when(F.col("_stored") == F.array(F.to_json(F.try_parse_json("state"))), "already stored")
+        .when(F.size("_stored") > 0, "another state is stored")
         .otherwise("store")
     )
-    joined = candidates.join(last, "execution_id", "left").join(there, ["execution_id", "sequence"], "left")
+    joined = candidates.join(known, "execution_id", "left").join(there, ["execution_id", "sequence"], "left")
     return joined.withColumn("verdict", verdict).drop("_last", "_stored")
 
 
+def store(candidates: DataFrame, path: str, last: DataFrame) -> DataFrame:
+    """Appends the candidates that the guards let pass to the checkpoint rows at `path`; returns all with their verdicts.
+
+    One writer at a time, as for events.  The same candidates stored again are `already stored`.
+    """
+    spark = candidates.sparkSession
+    stored = journal.read_checkpoints(spark, path) if journal.has_rows(spark, path) else spark.createDataFrame([], S.CHECKPOINTS)
+    verdicts = staged(guarded_at(candidates, stored, last), "checkpoint-verdicts")
+    name = F.concat(F.lit("ckpt_"), "execution_id", F.lit("_"), F.col("sequence").cast("string"))
+    new = verdicts.where("verdict = 'store'").select(name.alias("checkpoint_id"), "execution_id", "sequence", "state", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("created_at"))
+    new.write.mode("append").parquet(path)
+    return verdicts
+
+
 def boundaries(events: DataFrame) -> DataFrame:
     """(execution_id, sequence): where an automatic checkpoint is due: ends of executions, and outcomes recorded by a resolution."""
     resolved = F.col("resolution").isNotNull() if "resolution" in events.columns else F.lit(False)

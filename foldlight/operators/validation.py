@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldlight import schemas as S
@@ -38,28 +38,86 @@ def blank_keys(ops: DataFrame) -> DataFrame:
     return ops.where(F.coalesce(F.trim("idempotency_key"), F.lit("")) == "")
 
 
+def _present(path: str) -> str:
+    """SQL: whether variant lambda variable or column path `v$.k` is there and no JSON null."""
+    v, k = path.split("$")
+    return f"(try_variant_get({v}, '${k}', 'variant') is not null and not is_variant_null(try_variant_get({v}, '${k}', 'variant')))"
+
+
+def _get(path: str, kind: str) -> str:
+    v, k = path.split("$")
+    return f"try_variant_get({v}, '${k}', '{kind}')"
+
+
+def _no_number(path: str, least: int, most: str | None = None, required: bool = False) -> str:
+    """SQL: whether a whole number is unreadable or out of bounds; one that is missing is so if it is required."""
+    at = _get(path, "bigint")
+    bad = f"coalesce({at} < {least}" + (f" or {at} > {most}" if most else "") + ", true)"
+    return bad if required else f"({_present(path)} and {bad})"
+
+
+def _none_of(path: str, known, required: bool) -> str:
+    bad = f"not coalesce({_get(path, 'string')} in ({', '.join(repr(x) for x in known)}), false)"
+    return f"({bad})" if required else f"({_present(path)} and {bad})"
+
+
+def state_fault(state: str, execution_id: str) -> Column:
+    """What makes a checkpoint's state (JSON, by its column's name) no state of this execution; null for one that can be folded on.
+
+    One expression over the parsed text: required fields, closed sets, types, and sequences from 1 to the state's last one.  It
+    says nothing of the journal: see checkpoint_violations.
+    """
+    last = _get("v$.last_sequence", "bigint")
+    calls, list_of = _get("v$.tool_calls", "array<variant>"), "array<variant>"
+    attempt = f"{_none_of('a$.status', S.CALL_STATUS.values(), True)} or {_no_number('a$.attempt', 1, None, True)} or {_no_number('a$.started_sequence', 0, 'last')} or {_no_number('a$.completed_sequence', 0, 'last')}"
+    retry = f"{_present('c$.pending_retry')} and ({_no_number('c$.pending_retry.attempt', 1, None, True)} or {_no_number('c$.pending_retry.sequence', 1, 'last', True)} or {_no_number('c$.pending_retry.failed_attempt', 0)} or ({_present('c$.pending_retry.delay')} and {_get('c$.pending_retry.delay', 'double')} is null))"
+    rules = [
+        ("v is null or try_variant_get(v, '$', 'map<string,variant>') is null", "unreadable state"),
+        (f"{last} is null", "state without a last sequence"),
+        (f"not {_present('v$.execution_id')}", "state without an execution"),
+        (f"{_get('v$.execution_id', 'string')} <> execution", "state of another execution"),
+        (_none_of("v$.status", (*S.EXECUTION_STATUS.values(), "RECOVERY_REQUIRED"), True), "unknown status"),
+        (f"{_present('v$.tool_calls')} and {calls} is null", "calls are no list"),
+        (f"exists({calls}, c -> not {_present('c$.call_id')} or not {_present('c$.tool')})", "call without its name"),
+        (f"exists({calls}, c -> {_none_of('c$.status', S.CALL_STATUS.values(), True)})", "unknown call status"),
+        (f"exists({calls}, c -> {_no_number('c$.requested_sequence', 1, 'last', True)} or {_no_number('c$.started_sequence', 0, 'last')} or {_no_number('c$.completed_sequence', 0, 'last')} or {_no_number('c$.attempt', 0)})", "call outside of its history"),
+        (f"exists({calls}, c -> {_present('c$.attempts')} and ({_get('c$.attempts', list_of)} is null or exists({_get('c$.attempts', list_of)}, a -> {attempt})))", "damaged attempt"),
+        (f"exists({calls}, c -> {retry})", "damaged retry"),
+    ]
+    cases = " ".join(f"when {rule} then '{name}'" for rule, name in rules)
+    # Lambda variables hold what is looked at many times: the parsed text, and its last sequence.
+    judged = f"element_at(transform(array({last}), last -> case {cases} end), 1)"
+    return F.expr(f"element_at(transform(array(named_struct('v', try_parse_json({state}), 'execution', {execution_id})), s -> element_at(transform(array(s.v), v -> element_at(transform(array(s.execution), execution -> {judged}), 1)), 1)), 1)")
+
+
 def checkpoint_violations(checkpoints: DataFrame, events: DataFrame) -> DataFrame:
     """(execution_id, sequence, reason): checkpoints that their journal does not support.
 
-    checkpoints: execution_id, sequence, state (JSON).  Reasons, in this order: the state cannot be read, it stands at
-    another sequence, the journal ends before it, the journal has no such event.
+    checkpoints: execution_id, sequence, state (JSON).  Reasons, in this order: the state is damaged (see state_fault), it stands
+    at another sequence, the journal ends before it, the journal has no such event.
     """
     last = events.groupBy("execution_id").agg(F.max("sequence").alias("last"))
     at = events.select("execution_id", F.col("sequence").alias("at")).distinct()
-    stated = F.expr("try_cast(get_json_object(state, '$.last_sequence') as bigint)")
-    joined = checkpoints.join(last, "execution_id", "left").join(at, (checkpoints["execution_id"] == at["execution_id"]) & (checkpoints["sequence"] == at["at"]), "left").select(checkpoints["execution_id"], "sequence", "state", "last", "at")
+    told = checkpoints.select("execution_id", "sequence", state_fault("state", "execution_id").alias("fault"), F.expr("try_cast(get_json_object(state, '$.last_sequence') as bigint)").alias("stated"))
+    joined = told.join(last, "execution_id", "left").join(at, (told["execution_id"] == at["execution_id"]) & (told["sequence"] == at["at"]), "left").select(told["execution_id"], "sequence", "fault", "stated", "last", "at")
     reason = (
-        F.when(F.try_parse_json("state").isNull() | stated.isNull(), "unreadable state")
-        .when(stated != F.col("sequence"), "state is at another sequence")
+        F.when(F.col("fault").isNotNull(), F.col("fault"))
+        .when(F.col("stated") != F.col("sequence"), "state is at another sequence")
         .when(F.coalesce("last", F.lit(0)) < F.col("sequence"), "ahead of journal")
         .when(F.col("at").isNull(), "no such event")
     )
     return joined.select("execution_id", "sequence", reason.alias("reason")).where("reason is not null")
 
 
+def sorted_out(checkpoints: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The checkpoints that can be read on, and the others with the reason."""
+    bad = checkpoint_violations(checkpoints, events)
+    return checkpoints.join(bad, ["execution_id", "sequence"], "left_anti"), checkpoints.join(bad, ["execution_id", "sequence"])
+
+
 def conflicting_checkpoints(checkpoints: DataFrame) -> DataFrame:
     """Sequences that are checkpointed with different states; equal states are one checkpoint."""
-    state = F.to_json(F.try_parse_json("state"))
+    state = F.coalesce(F.to_json(F.try_parse_json("state")), "state", F.lit(""))
     return checkpoints.groupBy("execution_id", "sequence").agg(F.countDistinct(state).alias("n_states")).where("n_states > 1")
 
 

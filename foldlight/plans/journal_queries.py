@@ -586,29 +586,72 @@ def checkpoint_decode_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """Checkpoint rows made wrong by rule: at another sequence than stated, ahead, behind, or unreadable."""
+    """Checkpoint rows made wrong by rule: at another sequence than stated, ahead, or unreadable."""
     u, sequence = F.substring("execution_id", 6, 20).cast("long") % 7, F.col("sequence")
-    moved = F.when(u == 1, sequence + 5).when(u == 2, sequence - 1).otherwise(sequence)
-    state = F.when(u == 4, "{").when(u.isin(1, 2), F.concat(F.lit('{"last_sequence":'), moved.cast("string"), F.lit("}"))).when(u == 3, F.concat(F.lit('{"last_sequence":'), (sequence + 1).cast("string"), F.lit("}"))).otherwise(F.col("state"))
+    moved = F.when(u == 1, sequence + 5).otherwise(sequence)
+    saying = lambda at: F.regexp_replace("state", F.lit('"last_sequence":[0-9]+'), F.concat(F.lit('"last_sequence":'), at.cast("string")))
+    state = F.when(u == 4, "{").when(u == 1, saying(moved)).when(u == 3, saying(sequence + 1)).otherwise(F.col("state"))
     return rows.select("execution_id", moved.alias("sequence"), state.alias("state"))
 
 
+def _all_but_the_last(events: DataFrame) -> DataFrame:
+    return events.groupBy("execution_id").agg((F.max("sequence") - 1).alias("upto"))
+
+
 @query(_BATCH + """SELECT execution_id, last + CASE u % 7 WHEN 1 THEN 5 WHEN 2 THEN -1 ELSE 0 END AS sequence,
   ['store', 'ahead of journal', 'behind journal', 'state is at another sequence', 'unreadable state', 'already stored', 'another state is stored'][1 + u % 7] AS verdict FROM tops""")
 def checkpoint_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stored_journal(spark, sf_dir)
     rows = _checkpoint_rows(events)
     u = F.substring("execution_id", 6, 20).cast("long") % 7
-    stored = rows.where(u.isin(5, 6)).withColumn("state", F.when(u == 6, F.concat(F.lit('{"last_sequence":'), F.col("sequence").cast("string"), F.lit("}"))).otherwise(F.col("state")))
-    return checkpoints.guarded(_candidates(rows), stored, events).select("execution_id", "sequence", "verdict")
+    stored = rows.where(u.isin(5, 6)).withColumn("state", F.when(u == 6, F.concat(F.lit('{"goal":"another",'), F.substring("state", 2, 1 << 30))).otherwise(F.col("state")))
+    before = _checkpoint_rows(events.where(u == 2), staged(_all_but_the_last(events), "limits"))
+    candidates = _candidates(rows.where(u != 2)).unionByName(before)
+    return checkpoints.guarded(candidates, stored, events).select("execution_id", "sequence", "verdict")
 
 
-@query(_BATCH + """SELECT execution_id, last + CASE u % 7 WHEN 1 THEN 5 WHEN 2 THEN -1 ELSE 0 END AS sequence, [NULL, 'ahead of journal', NULL, 'state is at another sequence', 'unreadable state'][1 + u % 7] AS reason FROM tops WHERE u % 7 IN (1, 3, 4)""")
+@query(_BATCH + """SELECT execution_id, last + CASE u % 7 WHEN 1 THEN 5 ELSE 0 END AS sequence, [NULL, 'ahead of journal', NULL, 'state is at another sequence', 'unreadable state'][1 + u % 7] AS reason FROM tops WHERE u % 7 IN (1, 3, 4)""")
 def checkpoint_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stored_journal(spark, sf_dir)
     return checkpoints.corrupt(_candidates(_checkpoint_rows(events)), events)
 
 
+#: Ways to damage a state's text, and the fault that each is.
+_DAMAGES = (
+    ('"status":"[A-Z]+"', '"status":"NONSENSE"', "unknown status"),
+    ('"tool_calls":.*,"last_sequence"', '"tool_calls":"gone","last_sequence"', "calls are no list"),
+    ('"call_id":', '"called":', "call without its name"),
+    ('"requested_sequence":', '"requested_sequence":9', "call outside of its history"),
+    ('^.*"last_sequence":([0-9]+).*$', '{"last_sequence":$1}', "state without an execution"),
+    ('"execution_id":"', '"execution_id":"un', "state of another execution"),
+    ('"last_sequence":[0-9]+', '"last_sequence":"none"', "state without a last sequence"),
+    ('"attempt":[0-9]+,"status":"', '"attempt":0,"status":"', "damaged attempt"),
+)
+
+
+@query(_BATCH + f"""SELECT execution_id, last AS sequence, {[f for *_, f in _DAMAGES]}[1 + u % {len(_DAMAGES)}] AS reason FROM tops WHERE u % 3 <> 0""")
+def checkpoint_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three stored states damaged, each in one of the ways above: all of them are refused, the others read on."""
+    events = _stored_journal(spark, sf_dir)
+    rows = _checkpoint_rows(events)
+    u, state = F.substring("execution_id", 6, 20).cast("long"), F.col("state")
+    for k, (what, to, _) in enumerate(_DAMAGES):
+        state = F.when((u % len(_DAMAGES) == k) & (u % 3 != 0), F.regexp_replace("state", F.lit(what), F.lit(to))).otherwise(state)
+    _, refused = validation.sorted_out(rows.withColumn("state", state), events)
+    return refused.select("execution_id", "sequence", "reason")
+
+
+@query(_STATES_OF + """SELECT execution_id, CASE WHEN n_incomplete > 0 THEN 'RECOVERY_REQUIRED' ELSE 'RUNNING' END AS status, last_sequence + 1 AS last_sequence, 'r' || last_sequence AS result, n_calls FROM states WHERE status = 'COMPLETED'""")
+def checkpoint_restarted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completed executions with a result, checkpointed, then started again: the result is still theirs."""
+    events = journal(spark, sf_dir).withColumn("result", F.when(F.col("event_type") == "ExecutionCompleted", F.concat(F.lit("r"), F.col("sequence").cast("string"))))
+    ended = staged(events.join(events.where("event_type = 'ExecutionCompleted'").select("execution_id"), "execution_id", "left_semi"), "ended")
+    again = scans.last_sequences(ended).select("execution_id", (F.col("last_sequence") + 1).alias("sequence"), F.lit("ExecutionStarted").alias("event_type"), F.lit(False).alias("deduplicated"))
+    whole = ended.unionByName(again, allowMissingColumns=True)
+    states = checkpoints.recover(whole, checkpoints.from_rows(_checkpoint_rows(ended)))
+    return states.executions.select("execution_id", "status", "last_sequence", "result", "n_calls")
+
+
 @query("SELECT execution_id, sequence FROM journal WHERE event_type IN ('ExecutionCompleted', 'ExecutionFailed', 'ExecutionCancelled')")
 def checkpoint_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpoints.boundaries(journal(spark, sf_dir))

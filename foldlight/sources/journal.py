@@ -17,6 +17,12 @@ def read_checkpoints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.CHECKPOINTS).parquet(path)
 
 
+def has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written at this path before, on whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_ledger_ops(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(S.LEDGER_OPS).parquet(path)
 

@@ -28,7 +28,7 @@ def test_guards(spark):
     assert {r["verdict"] for r in checkpoints.guarded(good, good, events).collect()} == {"already stored"}
     old = checkpoints.rows(frame(spark, {"happy": JOURNALS["happy"]}, 2))
     assert checkpoints.guarded(old, good.limit(0), events).first()["verdict"] == "behind journal"
-    other = good.withColumn("state", F.expr("concat('{\"last_sequence\":', sequence, '}')"))
+    other = good.withColumn("state", F.expr("concat('{\"goal\":\"another\",', substring(state, 2))"))
     assert {r["verdict"] for r in checkpoints.guarded(good, other, events).collect()} == {"another state is stored"}
 
 
@@ -110,3 +110,64 @@ def test_long_logs_and_foreign_executions(spark):
     assert len(found) == n and time.perf_counter() - began < 60
     assert found[0] == "execute" and found[1] == "ok" and found[7] == "foreign_execution" and found[3] == "execute"
     assert ledger.records(ops).first()["attempts"] > 1
+
+
+DAMAGED = [
+    ('{"last_sequence": 6}', "state without an execution"),
+    ('{"execution_id":"two_calls","last_sequence": 6, "status": "NONSENSE", "tool_calls": "gone"}', "unknown status"),
+    ('{"execution_id":"two_calls","last_sequence": 6, "status": "RUNNING", "tool_calls": "gone"}', "calls are no list"),
+    ('{"execution_id":"two_calls","last_sequence": 6, "status": "RUNNING", "tool_calls": ["gone"]}', "call without its name"),
+    ('{"execution_id":"two_calls","last_sequence": 6, "status": "RUNNING", "tool_calls": [{"call_id": "a", "tool": "t", "status": "LOST", "requested_sequence": 2}]}', "unknown call status"),
+    ('{"execution_id":"two_calls","last_sequence": 6, "status": "RUNNING", "tool_calls": [{"call_id": "a", "tool": "t", "status": "STARTED", "requested_sequence": 2, "started_sequence": 7}]}', "call outside of its history"),
+    ('{"execution_id":"two_calls","last_sequence": 6, "status": "RUNNING", "tool_calls": [{"call_id": "a", "tool": "t", "status": "STARTED"}]}', "call outside of its history"),
+    ('{"execution_id":"two_calls","last_sequence": 6, "status": "RUNNING", "tool_calls": [{"call_id": "a", "tool": "t", "status": "STARTED", "requested_sequence": 2, "attempts": [{"attempt": 1}]}]}', "damaged attempt"),
+    ('{"execution_id":"two_calls","last_sequence": 6, "status": "RUNNING", "tool_calls": [{"call_id": "a", "tool": "t", "status": "RETRYING", "requested_sequence": 2, "pending_retry": {"attempt": "x", "sequence": 5}}]}', "damaged retry"),
+    ('{"execution_id":"other","last_sequence": 6, "status": "RUNNING"}', "state of another execution"),
+    ('{"execution_id":"two_calls","last_sequence": "six", "status": "RUNNING"}', "state without a last sequence"),
+    ('{"execution_id":"two_calls","last_sequence": 5, "status": "RUNNING"}', "state is at another sequence"),
+    ("[1]", "unreadable state"), ("{", "unreadable state"), ("", "unreadable state"), (None, "unreadable state"),
+]
+
+
+def test_damaged_states_are_refused(spark):
+    """Each damage is named, by the reader and by the guards; none is folded on."""
+    events = frame(spark, {"two_calls": JOURNALS["two_calls"]})
+    stored = spark.createDataFrame([("two_calls", 6, text) for text, _ in DAMAGED], "execution_id string, sequence long, state string")
+    none = stored.limit(0)
+    for k, (text, reason) in enumerate(DAMAGED):
+        one = stored.where(F.col("state").eqNullSafe(F.lit(text)))
+        assert checkpoints.corrupt(one, events).first()["reason"] == reason, (k, text)
+    assert sorted(r["verdict"] for r in checkpoints.guarded(stored, none, events).collect()) == sorted(reason for _, reason in DAMAGED)
+    fine = spark.createDataFrame([("two_calls", 6, '{"execution_id":"two_calls","last_sequence":6,"status":"RUNNING","tool_calls":null}')], stored.schema)
+    assert checkpoints.corrupt(fine, events).count() == 0
+    whole = checkpoints.rows(frame(spark, JOURNALS))
+    kept, refused = validation.sorted_out(whole.unionByName(stored), frame(spark, JOURNALS))
+    assert refused.count() == len(DAMAGED) + 1 and kept.count() == len(JOURNALS) - 1  # rows of a sequence with a damaged state go together
+
+
+def test_a_restarted_execution_keeps_its_result(spark, rows):
+    again = {"done": [*JOURNALS["happy"], event("XOk", result="42"), event("S", goal="again")], "failed": [event("S"), event("XFl", error="e"), event("S"), event("Rq", "c", tool="add")]}
+    events = frame(spark, again)
+    found = checkpoints.recover(events, checkpoints.from_rows(checkpoints.rows(events))).executions.toPandas()
+    assert rows(found) == rows(checkpoints.recover(events).executions.toPandas())
+    assert dict(zip(found["execution_id"], found["result"], strict=True))["done"] == "42"
+
+
+def test_engine_stores_checkpoints_under_guards(spark, tmp_path):
+    events, path = frame(spark, {k: JOURNALS[k] for k in ("happy", "two_calls")}), str(tmp_path / "saved")
+    engine = JournalEngine(spark, events)
+    assert {r["execution_id"]: r["verdict"] for r in engine.checkpoint(path, spark.createDataFrame([("happy",)], "execution_id string")).collect()} == {"happy": "store"}
+    assert {r["execution_id"]: r["verdict"] for r in engine.checkpoint(path).collect()} == {"happy": "already stored", "two_calls": "store"}
+    assert {r["verdict"] for r in engine.checkpoint(path).collect()} == {"already stored"} and journal.read_checkpoints(spark, path).count() == 2
+    other = JournalEngine(spark, frame(spark, {"happy": [*JOURNALS["happy"][:3], event("Ok", "c", attempt=1, result="6")]}))
+    assert {r["verdict"] for r in other.checkpoint(path).collect()} == {"another state is stored"} and journal.read_checkpoints(spark, path).count() == 2
+
+
+def test_engine_refuses_two_states_of_one_sequence(spark, tmp_path):
+    events = frame(spark, {"happy": JOURNALS["happy"]})
+    path, saved = str(tmp_path / "events"), str(tmp_path / "saved")
+    journal.write_events(journal.encode(events.drop("error", "result")), path)
+    state = checkpoints.rows(events).selectExpr("concat('c', execution_id) as checkpoint_id", "execution_id", "sequence", "state", "cast(null as string) as created_at")
+    state.unionByName(state.withColumn("state", F.regexp_replace("state", '"goal":"g"', '"goal":"h"'))).write.parquet(saved)
+    with pytest.raises(JournalError, match="two states"):
+        JournalEngine.open(spark, path, checkpoints_path=saved)
