@@ -54,7 +54,11 @@ def recover(events: DataFrame, snapshot: Snapshot | None = None) -> States:
     if snapshot is None:
         calls = fold.fold_calls(events)
         return States(calls, fold.fold_attempts(events), fold.finish_executions(fold.partial_executions(events), calls))
-    later = tail(events, snapshot.at.withColumnRenamed("sequence", "after"))
+    return recover_after(tail(events, snapshot.at.withColumnRenamed("sequence", "after")), snapshot)
+
+
+def recover_after(later: DataFrame, snapshot: Snapshot) -> States:
+    """States from a snapshot and the events after it, of which none is in the snapshot."""
     calls = fold.finish_calls(fold.merge_calls(snapshot.calls.unionByName(fold.partial_calls(later))))
     attempts = fold.finish_attempts(fold.merge_attempts(snapshot.attempts.unionByName(fold.partial_attempts(later))))
     executions = fold.merge_executions(snapshot.executions.unionByName(fold.partial_executions(later)))

@@ -83,10 +83,10 @@ def _typed(ops: DataFrame) -> DataFrame:
     return named.select("idempotency_key", F.struct(F.col("op_seq").cast("long").alias("op_seq"), *[F.col(c).cast("string").alias(c) for c in _FIELDS[1:]]).alias("x"))
 
 
-def _split(ops: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def _split(ops: DataFrame, long_log: int | None) -> tuple[DataFrame, DataFrame | None]:
     """The typed operations of ordinary keys, and those of keys with a long log, None if there is no such key."""
     typed = _typed(ops)
-    long = staged(typed.groupBy("idempotency_key").agg(F.count("*").alias("n")).where(F.col("n") > LONG_LOG).select("idempotency_key"), "long-logs")
+    long = staged(typed.groupBy("idempotency_key").agg(F.count("*").alias("n")).where(F.col("n") > (LONG_LOG if long_log is None else long_log)).select("idempotency_key"), "long-logs")
     if long.isEmpty():
         return typed, None
     return typed.join(long, "idempotency_key", "left_anti"), typed.join(long, "idempotency_key", "left_semi")
@@ -136,19 +136,19 @@ def _long_records(typed: DataFrame) -> DataFrame:
     return _long_folded(typed).groupBy("idempotency_key").agg(*[v.alias(k) for k, v in columns.items()]).where("status is not null")
 
 
-def records(ops: DataFrame) -> DataFrame:
-    """The ledger: one record per key that was ever claimed."""
-    ordinary, long = _split(ops)
+def records(ops: DataFrame, long_log: int | None = None) -> DataFrame:
+    """The ledger: one record per key that was ever claimed.  long_log: operations beyond which a key's log is cut, LONG_LOG if not given."""
+    ordinary, long = _split(ops, long_log)
     found = _folded(ordinary).where("s.status is not null").select("idempotency_key", *[F.col(f"s.{c}").alias(c) for c in _NAMES])
     return found if long is None else found.unionByName(_long_records(long).select("idempotency_key", *_NAMES))
 
 
-def decisions(ops: DataFrame) -> DataFrame:
+def decisions(ops: DataFrame, long_log: int | None = None) -> DataFrame:
     """(idempotency_key, op_seq, op, decision, result): what became of each operation; result: of a deduplicated claim.
 
     An operation with `by_execution` is asked for by that execution, which settles its own keys only.
     """
-    ordinary, long = _split(ops)
+    ordinary, long = _split(ops, long_log)
     found = _folded(ordinary, with_log=True).select("idempotency_key", F.explode(F.flatten("s.logs")).alias("d")).select("idempotency_key", "d.*")
     return found if long is None else found.unionByName(_long_folded(long).select("idempotency_key", "d.*"))
 

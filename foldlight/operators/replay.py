@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldlight import schemas as S
+from foldlight.functions.canonical import equal_form
 from foldlight.functions.predicates import is_incomplete_status, is_settled
 from foldlight.operators import blocks, fold
 from foldlight.operators.scans import prefix
@@ -50,7 +51,7 @@ def first_mismatches(recorded: DataFrame, candidate: DataFrame) -> DataFrame:
     """(execution_id, index, kind, expected, received): where a candidate's calls first leave the recorded ones; no row if they never do.
 
     recorded: execution_id, index, call_id, tool, arguments, status, attempt, idempotency_key; candidate: the same without status, and call_id and
-    attempt (attempts made) only if they are to be compared.  Arguments are compared as canonical JSON, in which true and 1 differ.
+    attempt (attempts made) only if they are to be compared.  Arguments are compared as JSON values (canonical.equal_form): 1, 1.0 and true are equal.
     """
     r, c = recorded.alias("r"), candidate.alias("c")
     joined = r.join(c, F.expr("r.execution_id = c.execution_id and r.index = c.index"), "full")
@@ -62,7 +63,7 @@ def first_mismatches(recorded: DataFrame, candidate: DataFrame) -> DataFrame:
         (F.col("r.index").isNull(), "unexpected_tool_call", None, text("c", "tool")),
         (F.col("c.index").isNull(), "missing_recorded_call", text("r", "tool"), None),
         (differ("tool"), "tool_name", text("r", "tool"), text("c", "tool")),
-        (differ("arguments"), "arguments", text("r", "arguments"), text("c", "arguments")),
+        (~equal_form(text("r", "arguments")).eqNullSafe(equal_form(text("c", "arguments"))), "arguments", text("r", "arguments"), text("c", "arguments")),
         (differ("idempotency_key"), "arguments", text("r", "idempotency_key"), text("c", "idempotency_key")),
         (given("call_id"), "call_id", text("r", "call_id"), text("c", "call_id") if "call_id" in candidate.columns else None),
         (~settled, "missing_recorded_outcome", text("r", "status"), None),

@@ -10,9 +10,9 @@ from foldlight.operators import blocks
 
 
 def sequence_gaps(events: DataFrame) -> DataFrame:
-    """(execution_id, sequence, expected): events that do not follow the one before by 1, or start below 1."""
+    """(execution_id, sequence, expected): events that do not follow the one before by 1, or stand below 1."""
     checked = blocks.previous(events.select("execution_id", "sequence"), "before")
-    return checked.select("execution_id", "sequence", (F.coalesce("before", F.lit(0)) + 1).cast("long").alias("expected")).where("sequence <> expected")
+    return checked.select("execution_id", "sequence", (F.coalesce("before", F.lit(0)) + 1).cast("long").alias("expected")).where("sequence <> expected or sequence < 1")
 
 
 def duplicate_sequences(events: DataFrame) -> DataFrame:

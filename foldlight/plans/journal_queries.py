@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from foldlight.functions import policy, predicates
 from foldlight.functions.policy import backoff_delay, is_exhausted, should_retry
 from foldlight.functions.tools import arithmetic
-from foldlight.operators import checkpoints, fold, ledger, recovery, replay, reports, scans, validation
+from foldlight.operators import asof, checkpoints, fold, histories, ledger, recovery, replay, reports, scans, validation
 from foldlight.sources import journal as store
 from foldlight.sources import projection
+from foldlight.sources.files import JournalFiles
 from foldlight.sources.projection import journal
-from foldlight.staging import staged
+from foldlight.staging import new_path, staged
+from foldlight.streaming.checkpoints import CheckpointStore
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -267,6 +269,49 @@ def checkpoint_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(checkpoints.recover(events, checkpoints.take(events, _halves(events))).calls)
 
 
+def _json_texts(events: DataFrame) -> DataFrame:
+    """Results and errors as JSON texts, as stored journals have them."""
+    quoted = F.concat(F.lit('"'), "error", F.lit('"'))
+    return events.withColumns({"result": F.col("result").cast("string"), "error": quoted})
+
+
+@query(_STATES_OF + "SELECT execution_id, last_sequence AS sequence, status AS stored_status, n_calls FROM states WHERE status IN ('COMPLETED', 'FAILED', 'CANCELLED')")
+def checkpoint_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal committed in three epochs, the second one twice: checkpoints are stored where executions end, once."""
+    events = _stored_journal(spark, sf_dir)
+    third = F.expr("(sequence - 1) * 3 div _last")
+    cut = staged(events.join(scans.last_sequences(events).withColumnRenamed("last_sequence", "_last"), "execution_id").withColumn("_third", third).drop("_last"), "thirds")
+    epochs = CheckpointStore(spark, new_path(spark, "epochs"))
+    for k in (0, 1, 1, 2):
+        epochs.commit(cut.where(F.col("_third") == k).drop("_third"), k)
+    calls = F.json_array_length(F.get_json_object("state", "$.tool_calls"))
+    return epochs.checkpoints().select("execution_id", "sequence", F.get_json_object("state", "$.status").alias("stored_status"), F.coalesce(calls, F.lit(0)).cast("long").alias("n_calls"))
+
+
+@query(_STATES_OF + f"SELECT {_STATE_SQL} FROM states")
+def recover_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Execution state from a snapshot of the first halves and the journal's files that hold later events."""
+    events = _stored_journal(spark, sf_dir)
+    halves = staged(_halves(events), "halves")
+    files = JournalFiles(spark, new_path(spark, "journal-files"))
+    early = scans.prefix(events, halves)
+    files.append(store.encode(_json_texts(early)))
+    snapshot = checkpoints.take(store.decode(store.read_events(spark, files.events_path)))
+    files.append(store.encode(_json_texts(scans.tail(events, halves.withColumnRenamed("upto", "after")))))
+    return files.recover(snapshot).executions.select(*_STATE_COLUMNS)
+
+
+@query(", places AS (SELECT execution_id, last * k // 4 AS upto FROM (SELECT execution_id, max(sequence) AS last FROM journal GROUP BY ALL), (SELECT unnest([1, 2, 3, 4]) AS k)), at_places AS (SELECT DISTINCT j.* REPLACE (j.execution_id || '@' || upto AS execution_id), upto FROM journal j JOIN places p ON p.execution_id = j.execution_id AND sequence <= upto)\n"
+       + _CALLS.replace("{journal}", "at_places") + _STATES.replace("{journal}", "at_places") + f"SELECT split_part(execution_id, '@', 1) AS execution_id, split_part(execution_id, '@', 2)::BIGINT AS upto, {_STATE_SQL.replace('execution_id, ', '', 1)} FROM states")
+def states_at_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Execution state at each quarter of a journal, from one scan; stored checkpoints at the first fifth stand for what is before."""
+    events = _stored_journal(spark, sf_dir)
+    last = staged(scans.last_sequences(events), "last")
+    wanted = last.select("execution_id", F.explode(F.array(*[F.expr(f"last_sequence * {k} div 4") for k in (1, 2, 3, 4)])).alias("upto"))
+    stored = _checkpoint_rows(events, last.select("execution_id", F.expr("last_sequence div 5").alias("upto")))
+    return asof.states_at(events, wanted, stored, result="double").executions.select("execution_id", "upto", *[c for c in _STATE_COLUMNS if c != "execution_id"])
+
+
 _HALF = ", half AS (SELECT * FROM (SELECT *, max(sequence) OVER (PARTITION BY execution_id) AS top FROM journal) WHERE sequence <= top // 2)\n"
 
 
@@ -335,6 +380,27 @@ def ledger_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.decisions(ledger_ops(spark, sf_dir))
 
 
+#: All users of a remainder share a key, and keys are never completed, so that every decision hangs on a long log.
+_LONG_LEDGER = _LEDGER.replace("'key_' || user_id || '_' || (event_id % 3)", "'key_' || (user_id % 2)").replace("PARTITION BY user_id, event_id % 3", "PARTITION BY user_id % 2").replace("WHEN 'click' THEN 'complete'", "WHEN 'click' THEN 'authorize_retry'")
+
+
+def _long_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user = F.regexp_extract("execution_id", "[0-9]+", 0).cast("long")
+    op = F.when(F.col("op") == "complete", "authorize_retry").otherwise(F.col("op"))
+    return ledger_ops(spark, sf_dir).withColumns({"idempotency_key": F.concat(F.lit("key_"), (user % 2).cast("string")), "op": op})
+
+
+@raw_query(_LONG_LEDGER + f"SELECT {_RECORD_SQL} FROM records")
+def ledger_long_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two keys with half of all operations each, their logs cut in stretches."""
+    return ledger.records(_long_logs(spark, sf_dir), long_log=400).select(*_RECORD_COLUMNS)
+
+
+@raw_query(_LONG_LEDGER + "SELECT w.idempotency_key, w.op_seq, w.op, w.decision, CASE WHEN w.decision = 'deduplicated' THEN w.result END AS result FROM walk w WHERE w.n > 0")
+def ledger_long_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger.decisions(_long_logs(spark, sf_dir), long_log=400)
+
+
 @raw_query(_LEDGER + f"SELECT {_RECORD_SQL} FROM records WHERE execution_id = 'exec_7' AND status = 'COMPLETED'")
 def ledger_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.listed(ledger.records(ledger_ops(spark, sf_dir)), "exec_7", "COMPLETED").select(*_RECORD_COLUMNS)
@@ -616,6 +682,50 @@ def checkpoint_corrupt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checkpoints.corrupt(_candidates(_checkpoint_rows(events)), events)
 
 
+@query(_BATCH + "SELECT execution_id, sequence - 3 AS sequence, (CASE WHEN sequence = 1 THEN 1 ELSE sequence - 3 END)::BIGINT AS expected FROM journal WHERE sequence <= 4 AND CAST(substr(execution_id, 6) AS BIGINT) % 2 = 0 AND sequence - 3 < 1")
+def sequences_below_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journals that begin three sequences too low: what is below 1 is reported, with the sequence that was due."""
+    even = F.substring("execution_id", 6, 20).cast("long") % 2 == 0
+    low = journal(spark, sf_dir).where(even).withColumn("sequence", F.col("sequence") - 3)
+    return validation.sequence_gaps(low).where("sequence < 1").select("execution_id", "sequence", "expected")
+
+
+@query(_BATCH + "SELECT execution_id, last - 1 AS sequence, 'no such event' AS reason FROM tops WHERE u % 3 = 1")
+def checkpoint_of_no_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checkpoints before the last event, where every third journal has lost the event that it was taken at."""
+    events = _stored_journal(spark, sf_dir)
+    limits = staged(_all_but_the_last(events), "limits")
+    stored = _checkpoint_rows(events, limits)
+    u = F.substring("execution_id", 6, 20).cast("long")
+    lost = events.join(limits, "execution_id").where((u % 3 != 1) | (F.col("sequence") != F.col("upto"))).drop("upto")
+    return validation.checkpoint_violations(stored, lost)
+
+
+@query(_BATCH + """SELECT execution_id, CASE u % 3 WHEN 0 THEN 5 WHEN 1 THEN 9 ELSE last + 1 END AS sequence, ['missing', 'differs', 'added'][1 + u % 3] AS kind FROM tops
+WHERE u % 3 = 0 AND last >= 5 OR u % 3 = 1 AND last >= 9 OR u % 9 = 2""")
+def history_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where another copy of the journal parts from it, found by hash trees: events lost, changed and added, and equal histories."""
+    events = _stored_journal(spark, sf_dir)
+    u, sequence = F.substring("execution_id", 6, 20).cast("long"), F.col("sequence")
+    kept = events.where((u % 3 != 0) | (sequence != 5)).withColumn("delay", F.when((u % 3 == 1) & (sequence == 9), 99.0).otherwise(F.col("delay")))
+    more = scans.last_sequences(events).where(u % 9 == 2).select("execution_id", (F.col("last_sequence") + 1).alias("sequence"), F.lit("ExecutionStarted").alias("event_type"), F.lit(False).alias("deduplicated"))
+    return histories.compare(events, staged(kept.unionByName(more, allowMissingColumns=True), "copy"), leaf=16, fan=4)
+
+
+@query(_CALLS_OF + """, told AS (SELECT execution_id, row_number() OVER (PARTITION BY execution_id ORDER BY requested_sequence) - 1 AS index, CAST(substr(call_id, 6) AS BIGINT) AS e, status FROM calls)
+SELECT execution_id, min(index) AS index FROM told WHERE status NOT IN ('REQUESTED', 'STARTED', 'RETRYING') AND e % 50 = 49 GROUP BY ALL""")
+def replay_equal_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that write their arguments in another way match, up to the first whose argument is another value: 1 and 1.0, true and 1 are equal."""
+    recorded = replay.recorded_calls(fold.fold_calls(journal(spark, sf_dir)))
+    e = F.substring("call_id", 6, 20).cast("long")
+    said = lambda last: F.concat(F.lit('{"b": [true, 1, "true", -0.5], "e": '), e.cast("string"), last)
+    again = F.concat(F.lit('{"e": '), F.when(e % 50 == 49, e + 1).otherwise(e).cast("string"), F.lit('.0, "b": [1.0, true, "true", -5e-1], "c": 0}'))
+    recorded = staged(recorded.withColumn("arguments", said(F.lit(', "c": false}'))), "recorded")
+    candidate = recorded.select("execution_id", "index", "tool", again.alias("arguments"), "idempotency_key")
+    found = replay.first_mismatches(recorded.where("status not in ('REQUESTED', 'STARTED', 'RETRYING')"), candidate.join(recorded.where("status not in ('REQUESTED', 'STARTED', 'RETRYING')").select("execution_id", "index"), ["execution_id", "index"], "left_semi"))
+    return found.where("kind = 'arguments'").select("execution_id", "index")
+
+
 #: Ways to damage a state's text, and the fault that each is.
 _DAMAGES = (
     ('"status":"[A-Z]+"', '"status":"NONSENSE"', "unknown status"),

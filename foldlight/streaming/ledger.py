@@ -16,8 +16,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foldlight.shipping import ship
 
-STATE = "op_seq long, status string, attempts int, retry_authorized int, result string, error string"
-OUTPUT = "idempotency_key string, op_seq long, op string, decision string, result string, status string, attempts int, retry_authorized int"
+_RECORD = "status string, attempts int, retry_authorized int, result string, error string, execution_id string, call_id string, tool_name string, arguments string, created_at string, updated_at string, resolution string, resolution_note string, resolved_at string"
+STATE = f"op_seq long, {_RECORD}"
+#: `result` is what a deduplicated claim is served; the record after the operation follows.
+OUTPUT = "idempotency_key string, op_seq long, op string, decision string, result string, " + ", ".join(("record_" if f.startswith(("result", "error")) else "") + f for f in _RECORD.split(", "))
+INPUT = ("op_seq", "op", "result", "error", "execution_id", "by_execution", "call_id", "tool_name", "arguments", "note", "ts")
+NEW = (None, 0, 0, *[None] * 11)
 
 
 def step(record: tuple, op: str, result: str | None, error: str | None) -> tuple[tuple, str, str | None]:
@@ -44,24 +48,46 @@ def step(record: tuple, op: str, result: str | None, error: str | None) -> tuple
     return (status, attempts, authorized + 1, kept, failure), "ok", None
 
 
+#: How a settlement is recorded.
+RESOLUTIONS = {"complete": "completed", "fail": "failed", "authorize_retry": "retry"}
+
+
+def apply_operation(record: tuple, o) -> tuple[tuple, str, str | None]:
+    """(record, decision, served result) after one operation, for whole records (see STATE), which an execution may settle for itself only."""
+    holder, status = record[5], record[0]
+    if o.op != "claim" and status is not None and o.by_execution is not None and holder is not None and o.by_execution != holder:
+        return record, "foreign_execution", None
+    core, decision, served = step(record[:5], o.op, o.result, o.error)
+    claim, (created, updated), settlement = record[5:9], record[9:11], record[11:]
+    if decision == "execute":
+        claim, created, updated = (o.execution_id, o.call_id, o.tool_name, o.arguments), created if status else o.ts, o.ts
+    elif decision == "ok":
+        updated, settlement = o.ts, (RESOLUTIONS[o.op], o.note, o.ts)
+    return (*core, *claim, created, updated, *settlement), decision, served
+
+
 def _apply(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, *record = state.get if state.exists else (-1, None, 0, 0, None, None)
+    last, *record = state.get if state.exists else (-1, *NEW)
     record, out = tuple(record), []
-    ops = pd.concat(list(frames)).sort_values("op_seq")[["op_seq", "op", "result", "error"]].astype(object)
-    for op_seq, op, result, error in ops.where(ops.notna(), None).itertuples(index=False):
+    ops = pd.concat(list(frames)).sort_values("op_seq")[list(INPUT)].astype(object)
+    for o in ops.where(ops.notna(), None).itertuples(index=False):
         served = None
-        if op_seq <= last:
+        if o.op_seq <= last:
             decision = "late"
         else:
-            last = int(op_seq)
-            record, decision, served = step(record, op, result, error)
-        out.append((key[0], int(op_seq), op, decision, served, record[0], record[1], record[2]))
+            last = int(o.op_seq)
+            record, decision, served = apply_operation(record, o)
+        out.append((key[0], int(o.op_seq), o.op, decision, served, *record))
     state.update((last, *record))
     yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
 
 def decisions(ops: DataFrame) -> DataFrame:
-    """ops: idempotency_key, op_seq, op, result, error (a streaming frame); blank and missing keys are left out."""
+    """ops: idempotency_key, op_seq, op and, where given, the other columns of INPUT (a streaming frame); blank and missing keys are left out.
+
+    An operation with `by_execution` is asked for by that execution, which settles its own keys only.
+    """
     ship(ops.sparkSession)
-    named = ops.where(F.trim("idempotency_key") != "").select("idempotency_key", "op_seq", "op", "result", "error")
+    given = [F.col(c) if c in ops.columns else F.lit(None).cast("string").alias(c) for c in INPUT]
+    named = ops.where(F.trim("idempotency_key") != "").select("idempotency_key", *given)
     return named.groupBy("idempotency_key").applyInPandasWithState(_apply, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
