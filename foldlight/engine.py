@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldlight.operators import checkpoints, fold, ledger, recovery, replay, reports, scans, validation
+from foldlight.operators import asof, checkpoints, fold, histories, ledger, recovery, replay, reports, scans, validation
 from foldlight.sources import journal
 
 
@@ -90,7 +90,7 @@ class JournalEngine:
     def report(self) -> DataFrame:
         """(execution_id, report): what a restart finds, as text."""
         states = self.states()
-        return reports.recovery_report(states.executions, states.calls, self._unresolved())
+        return reports.recovery_report(states.executions, states.calls, self._unresolved(), details=True, snapshot_at=self.snapshot.at if self.snapshot else None)
 
     def incomplete(self) -> DataFrame:
         return recovery.incomplete_tools(self.states().calls)
@@ -111,6 +111,34 @@ class JournalEngine:
     def replay_summary(self) -> DataFrame:
         return replay.summary(self.events, fold.fold_calls(self.events), fold.fold_attempts(self.events))
 
+    def replay_from(self, starts: DataFrame) -> DataFrame:
+        """The events after each execution's start, made again; starts (execution_id, start) that no replay can begin at are refused."""
+        verdicts = replay.starts(self.events, starts)
+        if bad := verdicts.where("verdict <> 'ok'").limit(1).collect():
+            raise JournalError(f"a replay cannot start there: {bad[0].asDict()}")
+        return replay.regenerate_from(self.events, verdicts)
+
+    def guard_decisions(self) -> DataFrame:
+        """How a replay answers keyed calls, without a ledger."""
+        return replay.guard_decisions(self.states().calls)
+
+    def retry_decisions(self) -> DataFrame:
+        """The retries that the journal recorded."""
+        return replay.retry_decisions(self.states().attempts)
+
+    def can_attempt(self, wanted: DataFrame) -> DataFrame:
+        """Whether the history holds an outcome of each wanted attempt (execution_id, call_id, attempt)."""
+        return replay.can_attempt(self.states().attempts, wanted)
+
+    def states_at(self, wanted: DataFrame, checkpoints_path: str | None = None) -> checkpoints.States:
+        """States at many sequences of each execution, from stored checkpoints on where there are any."""
+        stored = journal.read_checkpoints(self.spark, checkpoints_path) if checkpoints_path else None
+        return asof.states_at(self.events, wanted, stored)
+
+    def difference_from(self, other: DataFrame) -> DataFrame:
+        """Where each execution's history first parts from that of another journal."""
+        return histories.compare(self.events, other)
+
     def compare(self, candidate: DataFrame) -> DataFrame:
         """Where each execution's candidate calls first leave the recorded ones."""
         return replay.first_mismatches(replay.recorded_calls(self.states().calls), candidate)

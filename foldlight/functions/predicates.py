@@ -53,6 +53,12 @@ def is_ambiguous(status: Column, enforced: Column) -> Column:
     return F.coalesce(~timeout_enforced(status, enforced), F.lit(False))
 
 
+def outcome_flags(status: Column, enforced: Column) -> dict[str, Column]:
+    """What came of a call, by name: at most one of the first four holds; ambiguous: the effect may still happen."""
+    named = {"succeeded": "COMPLETED", "failed": "FAILED", "timed_out": "TIMED_OUT", "cancelled": "CANCELLED"}
+    return {**{k: status == v for k, v in named.items()}, "ambiguous": is_ambiguous(status, enforced)}
+
+
 def is_settled(status: Column) -> Column:
     return ~is_incomplete_status(status)
 

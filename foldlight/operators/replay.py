@@ -172,6 +172,17 @@ def matched(events: DataFrame) -> DataFrame:
     return joined.select("execution_id", same.alias("matched"), "events_replayed")
 
 
+def journal_mutated(before: DataFrame, events: DataFrame) -> DataFrame:
+    """(execution_id, before, after): journals that did not keep their number of events while they were replayed.
+
+    before: (execution_id, n_events), counted when the replay began.
+    """
+    after = events.groupBy("execution_id").agg(F.count("*").alias("after"))
+    joined = before.select("execution_id", F.col("n_events").alias("before")).join(after, "execution_id", "full")
+    counts = joined.select("execution_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("before", "after")])
+    return counts.where("before <> after")
+
+
 def steps(calls: DataFrame, attempts: DataFrame) -> DataFrame:
     """One row per recorded call: index, outcome, number of attempts, and the time its backoffs would have taken."""
     counted = attempts.groupBy("execution_id", "call_id").agg(F.count("*").alias("n_attempts"), F.coalesce(F.sum("retry_delay"), F.lit(0.0)).alias("delay"))

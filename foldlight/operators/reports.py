@@ -14,10 +14,15 @@ def _section(rows: DataFrame, title: str, order: Column, line: Column, name: str
     return rows.groupBy("execution_id").agg(F.concat(F.lit(f"\n{title}"), F.array_join(listed, "")).alias(name))
 
 
-def recovery_report(states: DataFrame, calls: DataFrame, unresolved: DataFrame | None = None) -> DataFrame:
-    """(execution_id, report): status and last event, then the open calls, scheduled retries and unresolved keys that there are."""
+def recovery_report(states: DataFrame, calls: DataFrame, unresolved: DataFrame | None = None, details: bool = False, snapshot_at: DataFrame | None = None) -> DataFrame:
+    """(execution_id, report): status and last event, then the open calls, scheduled retries and unresolved keys that there are.
+
+    details: what the state was recovered from, and the open calls' arguments and start times.  snapshot_at: (execution_id,
+    sequence) of the checkpoints that it was recovered from.
+    """
+    more = [F.concat(F.lit("since "), "started_at"), F.concat(F.lit("with "), "arguments")] if details else []
     started = F.when(F.col("was_started"), "started").otherwise("requested")
-    open_ = _section(recovery.incomplete_tools(calls), "Open calls:", F.col("sequence"), F.concat_ws(" ", "call_id", "tool", started, F.lit("at"), "sequence"), "_open")
+    open_ = _section(recovery.incomplete_tools(calls), "Open calls:", F.col("sequence"), F.concat_ws(" ", "call_id", "tool", started, F.lit("at"), "sequence", *more), "_open")
     waits = _section(recovery.pending_retries(calls), "Scheduled retries:", F.col("sequence"), F.concat_ws(" ", "call_id", "tool", F.lit("attempt"), "attempt", F.lit("after"), F.concat(F.col("delay").cast("string"), F.lit("s"))), "_waits")
     joined = states.join(open_, "execution_id", "left").join(waits, "execution_id", "left")
     if unresolved is not None:
@@ -25,6 +30,11 @@ def recovery_report(states: DataFrame, calls: DataFrame, unresolved: DataFrame |
         joined = joined.join(keys, "execution_id", "left")
     sections = ["_open", "_waits", *(["_keys"] if unresolved is not None else [])]
     head = F.concat(F.lit("Execution: "), "execution_id", F.lit("\nStatus: "), "status", F.lit("\nLast event: "), F.col("last_sequence").cast("string"))
+    if details:
+        at = states.select("execution_id").limit(0).withColumn("sequence", F.lit(0)) if snapshot_at is None else snapshot_at
+        joined = joined.join(at.select("execution_id", F.col("sequence").alias("_at")), "execution_id", "left")
+        checkpoint = F.concat(F.lit("checkpoint at "), F.col("_at").cast("string"), F.lit(", events after it: "), (F.col("last_sequence") - F.col("_at")).cast("string"))
+        head = F.concat(head, F.lit("\nRecovered from: "), F.coalesce(checkpoint, F.lit("the whole journal")))
     return joined.select("execution_id", F.concat(head, *[F.coalesce(c, F.lit("")) for c in sections]).alias("report"))
 
 

@@ -57,3 +57,13 @@ def checkpoint_at(checkpoints: DataFrame, execution_id: str, sequence: int) -> D
 
 def checkpoint_counts(checkpoints: DataFrame) -> DataFrame:
     return checkpoints.groupBy("execution_id").agg(F.count("*").alias("n_checkpoints"))
+
+
+def checkpoints_of(checkpoints: DataFrame, execution_id: str) -> DataFrame:
+    """An execution's checkpoints in order."""
+    return execution_events(checkpoints, execution_id)
+
+
+def checkpointed_ids(checkpoints: DataFrame) -> DataFrame:
+    """The executions that have a checkpoint, in order; `existing` says which of given ones have."""
+    return execution_ids(checkpoints)

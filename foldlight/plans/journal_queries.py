@@ -528,8 +528,8 @@ def event_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
   status = 'CANCELLED' AS cancelled, coalesce(status = 'TIMED_OUT' AND NOT coalesce(enforced, true), false) AS ambiguous FROM calls""")
 def outcome_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, status = fold.fold_calls(journal(spark, sf_dir)), F.col("status")
-    is_ = lambda x: status == x
-    return calls.select("execution_id", "call_id", predicates.is_terminal_status(status).alias("terminal"), is_("COMPLETED").alias("succeeded"), is_("FAILED").alias("failed"), is_("TIMED_OUT").alias("timed_out"), is_("CANCELLED").alias("cancelled"), predicates.is_ambiguous(status, F.col("enforced")).alias("ambiguous"))
+    flags = predicates.outcome_flags(status, F.col("enforced"))
+    return calls.select("execution_id", "call_id", predicates.is_terminal_status(status).alias("terminal"), *[v.alias(k) for k, v in flags.items()])
 
 
 @query(_CALLS_OF + _ATTEMPTS + """SELECT c.execution_id, c.call_id, count(a.attempt)::BIGINT AS attempt_count, max(a.status) FILTER (a.attempt = 2) AS second_status, coalesce(bool_or(a.status <> 'STARTED' AND a.attempt = 2), false) AS can_attempt_second
@@ -777,6 +777,27 @@ def checkpoint_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.checkpoint_at(_tens(journal(spark, sf_dir)), "exec_3", 20)
 
 
+@query("SELECT execution_id, sequence, 'ckpt_' || execution_id || '_' || sequence AS checkpoint_id FROM journal WHERE execution_id = 'exec_3' AND sequence % 10 = 0")
+def checkpoint_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.checkpoints_of(_tens(journal(spark, sf_dir)), "exec_3")
+
+
+@query("SELECT execution_id, bool_or(sequence % 10 = 0) AS has_checkpoints FROM journal GROUP BY ALL")
+def checkpoint_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All executions, and whether they are among those that have checkpoints."""
+    events = _stored_journal(spark, sf_dir)
+    having = scans.checkpointed_ids(_tens(events)).withColumn("has", F.lit(True))
+    return scans.execution_ids(events).join(having, "execution_id", "left").select("execution_id", F.coalesce("has", F.lit(False)).alias("has_checkpoints"))
+
+
+@query(", kept AS (SELECT * FROM journal WHERE NOT (CAST(substr(execution_id, 6) AS BIGINT) % 4 = 1 AND sequence = 2)) SELECT execution_id, count(*)::BIGINT AS before, count(k.sequence)::BIGINT AS after FROM journal j LEFT JOIN kept k USING (execution_id, sequence) GROUP BY ALL HAVING count(*) <> count(k.sequence)")
+def replay_journal_mutated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Journals that lost an event while they were replayed."""
+    events = _stored_journal(spark, sf_dir)
+    u = F.substring("execution_id", 6, 20).cast("long")
+    return replay.journal_mutated(scans.event_counts(events), events.where((u % 4 != 1) | (F.col("sequence") != 2)))
+
+
 # -- recovery ------------------------------------------------------------------------------------------------------------
 
 

@@ -41,7 +41,7 @@ def test_engine_refuses_what_the_journal_does_not_support(spark, tmp_path):
     complete(state).write.parquet(saved)
     engine = JournalEngine.open(spark, path, checkpoints_path=saved)
     assert {r["execution_id"]: r["recovery_class"] for r in engine.recovery().collect()} == {"happy": "RUNNING", "two_calls": "RECOVERY_REQUIRED"}
-    assert "Open calls:\n  b add started at 6" in {r["execution_id"]: r["report"] for r in engine.report().collect()}["two_calls"]
+    assert "Recovered from: checkpoint at 2, events after it: 4\nOpen calls:\n  b add started at 6" in {r["execution_id"]: r["report"] for r in engine.report().collect()}["two_calls"]
     for k, broken in enumerate((state.withColumn("state", F.lit("{")), state.withColumn("sequence", F.col("sequence") + 1), state.selectExpr("execution_id", "9L as sequence", "'{\"last_sequence\":9}' as state"))):
         complete(broken).write.parquet(f"{saved}{k}")
         with pytest.raises(JournalError):
@@ -171,3 +171,17 @@ def test_engine_refuses_two_states_of_one_sequence(spark, tmp_path):
     state.unionByName(state.withColumn("state", F.regexp_replace("state", '"goal":"g"', '"goal":"h"'))).write.parquet(saved)
     with pytest.raises(JournalError, match="two states"):
         JournalEngine.open(spark, path, checkpoints_path=saved)
+
+
+def test_engine_calls_for_replays(spark):
+    engine = JournalEngine(spark, frame(spark, JOURNALS))
+    start = lambda *rows: spark.createDataFrame(rows, "execution_id string, start long")
+    assert [r["event_type"] for r in engine.replay_from(start(("two_calls", 4))).orderBy("sequence").collect()] == ["ToolRequested", "ToolStarted"]
+    with pytest.raises(JournalError, match="open_call"):
+        engine.replay_from(start(("happy", 3)))
+    assert {(r["execution_id"], r["decision"]) for r in engine.guard_decisions().collect()} == {("dedup", "deduplicated"), ("unenforced", "execute")}
+    assert {(r["execution_id"], r["failed_attempt"]) for r in engine.retry_decisions().collect()} == {("retries", 1), ("retries", 2), ("cancel_in_backoff", 1)}
+    wanted = spark.createDataFrame([("retries", "c", 3), ("retries", "c", 4)], "execution_id string, call_id string, attempt int")
+    assert {r["attempt"]: r["can_attempt"] for r in engine.can_attempt(wanted).collect()} == {3: True, 4: False}
+    assert "Recovered from: the whole journal" in engine.report().first()["report"]
+    assert engine.difference_from(frame(spark, JOURNALS)).count() == 0
