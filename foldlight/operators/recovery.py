@@ -9,11 +9,11 @@ from foldlight.functions.predicates import is_ambiguous, is_incomplete_status, i
 from foldlight.operators import fold
 
 
-def incomplete_tools(calls: DataFrame) -> DataFrame:
-    """Calls without an outcome; sequence is that of the start, if there was one."""
+def incomplete_tools(calls: DataFrame, *more: str) -> DataFrame:
+    """Calls without an outcome; sequence is that of the start, if there was one.  more: further columns of the calls."""
     started = F.col("status") == "STARTED"
     sequence = F.when(started, F.col("started_sequence")).otherwise(F.col("requested_sequence"))
-    return calls.where(is_incomplete_status(F.col("status"))).select("execution_id", "call_id", "tool", "status", sequence.alias("sequence"), "attempt", started.alias("was_started"))
+    return calls.where(is_incomplete_status(F.col("status"))).select("execution_id", "call_id", "tool", "status", sequence.alias("sequence"), "attempt", started.alias("was_started"), *more)
 
 
 def pending_retries(calls: DataFrame) -> DataFrame:

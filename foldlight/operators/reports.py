@@ -22,7 +22,7 @@ def recovery_report(states: DataFrame, calls: DataFrame, unresolved: DataFrame |
     """
     more = [F.concat(F.lit("since "), "started_at"), F.concat(F.lit("with "), "arguments")] if details else []
     started = F.when(F.col("was_started"), "started").otherwise("requested")
-    open_ = _section(recovery.incomplete_tools(calls), "Open calls:", F.col("sequence"), F.concat_ws(" ", "call_id", "tool", started, F.lit("at"), "sequence", *more), "_open")
+    open_ = _section(recovery.incomplete_tools(calls, *(("started_at", "arguments") if details else ())), "Open calls:", F.col("sequence"), F.concat_ws(" ", "call_id", "tool", started, F.lit("at"), "sequence", *more), "_open")
     waits = _section(recovery.pending_retries(calls), "Scheduled retries:", F.col("sequence"), F.concat_ws(" ", "call_id", "tool", F.lit("attempt"), "attempt", F.lit("after"), F.concat(F.col("delay").cast("string"), F.lit("s"))), "_waits")
     joined = states.join(open_, "execution_id", "left").join(waits, "execution_id", "left")
     if unresolved is not None:

@@ -96,23 +96,28 @@ def checkpoint_violations(checkpoints: DataFrame, events: DataFrame) -> DataFram
     checkpoints: execution_id, sequence, state (JSON).  Reasons, in this order: the state is damaged (see state_fault), it stands
     at another sequence, the journal ends before it, the journal has no such event.
     """
-    last = events.groupBy("execution_id").agg(F.max("sequence").alias("last"))
-    at = events.select("execution_id", F.col("sequence").alias("at")).distinct()
-    told = checkpoints.select("execution_id", "sequence", state_fault("state", "execution_id").alias("fault"), F.expr("try_cast(get_json_object(state, '$.last_sequence') as bigint)").alias("stated"))
-    joined = told.join(last, "execution_id", "left").join(at, (told["execution_id"] == at["execution_id"]) & (told["sequence"] == at["at"]), "left").select(told["execution_id"], "sequence", "fault", "stated", "last", "at")
+    return _with_reasons(checkpoints, events).select("execution_id", "sequence", "reason").where("reason is not null")
+
+
+def _with_reasons(checkpoints: DataFrame, events: DataFrame) -> DataFrame:
+    last = events.groupBy("execution_id").agg(F.max("sequence").alias("_last"))
+    at = events.select("execution_id", "sequence").distinct().withColumn("_at", F.lit(True))
+    stated = F.expr("try_cast(get_json_object(state, '$.last_sequence') as bigint)")
+    told = checkpoints.withColumns({"_fault": state_fault("state", "execution_id"), "_stated": stated})
+    joined = told.join(last, "execution_id", "left").join(at, ["execution_id", "sequence"], "left")
     reason = (
-        F.when(F.col("fault").isNotNull(), F.col("fault"))
-        .when(F.col("stated") != F.col("sequence"), "state is at another sequence")
-        .when(F.coalesce("last", F.lit(0)) < F.col("sequence"), "ahead of journal")
-        .when(F.col("at").isNull(), "no such event")
+        F.when(F.col("_fault").isNotNull(), F.col("_fault"))
+        .when(F.col("_stated") != F.col("sequence"), "state is at another sequence")
+        .when(F.coalesce("_last", F.lit(0)) < F.col("sequence"), "ahead of journal")
+        .when(F.col("_at").isNull(), "no such event")
     )
-    return joined.select("execution_id", "sequence", reason.alias("reason")).where("reason is not null")
+    return joined.select(*checkpoints.columns, reason.alias("reason"))
 
 
 def sorted_out(checkpoints: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The checkpoints that can be read on, and the others with the reason."""
-    bad = checkpoint_violations(checkpoints, events)
-    return checkpoints.join(bad, ["execution_id", "sequence"], "left_anti"), checkpoints.join(bad, ["execution_id", "sequence"])
+    """The checkpoint rows that can be read on, and the others with the reason."""
+    judged = _with_reasons(checkpoints, events)
+    return judged.where("reason is null").drop("reason"), judged.where("reason is not null")
 
 
 def conflicting_checkpoints(checkpoints: DataFrame) -> DataFrame:
