@@ -96,7 +96,8 @@ def test_checkpoint_rules(spark):
     events = frame(spark, {"x": JOURNALS["happy"]})
     good = checkpoints.rows(events)
     assert validation.checkpoint_violations(good, events).count() == 0
-    bad = spark.createDataFrame([("x", 4, '{"last_sequence":3}'), ("x", 9, '{"last_sequence":9}'), ("x", 2, "{oops"), ("x", 0, '{"last_sequence":0}')], "execution_id string, sequence long, state string")
+    state = lambda at: f'{{"execution_id":"x","status":"RUNNING","last_sequence":{at}}}'
+    bad = spark.createDataFrame([("x", 4, state(3)), ("x", 9, state(9)), ("x", 2, "{oops"), ("x", 0, state(0))], "execution_id string, sequence long, state string")
     assert {r["sequence"]: r["reason"] for r in validation.checkpoint_violations(bad, events).collect()} == {4: "state is at another sequence", 9: "ahead of journal", 2: "unreadable state", 0: "no such event"}
     two = spark.createDataFrame([("x", 4, '{"a":1,"b":2}'), ("x", 4, '{"b":2, "a":1}'), ("x", 5, "{}"), ("x", 5, '{"a":1}')], "execution_id string, sequence long, state string")
     assert [r["sequence"] for r in validation.conflicting_checkpoints(two).collect()] == [5]
