@@ -1,50 +1,76 @@
-"""A journal from the `events` table: one call per row, one execution per user."""
+"""A journal from the `events` table: one call per row, one execution per user.
+
+Sequences are sums over calls, not ranks of events: a call's events begin after those of the user's earlier calls, which are
+counted by blocks of event ids (operators.blocks), so that no user is sorted as a whole.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-COLUMNS = ("execution_id", "sequence", "event_type", "call_id", "tool", "arguments", "attempt", "result", "error", "failed_attempt", "delay", "timeout", "enforced", "deduplicated")
+from foldlight.operators.blocks import BLOCK
 
+COLUMNS = ("execution_id", "sequence", "event_type", "call_id", "tool", "arguments", "attempt", "result", "error", "failed_attempt", "delay", "timeout", "enforced", "deduplicated")
 
-def _event(ord_: int, event_type: Column | str, attempt: Column | None = None, **more: Column) -> Column:
-    null = lambda t: F.lit(None).cast(t)
-    fields = {
-        "ord": F.col("event_id") * 10 + ord_, "event_type": F.lit(event_type) if isinstance(event_type, str) else event_type, "arguments": null("string"),
-        "attempt": null("int") if attempt is None else attempt.cast("int"), "result": null("double"), "error": null("string"), "failed_attempt": null("int"),
-        "delay": null("double"), "timeout": null("double"), "enforced": null("boolean"), "deduplicated": F.lit(False),
-    } | more
-    return F.struct(*[v.alias(k) for k, v in fields.items()])
+# Steps of a call, in order: 0 request, 1 start, 2 outcome, 3 retry scheduled, 4 second start (or cancellation), 5 its outcome.
+_STEPS = {(0,): (0, 1), (1,): (0,), (9,): (0, 2), (3, 11): (0, 1, 2, 3, 4), (7,): (0, 1, 2, 3, 4, 5), (8,): (0, 1, 2, 3)}
+_STARTED, _ENDED = -1, 9
+_BLOCK = ("user_id", "_block")
 
 
 def journal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decoded journal; sequences are gapless from 1 per execution."""
     raw = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", F.col("event_type").alias("tool"), "value", (F.get_json_object("props", "$.k").cast("int") % 14).alias("c"))
     open_users = (F.col("user_id") % 5 == 4) & F.col("c").isin(0, 1, 3)
-    src = raw.where(~open_users & ~((F.col("user_id") % 10 == 9) & (F.col("c") == 8)))
+    src = raw.where(~open_users & ~((F.col("user_id") % 10 == 9) & (F.col("c") == 8))).withColumn("_block", F.expr(f"event_id div {BLOCK}"))
     c = F.col("c")
-    failed, timed = c.isin(2, 3, 7, 8, 11), c.isin(4, 5)
-    outcome = F.when(failed, "ToolFailed").when(timed, "ToolTimedOut").when(c == 6, "ToolCancelled").otherwise("ToolCompleted")
-    deadline = F.when(timed, F.lit(5.0))
-    boom = F.lit("boom 1")
-    steps = F.array(
-        _event(0, "ToolRequested", arguments=F.concat(F.lit('{"e":'), F.col("event_id").cast("string"), F.lit("}")), timeout=deadline, deduplicated=c == 9),
-        F.when(~c.isin(1, 9), _event(1, "ToolStarted", F.lit(1))),
-        F.when(~c.isin(0, 1), _event(2, outcome, F.lit(1), result=F.when(c.isin(9, 10, 12, 13), F.col("value")), error=F.when(failed, boom).when(timed, "deadline").when(c == 6, "cancelled"), timeout=deadline, enforced=F.when(timed, c == 4), deduplicated=c == 9)),
-        F.when(c.isin(3, 7, 8, 11), _event(3, "ToolRetryScheduled", F.lit(2), error=boom, failed_attempt=F.lit(1), delay=F.lit(0.1))),
-        F.when(c.isin(3, 7, 11), _event(4, F.when(c == 11, "ToolCancelled").otherwise("ToolStarted"), F.when(c == 11, 1).otherwise(2), error=F.when(c == 11, "cancelled"))),
-        F.when(c == 7, _event(5, "ToolCompleted", F.lit(2), result=F.col("value"))),
-    )
-    calls = src.select("user_id", "event_id", "tool", F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("s")).select("user_id", "event_id", "tool", "s.*")
-    users = src.groupBy("user_id").agg(F.first("event_id").alias("event_id")).drop("event_id")
+    steps = F.when(c.isNull(), F.array(F.lit(0)))
+    for kinds, of in _STEPS.items():
+        steps = steps.when(c.isin(*kinds), F.array(*map(F.lit, of)))
+    steps = steps.otherwise(F.array(*map(F.lit, (0, 1, 2))))
+
+    # Where each call begins: events of the user's earlier blocks, and of earlier calls in its block.
+    user = Window.partitionBy("user_id")
+    earlier = user.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = src.groupBy(*_BLOCK).agg(F.sum(F.size(steps)).alias("n"))
+    ahead = sums.select(*_BLOCK, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("ahead"), F.sum("n").over(user).alias("total"))
+    within = Window.partitionBy(*_BLOCK).orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = src.withColumn("before", F.coalesce(F.sum(F.size(steps)).over(within), F.lit(0))).join(ahead, list(_BLOCK)).withColumn("before", F.col("before") + F.col("ahead"))
+
+    # The first call brings the execution's start, the last one its end.
+    first, last = F.col("before") == 0, F.col("before") + F.size(steps) == F.col("total")
     end = F.when(F.col("user_id") % 5 == 1, "ExecutionCompleted").when(F.col("user_id") % 5 == 2, "ExecutionFailed").when(F.col("user_id") % 5 == 3, "ExecutionCancelled")
-    edges = F.array(F.struct(F.lit(-1).cast("long").alias("ord"), F.lit("ExecutionStarted").alias("event_type")), F.when(end.isNotNull(), F.struct(F.lit(9_000_000_000).alias("ord"), end.alias("event_type"))))
-    lifecycle = users.select("user_id", F.explode(F.filter(edges, lambda e: e.isNotNull())).alias("e")).select("user_id", "e.*").withColumn("deduplicated", F.lit(False))
-    every = calls.unionByName(lifecycle, allowMissingColumns=True)
-    numbered = every.withColumn("sequence", F.row_number().over(Window.partitionBy("user_id").orderBy("ord")).cast("long"))
-    call = F.when(F.col("event_id").isNotNull(), F.concat(F.lit("call_"), F.col("event_id").cast("string")))
-    return numbered.withColumns({"execution_id": F.concat(F.lit("exec_"), F.col("user_id").cast("string")), "call_id": call}).select(*COLUMNS)
+    none = F.array().cast("array<int>")
+    every = F.concat(F.when(first, F.array(F.lit(_STARTED))).otherwise(none), steps, F.when(last & end.isNotNull(), F.array(F.lit(_ENDED))).otherwise(none))
+    each = placed.select("user_id", "event_id", "tool", "value", "c", (F.col("before") + F.when(first, 1).otherwise(2)).alias("base"), F.posexplode(every).alias("pos", "k"))
+
+    k = F.col("k")
+    of_call, outcome, again, retry = k.between(0, 5), k == 2, k == 4, k == 3
+    failed, timed = c.isin(2, 3, 7, 8, 11), c.isin(4, 5)
+    ended = F.when(failed, "ToolFailed").when(timed, "ToolTimedOut").when(c == 6, "ToolCancelled").otherwise("ToolCompleted")
+    event_type = (
+        F.when(k == _STARTED, "ExecutionStarted").when(k == 0, "ToolRequested").when(k == 1, "ToolStarted").when(outcome, ended).when(retry, "ToolRetryScheduled")
+        .when(again, F.when(c == 11, "ToolCancelled").otherwise("ToolStarted")).when(k == 5, "ToolCompleted").otherwise(end)
+    )
+    name = lambda prefix, column: F.concat(F.lit(prefix), F.col(column).cast("string"))
+    values = {
+        "execution_id": name("exec_", "user_id"),
+        "sequence": (F.col("base") + F.col("pos")).cast("long"),
+        "event_type": event_type,
+        "call_id": F.when(of_call, name("call_", "event_id")),
+        "tool": F.when(of_call, F.col("tool")),
+        "arguments": F.when(k == 0, F.concat(name('{"e":', "event_id"), F.lit("}"))),
+        "attempt": F.when(k.isin(1, 2), 1).when(retry | (k == 5), 2).when(again, F.when(c == 11, 1).otherwise(2)),
+        "result": F.when((outcome & c.isin(9, 10, 12, 13)) | (k == 5), F.col("value")),
+        "error": F.when(outcome, F.when(failed, "boom 1").when(timed, "deadline").when(c == 6, "cancelled")).when(retry, "boom 1").when(again & (c == 11), "cancelled"),
+        "failed_attempt": F.when(retry, 1),
+        "delay": F.when(retry, 0.1),
+        "timeout": F.when(k.isin(0, 2) & timed, 5.0),
+        "enforced": F.when(outcome & timed, c == 4),
+        "deduplicated": F.when(of_call, F.when(k.isin(0, 2), c == 9).otherwise(F.lit(False))).otherwise(F.lit(False)),
+    }
+    return each.select(*[values[n].alias(n) for n in COLUMNS])
 
 
 #: The same projection in DuckDB's SQL.
