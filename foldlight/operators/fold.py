@@ -9,6 +9,8 @@ Events are decoded journals (see sources.journal.decode); missing columns count
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,31 +36,47 @@ def _of(*types: str) -> Column:
     return F.col("event_type").isin(*types)
 
 
+_CALL_MAXIMA = ("last", "tried", "settled", "started", "retry")
+_ATTEMPT_MAXIMA = ("last", "started", "settled", "scheduled")
+
+
+def _settled(*also: Column | str) -> Column:
+    completed = F.col("event_type") == "ToolCompleted"
+    return _last(_of(*S.SETTLING_EVENTS), F.when(completed, F.col("result")).alias("result"), F.when(~completed, F.col("error")).alias("error"), *also)
+
+
+def _call_partials() -> dict[str, Column]:
+    timed = _of("ToolTimedOut")
+    retry = (F.col("event_type") == "ToolRetryScheduled").alias("pending"), attempt_number(F.col("attempt")).alias("attempt"), "failed_attempt", "delay", "reason", "error"
+    return {
+        "last": _last(F.lit(True), "event_type"),
+        "tried": _last(~_of("ToolRequested", "ToolRetryScheduled"), attempt_number(F.col("attempt")).alias("attempt")),
+        "settled": _settled(F.when(timed, F.col("timeout")).alias("timeout"), F.when(timed, F.col("enforced")).alias("enforced")),
+        "started": _last(_of("ToolStarted"), "timestamp"),
+        "retry": _last(_of("ToolRetryScheduled", "ToolStarted", "ToolCancelled"), *retry),
+        "requests": F.collect_list(F.when(_of("ToolRequested"), F.struct("sequence", *_REQUEST))),
+    }
+
+
 def partial_calls(events: DataFrame) -> DataFrame:
     """One row per call and part of a journal: the last events of each kind, and all its requests."""
     e = conform(events).where(_of(*S.TOOL_EVENTS))
-    completed = F.col("event_type") == "ToolCompleted"
-    settled = F.struct("sequence", F.when(completed, F.col("result")).alias("result"), F.when(~completed, F.col("error")).alias("error"), F.when(_of("ToolTimedOut"), F.col("timeout")).alias("timeout"), F.when(_of("ToolTimedOut"), F.col("enforced")).alias("enforced"))
-    retry = (F.col("event_type") == "ToolRetryScheduled").alias("pending"), attempt_number(F.col("attempt")).alias("attempt"), "failed_attempt", "delay", "reason", "error"
-    return e.groupBy(*CALL).agg(
-        _last(F.lit(True), "event_type").alias("last"),
-        _last(~_of("ToolRequested", "ToolRetryScheduled"), attempt_number(F.col("attempt")).alias("attempt")).alias("tried"),
-        F.max(F.when(_of(*S.SETTLING_EVENTS), settled)).alias("settled"),
-        _last(_of("ToolStarted"), "timestamp").alias("started"),
-        _last(_of("ToolRetryScheduled", "ToolStarted", "ToolCancelled"), *retry).alias("retry"),
-        F.collect_list(F.when(_of("ToolRequested"), F.struct("sequence", *_REQUEST))).alias("requests"),
-    )
+    return e.groupBy(*CALL).agg(*[v.alias(k) for k, v in _call_partials().items()])
+
+
+def _merged_calls() -> list[Column]:
+    return [*[F.max(c).alias(c) for c in _CALL_MAXIMA], F.flatten(F.collect_list("requests")).alias("requests")]
 
 
 def merge_calls(partials: DataFrame) -> DataFrame:
     """One row per call from the partials of parts of a journal."""
-    return partials.groupBy(*CALL).agg(*[F.max(c).alias(c) for c in ("last", "tried", "settled", "started", "retry")], F.flatten(F.collect_list("requests")).alias("requests"))
+    return partials.groupBy(*CALL).agg(*_merged_calls())
 
 
-def finish_calls(partials: DataFrame) -> DataFrame:
+def finish_calls(partials: DataFrame, *also: Column) -> DataFrame:
     """Call state, one row per request; a later request of a known call_id is a row of its own that stays REQUESTED.
 
-    Calls without a request are left out: see validation.orphan_call_events.
+    Calls without a request are left out: see validation.orphan_call_events.  also: further columns of the partials.
     """
     each = partials.select("*", F.posexplode(F.array_sort("requests")).alias("nth", "request"))
     first = F.col("nth") == 0
@@ -77,6 +95,7 @@ def finish_calls(partials: DataFrame) -> DataFrame:
         mine(F.col("started.timestamp")).alias("started_at"),
         F.coalesce(mine(F.col("settled.sequence")), F.lit(0)).cast("long").alias("completed_sequence"),
         F.when(retry.isNotNull(), F.struct(retry["attempt"].alias("attempt"), F.coalesce(retry["failed_attempt"], F.greatest(retry["attempt"] - 1, F.lit(0))).alias("failed_attempt"), F.coalesce(retry["delay"], F.lit(0.0)).alias("delay"), F.coalesce(retry["reason"], F.lit("")).alias("reason"), retry["error"].alias("error"), retry["sequence"].alias("sequence"))).alias("pending_retry"),
+        *also,
     )
 
 
@@ -84,45 +103,55 @@ def fold_calls(events: DataFrame) -> DataFrame:
     return finish_calls(partial_calls(events))
 
 
+def _attempt_of() -> Column:
+    """The attempt that an event belongs to: a retry to the one that failed."""
+    number = attempt_number(F.col("attempt"))
+    failed = F.coalesce(F.nullif("failed_attempt", F.lit(0)), F.greatest(number - 1, F.lit(1)))
+    return F.when(_of("ToolRetryScheduled"), failed).otherwise(number)
+
+
+def _attempt_partials() -> dict[str, Column]:
+    trying = ~_of("ToolRequested", "ToolRetryScheduled")
+    return {
+        "last": _last(trying, "event_type"),
+        "first_sequence": F.min(F.when(trying, F.col("sequence"))),
+        "started": _last(_of("ToolStarted"), "timestamp"),
+        "settled": _settled("enforced"),
+        "scheduled": _last(_of("ToolRetryScheduled"), "delay", "reason", attempt_number(F.col("attempt")).alias("attempt")),
+    }
+
+
 def partial_attempts(events: DataFrame) -> DataFrame:
     """One row per call, attempt and part of a journal."""
     e = conform(events).where(_of(*S.TOOL_EVENTS[1:]))
-    retrying = F.col("event_type") == "ToolRetryScheduled"
-    number = attempt_number(F.col("attempt"))
-    failed = F.coalesce(F.nullif("failed_attempt", F.lit(0)), F.greatest(number - 1, F.lit(1)))
-    completed = F.col("event_type") == "ToolCompleted"
-    settled = F.struct("sequence", F.when(completed, F.col("result")).alias("result"), F.when(~completed, F.col("error")).alias("error"), "enforced")
-    return e.withColumn("number", F.when(retrying, failed).otherwise(number)).groupBy(*CALL, "number").agg(
-        _last(~retrying, "event_type").alias("last"),
-        F.min(F.when(~retrying, F.col("sequence"))).alias("first_sequence"),
-        _last(_of("ToolStarted"), "timestamp").alias("started"),
-        F.max(F.when(_of(*S.SETTLING_EVENTS), settled)).alias("settled"),
-        _last(retrying, "delay", "reason", number.alias("attempt")).alias("scheduled"),
-    )
+    return e.withColumn("number", _attempt_of()).groupBy(*CALL, "number").agg(*[v.alias(k) for k, v in _attempt_partials().items()])
 
 
 def merge_attempts(partials: DataFrame) -> DataFrame:
-    return partials.groupBy(*CALL, "number").agg(*[F.max(c).alias(c) for c in ("last", "started", "settled", "scheduled")], F.min("first_sequence").alias("first_sequence"))
+    return partials.groupBy(*CALL, "number").agg(*[F.max(c).alias(c) for c in _ATTEMPT_MAXIMA], F.min("first_sequence").alias("first_sequence"))
+
+
+def _attempt_fields(partial: Callable[[str], Column]) -> list[Column]:
+    """An attempt's state from its partial, of which `partial` gives the columns."""
+    last, started, settled, scheduled = (partial(c) for c in _ATTEMPT_MAXIMA)
+    mine = lambda c: F.when(last["event_type"] != "ToolStarted", settled[c])
+    return [
+        partial("number").alias("attempt"),
+        mapped(last["event_type"], S.CALL_STATUS).alias("status"),
+        F.coalesce(started["sequence"], F.lit(0)).cast("long").alias("started_sequence"),
+        started["timestamp"].alias("started_at"),
+        F.coalesce(mine("sequence"), F.lit(0)).cast("long").alias("completed_sequence"),
+        mine("result").alias("result"),
+        mine("error").alias("error"),
+        scheduled["sequence"].alias("retry_sequence"),
+        scheduled["attempt"].alias("retry_attempt"),
+        scheduled["delay"].alias("retry_delay"),
+    ]
 
 
 def finish_attempts(partials: DataFrame) -> DataFrame:
     """Attempt state; the settled fields are those of a settling last event only.  A retry of an attempt never made is left out."""
-    is_open = F.col("last.event_type") == "ToolStarted"
-    settled = lambda c: F.when(~is_open, F.col(f"settled.{c}"))
-    return partials.where("last is not null").select(
-        *CALL,
-        F.col("number").alias("attempt"),
-        mapped(F.col("last.event_type"), S.CALL_STATUS).alias("status"),
-        F.coalesce("started.sequence", F.lit(0)).cast("long").alias("started_sequence"),
-        F.col("started.timestamp").alias("started_at"),
-        F.coalesce(settled("sequence"), F.lit(0)).cast("long").alias("completed_sequence"),
-        settled("result").alias("result"),
-        settled("error").alias("error"),
-        F.col("scheduled.sequence").alias("retry_sequence"),
-        F.col("scheduled.attempt").alias("retry_attempt"),
-        F.col("scheduled.delay").alias("retry_delay"),
-        "first_sequence",
-    )
+    return partials.where("last is not null").select(*CALL, *_attempt_fields(F.col), "first_sequence")
 
 
 def fold_attempts(events: DataFrame) -> DataFrame:
@@ -136,6 +165,19 @@ def with_attempts(calls: DataFrame, attempts: DataFrame) -> DataFrame:
     return calls.join(listed, list(CALL), "left").withColumn("attempts", F.coalesce("attempts", F.array()))
 
 
+def fold_whole_calls(events: DataFrame) -> DataFrame:
+    """with_attempts(fold_calls, fold_attempts) in one pass: events are folded by attempt, and attempts, which are few, by call.
+
+    A call's requests are a part of their own, with the number 0 that no attempt has.
+    """
+    e = conform(events).where(_of(*S.TOOL_EVENTS)).withColumn("number", F.when(_of("ToolRequested"), F.lit(0)).otherwise(_attempt_of()))
+    tried = {f"try_{k}": v for k, v in _attempt_partials().items()}
+    parts = e.groupBy(*CALL, "number").agg(*[v.alias(k) for k, v in (_call_partials() | tried).items()])
+    field = lambda c: F.col("number" if c == "number" else f"try_{c}")
+    attempt = F.when(F.col("try_last").isNotNull(), F.struct(F.col("try_first_sequence").alias("first_sequence"), *_attempt_fields(field)))
+    return finish_calls(parts.groupBy(*CALL).agg(*_merged_calls(), F.array_sort(F.collect_list(attempt)).alias("attempts")), F.col("attempts"))
+
+
 def partial_executions(events: DataFrame) -> DataFrame:
     e = conform(events)
     return e.groupBy("execution_id").agg(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foldlight import schemas as S
 from foldlight.functions.canonical import equal_form
-from foldlight.functions.predicates import is_incomplete_status, is_settled
+from foldlight.functions.predicates import is_incomplete_status, is_settled, mapped
 from foldlight.operators import blocks, fold
 from foldlight.operators.scans import prefix
 from foldlight.staging import staged
@@ -77,8 +77,8 @@ def first_mismatches(recorded: DataFrame, candidate: DataFrame) -> DataFrame:
     return found.groupBy("execution_id").agg(F.min(F.struct("index", "kind", "expected", "received")).alias("m")).select("execution_id", "m.*")
 
 
-def regenerate(events: DataFrame, calls: DataFrame, attempts: DataFrame) -> DataFrame:
-    """A journal made again from folded calls and attempts and the recorded lifecycle, numbered from 1.
+def regenerate(events: DataFrame, calls: DataFrame) -> DataFrame:
+    """A journal made again from folded calls with their attempts (fold.fold_whole_calls) and the recorded lifecycle, numbered from 1.
 
     Each call's events stand together, at its request's place; a cancellation during a backoff is written after the
     retry that it called off.
@@ -90,25 +90,24 @@ def regenerate(events: DataFrame, calls: DataFrame, attempts: DataFrame) -> Data
         fields = {"event_type": (event, "string"), "attempt": (attempt, "int"), "result": (result_, result), "error": (error_, error), "failed_attempt": (failed, "int"), "delay": (delay, "double"), "timeout": (timeout, "double"), "enforced": (enforced, "boolean")}
         return F.struct(*[(null(t) if v is None else v.cast(t)).alias(k) for k, (v, t) in fields.items()])
 
-    of = attempts.alias("a").join(calls.where("attempt > 0").select("execution_id", "call_id", "timeout", "enforced").alias("c"), ["execution_id", "call_id"])
-    outcome = F.expr("element_at(map('COMPLETED', 'ToolCompleted', 'FAILED', 'ToolFailed', 'TIMED_OUT', 'ToolTimedOut', 'CANCELLED', 'ToolCancelled'), a.status)")
-    timed = F.col("a.status") == "TIMED_OUT"
-    off = (F.col("a.status") == "CANCELLED") & F.col("a.retry_sequence").isNotNull()  # cancelled while it waited for a retry
-    a = F.col("a.attempt")
-    steps = F.array(
-        F.when(F.col("a.started_sequence") > 0, step(F.lit("ToolStarted"), a)),
-        F.when(~is_incomplete_status(F.col("a.status")) & ~off, step(outcome, a, F.col("a.result"), F.col("a.error"), timeout=F.when(timed, F.col("c.timeout")), enforced=F.when(timed, F.col("c.enforced")))),
-        # What the attempt failed with was overwritten by the cancellation; that it failed is known.
-        F.when(off, step(F.lit("ToolFailed"), a)),
-        F.when(F.col("a.retry_sequence").isNotNull(), step(F.lit("ToolRetryScheduled"), F.col("a.retry_attempt"), None, F.when(~off, F.col("a.error")), a, F.col("a.retry_delay"))),
-        F.when(off, step(outcome, a, None, F.col("a.error"))),
-    )
-    made = of.select("execution_id", "call_id", F.struct(a.alias("nth"), F.array_compact(steps).alias("steps")).alias("s"))
-    made = made.groupBy("execution_id", "call_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["steps"])).alias("steps"))
+    def made(t):
+        """The events of an attempt, in order."""
+        outcome = mapped(t["status"], {"COMPLETED": "ToolCompleted", "FAILED": "ToolFailed", "TIMED_OUT": "ToolTimedOut", "CANCELLED": "ToolCancelled"})
+        timed, off = t["status"] == "TIMED_OUT", (t["status"] == "CANCELLED") & t["retry_sequence"].isNotNull()  # off: cancelled while it waited for a retry
+        a = t["attempt"]
+        return F.array_compact(F.array(
+            F.when(t["started_sequence"] > 0, step(F.lit("ToolStarted"), a)),
+            F.when(~is_incomplete_status(t["status"]) & ~off, step(outcome, a, t["result"], t["error"], timeout=F.when(timed, F.col("timeout")), enforced=F.when(timed, F.col("enforced")))),
+            # What the attempt failed with was overwritten by the cancellation; that it failed is known.
+            F.when(off, step(F.lit("ToolFailed"), a)),
+            F.when(t["retry_sequence"].isNotNull(), step(F.lit("ToolRetryScheduled"), t["retry_attempt"], None, F.when(~off, t["error"]), a, t["retry_delay"])),
+            F.when(off, step(outcome, a, None, t["error"])),
+        ))
+
+    in_order = F.array_sort("attempts", lambda x, y: (x["attempt"] - y["attempt"]).cast("int"))
     # One row per call or lifecycle event with the steps that follow it, so that a row's place in the whole is a sum over rows.
     requests = ("tool", "arguments", "idempotency_key", "timeout", "timeout_mode", "deduplicated", "retry_policy")
-    asked = calls.join(made, ["execution_id", "call_id"], "left")
-    asked = asked.select("execution_id", F.col("requested_sequence").alias("place"), F.lit("ToolRequested").alias("first"), "call_id", *requests, F.when(F.col("attempt") > 0, F.col("steps")).alias("steps"))
+    asked = calls.select("execution_id", F.col("requested_sequence").alias("place"), F.lit("ToolRequested").alias("first"), "call_id", *requests, F.when(F.col("attempt") > 0, F.flatten(F.transform(in_order, made))).alias("steps"))
     e = fold.conform(events)
     lifecycle = e.where(F.col("event_type").isin(*S.LIFECYCLE_EVENTS)).select("execution_id", F.col("sequence").alias("place"), F.col("event_type").alias("first"), F.col("result").cast(result).alias("ended"), F.col("error").cast(error).alias("failed"), "goal")
     every = asked.unionByName(lifecycle, allowMissingColumns=True).withColumn("steps", F.concat(F.array(step(None, None)), F.coalesce("steps", F.array())))
@@ -137,39 +136,33 @@ def regenerate_from(events: DataFrame, allowed: DataFrame) -> DataFrame:
     start = F.col("start")
     wanted = events.join(allowed.select("execution_id", "start"), "execution_id")
     later = wanted.where(F.col("sequence") > start).drop("start")
-    again = regenerate(later, staged(fold.fold_calls(later), "calls"), staged(fold.fold_attempts(later), "attempts"))
+    again = regenerate(later, fold.fold_whole_calls(later))
     again = again.join(allowed.select("execution_id", "start"), "execution_id").withColumn("sequence", F.col("sequence") + start).drop("start")
     mirrored = [c for c in ("event_id", "timestamp") if c in events.columns]
     return again.drop(*mirrored).join(later.select("execution_id", "sequence", *mirrored), ["execution_id", "sequence"], "left") if mirrored else again
 
 
-_COMPARED = ("execution_id", "call_id", "tool", "arguments", "status", "attempt", "result", "error", "requested_sequence", "started_sequence", "completed_sequence")
+_COMPARED = ("call_id", "tool", "arguments", "status", "attempt", "result", "error", "requested_sequence", "started_sequence", "completed_sequence")
+_TRIED = ("attempt", "status", "started_sequence", "completed_sequence", "result", "retry_sequence", "retry_attempt", "retry_delay")
 
 
-_TRIED = ("execution_id", "call_id", "attempt", "status", "started_sequence", "completed_sequence", "result", "retry_sequence", "retry_attempt", "retry_delay")
-
-
-def _digest(*parts: tuple[DataFrame, tuple[str, ...]]) -> DataFrame:
-    """(execution_id, digest, n): sums of the rows' hashes, which do not depend on an order."""
-    hashes = None
-    for k, (rows, columns) in enumerate(parts):
-        one = rows.select("execution_id", F.xxhash64(F.lit(k), *columns).alias("h"))
-        hashes = one if hashes is None else hashes.unionByName(one)
-    return hashes.groupBy("execution_id").agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("digest"), F.count("*").alias("n"))
+def _digest(events: DataFrame, calls: DataFrame) -> DataFrame:
+    """(execution_id, digest, n, n_events): the sum of the hashes of an execution's calls with their attempts, and of its end."""
+    tried = F.array_sort(F.transform("attempts", lambda t: F.struct(*[t[c].alias(c) for c in _TRIED])))
+    called = calls.select("execution_id", F.xxhash64(*_COMPARED, tried).alias("h"), F.lit(0).cast("long").alias("n_events"))
+    ends = fold.partial_executions(events).select("execution_id", F.xxhash64("last_sequence", "lifecycle.event_type").alias("h"), "n_events")
+    return called.unionByName(ends).groupBy("execution_id").agg(F.sum(F.col("h").cast("decimal(38,0)")).alias("digest"), F.count("*").alias("n"), F.sum("n_events").alias("n_events"))
 
 
 def matched(events: DataFrame) -> DataFrame:
-    """(execution_id, matched, events_replayed): whether calls, attempts and end of the regenerated journal are those of the recorded one."""
+    """(execution_id, matched, events_replayed): whether calls, attempts and end of the regenerated journal are those of the recorded one,
+    and their events as many (events of calls that nothing requested are not made again)."""
     # Each is read by several branches.
-    calls, attempts = staged(fold.fold_calls(events), "calls"), staged(fold.fold_attempts(events), "attempts")
-    again = staged(regenerate(events, calls, attempts), "regenerated")
-    end = lambda e: fold.partial_executions(e).select("execution_id", "last_sequence", F.col("lifecycle.event_type").alias("end"), "n_events")
-    ends = ("execution_id", "last_sequence", "end")
-    one = _digest((calls, _COMPARED), (attempts, _TRIED), (end(events), ends))
-    other = _digest((fold.fold_calls(again), _COMPARED), (fold.fold_attempts(again), _TRIED), (end(again), ends))
-    joined = events.groupBy("execution_id").agg(F.count("*").alias("events_replayed")).join(one, "execution_id", "left").join(other.withColumnsRenamed({"digest": "digest_again", "n": "n_again"}), "execution_id", "left")
-    same = F.col("digest").eqNullSafe(F.col("digest_again")) & F.col("n").eqNullSafe(F.col("n_again"))
-    return joined.select("execution_id", same.alias("matched"), "events_replayed")
+    calls = staged(fold.fold_whole_calls(events), "calls")
+    again = staged(regenerate(events, calls), "regenerated")
+    other = _digest(again, fold.fold_whole_calls(again)).select("execution_id", *[F.col(c).alias(f"{c}_again") for c in ("digest", "n", "n_events")])
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_again")) for c in ("digest", "n", "n_events")]
+    return _digest(events, calls).join(other, "execution_id", "left").select("execution_id", (same[0] & same[1] & same[2]).alias("matched"), F.col("n_events").alias("events_replayed"))
 
 
 def journal_mutated(before: DataFrame, events: DataFrame) -> DataFrame:

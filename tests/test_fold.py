@@ -121,3 +121,15 @@ def test_replay_starts_and_resolutions(spark):
     decisions = spark.createDataFrame([("two_calls", "b", "mark_completed", "9", None), ("two_calls", "a", "cancel", None, "no")], "execution_id string, call_id string, action string, result string, error string")
     made = recovery.resolutions(decisions, fold.fold_calls(events), fold.fold_executions(events)).collect()
     assert [(r["call_id"], r["sequence"], r["event_type"], r["result"]) for r in made] == [("b", 7, "ToolCompleted", "9")]
+
+
+def test_whole_calls_are_calls_with_their_attempts(spark, rows):
+    stray = [event("S"), event("Rt", "c", attempt=2, failed_attempt=1), event("Rq", "c", tool="add"), event("Ok", "c", attempt=3, result="2"), event("St", "c", attempt=2), event("Fl", "c", attempt=2, error="e"), event("Ok", "orphan", attempt=1)]
+    events = frame(spark, JOURNALS | {"stray": stray})
+    calls = fold.with_attempts(fold.fold_calls(events), fold.fold_attempts(events))
+    assert rows(calls.toPandas()) == rows(fold.fold_whole_calls(events).select(*calls.columns).toPandas())
+
+
+def test_a_journal_with_an_unrequested_call_does_not_match(spark):
+    orphan = frame(spark, {"x": [*JOURNALS["happy"], event("Ok", "orphan", attempt=1)], "y": JOURNALS["happy"]})
+    assert {r["execution_id"]: (r["matched"], r["events_replayed"]) for r in replay.matched(orphan).collect()} == {"x": (False, 5), "y": (True, 4)}
