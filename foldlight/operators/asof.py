@@ -54,6 +54,7 @@ def states_at(events: DataFrame, wanted: DataFrame, stored: DataFrame | None = N
     gaps = events.join(places, "execution_id")
     if base is not None:
         gaps = gaps.join(base.at.select("execution_id", F.col("sequence").alias("after")), "execution_id", "left").where("sequence > coalesce(after, 0)").drop("after")
+    gaps = fold.carried(gaps, None if base is None else base.calls)
     stretch: Column = F.array_min(F.filter("places", lambda p: p >= F.col("sequence")))
     cut = gaps.where(F.col("sequence") <= F.element_at("places", -1)).withColumn("execution_id", F.struct("execution_id", stretch.alias("stretch"))).drop("places")
     cut = staged(fold.conform(cut), "gaps")

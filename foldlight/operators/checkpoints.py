@@ -60,7 +60,7 @@ def recover(events: DataFrame, snapshot: Snapshot | None = None) -> States:
 def recover_after(later: DataFrame, snapshot: Snapshot) -> States:
     """States from a snapshot and the events after it, of which none is in the snapshot."""
     calls = fold.finish_calls(fold.merge_calls(snapshot.calls.unionByName(fold.partial_calls(later))))
-    attempts = fold.finish_attempts(fold.merge_attempts(snapshot.attempts.unionByName(fold.partial_attempts(later))))
+    attempts = fold.finish_attempts(fold.merge_attempts(snapshot.attempts.unionByName(fold.partial_attempts(later, snapshot.calls))))
     executions = fold.merge_executions(snapshot.executions.unionByName(fold.partial_executions(later)))
     return States(calls, attempts, fold.finish_executions(executions, calls))
 
@@ -155,7 +155,7 @@ def from_rows(stored: DataFrame, result: str = "string", error: str = "string")
         a("attempt").alias("number"),
         F.struct(F.greatest(a("started_sequence"), a("completed_sequence")).alias("sequence"), event(a("status"), S.CALL_STATUS).alias("event_type")).alias("last"),
         a("first_sequence").alias("first_sequence"),
-        when(a("started_sequence"), a("started_at").alias("timestamp")).alias("started"),
+        when(a("started_sequence"), a("started_sequence").alias("at"), a("started_at").alias("timestamp")).alias("started"),
         when(a("completed_sequence"), a("result").alias("result"), a("error").alias("error"), F.when(a("status") == "TIMED_OUT", F.col("enforced")).alias("enforced")).alias("settled"),
         when(a("retry_sequence"), a("retry_delay").alias("delay"), F.lit(None).cast("string").alias("reason"), a("retry_attempt").alias("attempt")).alias("scheduled"),
     ).dropDuplicates([*fold.CALL, "number"])

@@ -2,7 +2,8 @@
 
 Every field of the state belongs to the last event of some types, so the fold is a grouped maximum over structs that
 start with the sequence.  Maxima merge: `partial_*` of two parts of a journal, united and merged, is that of the whole.
-This makes checkpoints plus later events, map-side combination and the full fold the same plan.
+This makes checkpoints plus later events and the full fold the same plan.  One field hangs on the order of a call's events:
+an outcome of the attempt that the call is on takes over the call's last start (`carried`, a window by call).
 
 Events are decoded journals (see sources.journal.decode); missing columns count as null.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldlight import schemas as S
@@ -45,6 +46,24 @@ def _settled(*also: Column | str) -> Column:
     return _last(_of(*S.SETTLING_EVENTS), F.when(completed, F.col("result")).alias("result"), F.when(~completed, F.col("error")).alias("error"), *also)
 
 
+def carried(events: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """The events with what each finds of its call: _before, the attempt of the last start or outcome, and _begun, the last start.
+
+    base: partial calls of all events before these.  Events that have the columns stay as they are.
+    """
+    if "_before" in events.columns:
+        return events
+    earlier = Window.partitionBy(*CALL).orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda condition, value: F.last(F.when(condition, value), ignorenulls=True).over(earlier)
+    trying = _of("ToolStarted", *S.SETTLING_EVENTS)
+    e = conform(events).withColumns({"_before": last(trying, attempt_number(F.col("attempt"))), "_begun": last(_of("ToolStarted"), F.struct("sequence", "timestamp"))})
+    if base is None:
+        return e
+    at = base.groupBy(*CALL).agg(F.max("tried").alias("_tried"), F.max("started").alias("_started"))
+    found = {"_before": F.coalesce("_before", "_tried.attempt"), "_begun": F.coalesce("_begun", F.struct("_started.sequence", "_started.timestamp"))}
+    return e.join(at, list(CALL), "left").withColumns(found).drop("_tried", "_started")
+
+
 def _call_partials() -> dict[str, Column]:
     timed = _of("ToolTimedOut")
     retry = (F.col("event_type") == "ToolRetryScheduled").alias("pending"), attempt_number(F.col("attempt")).alias("attempt"), "failed_attempt", "delay", "reason", "error"
@@ -110,20 +129,28 @@ def _attempt_of() -> Column:
     return F.when(_of("ToolRetryScheduled"), failed).otherwise(number)
 
 
+def _attempt_start() -> Column:
+    """The last event that set an attempt's start, with that start: a start, or an outcome that found the call on this attempt, for
+    which the call's last start stands, be it another attempt's."""
+    took = _of(*S.SETTLING_EVENTS) & (F.col("_before") == attempt_number(F.col("attempt"))) & (F.col("_begun.sequence") > 0)
+    own = F.struct("sequence", F.col("sequence").alias("at"), "timestamp")
+    return F.max(F.when(_of("ToolStarted"), own).when(took, F.struct("sequence", F.col("_begun.sequence").alias("at"), F.col("_begun.timestamp").alias("timestamp"))))
+
+
 def _attempt_partials() -> dict[str, Column]:
     trying = ~_of("ToolRequested", "ToolRetryScheduled")
     return {
         "last": _last(trying, "event_type"),
         "first_sequence": F.min(F.when(trying, F.col("sequence"))),
-        "started": _last(_of("ToolStarted"), "timestamp"),
+        "started": _attempt_start(),
         "settled": _settled("enforced"),
         "scheduled": _last(_of("ToolRetryScheduled"), "delay", "reason", attempt_number(F.col("attempt")).alias("attempt")),
     }
 
 
-def partial_attempts(events: DataFrame) -> DataFrame:
-    """One row per call, attempt and part of a journal."""
-    e = conform(events).where(_of(*S.TOOL_EVENTS[1:]))
+def partial_attempts(events: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """One row per call, attempt and part of a journal; base: partial calls of the parts before it."""
+    e = carried(conform(events).where(_of(*S.TOOL_EVENTS[1:])), base)
     return e.withColumn("number", _attempt_of()).groupBy(*CALL, "number").agg(*[v.alias(k) for k, v in _attempt_partials().items()])
 
 
@@ -138,7 +165,7 @@ def _attempt_fields(partial: Callable[[str], Column]) -> list[Column]:
     return [
         partial("number").alias("attempt"),
         mapped(last["event_type"], S.CALL_STATUS).alias("status"),
-        F.coalesce(started["sequence"], F.lit(0)).cast("long").alias("started_sequence"),
+        F.coalesce(started["at"], F.lit(0)).cast("long").alias("started_sequence"),
         started["timestamp"].alias("started_at"),
         F.coalesce(mine("sequence"), F.lit(0)).cast("long").alias("completed_sequence"),
         mine("result").alias("result"),
@@ -170,7 +197,7 @@ def fold_whole_calls(events: DataFrame) -> DataFrame:
 
     A call's requests are a part of their own, with the number 0 that no attempt has.
     """
-    e = conform(events).where(_of(*S.TOOL_EVENTS)).withColumn("number", F.when(_of("ToolRequested"), F.lit(0)).otherwise(_attempt_of()))
+    e = carried(conform(events).where(_of(*S.TOOL_EVENTS))).withColumn("number", F.when(_of("ToolRequested"), F.lit(0)).otherwise(_attempt_of()))
     tried = {f"try_{k}": v for k, v in _attempt_partials().items()}
     parts = e.groupBy(*CALL, "number").agg(*[v.alias(k) for k, v in (_call_partials() | tried).items()])
     field = lambda c: F.col("number" if c == "number" else f"try_{c}")

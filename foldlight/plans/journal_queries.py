@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foldlight import schemas as S
 from foldlight.functions import policy, predicates
 from foldlight.functions.policy import backoff_delay, is_exhausted, should_retry
 from foldlight.functions.tools import arithmetic
@@ -196,6 +197,29 @@ def call_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.fold_attempts(journal(spark, sf_dir)).select(*_ATTEMPT_COLUMNS)
 
 
+_REPEATED_SQL = """
+, tries AS (
+  SELECT execution_id, call_id, sequence * 2 AS sequence, event_type, attempt FROM journal WHERE event_type = 'ToolStarted' AND attempt = 1 OR event_type IN ('ToolCompleted', 'ToolFailed', 'ToolTimedOut', 'ToolCancelled')
+  UNION ALL SELECT execution_id, call_id, sequence * 2 + 1, event_type, attempt FROM journal WHERE event_type IN ('ToolCompleted', 'ToolFailed', 'ToolTimedOut', 'ToolCancelled')
+), found AS (
+  SELECT e.execution_id, e.call_id, e.attempt, e.sequence, e.event_type, arg_max(p.attempt, p.sequence) AS before, max(p.sequence) FILTER (p.event_type = 'ToolStarted') AS begun
+  FROM tries e LEFT JOIN tries p ON e.execution_id = p.execution_id AND e.call_id = p.call_id AND p.sequence < e.sequence GROUP BY ALL
+)
+SELECT execution_id, call_id, attempt,
+       coalesce(arg_max(CASE WHEN event_type = 'ToolStarted' THEN sequence ELSE begun END, sequence) FILTER (event_type = 'ToolStarted' OR before = attempt AND begun IS NOT NULL), 0) AS started_sequence,
+       CASE WHEN arg_max(event_type, sequence) = 'ToolStarted' THEN 0 ELSE max(sequence) END AS completed_sequence
+FROM found GROUP BY execution_id, call_id, attempt"""
+
+
+@query(_REPEATED_SQL)
+def attempts_repeated_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts of the journal without the starts of second attempts and with each outcome twice: the second one takes over the call's start."""
+    kept = journal(spark, sf_dir).where("not (event_type = 'ToolStarted' and attempt > 1)")
+    twice = kept.withColumn("copy", F.explode(F.when(F.col("event_type").isin(*S.SETTLING_EVENTS), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    events = twice.withColumn("sequence", F.col("sequence") * 2 + F.col("copy")).drop("copy")
+    return fold.fold_attempts(events).select("execution_id", "call_id", "attempt", "started_sequence", "completed_sequence")
+
+
 @query(_STATES_OF + f"SELECT {_STATE_SQL} FROM states")
 def execution_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold.fold_executions(journal(spark, sf_dir)).select(*_STATE_COLUMNS)

@@ -138,7 +138,7 @@ def _judged(batch: DataFrame, last: DataFrame) -> DataFrame:
 def _merged(before: Snapshot | None, events: DataFrame) -> Snapshot:
     """The partial folds of the events, merged with those before."""
     at = events.groupBy("execution_id").agg(F.max("sequence").alias("sequence"))
-    calls, attempts, executions = fold.partial_calls(events), fold.partial_attempts(events), fold.partial_executions(events)
+    calls, attempts, executions = fold.partial_calls(events), fold.partial_attempts(events, before and before.calls), fold.partial_executions(events)
     if before is not None:
         at = before.at.unionByName(at).groupBy("execution_id").agg(F.max("sequence").alias("sequence"))
         calls, attempts, executions = before.calls.unionByName(calls), before.attempts.unionByName(attempts), before.executions.unionByName(executions)

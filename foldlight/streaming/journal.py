@@ -62,8 +62,9 @@ def step(call: tuple | None, event_type: str, sequence: int, attempt: int | None
     return status, tried, started, sequence, 0 if event_type == "ToolCancelled" else pending, *outcome, enforced if event_type == "ToolTimedOut" else None
 
 
-def attempt_step(kept: tuple | None, event) -> tuple[int, tuple]:
-    """(number, state as in ATTEMPT) of the attempt that an event other than a request belongs to; kept: its state before."""
+def attempt_step(kept: tuple | None, event, call: tuple | None = None) -> tuple[int, tuple]:
+    """(number, state as in ATTEMPT) of the attempt that an event other than a request belongs to; kept: its state before; call: the
+    call's before (as in CALL), whose last start an outcome of the attempt that the call is on takes over."""
     last, first, started, completed, result, error, *retry = kept or (None, 0, 0, 0, None, None, 0, None, None)
     if event.event_type == "ToolRetryScheduled":
         return attempt_of(event), (last, first, started, completed, result, error, int(event.sequence), _number(event.attempt), event.delay)
@@ -73,6 +74,8 @@ def attempt_step(kept: tuple | None, event) -> tuple[int, tuple]:
     else:
         done = event.event_type == "ToolCompleted"
         completed, result, error = int(event.sequence), event.result if done else None, None if done else event.error
+        if call is not None and call[1] == attempt_of(event):
+            started = call[2] or started
     return attempt_of(event), (event.event_type, first, started, completed, result, error, *retry)
 
 
@@ -138,7 +141,7 @@ class CallFold(StatefulProcessor):
                     n_open += (call[0] in S.INCOMPLETE_STATUSES) - (before is not None and before[0] in S.INCOMPLETE_STATUSES)
                     if e.event_type != "ToolRequested":
                         at = e.call_id, attempt_of(e)
-                        number, state = attempt_step(tuple(self.attempts.getValue(at)) if self.attempts.containsKey(at) else None, e)
+                        number, state = attempt_step(tuple(self.attempts.getValue(at)) if self.attempts.containsKey(at) else None, e, before)
                         self.attempts.updateValue(at, state)
                         attempt = _shown_attempt(number, state)
             if reason is None:
@@ -174,7 +177,7 @@ def initial_rows(snapshot: Snapshot) -> DataFrame:
     heads = snapshot.executions.join(opened, "execution_id", "left").select("execution_id", F.lit("head").alias("what"), F.col("last_sequence").cast("long").alias("sequence"), status.alias("status"), zero("n_open").alias("n_open"))
     attempts = snapshot.attempts.select(
         "execution_id", F.lit("attempt").alias("what"), "call_id", F.col("last.event_type").alias("status"), F.col("number").cast("int").alias("attempt"), zero("first_sequence").alias("first"),
-        zero("started.sequence").alias("started"), zero("settled.sequence").alias("completed"), text("settled.result").alias("result"), text("settled.error").alias("error"),
+        zero("started.at").alias("started"), zero("settled.sequence").alias("completed"), text("settled.result").alias("result"), text("settled.error").alias("error"),
         F.col("scheduled.sequence").alias("retry_sequence"), F.col("scheduled.attempt").cast("int").alias("retry_attempt"), F.col("scheduled.delay").alias("retry_delay"),
     )
     return heads.unionByName(calls, allowMissingColumns=True).unionByName(attempts, allowMissingColumns=True)

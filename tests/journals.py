@@ -36,3 +36,31 @@ def frame(spark, journals, cut=None):
         for n, e in enumerate(events[:cut], 1):
             rows.append(tuple({"execution_id": name, "sequence": n, "deduplicated": False}.get(c) if c not in e else e[c] for c in NAMES))
     return spark.createDataFrame(rows, FIELDS)
+
+
+def repeated_outcomes(n, length=12, seed=4):
+    """Journals of a call in three attempts whose outcomes come without starts, twice, and between one another's."""
+    import random
+
+    pick = random.Random(seed)
+    kinds = ("St", "Ok", "Ok", "Fl", "To", "Cx")
+    return {f"x{k}": [event("S"), event("Rq", "c", tool="add"), *[event(pick.choice(kinds), "c", attempt=pick.choice((1, 1, 2, 3))) for _ in range(length)]] for k in range(n)}
+
+
+def walked_attempts(journals):
+    """{(execution, attempt): (start, outcome's sequence)}, an event after the other: an outcome of the attempt that the call is on takes over
+    the call's start; any other keeps that of its attempt."""
+    found = {}
+    for name, events in journals.items():
+        on, begun = 0, 0
+        for n, e in enumerate(events, 1):
+            if e["event_type"] in (TYPES["S"], TYPES["Rq"], TYPES["Rt"]):
+                continue
+            a = e["attempt"]
+            start, _ = found.get((name, a), (0, 0))
+            if e["event_type"] == TYPES["St"]:
+                found[name, a], begun = (n, 0), n
+            else:
+                found[name, a] = ((begun if on == a else 0) or start, n)
+            on = a
+    return found

@@ -1,8 +1,8 @@
 import pytest
-from journals import JOURNALS, event, frame
+from journals import JOURNALS, event, frame, repeated_outcomes, walked_attempts
 from pyspark.sql import functions as F
 
-from foldlight.operators import checkpoints, fold, recovery, replay, validation
+from foldlight.operators import asof, checkpoints, fold, recovery, replay, validation
 
 
 @pytest.fixture(scope="module")
@@ -133,3 +133,44 @@ def test_whole_calls_are_calls_with_their_attempts(spark, rows):
 def test_a_journal_with_an_unrequested_call_does_not_match(spark):
     orphan = frame(spark, {"x": [*JOURNALS["happy"], event("Ok", "orphan", attempt=1)], "y": JOURNALS["happy"]})
     assert {r["execution_id"]: (r["matched"], r["events_replayed"]) for r in replay.matched(orphan).collect()} == {"x": (False, 5), "y": (True, 4)}
+
+
+def _spans(attempts):
+    return {(r["execution_id"], r["attempt"]): (r["started_sequence"], r["completed_sequence"]) for r in attempts.collect()}
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    journals = repeated_outcomes(60)
+    taken = [(name, a) for name, events in journals.items() for a in (2, 3) if not any(e["event_type"] == "ToolStarted" and e["attempt"] == a for e in events)]
+    # Some attempts that never started have another's start.
+    assert any(walked_attempts(journals).get(k, (0,))[0] for k in taken)
+    return journals, frame(spark, journals).cache()
+
+
+def test_repeated_outcomes_are_those_of_a_walk(repeated):
+    journals, events = repeated
+    assert _spans(fold.fold_attempts(events)) == walked_attempts(journals)
+    whole = fold.fold_whole_calls(events).select("execution_id", F.explode("attempts").alias("a")).select("execution_id", "a.*")
+    assert _spans(whole) == walked_attempts(journals)
+
+
+@pytest.mark.parametrize("cut", [4, 8])
+def test_repeated_outcomes_after_a_snapshot(spark, repeated, cut):
+    journals, events = repeated
+    limits = events.select("execution_id").distinct().withColumn("upto", F.lit(cut))
+    assert _spans(checkpoints.recover(events, checkpoints.take(events, limits)).attempts) == walked_attempts(journals)
+    stored = checkpoints.rows(events.where(F.col("sequence") <= cut))
+    assert _spans(checkpoints.recover(events, checkpoints.from_rows(stored)).attempts) == walked_attempts(journals)
+
+
+def test_repeated_outcomes_at_places(spark, repeated):
+    journals, events = repeated
+    wanted = events.select("execution_id").distinct().select("execution_id", F.explode(F.array(*map(F.lit, (5, 6, 9, 14)))).alias("upto"))
+    stored = checkpoints.rows(events.where("sequence <= 4"))
+    for base in (None, stored):
+        found = asof.states_at(events, wanted, base).attempts.toPandas()
+        for upto in (5, 6, 9, 14):
+            at = found[found.upto == upto]
+            spans = dict(zip(zip(at.execution_id, at.attempt), zip(at.started_sequence, at.completed_sequence)))
+            assert spans == walked_attempts({k: v[:upto] for k, v in journals.items()})

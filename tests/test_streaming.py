@@ -1,4 +1,4 @@
-from journals import JOURNALS, event, frame
+from journals import JOURNALS, event, frame, repeated_outcomes, walked_attempts
 
 from foldlight.operators import checkpoints, fold
 from foldlight.operators import ledger as batch_ledger
@@ -98,3 +98,11 @@ def test_ended_executions_are_evicted(spark, tmp_path):
     evicting = lambda source: stream_journal.call_updates(source, evict=True)
     found = list(run(spark, [events.where("sequence <= 5"), events.where("sequence > 5")], str(tmp_path / "in"), evicting, str(tmp_path / "state"), "evict"))
     assert [(r["sequence"], r["kind"], r["reason"]) for r in found if r["sequence"] > 5] == [(6, "execution", None), (7, "rejected", "unknown call"), (8, "rejected", "gap")]
+
+
+def test_repeated_outcomes_over_a_stream(spark, tmp_path):
+    journals = repeated_outcomes(20)
+    events = frame(spark, journals)
+    found = list(run(spark, [events.where("sequence <= 7"), events.where("sequence > 7")], str(tmp_path / "in"), stream_journal.call_updates, str(tmp_path / "state"), "repeated"))
+    last = {(r["execution_id"], r["attempt_number"]): (r["attempt_started"], r["attempt_completed"]) for r in sorted(found, key=lambda r: r["sequence"]) if r["attempt_number"]}
+    assert last == walked_attempts(journals)
