@@ -94,6 +94,45 @@ def test_components_of_a_long_chain(spark):
     assert {found[k] for k in range(61)} == {0} and found[101] == 100
 
 
+def counted_tables(monkeypatch):
+    """Names of the tables that simhash stages from now on."""
+    names, stage = [], simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, what: names.append(what) or stage(df, what))
+    return names
+
+
+def test_components_of_a_long_chain_take_one_round(spark, monkeypatch):
+    """Each round is a plan that the driver keeps: what one task holds is drawn together before the first."""
+    names = counted_tables(monkeypatch)
+    edges = spark.range(0, 5000, 1, 1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
+    assert simhash.components(edges).agg(F.count("*"), F.max("root")).first()[:] == (5001, 0)
+    assert len(names) == 3
+    assert simhash.components(edges.where("u < 0")).count() == 0
+
+
+def test_stars_keep_the_closure(monkeypatch):
+    monkeypatch.setattr(simhash, "RUN_EDGES", 50)
+    pick = np.random.default_rng(9)
+    u, v = pick.integers(-300, 300, (2, 400))
+    batches = [pa.RecordBatch.from_arrays([pa.array(u[k : k + 20]), pa.array(v[k : k + 20])], names=["u", "v"]) for k in range(0, 400, 20)]
+    found = [tuple(r.values()) for b in simhash._stars(batches) for r in b.to_pylist()]
+    assert {(b, a) for a, b in found} == set(found) and all(a != b for a, b in found)
+
+    def roots(edges):
+        parent = {k: k for k in range(-300, 300)}
+
+        def root(k):
+            while parent[k] != k:
+                k = parent[k]
+            return k
+
+        for a, b in edges:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+        return {k: root(k) for k in parent}
+
+    assert roots(found) == roots(zip(u.tolist(), v.tolist(), strict=True))
+
+
 def test_simhash_documents(spark, corpus):
     for rows, docs in ((messy.texts(), messy.documents(spark)), (corpus, spark.read.parquet(f"{SF}/documents.parquet"))):
         found = sorted(((r["doc_id"], r["component_id"]) for r in simhash.simhash_components(docs).collect()), key=str)
