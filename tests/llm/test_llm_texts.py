@@ -133,6 +133,14 @@ def test_stars_keep_the_closure(monkeypatch):
     assert roots(found) == roots(zip(u.tolist(), v.tolist(), strict=True))
 
 
+def test_near_copies_without_failing_links_are_joined_once(spark, monkeypatch):
+    names = counted_tables(monkeypatch)
+    rows = [(10 * k + j, " ".join([*messy.passage(70_000 + k, 100).split(), *["more"] * j])) for k in range(8) for j in range(3)]
+    found = simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {d: d - d % 10 for d, _ in rows}
+    assert "links-between" not in names and "components" not in names and names.count("near-links") == 1 + simhash.NEAR_BLOCKS
+
+
 def test_simhash_documents(spark, corpus):
     for rows, docs in ((messy.texts(), messy.documents(spark)), (corpus, spark.read.parquet(f"{SF}/documents.parquet"))):
         found = sorted(((r["doc_id"], r["component_id"]) for r in simhash.simhash_components(docs).collect()), key=str)
