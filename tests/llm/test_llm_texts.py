@@ -110,6 +110,39 @@ def test_components_of_a_long_chain_take_one_round(spark, monkeypatch):
     assert simhash.components(edges.where("u < 0")).count() == 0
 
 
+def least_reached(edges):
+    parent = {}
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a, b in edges:
+        parent.setdefault(a, a), parent.setdefault(b, b)
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    return {k: root(k) for k in parent}
+
+
+def test_components_dealt_to_many_tasks_take_few_rows(spark, monkeypatch):
+    """Rounds go on with what is open only: not with all edges and nodes once more for each of them."""
+    names, rows, stage = [], [], simhash.staged
+    monkeypatch.setattr(simhash, "staged", lambda df, what: (out := stage(df, what), names.append(what), rows.append(out.count()))[0])
+    pick = random.Random(31)
+    order = pick.sample(range(1500), 1500)
+    edges = [*zip(order[:-1], order[1:], strict=True), *((1500 + pick.randrange(300), 1500 + pick.randrange(300)) for _ in range(900))]
+    pick.shuffle(edges)
+    dealt = spark.createDataFrame(edges, "u long, v long").repartition(12)
+    wanted = least_reached([(a, b) for a, b in edges if a != b])
+    assert {r["node"]: r["root"] for r in simhash.components(dealt).collect()} == wanted
+    assert len(names) <= 5 and sum(rows) <= 4 * len(edges)
+    monkeypatch.setattr(simhash, "RUN_EDGES", 20)  # many rounds before the rest fits one task
+    rows.clear(), names.clear()
+    assert {r["node"]: r["root"] for r in simhash.components(dealt).collect()} == wanted
+    assert len(names) > 5
+
+
 def test_stars_keep_the_closure(monkeypatch):
     monkeypatch.setattr(simhash, "RUN_EDGES", 50)
     pick = np.random.default_rng(9)
